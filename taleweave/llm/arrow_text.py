@@ -32,3 +32,27 @@ def joined(rows, separator=b"\n"):
 def rows_to_batch(schema, columns):
     """A record batch of the schema (a pyarrow schema) from a dict of lists or arrays."""
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
+
+
+_BYTE = np.random.default_rng(20240607).integers(1, 2**63, (2, 256), dtype=np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """64-bit hashes with all bits of each spread over it."""
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def _powers(base: int, n: int, cache={}) -> np.ndarray:  # noqa: B006  one table per worker
+    if len(cache.get(base, ())) < n:
+        steps = np.full(max(n, 1 << 16), base, dtype=np.uint64)
+        steps[0] = 1
+        cache[base] = np.multiply.accumulate(steps)
+    return cache[base][:n]
+
+
+def span_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit polynomial hash of each span data[first:last], from one running sum; which (0, 1): of two independent ones."""
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[which][data] * _powers(_BASE, len(data)), dtype=np.uint64)))
+    return mixed((sums[last] - sums[first]) * _powers(pow(_BASE, -1, 2**64), len(data) + 1)[first])

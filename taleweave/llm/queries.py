@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name, and the SQL that must give the same rows."""
 
-from taleweave.llm import digest, langid, license_scan
+from taleweave.llm import bpe, digest, langid, license_scan, neardup, packing
 
 
 def _table(name):
@@ -20,9 +20,23 @@ def op3_compression_langid(spark, sf_dir):
     return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op6_lexicon_bpe(spark, sf_dir):
+    docs, vocabulary = documents(spark, sf_dir), bpe.vocabulary_path()
+    return bpe.encoding_digests(docs, vocabulary, bpe.ship(spark, bpe.build_lexicon(docs, vocabulary)))
+
+
+def op8_min_slack_packing(spark, sf_dir):
+    return packing.pack(documents(spark, sf_dir))
+
+
+def op9_coordinate_neardup(spark, sf_dir):
+    return neardup.near_duplicates(documents(spark, sf_dir))
+
+
 def op10_license_scan(spark, sf_dir):
     return license_scan.scan_licenses(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_canonical_digest, op3_compression_langid, op10_license_scan)}
+_ALL = (op2_canonical_digest, op3_compression_langid, op6_lexicon_bpe, op8_min_slack_packing, op9_coordinate_neardup, op10_license_scan)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL: dict[str, str] = {}
