@@ -11,13 +11,14 @@ Defined cases: null text is the empty text; all texts of white space alone have
 order first and are in no group. Rows that share an id order by text. Other columns are not read. An empty table gives an empty one.
 """
 
+import hashlib
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from taleweave.llm.arrow_text import rows_to_batch, text_slices
 from taleweave.llm.lineage import broadcast_if_small, stored
 
 
@@ -37,61 +38,48 @@ def fingerprint(text: str | None) -> str:
     return xxhash.xxh3_128_hexdigest(canonical(text).encode("utf-8", "surrogatepass"))
 
 
-@F.pandas_udf(T.StringType())
-def fingerprint_of(texts: pd.Series) -> pd.Series:
-    """The digest of a text column, 32 hex digits."""
-    return texts.map(fingerprint, na_action=None)
-
-
-@F.pandas_udf(T.StringType())
-def canonical_of(texts: pd.Series) -> pd.Series:
-    return texts.map(canonical, na_action=None)
-
-
 def likeness(a, b):
     """An exact digest is like another (1) or not (0)."""
     return F.when(a == b, 1.0).otherwise(0.0)
 
 
 def exact_groups(prints: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint, group_id, group_size): one row per pair of id and fingerprint, for documents whose canonical texts are equal byte by byte.
+    """(doc_id, fingerprint, group_id, group_size) of documents in groups of two and more whose canonical texts are equal byte by byte.
 
-    prints: doc_id, fingerprint of docs. group_id is the smallest doc_id of the group, group_size its rows. If a text differs from
-    its bucket's representative (a collision of 128-bit hashes), its bucket's groups are told apart by their bytes.
+    prints: doc_id, fingerprint of docs. group_id is the smallest doc_id of the group, group_size its rows. A text that differs from
+    its bucket's representative (a collision of 128-bit hashes) is in a group of those with its bytes.
     """
-    buckets = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
-    members = stored(prints.groupBy("doc_id", "fingerprint").agg(F.count("*").alias("copies")).join(buckets, "fingerprint"))
-    alone = members.where("size = 1").select("doc_id", "fingerprint", F.col("rep").alias("group_id"), F.col("size").alias("group_size"))
-    shared = members.where("size > 1")
+    buckets = stored(prints.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")).where("size > 1"))
+    shared = stored(prints.where("doc_id is not null").join(broadcast_if_small(buckets, 60), "fingerprint").select("doc_id", "fingerprint", "rep"))
     ids = shared.select("doc_id").distinct()
     wanted = docs.select("doc_id", "text").join(broadcast_if_small(ids, 8), "doc_id", "left_semi")
-    texts = wanted.select("doc_id", canonical_of("text").alias("canon")).withColumn("fingerprint", _print_of_canonical("canon"))
-    held = stored(shared.join(texts, ["doc_id", "fingerprint"]).select("doc_id", "fingerprint", "rep", "canon"))
-    reps = held.where("doc_id = rep").groupBy("fingerprint").agg(F.min("canon").alias("rep_canon"))
-    checked = held.join(reps, "fingerprint").select("doc_id", "fingerprint", F.when(F.col("canon") != F.col("rep_canon"), F.sha2("canon", 256)).alias("apart"))
-    checked = checked.groupBy("doc_id", "fingerprint").agg(F.min("apart").alias("apart"))
-    sizes = shared.where("doc_id is not null").join(checked, ["doc_id", "fingerprint"], "left")
-    groups = sizes.groupBy("fingerprint", "apart").agg(F.min("doc_id").alias("group_id"), F.sum("copies").alias("group_size"))
-    same = sizes.select("doc_id", "fingerprint", "apart").join(groups.withColumnRenamed("apart", "g").withColumnRenamed("fingerprint", "f"), F.col("fingerprint").eqNullSafe(F.col("f")) & F.col("apart").eqNullSafe(F.col("g")))
-    return alone.unionByName(same.select("doc_id", "fingerprint", "group_id", "group_size"))
-
-
-@F.pandas_udf(T.StringType())
-def _print_of_canonical(texts: pd.Series) -> pd.Series:
-    import xxhash
 
-    return texts.map(lambda t: xxhash.xxh3_128_hexdigest(t.encode("utf-8", "surrogatepass")))
+    def canonical_rows(batches):
+        import xxhash
+
+        for batch in batches:
+            ids = batch.column("doc_id")
+            for first, rows in text_slices(batch):
+                texts = [canonical(r.decode()) for r in rows]
+                yield rows_to_batch(_CANON, {"doc_id": ids.slice(first, len(rows)), "fingerprint": [xxhash.xxh3_128_hexdigest(t.encode()) for t in texts], "canon": texts})
 
+    texts = wanted.mapInArrow(canonical_rows, "doc_id long, fingerprint string, canon string").join(broadcast_if_small(buckets, 60), "fingerprint")
+    reps = texts.where("doc_id = rep").groupBy("fingerprint").agg(F.min("canon").alias("rep_canon"))
+    checked = texts.join(reps, "fingerprint").select("doc_id", "fingerprint", F.when(F.col("canon") != F.col("rep_canon"), F.sha2("canon", 256)).alias("apart"))
+    checked = stored(checked)
+    sizes = checked.groupBy("fingerprint", "apart").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("group_size"))
+    same = checked.distinct().join(sizes.withColumnsRenamed({"fingerprint": "f", "apart": "g"}), (F.col("fingerprint") == F.col("f")) & F.col("apart").eqNullSafe(F.col("g")))
+    return same.select("doc_id", "fingerprint", "group_id", "group_size")
 
-def with_next(docs: DataFrame, order: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
-    """Each row with `next_text`, the text of the row after it in ascending order (the first row's after the last).
+
+def with_next(rows: DataFrame, order: str, prepare, payload: list[str]) -> DataFrame:
+    """prepare(rows), each row with next_* of the payload columns, taken from the row after it in ascending order (the first after the last).
 
     The order is dealt into ranges that begin at ids of the table, so that a window per range is enough: a copy of each
-    range's first row also goes to the range before, as the row that its last one looks ahead to.
+    range's first row also goes to the range before, as the row that its last one looks ahead to. prepare maps rows and keeps
+    the columns _range and _ahead; rows that share an id order by the payload.
     """
-    spark = docs.sparkSession
-    buckets = buckets or min(2000, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(order, F.coalesce(text, F.lit("")).alias(text))
+    buckets = min(2000, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # One row of at most `buckets` ids comes to the driver.
     head = rows.agg(
         F.min(order).alias("first"), F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 20 * buckets).alias("cuts"), F.count_if(F.col(order).isNull()).alias("nulls")
@@ -100,15 +88,15 @@ def with_next(docs: DataFrame, order: str = "doc_id", text: str = "text", bucket
     ranged = rows.withColumn("_range", _range_of(F.col(order), cuts, 0, len(cuts)) if cuts else F.lit(0))
     heads = ranged.where(F.col(order).isin(cuts)) if cuts else ranged
     if head["nulls"]:  # ids that are null stand before all
-        first = rows.where(F.col(order).isNull()).agg(F.min(text).alias(text)).select(F.lit(None).cast(rows.schema[order].dataType).alias(order), text)
+        first = ranged.where(F.col(order).isNull())
         later = heads
     else:
-        first = heads.where("_range = 1").drop("_range")
+        first = heads.where("_range = 1")
         later = heads.where("_range > 1")
-    ahead = later.withColumn("_range", F.col("_range") - 1).unionByName(first.withColumn("_range", F.lit(len(cuts))))
-    window = Window.partitionBy("_range").orderBy("_ahead", F.col(order).asc_nulls_first(), text)
-    both = ranged.withColumn("_ahead", F.lit(False)).unionByName(ahead.withColumn("_ahead", F.lit(True)))
-    return both.withColumn("next_text", F.lead(text).over(window)).where(~F.col("_ahead")).select(order, text, "next_text")
+    ahead = later.withColumn("_range", F.col("_range") - 1).unionByName(first.withColumn("_range", F.lit(len(cuts)))).withColumn("_ahead", F.lit(True))
+    both = prepare(ranged.withColumn("_ahead", F.lit(False)).unionByName(ahead))
+    window = Window.partitionBy("_range").orderBy("_ahead", F.col(order).asc_nulls_first(), *payload)
+    return both.withColumns({f"next_{c}": F.lead(c).over(window) for c in payload}).where(~F.col("_ahead")).drop("_ahead", "_range")
 
 
 def _range_of(value, cuts, low, high):
@@ -119,23 +107,55 @@ def _range_of(value, cuts, low, high):
     return F.when(value >= F.lit(cuts[mid]), _range_of(value, cuts, mid + 1, high)).otherwise(_range_of(value, cuts, low, mid))
 
 
+_CANON = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.string()), ("canon", pa.string())])
+_PACKED = pa.schema([("doc_id", pa.int64()), ("_range", pa.int32()), ("_ahead", pa.bool_()), ("fingerprint", pa.string()), ("packed", pa.binary())])
+_EDITED = pa.schema([
+    ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("next_fingerprint", pa.string()),
+])
+
+
+def _packed(batches):
+    """Fingerprints, and the texts compressed for their way through the shuffle."""
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        for first, rows in text_slices(batch):
+            part = batch.slice(first, len(rows))
+            yield rows_to_batch(_PACKED, {
+                **{c: part.column(c) for c in ("doc_id", "_range", "_ahead")}, "fingerprint": [fingerprint(r.decode()) for r in rows], "packed": [press.compress(r) for r in rows],
+            })
+
+
+def _edited(batches):
+    import zstandard
+
+    press = zstandard.ZstdDecompressor()
+    for batch in batches:
+        out = {f.name: [] for f in _EDITED}
+        for doc_id, mine, packed, theirs, after in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "fingerprint", "packed", "next_fingerprint", "next_packed"))):
+            text, following = press.decompress(packed).decode(), press.decompress(after).decode()
+            quarter = len(text) // 4
+            edited = text[: len(text) - quarter] + following[:quarter]
+            values = (doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), mine, fingerprint(edited), theirs)
+            for column, value in zip(out.values(), values):
+                column.append(value)
+        yield rows_to_batch(_EDITED, out)
+
+
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """The fingerprint and the group of each document, and the fingerprint of its text with the last quarter replaced from the next document.
 
     Rows that repeat an id have equal rows in the result only if their texts are equal.
     """
-    near = with_next(docs)
-    n = F.length("text")
-    cut = F.floor(n / 4).cast("int")
-    edited = near.select(
-        "doc_id", "text", n.cast("long").alias("n_chars"), fingerprint_of("next_text").alias("next_fingerprint"), fingerprint_of("text").alias("fingerprint"),
-        F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut)).alias("edited"),
-    )
-    prints = stored(edited.select("doc_id", "n_chars", "fingerprint", "next_fingerprint", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), fingerprint_of("edited").alias("edited_fingerprint")))
-    groups = exact_groups(prints.select("doc_id", "fingerprint"), docs)
-    return prints.join(groups, ["doc_id", "fingerprint"], "left").select(
+    prepare = lambda rows: rows.mapInArrow(_packed, "doc_id long, _range int, _ahead boolean, fingerprint string, packed binary")
+    near = with_next(docs.select("doc_id", "text"), "doc_id", prepare, ["fingerprint", "packed"])
+    columns = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, next_fingerprint string"
+    prints = stored(near.mapInArrow(_edited, columns))
+    groups = stored(exact_groups(prints.select("doc_id", "fingerprint"), docs))
+    return prints.join(broadcast_if_small(groups, 80), ["doc_id", "fingerprint"], "left").select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
-        "group_id", "group_size",
+        F.coalesce("group_id", "doc_id").alias("group_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"),
     )

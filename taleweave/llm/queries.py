@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name, and the SQL that must give the same rows."""
 
-from taleweave.llm import bpe, digest, langid, license_scan, neardup, packing
+from taleweave.llm import bpe, digest, langid, license_scan, neardup, packing, pii
 
 
 def _table(name):
@@ -25,6 +25,10 @@ def op6_lexicon_bpe(spark, sf_dir):
     return bpe.encoding_digests(docs, vocabulary, bpe.ship(spark, bpe.build_lexicon(docs, vocabulary)))
 
 
+def op7_information_pii(spark, sf_dir):
+    return pii.find_pii(documents(spark, sf_dir))
+
+
 def op8_min_slack_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir))
 
@@ -37,6 +41,6 @@ def op10_license_scan(spark, sf_dir):
     return license_scan.scan_licenses(documents(spark, sf_dir))
 
 
-_ALL = (op2_canonical_digest, op3_compression_langid, op6_lexicon_bpe, op8_min_slack_packing, op9_coordinate_neardup, op10_license_scan)
+_ALL = (op2_canonical_digest, op3_compression_langid, op6_lexicon_bpe, op7_information_pii, op8_min_slack_packing, op9_coordinate_neardup, op10_license_scan)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL: dict[str, str] = {}
