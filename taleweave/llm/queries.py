@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name, and the SQL that must give the same rows."""
 
-from taleweave.llm import bpe, chat, digest, langid, license_scan, neardup, packing, pii
+from taleweave.llm import bpe, chat, digest, langid, license_scan, neardup, packing, pii, wrapper
 
 
 def _table(name):
@@ -20,6 +20,10 @@ def op3_compression_langid(spark, sf_dir):
     return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op4_wrapper_induction(spark, sf_dir):
+    return wrapper.extract_text(pages(spark, sf_dir))
+
+
 def op5_chat_layouts(spark, sf_dir):
     said = r"\### Assistant: </turn> ok"
     own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -48,6 +52,6 @@ def op10_license_scan(spark, sf_dir):
     return license_scan.scan_licenses(documents(spark, sf_dir))
 
 
-_ALL = (op2_canonical_digest, op3_compression_langid, op5_chat_layouts, op6_lexicon_bpe, op7_information_pii, op8_min_slack_packing, op9_coordinate_neardup, op10_license_scan)
+_ALL = (op2_canonical_digest, op3_compression_langid, op4_wrapper_induction, op5_chat_layouts, op6_lexicon_bpe, op7_information_pii, op8_min_slack_packing, op9_coordinate_neardup, op10_license_scan)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL: dict[str, str] = {}
