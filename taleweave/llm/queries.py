@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name, and the SQL that must give the same rows."""
 
-from taleweave.llm import bpe, chat, digest, langid, license_scan, neardup, packing, pii, wrapper
+from taleweave.llm import audio, bpe, chat, digest, langid, license_scan, neardup, packing, pii, wrapper
 
 
 def _table(name):
@@ -10,6 +10,11 @@ def _table(name):
 documents, pages, conversations = _table("documents"), _table("pages"), _table("conversations")
 
 
+def op1_chroma_alignment(spark, sf_dir):
+    """Recordings derived from documents: each text as a sound of one tone per word, so copies sound alike."""
+    return audio.aligned(documents(spark, sf_dir), "doc_id", "text", "text")
+
+
 def op2_canonical_digest(spark, sf_dir):
     return digest.fingerprint_edits(documents(spark, sf_dir))
 
@@ -52,6 +57,6 @@ def op10_license_scan(spark, sf_dir):
     return license_scan.scan_licenses(documents(spark, sf_dir))
 
 
-_ALL = (op2_canonical_digest, op3_compression_langid, op4_wrapper_induction, op5_chat_layouts, op6_lexicon_bpe, op7_information_pii, op8_min_slack_packing, op9_coordinate_neardup, op10_license_scan)
+_ALL = (op1_chroma_alignment, op2_canonical_digest, op3_compression_langid, op4_wrapper_induction, op5_chat_layouts, op6_lexicon_bpe, op7_information_pii, op8_min_slack_packing, op9_coordinate_neardup, op10_license_scan)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL: dict[str, str] = {}
