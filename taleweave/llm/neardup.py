@@ -4,13 +4,16 @@ Method: every document's set of distinct five-word shingles gets a min-hash sign
 posted under each (coordinate, value). Two documents are candidates if at least MATCHES values are equal. For that they must
 meet in a prefix: with each document's values ordered from rare to frequent, one of the first COORDINATES - MATCHES + 1.
 Only those are merged; the other, frequent lists are skipped, and a candidate's collisions are counted from the signatures.
-Links are then confirmed on the whole sets, and components are taken of the links.
+Links are then confirmed on the whole sets, and components are taken of the links. Before that an odd sketch of the sets
+(one parity bit per hash value) rules pairs out: the bits in which two sketches differ never exceed the shingles that
+only one of the sets has, so no link can be lost by it.
 
 Scale and skew:
 * Equal sets are one class, found by a grouping that aggregates before its shuffle; only a class's first document goes on.
 * A value that no other class has needs no posting, and the most frequent values of a document are outside its prefix, so a
   passage that many documents share doesn't join them all.
-* The members of a list are first linked to the list's pivots, which is linear in the list. Only classes that still lie in
+* The members of a list are first linked to the list's pivots (its smallest id, and the one that shares most values, which is
+  the likely original of copies), which is linear in the list. Only classes that still lie in
   different components afterwards are paired, and only with those of their list outside their component. A large group of
   near copies is therefore joined by its pivot and never paired with itself. No link between components is lost.
 * All else are joins on ids or values, which Spark splits when skewed. Nothing is collected; lineage is cut by written tables.
@@ -33,6 +36,8 @@ WORDS = 5
 COORDINATES, MATCHES = 32, 18
 #: Links: 100 * shared >= PERCENT * all.
 PERCENT = 85
+#: Bits of the odd sketch.
+BITS = 2048
 
 _RANDOM = np.random.default_rng(20240607)
 _PLACE = _RANDOM.integers(1, 2**62, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -41,7 +46,7 @@ _TIMES = _RANDOM.integers(1, 2**62, COORDINATES, dtype=np.uint64) * np.uint64(2)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
 
-FEATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.string()), ("tokens", pa.list_(pa.int64()))])
+FEATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.string()), ("tokens", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
 
 def shingle_sets(rows: list[bytes]) -> list[np.ndarray]:
@@ -77,6 +82,12 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return mixed(least + np.arange(COORDINATES, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
+def odd_sketch(shingles: np.ndarray) -> np.ndarray:
+    """For each of BITS places whether an odd number of hashes falls there."""
+    places = np.bincount(((shingles >> np.uint64(20)) % np.uint64(BITS)).astype(np.int64), minlength=BITS)
+    return np.packbits((places & 1).astype(np.uint8)).view(np.int64)
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     shared = len(np.intersect1d(a, b, assume_unique=True))
     return shared > 0 and 100 * shared >= percent * (len(a) + len(b) - shared)
@@ -94,26 +105,33 @@ def features(docs: DataFrame) -> DataFrame:
                 sets = shingle_sets(rows)
                 yield rows_to_batch(FEATURES, {
                     "doc_id": ids.slice(first, len(rows)), "n_shingles": [len(s) for s in sets], "set_id": [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets],
-                    "tokens": [signature(s).view(np.int64) if len(s) else None for s in sets],
+                    "tokens": [signature(s).view(np.int64) if len(s) else None for s in sets], "sketch": [odd_sketch(s) if len(s) else None for s in sets],
                 })
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_id string, tokens array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_id string, tokens array<long>, sketch array<long>")
 
 
 def prefix_postings(sets: DataFrame) -> DataFrame:
-    """(token, id, n, tokens) under which a class can meet another that shares MATCHES tokens with it."""
+    """(token, id, held, prefix) under which a class can meet another that shares MATCHES tokens with it; held: how many of its tokens others have."""
     posts = sets.select("id", F.explode("tokens").alias("token"))
     shared = posts.groupBy("token").agg(F.count("*").alias("posted")).where("posted > 1")
     rare_first = Window.partitionBy("id").orderBy("posted", "token")
-    held = posts.join(shared, "token").withColumn("nth", F.row_number().over(rare_first)).withColumn("held", F.count("*").over(Window.partitionBy("id")))
+    every = Window.partitionBy("id")
+    held = posts.join(shared, "token").withColumn("nth", F.row_number().over(rare_first)).withColumn("held", F.count("*").over(every))
     # Tokens of its own come first in a document's order; then these, up to the MATCHES - 1 most frequent.
-    return held.where(F.col("nth") <= F.col("held") - (MATCHES - 1)).select("token", "id").join(sets, "id").select("token", "id", "n", "tokens")
+    kept = held.where(F.col("nth") <= F.col("held") - (MATCHES - 1))
+    return kept.select("token", "id", "held", F.collect_list("token").over(every).alias("prefix"))  # at most COORDINATES rows a window
 
 
 def alike(a: str, b: str):
-    """Whether two postings are candidates: sizes that allow a link, then enough equal tokens."""
+    """Whether two classes are candidates: sizes that allow a link, sketches that allow it, then enough equal tokens."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & (F.size(F.array_intersect(f"{a}.tokens", f"{b}.tokens")) >= MATCHES)
+    apart = sum((F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(1, BITS // 64)), F.bit_count(F.col(f"{a}.sketch")[0].bitwiseXOR(F.col(f"{b}.sketch")[0])))
+    # Of na + nb - shared shingles, na + nb - 2 shared are in one set alone; linked sets have shared >= PERCENT / 100 of all.
+    return (
+        (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & ((100 + PERCENT) * apart <= (100 - PERCENT) * (na + nb))
+        & (F.size(F.array_intersect(f"{a}.tokens", f"{b}.tokens")) >= MATCHES)
+    )
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -159,24 +177,25 @@ def _labelled(posts: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def class_links(sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, component) of classes (id, n, tokens) that are linked with others."""
+    """(id, component) of classes (id, n, tokens, sketch) that are linked with others."""
     posts = stored(prefix_postings(sets))
-    pivots = posts.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    near = posts.select("token", "id").join(pivots, "token")
-    pairs = near.select(F.col("low").alias("a"), F.col("id").alias("b")).union(near.select(F.col("high").alias("a"), F.col("id").alias("b"))).where("a != b").distinct()
-    tokens = sets.select("id", "n", "tokens")
-    stars = pairs.join(tokens.alias("y"), F.col("b") == F.col("y.id")).join(tokens.alias("x"), F.col("a") == F.col("x.id")).where(alike("x", "y"))
+    pivots = posts.groupBy("token").agg(F.min("id").alias("low"), F.max(F.struct("held", "id")).alias("top"), F.count("*").alias("members")).where("members > 1")
+    near = posts.select("token", "id").join(pivots.select("token", F.explode(F.array_distinct(F.array("low", "top.id"))).alias("pivot")), "token").where("id != pivot")
+    pairs = near.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    sides = sets.select("id", "n", "tokens", "sketch")
+    stars = pairs.join(sides.alias("y"), F.col("b") == F.col("y.id")).join(sides.alias("x"), F.col("a") == F.col("x.id")).where(alike("x", "y"))
     first = stored(confirmed(stored(stars.select("a", "b")), docs))
     labels = components(first)
     # What still lies apart in a list: its members outside the list's largest component, with all members of other components.
-    apart = _labelled(posts, labels)
+    apart = posts.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     counts = apart.groupBy("token", "component").agg(F.count("*").alias("members"))
-    mixed = counts.groupBy("token").agg(F.max_by("component", F.struct("members", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("token", "most")
-    lists = stored(apart.join(mixed, "token"))
+    mixed_lists = counts.groupBy("token").agg(F.max_by("component", F.struct("members", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("token", "most")
+    lists = stored(apart.join(mixed_lists, "token").join(sides, "id"))
     x, y = lists.where("component != most").alias("x"), lists.alias("y")
     once = (F.col("y.component") == F.col("y.most")) | (F.col("x.id") < F.col("y.id"))
-    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & once & alike("x", "y"))
-    more = stored(rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+    here = F.col("x.token") == F.array_min(F.array_intersect("x.prefix", "y.prefix"))  # of the lists that two share, one pairs them
+    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & once & alike("x", "y") & here)
+    more = stored(rest.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
     if more.isEmpty():
         return labels
     return components(first.union(confirmed(more, docs)))
@@ -185,13 +204,13 @@ def class_links(sets: DataFrame, docs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row."""
     held = stored(features(docs))
-    classes = held.where("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("id"), F.min_by("tokens", "doc_id").alias("tokens"), F.first("n_shingles").alias("n"))
+    classes = held.where("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("tokens", "sketch"), "doc_id").alias("s"), F.first("n_shingles").alias("n")).select("set_id", "id", "n", "s.tokens", "s.sketch")
     sets = stored(classes)
     # An id with several texts is in several classes: they are one.
     ids = held.where("n_shingles > 0 and doc_id is not null").select("doc_id", "set_id").distinct()
     rows = stored(ids.join(sets.select("set_id", "id"), "set_id"))
     several = rows.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a != b").select("a", "b")
-    labels = class_links(sets.select("id", "n", "tokens"), docs)
+    labels = class_links(sets.select("id", "n", "tokens", "sketch"), docs)
     if not several.isEmpty():
         labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(several))
     found = rows.join(labels, "id", "left").select("doc_id", F.coalesce("component", "id").alias("component_id")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
