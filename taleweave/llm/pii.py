@@ -9,8 +9,9 @@ term gives away. A term seen with an entity in SUPPORT different texts and whose
 general word where that entity stands in the document; from REMOVE on it is taken out.
 
 Scale: patterns are a map. Only documents with an entity give terms; terms and pairs are counted with partial sums before
-each shuffle. Terms' document frequencies come from all words of all documents, joined with the candidate terms (sent to
-executors if counted and small, else joined by a shuffle) and summed in each task first: a frequent word is one row a task.
+each shuffle. Terms that are too frequent among those documents alone are out. The others' document frequencies come from all
+words of all documents, joined with these terms (sent to executors if counted and small, else joined by a shuffle) and
+summed in each task first: a frequent word is one row a task.
 
 Defined cases: null text is the empty text, and stays null when sanitised. Rows that repeat count each as a document;
 texts that are equal support a pair once. Spans of different kinds may overlap; in sanitised text what they cover is
@@ -95,15 +96,21 @@ def disclosing_terms(docs: DataFrame, held: DataFrame) -> DataFrame:
     """(term, entity, share) of the terms that reveal an entity. held: doc_id, key, text, spans of the documents with entities."""
     near = stored(_mentions(held).distinct())
     seen = near.groupBy("entity", "term", "key").agg(F.count("*").alias("rows")).groupBy("entity", "term").agg(F.sum("rows").alias("together"), F.count("*").alias("texts"))
-    pairs = stored(seen.where(F.col("texts") >= SUPPORT))
-    terms = pairs.select("term").distinct()
-    total = docs.count()
     entities = held.select("doc_id", "key", F.explode(F.array_distinct(F.transform("spans", lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"]))))).alias("entity")).groupBy("entity").agg(F.count("*").alias("df_entity"))
-    every = docs.select(F.explode(F.array_distinct(words_of(F.col("text")))).alias("term")).join(broadcast_if_small(terms, 40), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_term"))
-    known = pairs.join(entities, "entity").join(every, "term")
-    n = F.lit(float(max(total, 2)))
-    share = F.log(F.col("together") * n / (F.col("df_term") * F.col("df_entity"))) / F.log(F.greatest(n / F.col("df_entity"), F.lit(1.0001)))
-    return known.select("term", "entity", F.least(share, F.lit(1.0)).alias("share")).where(F.col("share") >= GENERALISE)
+    pairs = stored(seen.where(F.col("texts") >= SUPPORT).join(entities, "entity"))
+    n = F.lit(float(max(docs.count(), 2)))
+
+    def share(df_term):
+        return F.log(F.col("together") * n / (F.col(df_term) * F.col("df_entity"))) / F.log(F.greatest(n / F.col("df_entity"), F.lit(1.0001)))
+
+    def frequencies(rows, terms, name):
+        words = rows.select(F.explode(F.array_distinct(words_of(F.col("text")))).alias("term"))
+        return words.join(broadcast_if_small(terms, 40), "term", "left_semi").groupBy("term").agg(F.count("*").alias(name))
+
+    # A term is in at least the documents with entities that hold it; those too frequent there already can't reach the threshold.
+    likely = stored(pairs.join(frequencies(held, stored(pairs.select("term").distinct()), "df_held"), "term").where(share("df_held") >= GENERALISE))
+    known = likely.join(frequencies(docs, stored(likely.select("term").distinct()), "df_term"), "term")
+    return known.select("term", "entity", F.least(share("df_term"), F.lit(1.0)).alias("share")).where(F.col("share") >= GENERALISE)
 
 
 def term_spans(held: DataFrame, terms: DataFrame) -> DataFrame:
@@ -129,7 +136,7 @@ def spans_of(docs: DataFrame) -> DataFrame:
     held = found.where("size(spans) > 0")
     revealing = stored(disclosing_terms(docs, held))
     terms = stored(term_spans(held.dropDuplicates(["doc_id", "key"]), revealing))
-    joined = found.drop("text").join(broadcast_if_small(terms.withColumnsRenamed({"doc_id": "_id", "key": "_key"}), 200), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
+    joined = found.drop("text").join(broadcast_if_small(terms.withColumnsRenamed({"doc_id": "__pii_id", "key": "__pii_key"}), 200), F.col("doc_id").eqNullSafe(F.col("__pii_id")) & (F.col("key") == F.col("__pii_key")), "left")
     return joined.select("doc_id", "key", "spans", F.coalesce("terms", F.array().cast(_SPANS)).alias("terms"))
 
 
@@ -160,11 +167,11 @@ def replaced(text: Column, spans: Column) -> Column:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """The documents with personal data and revealing terms replaced; all rows and columns stay."""
-    found = spans_of(docs).select("doc_id", "key", F.concat("spans", "terms").alias("_spans")).where("size(_spans) > 0").dropDuplicates(["doc_id", "key"])
-    found = stored(found).withColumnsRenamed({"doc_id": "_id", "key": "_key"})
+    found = spans_of(docs).select("doc_id", "key", F.concat("spans", "terms").alias("__pii_spans")).where("size(__pii_spans) > 0").dropDuplicates(["doc_id", "key"])
+    found = stored(found).withColumnsRenamed({"doc_id": "__pii_id", "key": "__pii_key"})
     key = text_key(F.coalesce("text", F.lit("")))
-    held = docs.withColumn("_mine", key).join(broadcast_if_small(found, 200), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mine") == F.col("_key")), "left")
-    text = F.when(F.col("_spans").isNotNull(), replaced(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
+    held = docs.withColumn("__pii_mine", key).join(broadcast_if_small(found, 200), F.col("doc_id").eqNullSafe(F.col("__pii_id")) & (F.col("__pii_mine") == F.col("__pii_key")), "left")
+    text = F.when(F.col("__pii_spans").isNotNull(), replaced(F.col("text"), F.col("__pii_spans"))).otherwise(F.col("text"))
     out = held.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
