@@ -112,27 +112,28 @@ def chapter_text(made: DataFrame, key: str) -> DataFrame:
 def wrap_words(printed: DataFrame, spoken: DataFrame, keys: list[str], gate: float = 0.6) -> DataFrame:
     """keys, html, matched, spoken: words of a block's text between tags wrapped in numbered spans where they are spoken.
 
-    printed: keys, html of blocks; spoken: keys, word_no, word. A pointer goes over the spoken words and moves on a match only;
+    printed: keys, html of blocks; spoken: keys, word_no, word. The first key is the page, whose blocks a task takes together. A pointer goes over the spoken words and moves on a match only;
     a block of which less than `gate` of the spoken words is matched stays as it is.
     """
     import re
 
     same = lambda w: re.sub(r"[^0-9a-z']", "", w.replace("’", "'").lower())
 
-    def run(blocks_, words):
-        said = [same(w) for w in words.sort_values("word_no")["word"]] if len(words) else []
+    def run(blocks_, words):  # of one page: its blocks and what is spoken in them
+        said = {k: [same(w) for w in g["word"]] for k, g in words.sort_values("word_no").groupby(keys)} if len(words) else {}
         out = []
         for row in blocks_.itertuples(index=False):
-            at, parts = 0, []
+            key = tuple(getattr(row, k) for k in keys)
+            heard, at, parts = said.get(key if len(keys) > 1 else (key[0],), []), 0, []
             for piece in re.split(r"(<[^>]*>|\s+)", row.html):
-                if piece and not piece.startswith("<") and not piece.isspace() and at < len(said) and same(piece) and same(piece) == said[at]:
+                if piece and not piece.startswith("<") and not piece.isspace() and at < len(heard) and same(piece) and same(piece) == heard[at]:
                     piece, at = f'<span data-w="{at}">{piece}</span>', at + 1
                 parts.append(piece)
-            kept = said and at >= gate * len(said)
-            out.append((*[getattr(row, k) for k in keys], "".join(parts) if kept else row.html, at, len(said)))
+            kept = heard and at >= gate * len(heard)
+            out.append((*key, "".join(parts) if kept else row.html, at, len(heard)))
         return pd.DataFrame(out, columns=[*keys, "html", "matched", "spoken"])
 
     types = ", ".join(f"{k} {printed.schema[k].dataType.simpleString()}" for k in keys)
     left = printed.select(*[F.col(c).alias(c) for c in (*keys, "html")])
     right = spoken.select(*[F.col(c).alias(c) for c in (*keys, "word_no", "word")])
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, f"{types}, html string, matched long, spoken long")
+    return left.groupBy(keys[0]).cogroup(right.groupBy(keys[0])).applyInPandas(run, f"{types}, html string, matched long, spoken long")

@@ -109,4 +109,4 @@ def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     query.awaitTermination()
     if query.exception():
         raise query.exception()
-    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+    return spark.read.schema(stream.schema).parquet(f"{out}/rows").select(stream.columns)
