@@ -168,7 +168,7 @@ def components(links: DataFrame) -> DataFrame:
         edges = stored(hung.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct())  # small star
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
-            return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component")
+            return edges.union(edges.select("v", "v")).groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component")
         state = now
 
 

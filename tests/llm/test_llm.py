@@ -1,0 +1,401 @@
+"""The ten operators on hand-written rows: odd rows, brute force, exact round trips, held-out accuracy."""
+
+import hashlib
+import html as entities
+import itertools
+import json
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from taleweave.llm import audio, bpe, chat, digest, langid, license_scan, neardup, packing, pii, wrapper
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, n int, key string, component string, tokens string, _range int, sound string"
+
+
+def words(seed, n):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null and empty texts, one very long, ties, repeated rows, null ids, columns with clashing names."""
+    base = words(1, 120)
+    texts = [None, "", "   ", "one", base, base, base.replace("a", "A", 3), words(2, 30_000), "x" * 50_000, "日本語 é́ <|endoftext|> Ᲊ", "a\x01b\x02 zoe@mail.example.org", base + " tail word"]
+    rows = [(i, t, "en" if i % 2 else None, "s", 1, 5, 6, "k", "c", "t", 7, "z") for i, t in enumerate(texts)]
+    rows += [rows[4], (None, base, "en", None, None, 5, 6, "k", "c", "t", 7, "z"), (None, None, None, None, None, None, None, None, None, None, None, None)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def by_id(df, key="doc_id"):
+    return {r[key]: r for r in df.collect() if r[key] is not None}
+
+
+OPERATORS = {
+    "audio": lambda d: audio.aligned(d, "doc_id", "text", "text"), "digest": digest.fingerprint_edits, "langid": lambda d: langid.predict_language(d, langid.train(d)), "bpe": lambda d: bpe.encoding_digests(d, bpe.vocabulary_path()),
+    "pii": pii.find_pii, "sanitise": pii.sanitise, "packing": packing.pack, "neardup": neardup.near_duplicates, "keep_first": neardup.keep_first, "keep_known": langid.keep_known, "license": license_scan.scan_licenses,
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_empty_table(odd, name):
+    assert OPERATORS[name](odd.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", [n for n in OPERATORS if n not in ("packing", "keep_first", "keep_known")])
+def test_odd_rows_are_all_there(odd, name):
+    assert OPERATORS[name](odd).count() == odd.count()
+
+
+# 1
+def test_recordings_align(spark):
+    rng = np.random.default_rng(2)
+    sound = (rng.standard_normal(6000) * 8000).astype("<i2")
+    other = (rng.standard_normal(6000) * 8000).astype("<i2")
+    rows = [(1, sound.tobytes()), (2, sound[audio.HOP * 40 :].tobytes()), (3, sound.tobytes()), (4, other.tobytes()), (5, b""), (6, None), (7, np.concatenate((sound[: 3000], sound[:3000] * 0)).astype("<i2").tobytes())]
+    got = by_id(audio.aligned(spark.createDataFrame(rows, "rec long, pcm binary"), "rec", "pcm"), "rec")
+    assert got[2]["match_id"] == 1 and got[2]["offset"] == 40 and got[2]["bit_error"] < 0.01 and got[2]["class_id"] == 1
+    assert got[3]["fingerprint"] == got[1]["fingerprint"] and got[3]["class_id"] == 1 and got[3]["match_id"] == 1
+    assert got[4]["match_id"] is None and got[4]["class_id"] == 4 and got[5]["n_items"] == 0 and got[6]["class_id"] == 6
+
+
+def test_alignment_against_brute_force(spark):
+    texts = {}
+    for g in range(6):
+        base = words(100 + g, 160).split()
+        for c in range(4):
+            rng = random.Random(g * 10 + c)
+            cut = base[c * 5 :]
+            for _ in range(2):
+                cut[rng.randrange(len(cut))] = "new%d" % rng.randrange(99)
+            texts[g * 4 + c] = " ".join(cut)
+    items = {i: audio.fingerprint(audio.rendered([t.encode()])[0]) for i, t in texts.items()}
+    true = set()
+    for a, b in itertools.combinations(sorted(items), 2):
+        best = min((audio.bit_errors(items[a], items[b], o) for o in range(-len(items[b]), len(items[a])) if audio.bit_errors(items[a], items[b], o)[1] >= audio.OVERLAP * min(len(items[a]), len(items[b]))), default=(1, 0))
+        if best[0] <= audio.BIT_ERRORS:
+            true.add((a, b))
+    got = by_id(audio.aligned(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "doc_id", "text", "text"))
+    same = {(a, b) for a, b in itertools.combinations(sorted(items), 2) if got[a]["class_id"] == got[b]["class_id"]}
+    assert len(true) > 20 and len(true & same) >= 0.9 * len(true)
+
+
+# 2
+def test_digest_edits_and_groups(spark, odd):
+    docs = [(i, words(i % 40, 5 + i % 17)) for i in range(300)] + [(1000, None), (1001, "Ａ  b\tC"), (1002, "a B c"), (-5, "first of all")]
+    got = by_id(digest.fingerprint_edits(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)))
+    ordered = sorted((i, t or "") for i, t in docs)
+    for (i, t), (_, following) in zip(ordered, ordered[1:] + ordered[:1]):
+        quarter = len(t) // 4
+        edited = t[: len(t) - quarter] + following[:quarter]
+        assert got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and got[i]["n_chars"] == len(t)
+        assert got[i]["fingerprint"] == digest.fingerprint(t) and got[i]["near_edited"] == float(digest.canonical(t) == digest.canonical(edited))
+        same = [j for j, u in ordered if digest.canonical(u) == digest.canonical(t)]
+        assert got[i]["group_id"] == min(same) and got[i]["group_size"] == len(same)
+    assert got[1001]["fingerprint"] == got[1002]["fingerprint"]
+
+
+def test_digest_collisions_are_told_apart(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "aa"), (2, "aa"), (3, "bb"), (4, "bb"), (5, "cc")], "doc_id long, text string")
+    import xxhash
+
+    one = xxhash.xxh3_128_hexdigest(b"aa")
+    prints = spark.createDataFrame([(1, one), (2, one), (5, "z")], "doc_id long, fingerprint string")
+    got = by_id(digest.exact_groups(prints, docs))
+    assert got[1]["group_id"] == 1 and got[2]["group_size"] == 2 and 5 not in got
+
+
+# 3
+def test_languages_are_held_out(spark, sf_dir):
+    docs = spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/documents.parquet")
+    held = docs.where(langid.held_out("doc_id")).select("doc_id", "lang").join(langid.predict_language(docs, langid.train(docs)), "doc_id")
+    rows = held.collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in rows) > 0.97 * len(rows) and all(0 <= r["score"] <= 1 for r in rows)
+    hidden = docs.withColumn("lang", F.when(~langid.held_out("doc_id"), F.col("lang"))).withColumn("source", F.lit("z"))
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.predict_language(hidden, langid.train(hidden)).collect() if r["doc_id"] in {x["doc_id"] for x in rows}} == {r["doc_id"]: r["lang_pred"] for r in rows}
+
+
+def test_no_letters_no_language(odd):
+    got = by_id(langid.predict_language(odd, {"en": b"the and of to in", "de": b"der die und das"}))
+    assert [got[i]["lang_pred"] for i in (0, 1, 2)] == ["und"] * 3 and got[8]["lang_pred"] in ("en", "de")
+    assert langid.Classifier({}).predict(b"text") == ("und", 0.0, 0.0, True)
+    assert langid.Classifier({"en": b"x"}).predict(b"text")[:2] == ("en", 1.0)
+    assert langid.Classifier({"en": b"a", "de": b"b"}).predict("12 — 3".encode())[0] == "und"
+
+
+# 4
+PAGE = "<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body><header><a>Site</a></header><nav><ul><li>Home</ul></nav><div class='cookie-notice'>Accept</div><article><h1>T{i} &amp; x</h1><p>Common promise of ours</p><p>Body {i}  <b>bold<br>{i}<p>More&nbsp;{i}</p><form><input></form><div class='comments'><p>nice</div></article><aside>{i}</aside><footer>&copy; {i}</footer></body>"
+
+
+def test_main_text_and_template(spark):
+    rows = [(i, "https://a.example.org/p?x=1", PAGE.replace("{i}", str(i))) for i in range(8)] + [(20, "http://b.example.org/", PAGE.replace("{i}", "20")), (21, None, None), (22, "x", ""), (23, "x", "<p>plain <script>if (a<b) {}</script>text<!-- open")]
+    got = by_id(wrapper.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1))), "page_id")
+    for i in range(8):
+        assert got[i]["text"] == f"T{i} & x\nBody {i} bold {i}\nMore {i}"
+    assert got[20]["text"].split("\n") == ["T20 & x", "Common promise of ours", "Body 20 bold 20", "More 20"]  # alone on its host
+    assert (got[21]["text"], got[22]["text"], got[23]["text"]) == ("", "", "plain text") and got[20]["n_chars"] == len(got[20]["text"])
+
+
+def test_extraction_against_reference(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    got = by_id(wrapper.extract_text(pages), "page_id")
+    for r in pages.collect():
+        body = r["html"][r["html"].index("<article>") : r["html"].index("</article>")]
+        blocks = [" ".join(entities.unescape(re.sub(r"</?b>", "", b).replace("<br>", " ")).split()) for b in re.split(r"</?(?:p|h1|article)>", body)]
+        assert got[r["page_id"]]["text"] == "\n".join(b for b in blocks if b)
+
+
+def test_simple_matching():
+    a, b = wrapper.tree_of("(#(body(div)(p)(ul(li))))"), wrapper.tree_of("(#(body(p)(table)(ul(li))))")
+    assert wrapper.simple_match(a, b)[0] == 5 and wrapper.simple_match(a, wrapper.tree_of("(x)"))[0] == 0
+
+
+# 5
+def test_layouts_become_turns(spark):
+    records = [
+        {"conv_id": 1, "messages": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": None}]}, {"conv_id": 2, "conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]},
+        {"conv_id": 3, "instruction": "do", "input": "this", "output": "done"}, {"conv_id": 4, "prompt": "p", "response": ""}, {"conv_id": 5, "turn": 3, "role": "human", "text": "t"}, {"conv_id": 6, "messages": []}, {"odd": 1},
+    ]
+    rows = [(json.dumps(r),) for r in records] + [("{ broken",), (None,)]
+    got = chat.canonical_turns(spark.createDataFrame(rows, "record string")).collect()
+    turns = lambda c: [(r["role"], r["text"]) for r in got if r["conv_id"] == c]
+    assert turns(1) == [("user", "hi"), ("assistant", "")] and turns(2) == [("user", "q"), ("assistant", "a")] and turns(3) == [("user", "do\nthis"), ("assistant", "done")]
+    assert turns(4) == [("user", "p"), ("assistant", "")] and turns(5) == [("human", "t")] and turns(6) == []
+    assert sum(r["layout"] is None for r in got) == 3
+
+
+def test_template_is_reversible():
+    rng = random.Random(4)
+    parts = ["</turn>", "\n", "###", "#", "\\", "l", "h", "<", "/turn>", ": ", "user", "### Assistant: ", "é"]
+    for _ in range(3000):
+        turns = [("".join(rng.choices(parts, k=rng.randint(0, 3))), "".join(rng.choices(parts, k=rng.randint(0, 8)))) for _ in range(rng.randint(1, 4))]
+        made = [chat.format_turn(*t) for t in turns]
+        assert list(chat.read_turns("".join(m[0] for m in made))) == turns
+        assert all(chat.unescape(m[0][m[1] : m[2]]) == t[1] for m, t in zip(made, turns))
+
+
+def test_read_back(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", None), (1, 2, "assistant", "ü</turn>\n"), (2, 0, "assistant", "x"), (2, 0, "assistant", "x"), (None, 0, None, "n"), (1, None, "system", "s")]
+    held = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat.read_back(chat.format_turns(chat.canonical_turns(chat.row_records(held)))).collect()}
+    assert got[1]["n_turns"] == 4 and got[1]["loss_chars"] == 9 and got[1]["loss_sha256"] == hashlib.sha256("ü</turn>\n".encode()).hexdigest()
+    assert got[1]["turns_sha256"] == hashlib.sha256("system\ns\nuser\na\nassistant\n\nassistant\nü</turn>\n\n".encode()).hexdigest()
+    assert got[2]["n_turns"] == 2 and got[None]["n_turns"] == 1
+
+
+# 6
+def test_encoding_equals_the_library(spark, odd):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.vocabulary_path())
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("a b'sretvlmd\n\t.,!?12é日 　S") for _ in range(rng.randint(0, 40))) for _ in range(4000)] + [r["text"] or "" for r in odd.collect()]
+    lexicon = bpe.Automaton.compile({w.encode(): bpe._merger(bpe.vocabulary_path()).encode_ordinary(w) for w in (" a", "a", "'s", " sa", "sa", "é", " é")})
+    for encoder in (bpe.Encoder(bpe.vocabulary_path()), bpe.Encoder(bpe.vocabulary_path(), lexicon)):
+        got = encoder.encode([t.encode() for t in texts])
+        wanted = library.encode_batch(texts, add_special_tokens=False)
+        assert all(list(g) == w.ids for g, w in zip(got, wanted))
+        assert all(encoder.decode(w.ids) == library.decode(w.ids, skip_special_tokens=False) for w in wanted)
+
+
+def test_automaton_numbers_words():
+    ordered = sorted({words(i, 1).encode() for i in range(500)} | {b"a", b"ab", b"abc"})
+    automaton = bpe.Automaton(bpe.Automaton.compile({w: [i, i + 1] for i, w in enumerate(ordered)}))
+    every = [*ordered, b"abcd", b"zz", b"b\xff"]
+    ends = np.cumsum([len(w) for w in every])
+    data = np.frombuffer(b"".join(every), dtype=np.uint8)
+    got = automaton.numbers(data, ends - [len(w) for w in every], ends)
+    assert got.tolist() == [*range(len(ordered)), *[-1 if w not in ordered else ordered.index(w) for w in every[len(ordered) :]]]
+
+
+def test_corpus_lexicon(spark, odd):
+    vocabulary = bpe.vocabulary_path()
+    name = bpe.ship(spark, bpe.build_lexicon(odd, vocabulary, 200))
+    with_lexicon, without = (sorted(map(str, bpe.encoding_digests(odd, vocabulary, n).collect())) for n in (name, None))
+    assert with_lexicon == without and bpe.encode_documents(odd, vocabulary, name).count() == odd.count()
+    counts = {bytes(r["word"]): r["n"] for r in bpe.word_counts(spark.createDataFrame([("a a b",), ("a",), (None,)], "text string")).collect()}
+    assert counts == {b"a": 2, b" a": 1, b" b": 1}
+
+
+# 7
+def reference_spans(text):
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def luhn(s):
+        return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(map(int, reversed(s)))) % 10 == 0
+
+    def valid(kind, v):
+        digits = re.sub("[^0-9]", "", v)
+        return {"email": True, "ip": all(int(x) <= 255 for x in v.split(".")) if kind == "ip" else 0, "card": 16 <= len(digits) <= 19 and luhn(digits), "phone": 8 <= len(digits) <= 15}[kind]
+
+    return [(k, m.start(), m.end()) for k, p in patterns.items() for m in re.finditer(p, text) if valid(k, m[0])]
+
+
+def test_base_spans_against_brute_force(spark):
+    rng = random.Random(6)
+    parts = ["a", ".", "@", "b.c", "1", "255", "256", "00012", "-", " ", "+4", "(0)", "4111111111111111", "4111 1111 1111 1111", "_", "x@y.z", "1.2.3.4", "é", "😀", "\x01"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(3000)] + [None, "", "a" * 60_000, "1 " * 30_000, "a@b.c " * 2000, "1.2.3.4.5.6.7.8"]
+    got = by_id(pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    for i, t in enumerate(texts):
+        spans = ",".join(f"{k}:{a}:{b}" for k, a, b in reference_spans(t or ""))
+        assert got[i]["base_sha256"] == hashlib.sha256(spans.encode()).hexdigest(), t
+        assert got[i]["spans"].startswith(spans)
+
+
+def test_revealing_terms_and_sanitising(spark):
+    rows = [(i, f"Note {i}: ask Zebulon at zeb@corp.example.org about the plan the {i}", "k") for i in range(4)] + [(10 + i, f"the plain note: ask about plan number {i} of many", "k") for i in range(60)] + [(100, None, "k"), (101, "", "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    found = by_id(pii.find_pii(docs))
+    assert found[0]["spans"] == "email:23:43,removed:12:19" and found[10]["spans"] == "" and found[100]["n_email"] == 0
+    clean = by_id(pii.sanitise(docs))
+    assert clean[0]["text"] == "Note 0: ask  at [email] about the plan the 0" and clean[10]["text"] == rows[4][1] and clean[100]["text"] is None and clean[0]["key"] == "k"
+    counts = {(t, e): (c, n, m) for t, e, c, n, m in [("zebulon", "email:zeb@corp.example.org", 4, 4, 4)]}
+    (c, dt, de), n = counts["zebulon", "email:zeb@corp.example.org"], len(rows)
+    assert np.log(c * n / (dt * de)) / np.log(n / de) >= pii.REMOVE
+
+
+def test_pii_runs_no_python(spark, odd):
+    for made in (pii.find_pii(odd), pii.sanitise(odd)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+# 8
+def test_fill_is_the_closest_sum():
+    rng = random.Random(9)
+    for _ in range(300):
+        counts = {rng.randint(1, 60): rng.randint(1, 3) for _ in range(rng.randint(1, 6))}
+        room = rng.randint(0, 150)
+        every = [sum(k * n for k, n in zip(ks, counts)) for ks in itertools.product(*(range(c + 1) for c in counts.values()))]
+        taken = packing.fill(counts, room)
+        assert all(taken[n] <= counts[n] for n in taken) and sum(n * k for n, k in taken.items()) == max(s for s in every if s <= room)
+
+
+def test_packing_keeps_every_id(spark, odd, sf_dir):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.vocabulary_path())
+    docs = odd.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text").unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet").select((F.col("doc_id") + 1000).alias("doc_id"), "text"))
+    rows = packing.pack(docs.repartition(3), with_ids=True).collect()
+    ids = {r["doc_id"]: [*library.encode(r["text"] or "", add_special_tokens=False).ids, 1] for r in docs.collect()}
+    pieces, sequences = {}, {}
+    for r in rows:
+        pieces.setdefault(r["doc_id"], []).append(r)
+        sequences.setdefault(r["sequence_id"], []).append(r)
+        part = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert r["ids"] == part and r["ids_crc32"] == zlib.crc32(np.array(part, dtype="<u4").tobytes()) and r["doc_tokens"] == len(ids[r["doc_id"]])
+    for i, held in pieces.items():
+        assert [x for r in sorted(held, key=lambda r: r["start"]) for x in r["ids"]] == ids[i]
+    for held in sequences.values():
+        held.sort(key=lambda r: r["offset"])
+        assert [r["offset"] for r in held] == [sum(x["length"] for x in held[:k]) for k in range(len(held))]
+    sizes = [sum(r["length"] for r in s) for s in sequences.values()]
+    assert set(pieces) == set(ids) and max(sizes) <= 2048 and all(s & (s - 1) == 0 for s in sizes)
+
+
+def test_a_window_that_fills_nothing_is_cut():
+    packer = packing.Packer(capacity=64, window=4)
+    made = [s for i in range(40) for s in packer.add(i, np.arange(37 + i % 2, dtype=np.uint32))] + list(packer.finish())
+    assert sum(len(p[2]) for s in made for p in s) == sum(37 + i % 2 for i in range(40)) and packer.held == 0
+
+
+# 9
+def brute_components(texts):
+    def shingles(t):
+        w = [x for x in re.split(r"[ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+    sets = {i: shingles(t) for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(texts, 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in texts}
+
+
+def test_near_duplicates_against_brute_force(spark):
+    rng = random.Random(12)
+    texts = {0: None, 1: "", 2: "a b c", 3: "A  b\tC", 4: "a b c d", 5: "\x0b"}
+    for g in range(25):
+        base = words(500 + g, rng.choice([6, 30, 120, 400])).split()
+        for _ in range(rng.randint(1, 12)):  # copies of which some are near, some just not
+            copy = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 40))):
+                copy[rng.randrange(len(copy))] = "w%d" % rng.randrange(999)
+            texts[len(texts)] = " ".join(copy)
+    shared = words(999, 60)
+    for i in range(30):  # a passage that many share links nobody
+        texts[len(texts)] = shared + " " + words(2000 + i, 60)
+    got = by_id(neardup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumns({"n": F.lit(1), "id": F.lit("x"), "token": F.lit(2)})))
+    for i, (n, component) in brute_components(texts).items():
+        assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (n, component, component == i)
+
+
+def test_one_of_each_group_stays(odd):
+    kept = neardup.keep_first(odd)
+    assert kept.columns == odd.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert ids.count(4) == 1 and 5 not in ids and 6 not in ids and {0, 1, 2, 3, 7, 8} <= set(ids)
+
+
+def test_components_of_chains(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(60) if i % 20 != 19] + [(100, 100), (70, 75), (75, 70)], "a long, b long")
+    got = {r["id"]: r["component"] for r in neardup.components(links).collect()}
+    assert all(got[i] == i // 20 * 20 for i in range(60)) and got[75] == 70 and 100 not in got
+
+
+# 10
+def test_licenses_against_brute_force(spark):
+    rng = random.Random(3)
+    parts = ["under", "the", "MIT", "License", "apache", "version", "2", "cc", "by", "nc", "é", "x"]
+    texts = [rng.choice([" ", ", ", "\n"]).join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(1500)] + ["Under the MIT License under the mit license", "cc-by-nc cc by nc", None, "", "underthe mit license"]
+    got = by_id(license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    for i, t in enumerate(texts):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        at, labels = [], set()
+        for phrase, label in license_scan.BASE_PHRASES:
+            p = phrase.split()
+            hits = [k for k in range(len(w)) if w[k : k + len(p)] == p]
+            at += hits
+            labels |= {label} if hits else set()
+        r = got[i]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(w), len(at), min(at, default=None), max(at, default=None)), t
+        assert r["base_labels"] == ",".join(sorted(labels)) and labels <= set(r["labels"].split(",")) | {""} and (r["score"] == 1.0 or not labels)
+
+
+def test_fuzzy_notices():
+    got = license_scan.scan_text("Relesed undr the MIT licence. And GNU General Public License, version 3".encode())
+    assert got["labels"] == "gpl-3,mit" and got["n_base"] == 0 and 0.85 < got["score"] <= 1
+    assert license_scan.scan_text(b"a licence to drive under the sun")["labels"] == ""
+
+
+# pipeline
+def test_pipeline(spark, odd, tmp_path):
+    import corpus_pipeline
+
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    english = [(50 + i, "the and of to in that is for with as on " + words(i, 40), "en", "s", 1) for i in range(12)] + [(80 + i, "der die und das ist nicht ein auf mit sich " + words(300 + i, 40), "de", "s", 1) for i in range(12)]
+    docs = docs.unionByName(spark.createDataFrame(english + [(99, "mail zed@mail.example.org now the and of to in that", "en", "s", 1)], docs.schema))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    held = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert len(names) == 4
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before, held = held, stage(spark, held, str(tmp_path))
+        assert held.columns == before.columns and held.count() <= before.count()
+    assert held.where("text like '%zed@%'").count() == 0
+    rows = corpus_pipeline.run(spark, str(tmp_path))
+    assert {r["doc_id"] for r in rows.select("doc_id").collect()} == {r["doc_id"] for r in held.collect()}
