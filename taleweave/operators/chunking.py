@@ -24,32 +24,48 @@ def paragraphs(docs: DataFrame, text: str = "text", break_at: str = "\n\n") -> D
     return docs.select("*", F.posexplode(F.split(text, break_at)).alias("para_no", "paragraph")).drop(text).withColumn("paragraph", inner)
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with value evaluated once: lambda bodies are interpreted, and an expression in them is evaluated each time."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def false_break(head: Column, following: Column) -> Column:
     """Whether a period at the end of head ends no sentence: lower case follows, head is a list marker, an initial or an abbreviation."""
-    word = F.regexp_replace(F.regexp_extract(head, r"([A-Za-z](?:[A-Za-z.]*[A-Za-z])?)\.$", 1), r"\.", "")
-    known = F.array(*map(F.lit, ABBREVIATIONS))
-    return F.endswith(head, F.lit(".")) & (following.rlike(r"^\p{javaLowerCase}") | trimmed(head).rlike(LIST_MARKER) | (F.length(word) == 1) | F.array_contains(known, F.lower(word)))
+    word = F.lower(F.regexp_replace(F.regexp_extract(F.right(head, F.lit(80)), r"([A-Za-z](?:[A-Za-z.]*[A-Za-z])?)\.$", 1), r"\.", ""))
+    short = bound(word, lambda w: (F.length(w) == 1) | w.isin(*ABBREVIATIONS))
+    marker = (F.length(head) < 40) & trimmed(head).rlike(LIST_MARKER)
+    return F.when(F.endswith(head, F.lit(".")), following.rlike(r"^\p{javaLowerCase}") | marker | short).otherwise(False)
+
+
+def sentence_pieces(paragraph: Column) -> Column:
+    """text, break, text, break, ..., text: a paragraph split at all places where a sentence may end."""
+    marked = F.regexp_replace(F.translate(paragraph, _CUT, ""), r"""(?U)(?<=[.!?])(["'”’)]*\s+)""", f"{_CUT}$1{_CUT}")
+    return F.split(marked, _CUT)
 
 
 def sentences(paragraph: Column) -> Column:
     """Sentences after . ! ? and white space; closing quotes at a break are lost with it, at a false break they stay."""
-    marked = F.regexp_replace(F.translate(paragraph, _CUT, ""), r"""(?U)(?<=[.!?])(["'”’)]*\s+)""", f"{_CUT}$1{_CUT}")
-    pieces = F.split(marked, _CUT)  # text, break, text, break, ..., text
 
-    def step(acc, k):
-        head = F.concat(acc["open"], F.get(pieces, 2 * k))
-        going = false_break(head, F.get(pieces, 2 * k + 2))
-        whole = trimmed(head)
-        done = F.when(whole != "", F.concat(acc["done"], F.array(whole))).otherwise(acc["done"])
-        return F.struct(F.when(going, F.concat(head, F.get(pieces, 2 * k + 1))).otherwise("").alias("open"), F.when(going, acc["done"]).otherwise(done).alias("done"))
+    def fold(pieces):
+        def step(acc, k):
+            def judged(head):
+                def placed(going):
+                    whole = trimmed(head)
+                    done = F.when(whole != "", F.concat(acc["done"], F.array(whole))).otherwise(acc["done"])
+                    return F.struct(F.when(going, F.concat(head, F.get(pieces, 2 * k + 1))).otherwise("").alias("open"), F.when(going, acc["done"]).otherwise(done).alias("done"))
 
-    def finish(acc):
-        last = trimmed(F.concat(acc["open"], F.element_at(pieces, -1)))
-        return F.when(last != "", F.concat(acc["done"], F.array(last))).otherwise(acc["done"])
+                return bound(false_break(head, F.get(pieces, 2 * k + 2)), placed)
 
-    start = F.struct(F.lit("").alias("open"), F.array().cast(_TEXTS).alias("done"))
-    breaks = F.when(F.size(pieces) > 1, F.sequence(F.lit(0), ((F.size(pieces) - 3) / 2).cast("int"))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(breaks, start, step, finish)
+            return bound(F.concat(acc["open"], F.get(pieces, 2 * k)), judged)
+
+        def finish(acc):
+            return bound(trimmed(F.concat(acc["open"], F.element_at(pieces, -1))), lambda last: F.when(last != "", F.concat(acc["done"], F.array(last))).otherwise(acc["done"]))
+
+        start = F.struct(F.lit("").alias("open"), F.array().cast(_TEXTS).alias("done"))
+        breaks = F.when(F.size(pieces) > 1, F.sequence(F.lit(0), ((F.size(pieces) - 3) / 2).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(breaks, start, step, finish)
+
+    return bound(sentence_pieces(paragraph), fold)
 
 
 def fit(sentence: Column, most: int = MAX_CHARS) -> Column:
@@ -57,14 +73,14 @@ def fit(sentence: Column, most: int = MAX_CHARS) -> Column:
 
     def step(acc, _):
         rest = acc["rest"]
-        head = F.reverse(F.substring(rest, 1, most))
-        last = lambda c: F.when(F.instr(head, c) > 0, most - F.instr(head, c)).otherwise(-1)  # noqa: E731  counted from 0
-        comma, space = last(","), last(" ")
-        cut = F.when(comma >= most // 2, comma).when(space > 0, space).otherwise(most)
-        piece = trimmed(F.substring(rest, F.lit(1), cut + 1))
-        after = trimmed(F.substring(rest, cut + 2, F.length(rest)))
-        long = F.length(rest) > most
-        return F.struct(F.when(long, after).otherwise(rest).alias("rest"), F.when(long, F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).alias("out"))
+        last = lambda head, c: F.when(F.instr(head, c) > 0, most - F.instr(head, c)).otherwise(-1)  # noqa: E731  counted from 0
+
+        def cut_at(cut):
+            piece, after = trimmed(F.substring(rest, F.lit(1), cut + 1)), trimmed(F.substring(rest, cut + 2, F.length(rest)))
+            return F.struct(after.alias("rest"), F.concat(acc["out"], F.array(piece)).alias("out"))
+
+        place = bound(F.reverse(F.substring(rest, 1, most)), lambda head: F.when(last(head, ",") >= most // 2, last(head, ",")).when(last(head, " ") > 0, last(head, " ")).otherwise(most))
+        return F.when(F.length(rest) > most, bound(place, cut_at)).otherwise(acc)
 
     # Each cut uses up a comma, a space or `most` characters.
     cuts = F.length(sentence) - F.length(F.translate(sentence, ", ", "")) + F.ceil(F.length(sentence) / most).cast("int") + 1

@@ -36,7 +36,7 @@ def collapsed(text: Column) -> Column:
 
 def tokens(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """(key, pos, token, tag, closing) of the body; tag is null for text."""
-    body = F.regexp_extract(without_noise(F.col(html)), r"(?is)(?:<body\b[^>]*>)?((?:(?!<body\b).)*)$", 1)
+    body = F.regexp_replace(without_noise(F.col(html)), r"(?is)^.*<body\b[^>]*>", "")
     parts = F.split(F.regexp_replace(F.translate(body, _MARK, ""), r"(<[^>]*>)", f"{_MARK}$1{_MARK}"), _MARK)
     held = pages.select(key, F.posexplode(parts).alias("pos", "token")).where("token <> ''")
     tag = F.lower(F.regexp_extract("token", r"^</?([A-Za-z][A-Za-z0-9]*)", 1))

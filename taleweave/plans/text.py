@@ -223,9 +223,9 @@ def a01(t):
 def a14(t):
     held = chunking.chunk_paragraphs(paras(t))
     flat = chunking.flat_chunks(held, ["source", "doc_id"]).groupBy("source").agg(F.count("*").alias("chunks"), F.count_if(F.length("chunk") < 20).alias("tiny"), F.count_if(F.length("chunk") >= 250).alias("full_chunks"))
-    pieces = F.split(F.regexp_replace("paragraph", r"""(?U)(?<=[.!?])(["'”’)]*\s+)""", "\x01$1\x01"), "\x01")
-    breaks = F.transform(F.sequence(F.lit(0), F.greatest(F.size("pieces") - 3, F.lit(0)), F.lit(2)), lambda k: (F.size("pieces") > 1) & chunking.false_break(F.get("pieces", k), F.coalesce(F.get("pieces", k + 2), F.lit(""))))
-    going = paras(t).select("source", pieces.alias("pieces")).select("source", F.size(F.filter(breaks, lambda x: x)).alias("n")).groupBy("source").agg(F.sum("n").alias("suppressed"))
+    held = paras(t).select("source", chunking.sentence_pieces(F.col("paragraph")).alias("pieces")).where(F.size("pieces") > 1)
+    breaks = held.select("source", "pieces", F.explode(F.sequence(F.lit(0), F.size("pieces") - 3, F.lit(2))).alias("k"))
+    going = breaks.groupBy("source").agg(F.count_if(chunking.false_break(F.get("pieces", F.col("k")), F.get("pieces", F.col("k") + 2))).alias("suppressed"))
     return flat.join(going, "source")
 
 
