@@ -9,12 +9,12 @@ Texts are cut into words as the vocabulary's own pattern does (contractions, a s
 white space), over arrays of character classes. A text with the vocabulary's special string, or with a character that
 this Python's Unicode tables don't know, is encoded by the tokenizers library itself.
 
-Scale: counting words aggregates in each task before its shuffle, over all texts; only the LEXICON_WORDS most frequent reach
-the driver. Encoding and decoding are maps over rows. Memory: one slice of texts.
+Scale: counting words aggregates in each task before its shuffle, over all texts; only the most frequent, LEXICON_WORDS
+at most, reach the driver. Encoding and decoding are maps over rows. Memory: one slice of texts.
 
 Defined cases: null text is the empty text: no ids, and the digests of empty strings. Repeated rows give repeated results. An
-empty table has an empty lexicon and result. Ties between equally frequent words go to the first in byte order. Other columns
-are not read.
+empty table has an empty lexicon and result. Words of equal counts are all in the lexicon or all out. Other columns are not
+read.
 """
 
 import atexit
@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taleweave.llm.arrow_text import rows_to_batch, span_hashes, text_slices
+from taleweave.llm.lineage import stored
 
 #: Words compiled into the lexicon; the file takes about 200 bytes a word.
 LEXICON_WORDS = 50_000
@@ -340,11 +341,24 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(docs: DataFrame, words: int) -> list[bytes]:
+    """At most `words` words, the most frequent ones: those in the highest sixteenths of an octave of counts that fit."""
+    held = stored(word_counts(docs).where("n > 1").withColumn("level", F.floor(16 * F.log2("n")).cast("int")))
+    levels = sorted(((r["level"], r["words"]) for r in held.groupBy("level").agg(F.count("*").alias("words")).collect()), reverse=True)  # under 1,100 rows
+    total, least = 0, None
+    for level, n in levels:
+        if total + n > words:
+            break
+        total, least = total + n, level
+    if least is None:
+        return []
+    return [bytes(r["word"]) for r in held.where(F.col("level") >= least).select("word").collect()]
+
+
 def build_lexicon(docs: DataFrame, vocabulary: str, words: int = LEXICON_WORDS) -> np.ndarray:
     """The automaton of the corpus's most frequent words."""
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(words).select("word").collect()
     merger = _merger(vocabulary)
-    return Automaton.compile({bytes(r["word"]): merger.encode_ordinary(bytes(r["word"]).decode("utf-8")) for r in top})
+    return Automaton.compile({w: merger.encode_ordinary(w.decode("utf-8")) for w in frequent_words(docs, words)})
 
 
 def ship(spark, lexicon: np.ndarray) -> str:
