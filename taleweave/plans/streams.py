@@ -64,6 +64,13 @@ def st05(events, folder, t):
     return held.select(F.col("user_id").alias("job"), F.round("done_seconds", 3).alias("done_seconds"), "segments")
 
 
+@stream_query("st07_back_off_stream", SQL["st07_back_off"])
+def st07(events, folder, t):
+    told = events.where("event_type in ('error', 'purchase')")
+    outcomes = told.select(F.col("user_id").alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "error").alias("failed"))
+    return streams.drain(streams.back_off(outcomes, forget=108_000, free=2), folder).withColumnRenamed("key", "user_id")
+
+
 @stream_query("st09_once_each_stream", "SELECT event_type, count(*) AS events FROM events GROUP BY event_type")
 def st09(events, folder, t):
     """Every event sent twice, counted once."""

@@ -82,6 +82,27 @@ def job_states(commands: DataFrame) -> DataFrame:
     return commands.groupBy("job").applyInPandasWithState(run, JOB_STATES, "status string, cancel boolean, claims long, rejected long", "update", GroupStateTimeout.NoTimeout)
 
 
+def back_off(outcomes: DataFrame, forget: float = 900, free: int = 5, longest: float = 30) -> DataFrame:
+    """(key, event_id, failures, wait_seconds) of each failure (outcomes: key, event_id, ts, failed). A key's state is its failures since
+    the last success and the last one's time; a pause of more than `forget` seconds begins anew. Append mode."""
+
+    def run(key, frames, state):
+        failures, last = state.get if state.exists else (0, 0)
+        rows = []
+        held = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        for event, at, failed in zip(held["event_id"], held["ts"].astype("datetime64[us]").astype("int64"), held["failed"]):
+            if not failed:
+                failures = 0
+                continue
+            failures = 1 if failures and at - last > forget * 1e6 else failures + 1
+            last = int(at)
+            rows.append((key[0], event, failures, float(min(longest, 2.0 ** (failures - free))) if failures > free else 0.0))
+        state.update((failures, last))
+        yield pd.DataFrame(rows, columns=["key", "event_id", "failures", "wait_seconds"]).astype({"key": "int64", "event_id": "int64", "failures": "int64", "wait_seconds": "float64"})
+
+    return outcomes.groupBy("key").applyInPandasWithState(run, "key long, event_id long, failures long, wait_seconds double", "failures long, last long", "append", GroupStateTimeout.NoTimeout)
+
+
 def rescue(running: DataFrame, heartbeats: DataFrame, now, stale_seconds: float) -> DataFrame:
     """The orphans among running jobs, given the heartbeats of a micro-batch's table; call it inside foreachBatch."""
     live = jobs.live_workers(heartbeats, now, stale_seconds)
