@@ -115,18 +115,22 @@ def disclosing_terms(docs: DataFrame, held: DataFrame) -> DataFrame:
 
 def term_spans(held: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc_id, key, terms array) of the places where a revealing term stands in a document with its entity."""
-    marked = F.regexp_replace(F.translate("text", _MARK, _OTHER), r"\p{L}{3,}+", f"{_MARK}$0{_MARK}")
-    lengths = held.select("doc_id", "key", "spans", F.split(marked, _MARK).alias("parts")).select(
-        "doc_id", "key", "spans", "parts",
-        F.aggregate("parts", F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")), lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")), lambda a: a["starts"]).alias("starts"),
-    )
-    words = lengths.select("doc_id", "key", "spans", F.explode(F.arrays_zip("parts", "starts")).alias("w")).select("doc_id", "key", "spans", F.col("w.parts").alias("word"), F.lower("w.parts").alias("term"), F.col("w.starts").alias("start"))
-    inside = F.exists("spans", lambda s: (s["start"] < F.col("start") + F.length("word")) & (s["end"] > F.col("start")))
-    here = F.exists("spans", lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"])) == F.col("entity"))
-    found = words.join(broadcast_if_small(terms, 80), "term").where(here & ~inside)
-    best = found.groupBy("doc_id", "key", "start", "word").agg(F.max("share").alias("share"))
-    span = F.struct(F.when(F.col("share") >= REMOVE, "removed").otherwise("term").alias("kind"), F.col("start"), (F.col("start") + F.length("word")).alias("end"), F.col("word").alias("value"))
-    return best.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(span), lambda a, b: a["start"] - b["start"]).alias("terms"))
+    entity = F.transform("spans", lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"])))
+    pairs = held.select("doc_id", "key", F.explode(F.array_distinct(entity)).alias("entity")).join(broadcast_if_small(terms, 80), "entity")
+    shares = pairs.groupBy("doc_id", "key", "term").agg(F.max("share").alias("share")).groupBy("doc_id", "key").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares"))
+    shares = shares.withColumnsRenamed({"doc_id": "__pii_id", "key": "__pii_key"})
+    # Only documents with such a term are gone through word by word; positions add up, and places of terms alone are kept.
+    rows = held.join(shares, F.col("doc_id").eqNullSafe(F.col("__pii_id")) & (F.col("key") == F.col("__pii_key")))
+    parts = F.split(F.regexp_replace(F.translate("text", _MARK, _OTHER), r"\p{L}{3,}+", f"{_MARK}$0{_MARK}"), _MARK)
+
+    def step(acc, part):
+        end, share = acc["at"] + F.length(part), F.try_element_at("shares", F.lower(part))
+        free = ~F.exists("spans", lambda s: (s["start"] < end) & (s["end"] > acc["at"]))
+        span = F.struct(F.when(share >= REMOVE, "removed").otherwise("term").alias("kind"), acc["at"].alias("start"), end.alias("end"), part.alias("value"))
+        return F.struct(end.alias("at"), F.when(share.isNotNull() & free, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
+    return rows.select("doc_id", "key", F.aggregate(parts, start, step, lambda acc: acc["out"]).alias("terms")).where(F.size("terms") > 0)
 
 
 def spans_of(docs: DataFrame) -> DataFrame:
