@@ -86,6 +86,20 @@ def test_alignment_against_brute_force(spark):
 
 
 # 2
+def test_copies_meet_though_their_items_begin_elsewhere(spark):
+    """Each posted item of two near copies is first seen in another, unrelated recording."""
+    base = words(70, 300).split()
+    rows, items = [], audio.fingerprint(audio.rendered([" ".join(base).encode()])[0])
+    for k, p in enumerate(audio.postings(items).tolist()):
+        rows.append((k, " ".join([words(100 + k, 60), *base[p : p + 18], words(500 + k, 60)])))
+    copy = base[:150] + ["changed"] + base[151:]
+    rows += [(1000, " ".join(base)), (1001, " ".join(copy)), (1002, words(71, 200))]
+    got = by_id(audio.aligned(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", "text"))
+    assert got[1001]["class_id"] == got[1000]["class_id"] == 1000
+    assert (got[1001]["match_id"], got[1001]["offset"]) == (1000, 0) and got[1002]["class_id"] == 1002
+    assert all(got[i]["class_id"] == i for i, _ in rows[:-3])
+
+
 def test_digest_edits_and_groups(spark, odd):
     docs = [(i, words(i % 40, 5 + i % 17)) for i in range(300)] + [(1000, None), (1001, "Ａ  b\tC"), (1002, "a B c"), (-5, "first of all")]
     got = by_id(digest.fingerprint_edits(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)))
