@@ -3,8 +3,9 @@
 Method: a document's ids and an end id are cut at every CAPACITY ids; these pieces are full sequences. What remains of each
 document joins a window of up to WINDOW pieces. A sequence takes the longest piece left; of the multiset of the other
 lengths a bitset subset-sum program finds the sum closest to the room that is left, and walks back how many pieces of each
-length make it. When a window can't fill a sequence to the last place any more, its pieces wait for more; at the end of a
-task's rows the rest is cut to fill, and the last sequence is cut at powers of two, where nothing is padded.
+length make it. A length that no multiset of the others completes is set aside, and the next longest is tried; what is
+left of a window waits for more pieces, or is cut to fill if it is more than half of the window. At the end of a task's rows
+the rest is cut to fill, and the last sequence is cut at powers of two, where nothing is padded.
 
 Scale: a map over the partitions of the input: no shuffle, no state between tasks. Memory: one window's pieces and one
 slice of texts. sequence_id is the partition's number times 2^40 and a count, the same when a lost task runs again.
@@ -70,7 +71,7 @@ class Packer:
             self.held += 1
         if self.held >= self.window:
             yield from self._filled()
-            if self.held >= self.window:  # a window from which no sequence can be filled
+            if self.held * 2 > self.window:  # most of it fits no sequence
                 yield from self._cut(last=False)
 
     def _take(self, length: int):
@@ -81,13 +82,17 @@ class Packer:
         return piece
 
     def _filled(self):
+        """Sequences filled to the last place by whole pieces, until no choice of the pieces left fills one."""
+        aside = {}
         while self.waiting:
             longest = max(self.waiting)
-            counts = {n: len(q) - (n == longest) for n, q in self.waiting.items()}
-            taken = fill(counts, self.capacity - longest)
-            if longest + sum(n * k for n, k in taken.items()) < self.capacity:
-                return
+            room = self.capacity - longest
+            taken = fill({n: len(q) - (n == longest) for n, q in self.waiting.items() if n <= room}, room)
+            if sum(n * k for n, k in taken.items()) < room:  # fewer of the others won't do either, and a shorter piece that needed this one would have gone with it
+                aside[longest] = self.waiting.pop(longest)
+                continue
             yield [self._take(longest), *(self._take(n) for n, k in taken.items() for _ in range(k))]
+        self.waiting.update(aside)
 
     def _cut(self, last: bool = True):
         """Sequences of all pieces that wait, cut wherever one is full; the last at powers of two."""

@@ -312,6 +312,16 @@ def test_packing_keeps_every_id(spark, odd, sf_dir):
     assert set(pieces) == set(ids) and max(sizes) <= 2048 and all(s & (s - 1) == 0 for s in sizes)
 
 
+def test_a_piece_without_complement_blocks_no_others():
+    packer, made = packing.Packer(capacity=64, window=50), []
+    for i, n in enumerate([63, *[40, 24, 50, 7, 7] * 30, 62]):
+        made += packer.add(i, np.arange(n, dtype=np.uint32))
+    made += packer.finish()
+    whole = [len(s) for s in made if all(len(ids) == tokens for _, _, ids, tokens in s)]
+    assert len(whole) == 60 and sum(len(ids) for s in made for _, _, ids, _ in s) == 63 + 62 + 128 * 30
+    assert {doc for s in made for doc, _, ids, tokens in s if len(ids) < tokens} <= {0, 151}
+
+
 def test_a_window_that_fills_nothing_is_cut():
     packer = packing.Packer(capacity=64, window=4)
     made = [s for i in range(40) for s in packer.add(i, np.arange(37 + i % 2, dtype=np.uint32))] + list(packer.finish())
