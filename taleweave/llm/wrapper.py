@@ -7,9 +7,10 @@ that pages hold there, with counts. A text that CONSTANT of the host's pages hol
 content. The text of a page is that of its article element (else main, else the body) without navigation, notices, adverts,
 forms and comments, which element names and classes tell, and without the template's texts.
 
-Scale: pages are read where they lie; each task adds up texts per host and tree, keeping heavy texts only (Misra-Gries: a text
-that more than 1 / (HEAVY + 1) of the pages hold is never lost). These sums are merged in two steps, so that a hot host is
-spread, and one row per host is left, which joins the pages: sent to executors if counted and small, else by a shuffle.
+Scale: pages are read where they lie, as hashes of their texts. A host's different trees are aligned in one task, without
+texts; texts are counted exactly, per host, aligned node and hash, by a grouping that aggregates before its shuffle and
+spreads a hot host by its texts. One row of constants per host is left, which joins the pages: sent to executors if counted
+and small, else by a shuffle.
 
 Defined cases: null html, or html without text, gives the empty text. Null url: a host of its own. A host with fewer
 than FEW pages, or whose texts all vary, has no constants. Equal pages of a host count once per page. Unclosed elements end as
@@ -31,8 +32,6 @@ from taleweave.llm.lineage import broadcast_if_small, stored
 
 #: The share of a host's pages that must hold a text at a node, and the pages needed to tell.
 CONSTANT, FEW = 0.6, 4
-#: Texts counted per node.
-HEAVY = 8
 
 # Elements of HTML.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -236,17 +235,6 @@ def simple_match(a: Node, b: Node) -> tuple[int, list[tuple[int, int]]]:
     return best[n][m] + 1, found
 
 
-def _add_heavy(counts: dict, other: dict, size: int = HEAVY) -> dict:
-    """Two summaries of heavy texts as one."""
-    total = dict(counts)
-    for k, n in other.items():
-        total[k] = total.get(k, 0) + n
-    if len(total) > size:
-        least = sorted(total.values(), reverse=True)[size]
-        total = {k: n - least for k, n in total.items() if n > least}
-    return total
-
-
 def _text_id(text: str) -> str:
     import xxhash
 
@@ -257,76 +245,60 @@ def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
 
 
-_SUMS = pa.schema([("host", pa.string()), ("shape", pa.string()), ("part", pa.int32()), ("pages", pa.int64()), ("texts", pa.string())])
+_HELD = pa.schema([("host", pa.string()), ("shape", pa.string()), ("tree", pa.string()), ("texts", pa.list_(pa.struct([("node", pa.int32()), ("text", pa.string())])))])
 
 
-def host_sums(pages: DataFrame) -> DataFrame:
-    """(host, shape, pages, texts) of each host and tree: texts is node -> text -> pages, heavy texts only."""
+def held_texts(pages: DataFrame) -> DataFrame:
+    """(host, shape, tree, texts) of each page: its tree, the tree's digest, and the nodes and hashes of its main texts."""
 
     def run(batches):
-        from pyspark import TaskContext
-
-        sums: dict = {}
-        part = TaskContext.get().partitionId() % 64
-
-        def out():
-            rows = [(h, s, part, n, json.dumps(t)) for (h, s), (n, t) in sums.items()]
-            return rows_to_batch(_SUMS, dict(zip(_SUMS.names, zip(*rows)))) if rows else rows_to_batch(_SUMS, {n: [] for n in _SUMS.names})
+        import xxhash
 
         for batch in batches:
+            rows = {f.name: [] for f in _HELD}
             for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
                 page = Page(source or "")
-                held = sums.setdefault((host, page.root.shape()), [0, {}])
-                held[0] += 1
-                for number, text in {(node.number, _text_id(text)) for node, text, *_ in page.main_blocks()}:
-                    held[1][number] = _add_heavy(held[1].get(number, {}), {text: 1})
-            if len(sums) > 20_000:
-                yield out()
-                sums.clear()
-        yield out()
-
-    def merge(key, frame):
-        texts: dict = {}
-        for t in frame["texts"]:
-            for node, counts in json.loads(t).items():
-                texts[node] = _add_heavy(texts.get(node, {}), counts)
-        return pd.DataFrame({"host": [key[0]], "shape": [key[1]], "part": [0], "pages": [frame["pages"].sum()], "texts": [json.dumps(texts)]})
-
-    schema = "host string, shape string, part int, pages long, texts string"
-    parts = pages.select(host_of("url").alias("host"), "html").mapInArrow(run, schema)
-    return parts.groupBy("host", "shape", "part").applyInPandas(merge, schema).groupBy("host", "shape").applyInPandas(merge, schema)
-
-
-def host_constants(sums: DataFrame) -> DataFrame:
-    """(host, constants): shape -> node -> texts that are template, from all of a host's trees aligned with its most frequent one."""
-
-    def induce(key, frame):
+                blocks = [(node.number, _text_id(text)) for node, text, *_ in page.main_blocks()]
+                shape = page.root.shape()
+                values = (host, shape, xxhash.xxh3_128_hexdigest(shape), [{"node": n, "text": t} for n, t in sorted(set(blocks))])
+                for column, value in zip(rows.values(), values):
+                    column.append(value)
+            yield rows_to_batch(_HELD, rows)
+
+    return pages.select(host_of("url").alias("host"), "html").mapInArrow(run, "host string, shape string, tree string, texts array<struct<node:int,text:string>>")
+
+
+def host_constants(held: DataFrame) -> DataFrame:
+    """(host, constants): lists of shape, node and texts that are template, from all of a host's trees aligned with its most frequent one."""
+
+    def align(key, frame):
         frame = frame.sort_values(["pages", "shape"], ascending=[False, True])
         template = tree_of(frame["shape"].iloc[0])
-        pages, counts, aligned = {}, {}, {}
-        for shape, n, texts in zip(frame["shape"], frame["pages"], frame["texts"]):
-            pairs = aligned[shape] = dict(simple_match(tree_of(shape), template)[1])
-            for own in pairs.values():
-                pages[own] = pages.get(own, 0) + n
-            for number, held in json.loads(texts).items():
-                if (own := pairs.get(int(number))) is not None:
-                    counts[own] = _add_heavy(counts.get(own, {}), held)
-        constant = {own: [t for t, n in held.items() if pages[own] >= FEW and n >= CONSTANT * pages[own]] for own, held in counts.items()}
-        found = {}
-        for shape, pairs in aligned.items():
-            nodes = {str(mine): constant[own] for mine, own in pairs.items() if constant.get(own)}
-            if nodes:
-                found[shape] = nodes
-        return pd.DataFrame({"host": [key[0]], "constants": [json.dumps(found)]})
-
-    return sums.groupBy("host").applyInPandas(induce, "host string, constants string")
+        rows = [(key[0], shape, tree, n, mine, own) for shape, tree, n in zip(frame["shape"], frame["tree"], frame["pages"]) for mine, own in simple_match(tree_of(shape), template)[1]]
+        return pd.DataFrame(rows, columns=["host", "shape", "tree", "pages", "node", "own"])
+
+    trees = held.groupBy("host", "tree").agg(F.first("shape").alias("shape"), F.count("*").alias("pages"))
+    nodes = stored(trees.groupBy("host").applyInPandas(align, "host string, shape string, tree string, pages long, node int, own int"))
+    pages = nodes.groupBy("host", "own").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= FEW)
+    texts = held.select("host", "tree", F.explode("texts").alias("t")).select("host", "tree", "t.node", "t.text")
+    counts = texts.join(broadcast_if_small(nodes.select("host", "tree", "node", "own"), 200), ["host", "tree", "node"]).groupBy("host", "own", "text").agg(F.count("*").alias("n"))
+    constant = counts.where(F.col("n") >= CONSTANT * FEW).join(pages, ["host", "own"]).where(F.col("n") >= CONSTANT * F.col("pages")).groupBy("host", "own").agg(F.collect_list("text").alias("texts"))
+    return nodes.join(constant, ["host", "own"]).groupBy("host").agg(F.to_json(F.collect_list(F.struct("shape", "node", "texts"))).alias("constants"))
+
+
+def read_constants(row: str | None) -> dict:
+    """shape -> node -> texts that are template."""
+    found: dict = {}
+    for c in json.loads(row) if row else ():
+        found.setdefault(c["shape"], {})[c["node"]] = set(c["texts"])
+    return found
 
 
 def page_text(source: str, constants: dict) -> str:
     page = Page(source)
     known = constants.get(page.root.shape(), {}) if constants else {}
     blocks = [(n, t) for n, t, *_ in page.main_blocks()]
-    return "\n".join(t for n, t in blocks if not known or _text_id(t) not in known.get(str(n.number), ()))
+    return "\n".join(t for n, t in blocks if not known or _text_id(t) not in known.get(n.number, ()))
 
 
 _TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
@@ -334,11 +306,11 @@ _TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.s
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each page."""
-    constants = stored(host_constants(host_sums(pages)))
+    constants = stored(host_constants(stored(held_texts(pages))))
     joined = pages.select("page_id", "url", "html", host_of("url").alias("host")).join(broadcast_if_small(constants, 4000), "host", "left")
 
     def run(batches):
-        read = lru_cache(maxsize=256)(lambda c: json.loads(c) if c else {})
+        read = lru_cache(maxsize=256)(read_constants)
         for batch in batches:
             texts = [page_text(h or "", read(c)) for h, c in zip(batch.column("html").to_pylist(), batch.column("constants").to_pylist())]
             yield rows_to_batch(_TEXTS, {"page_id": batch.column("page_id"), "url": batch.column("url"), "text": texts, "n_chars": [len(t) for t in texts]})

@@ -164,6 +164,12 @@ def test_extraction_against_reference(spark, sf_dir):
         assert got[r["page_id"]]["text"] == "\n".join(b for b in blocks if b)
 
 
+def test_a_notice_among_many_paragraphs_is_template(spark):
+    page = lambda k: "<body><article>" + "".join(f"<p>{words(1000 * k + j, 9)}</p>" for j in range(12)) + "<p>Read our notice on every page.</p></article></body>"
+    got = by_id(wrapper.extract_text(spark.createDataFrame([(k, "http://long.example/", page(k)) for k in range(200)], "page_id long, url string, html string").coalesce(2)), "page_id")
+    assert all("notice" not in r["text"] and r["text"].count("\n") == 11 for r in got.values())
+
+
 def test_simple_matching():
     a, b = wrapper.tree_of("(#(body(div)(p)(ul(li))))"), wrapper.tree_of("(#(body(p)(table)(ul(li))))")
     assert wrapper.simple_match(a, b)[0] == 5 and wrapper.simple_match(a, wrapper.tree_of("(x)"))[0] == 0
