@@ -13,7 +13,8 @@ spreads a hot host by its texts. One row of constants per host is left, which jo
 and small, else by a shuffle.
 
 Defined cases: null html, or html without text, gives the empty text. Null url: a host of its own. A host with fewer
-than FEW pages, or whose texts all vary, has no constants. Equal pages of a host count once per page. Unclosed elements end as
+than FEW distinct pages, or whose texts all vary, has no constants. Pages of a host with equal main texts count as one page; near
+copies count each. A page whose texts are all constant keeps them. Unclosed elements end as
 HTML ends them; an unclosed comment or script runs to the end. Other columns are not read. Nothing is dropped for length.
 """
 
@@ -245,11 +246,11 @@ def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
 
 
-_HELD = pa.schema([("host", pa.string()), ("shape", pa.string()), ("tree", pa.string()), ("texts", pa.list_(pa.struct([("node", pa.int32()), ("text", pa.string())])))])
+_HELD = pa.schema([("host", pa.string()), ("shape", pa.string()), ("tree", pa.string()), ("digest", pa.string()), ("texts", pa.list_(pa.struct([("node", pa.int32()), ("text", pa.string())])))])
 
 
 def held_texts(pages: DataFrame) -> DataFrame:
-    """(host, shape, tree, texts) of each page: its tree, the tree's digest, and the nodes and hashes of its main texts."""
+    """(host, shape, tree, digest, texts) of each page: its tree, the digests of the tree and of all main texts, the nodes and hashes of these."""
 
     def run(batches):
         import xxhash
@@ -260,12 +261,17 @@ def held_texts(pages: DataFrame) -> DataFrame:
                 page = Page(source or "")
                 blocks = [(node.number, _text_id(text)) for node, text, *_ in page.main_blocks()]
                 shape = page.root.shape()
-                values = (host, shape, xxhash.xxh3_128_hexdigest(shape), [{"node": n, "text": t} for n, t in sorted(set(blocks))])
+                values = (host, shape, xxhash.xxh3_128_hexdigest(shape), xxhash.xxh3_128_hexdigest("\n".join(t for _, t in blocks)), [{"node": n, "text": t} for n, t in sorted(set(blocks))])
                 for column, value in zip(rows.values(), values):
                     column.append(value)
             yield rows_to_batch(_HELD, rows)
 
-    return pages.select(host_of("url").alias("host"), "html").mapInArrow(run, "host string, shape string, tree string, texts array<struct<node:int,text:string>>")
+    return pages.select(host_of("url").alias("host"), "html").mapInArrow(run, "host string, shape string, tree string, digest string, texts array<struct<node:int,text:string>>")
+
+
+def distinct_pages(held: DataFrame) -> DataFrame:
+    """One of the pages of a host whose main texts are equal."""
+    return held.groupBy("host", "digest").agg(F.min(F.struct("tree", "shape", "texts")).alias("p")).select("host", "p.*")
 
 
 def host_constants(held: DataFrame) -> DataFrame:
@@ -298,7 +304,8 @@ def page_text(source: str, constants: dict) -> str:
     page = Page(source)
     known = constants.get(page.root.shape(), {}) if constants else {}
     blocks = [(n, t) for n, t, *_ in page.main_blocks()]
-    return "\n".join(t for n, t in blocks if not known or _text_id(t) not in known.get(n.number, ()))
+    own = [t for n, t in blocks if not known or _text_id(t) not in known.get(n.number, ())]
+    return "\n".join(own or [t for _, t in blocks])
 
 
 _TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
@@ -306,7 +313,7 @@ _TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.s
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each page."""
-    constants = stored(host_constants(stored(held_texts(pages))))
+    constants = stored(host_constants(stored(distinct_pages(held_texts(pages)))))
     joined = pages.select("page_id", "url", "html", host_of("url").alias("host")).join(broadcast_if_small(constants, 4000), "host", "left")
 
     def run(batches):

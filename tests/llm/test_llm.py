@@ -170,6 +170,21 @@ def test_a_notice_among_many_paragraphs_is_template(spark):
     assert all("notice" not in r["text"] and r["text"].count("\n") == 11 for r in got.values())
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    copy = "<body><article><h1>Title</h1>" + "".join(f"<p>{words(j, 9)}</p>" for j in range(4)) + "</article></body>"
+    other = lambda k: f"<body><article><h1>Other {k}</h1><p>{words(50 + k, 9)}</p></article></body>"
+    rows = [(k, "http://a.example/", copy) for k in range(6)] + [(10 + k, "http://b.example/", copy if k < 5 else other(k)) for k in range(8)]
+    got = by_id(wrapper.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
+    assert all(got[k]["text"].split("\n") == ["Title", *(words(j, 9) for j in range(4))] for k in [*range(6), *range(10, 15)])
+    assert got[16]["text"].startswith("Other 6\n")
+
+
+def test_constants_empty_no_page(spark):
+    rows = [(k, "http://c.example/", f"<body><p>Same notice.</p>{f'<p>{words(k, 9)}</p>' if k else ''}</body>") for k in range(9)]
+    got = by_id(wrapper.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
+    assert got[0]["text"] == "Same notice." and got[1]["text"] == words(1, 9)
+
+
 def test_simple_matching():
     a, b = wrapper.tree_of("(#(body(div)(p)(ul(li))))"), wrapper.tree_of("(#(body(p)(table)(ul(li))))")
     assert wrapper.simple_match(a, b)[0] == 5 and wrapper.simple_match(a, wrapper.tree_of("(x)"))[0] == 0
