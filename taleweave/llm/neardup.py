@@ -111,30 +111,30 @@ def features(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_id string, tokens array<long>, sketch array<long>")
 
 
-def prefix_postings(sets: DataFrame) -> DataFrame:
-    """(token, id, held, prefix) under which a class can meet another that shares MATCHES tokens with it; held: how many of its tokens others have."""
+def prefix_postings(sets: DataFrame, matches: int = MATCHES) -> DataFrame:
+    """(token, id, held, prefix) under which a class can meet another that shares so many tokens with it; held: how many of its tokens others have."""
     posts = sets.select("id", F.explode("tokens").alias("token"))
     shared = posts.groupBy("token").agg(F.count("*").alias("posted")).where("posted > 1")
     rare_first = Window.partitionBy("id").orderBy("posted", "token")
     every = Window.partitionBy("id")
     held = posts.join(shared, "token").withColumn("nth", F.row_number().over(rare_first)).withColumn("held", F.count("*").over(every))
-    # Tokens of its own come first in a document's order; then these, up to the MATCHES - 1 most frequent.
-    kept = held.where(F.col("nth") <= F.col("held") - (MATCHES - 1))
+    # Tokens of its own come first in a document's order; then these, up to the matches - 1 most frequent.
+    kept = held.where(F.col("nth") <= F.col("held") - (matches - 1))
     return kept.select("token", "id", "held", F.collect_list("token").over(every).alias("prefix"))  # at most COORDINATES rows a window
 
 
-def alike(a: str, b: str):
+def alike(a: str, b: str, percent: int = PERCENT, matches: int = MATCHES):
     """Whether two classes are candidates: sizes that allow a link, sketches that allow it, then enough equal tokens."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
     apart = sum((F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(1, BITS // 64)), F.bit_count(F.col(f"{a}.sketch")[0].bitwiseXOR(F.col(f"{b}.sketch")[0])))
-    # Of na + nb - shared shingles, na + nb - 2 shared are in one set alone; linked sets have shared >= PERCENT / 100 of all.
+    # Of na + nb - shared shingles, na + nb - 2 shared are in one set alone; linked sets have shared >= percent / 100 of all.
     return (
-        (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & ((100 + PERCENT) * apart <= (100 - PERCENT) * (na + nb))
-        & (F.size(F.array_intersect(f"{a}.tokens", f"{b}.tokens")) >= MATCHES)
+        (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * apart <= (100 - percent) * (na + nb))
+        & (F.size(F.array_intersect(f"{a}.tokens", f"{b}.tokens")) >= matches)
     )
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets are linked. Texts of the pairs' documents alone are moved."""
     ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     texts = docs.select("doc_id", "text").join(broadcast_if_small(ids, 8), "doc_id", "left_semi")
@@ -147,7 +147,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             for a, b in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()):
                 if held[0] != a:
                     held = (a, shingle_sets([a.encode()])[0])
-                kept.append(linked(held[1], shingle_sets([b.encode()])[0]))
+                kept.append(linked(held[1], shingle_sets([b.encode()])[0], percent))
             yield batch.select(["a", "b"]).filter(pa.array(kept, type=pa.bool_()))
 
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
@@ -176,15 +176,15 @@ def _labelled(posts: DataFrame, labels: DataFrame) -> DataFrame:
     return posts.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def class_links(sets: DataFrame, docs: DataFrame) -> DataFrame:
+def class_links(sets: DataFrame, docs: DataFrame, percent: int = PERCENT, matches: int = MATCHES) -> DataFrame:
     """(id, component) of classes (id, n, tokens, sketch) that are linked with others."""
-    posts = stored(prefix_postings(sets))
+    posts = stored(prefix_postings(sets, matches))
     pivots = posts.groupBy("token").agg(F.min("id").alias("low"), F.max(F.struct("held", "id")).alias("top"), F.count("*").alias("members")).where("members > 1")
     near = posts.select("token", "id").join(pivots.select("token", F.explode(F.array_distinct(F.array("low", "top.id"))).alias("pivot")), "token").where("id != pivot")
     pairs = near.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     sides = sets.select("id", "n", "tokens", "sketch")
-    stars = pairs.join(sides.alias("y"), F.col("b") == F.col("y.id")).join(sides.alias("x"), F.col("a") == F.col("x.id")).where(alike("x", "y"))
-    first = stored(confirmed(stored(stars.select("a", "b")), docs))
+    stars = pairs.join(sides.alias("y"), F.col("b") == F.col("y.id")).join(sides.alias("x"), F.col("a") == F.col("x.id")).where(alike("x", "y", percent, matches))
+    first = stored(confirmed(stored(stars.select("a", "b")), docs, percent))
     labels = components(first)
     # What still lies apart in a list: its members outside the list's largest component, with all members of other components.
     apart = posts.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -194,15 +194,15 @@ def class_links(sets: DataFrame, docs: DataFrame) -> DataFrame:
     x, y = lists.where("component != most").alias("x"), lists.alias("y")
     once = (F.col("y.component") == F.col("y.most")) | (F.col("x.id") < F.col("y.id"))
     here = F.col("x.token") == F.array_min(F.array_intersect("x.prefix", "y.prefix"))  # of the lists that two share, one pairs them
-    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & once & alike("x", "y") & here)
+    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & once & alike("x", "y", percent, matches) & here)
     more = stored(rest.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
     if more.isEmpty():
         return labels
-    return components(first.union(confirmed(more, docs)))
+    return components(first.union(confirmed(more, docs, percent)))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row."""
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, matches: int = MATCHES) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each row, for links of a likeness of percent; of linked documents, matches values must be equal."""
     held = stored(features(docs))
     classes = held.where("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("tokens", "sketch"), "doc_id").alias("s"), F.first("n_shingles").alias("n")).select("set_id", "id", "n", "s.tokens", "s.sketch")
     sets = stored(classes)
@@ -210,7 +210,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ids = held.where("n_shingles > 0 and doc_id is not null").select("doc_id", "set_id").distinct()
     rows = stored(ids.join(sets.select("set_id", "id"), "set_id"))
     several = rows.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a != b").select("a", "b")
-    labels = class_links(sets.select("id", "n", "tokens", "sketch"), docs)
+    labels = class_links(sets.select("id", "n", "tokens", "sketch"), docs, percent, matches)
     if not several.isEmpty():
         labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(several))
     found = rows.join(labels, "id", "left").select("doc_id", F.coalesce("component", "id").alias("component_id")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
@@ -219,9 +219,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, percent: int = PERCENT, matches: int = MATCHES) -> DataFrame:
     """One document of each group of near duplicates, with all columns: the one with the smallest id."""
-    found = near_duplicates(docs)
+    found = near_duplicates(docs, percent, matches)
     dropped = found.where(~F.col("kept")).select("doc_id").distinct()
     kept = docs.join(broadcast_if_small(stored(dropped), 8), "doc_id", "left_anti").select(docs.columns)
     repeated = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1 and doc_id is not null")

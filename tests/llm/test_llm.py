@@ -396,6 +396,18 @@ def test_one_of_each_group_stays(odd):
     assert ids.count(4) == 1 and 5 not in ids and 6 not in ids and {0, 1, 2, 3, 7, 8} <= set(ids)
 
 
+def test_the_stage_links_at_eighty_percent(spark):
+    import corpus_pipeline
+
+    base = words(91, 400).split()
+    near = " ".join([*base[:200], "one", *base[201:], *words(92, 70).split()])
+    a, b = neardup.shingle_sets([" ".join(base).encode(), near.encode()])
+    assert neardup.linked(a, b, 80) and not neardup.linked(a, b, 85)
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, near), (3, words(93, 100))], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [1, 3]
+    assert neardup.keep_first(docs).count() == 3
+
+
 def test_components_of_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60) if i % 20 != 19] + [(100, 100), (70, 75), (75, 70)], "a long, b long")
     got = {r["id"]: r["component"] for r in neardup.components(links).collect()}
