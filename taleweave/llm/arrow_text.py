@@ -3,22 +3,34 @@
 import numpy as np
 import pyarrow as pa
 
-#: A batch is worked on in slices of about this many bytes, which bounds the arrays made from it.
-SLICE_BYTES = 4 << 20
+#: A batch is worked on in slices of about this many bytes of text, which bounds the arrays made from it.
+SLICE_BYTES = 1 << 20
+
+
+def _sizes(column) -> np.ndarray:
+    """The bytes of each value of a string or binary array, from its offsets; what is under a null counts too."""
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    offsets = np.frombuffer(column.buffers()[1] or b"\0" * 8, dtype=np.int64 if wide else np.int32)
+    return np.diff(offsets[column.offset : column.offset + len(column) + 1]).astype(np.int64)
+
+
+def row_slices(batch, columns, limit=SLICE_BYTES):
+    """Yield (first row, part of the batch) for runs of rows whose values in the columns take about limit bytes; nothing is copied."""
+    ends = np.cumsum(sum(_sizes(batch.column(c)) for c in columns)) if batch.num_rows else np.zeros(0, np.int64)
+    first = 0
+    while first < batch.num_rows:
+        before = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield first, batch.slice(first, last - first)
+        first = last
 
 
 def text_slices(batch, column="text", limit=SLICE_BYTES):
     """Yield (first row, list of UTF-8 bytes) for runs of rows; a null text is the empty one."""
-    rows, size, first = [], 0, 0
-    for i, value in enumerate(batch.column(column).cast(pa.large_binary()).to_pylist()):
-        value = value or b""
-        if rows and size + len(value) > limit:
-            yield first, rows
-            rows, size, first = [], 0, i
-        rows.append(value)
-        size += len(value)
-    if rows:
-        yield first, rows
+    for first, part in row_slices(batch, [column], limit):
+        values = part.column(column)
+        plain = values.cast(pa.large_binary() if pa.types.is_large_string(values.type) else pa.binary()) if not pa.types.is_binary(values.type) else values
+        yield first, [v or b"" for v in plain.to_pylist()]
 
 
 def joined(rows, separator=b"\n"):

@@ -126,7 +126,7 @@ def keep_known(docs: DataFrame) -> DataFrame:
     def run(batches):
         model = Classifier(shared.value)
         for batch in batches:
-            kept = [not model.predict(r)[3] for _, rows in text_slices(batch) for r in rows]
-            yield batch.filter(pa.array(kept, type=pa.bool_()))
+            for first, rows in text_slices(batch):
+                yield batch.slice(first, len(rows)).filter(pa.array([not model.predict(r)[3] for r in rows], type=pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

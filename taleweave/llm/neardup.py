@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from taleweave.llm.arrow_text import joined, mixed, rows_to_batch, span_hashes, text_slices
+from taleweave.llm.arrow_text import joined, mixed, row_slices, rows_to_batch, span_hashes, text_slices
 from taleweave.llm.lineage import broadcast_if_small, stored
 
 WORDS = 5
@@ -101,7 +101,7 @@ def features(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             ids = batch.column("doc_id")
-            for first, rows in text_slices(batch, limit=1 << 20):
+            for first, rows in text_slices(batch):
                 sets = shingle_sets(rows)
                 yield rows_to_batch(FEATURES, {
                     "doc_id": ids.slice(first, len(rows)), "n_shingles": [len(s) for s in sets], "set_id": [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets],
@@ -143,12 +143,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> Data
     def run(batches):
         held = (None, None)  # the pivot's set, while its pairs follow each other
         for batch in batches:
-            kept = []
-            for a, b in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()):
-                if held[0] != a:
-                    held = (a, shingle_sets([a.encode()])[0])
-                kept.append(linked(held[1], shingle_sets([b.encode()])[0], percent))
-            yield batch.select(["a", "b"]).filter(pa.array(kept, type=pa.bool_()))
+            for _, part in row_slices(batch, ["text_a", "text_b"]):
+                kept = []
+                for a, b in zip(part.column("text_a").to_pylist(), part.column("text_b").to_pylist()):
+                    if held[0] != a:
+                        held = (a, shingle_sets([a.encode()])[0])
+                    kept.append(linked(held[1], shingle_sets([b.encode()])[0], percent))
+                yield part.select(["a", "b"]).filter(pa.array(kept, type=pa.bool_()))
 
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
