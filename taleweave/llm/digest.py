@@ -50,9 +50,9 @@ def exact_groups(prints: DataFrame, docs: DataFrame) -> DataFrame:
     its bucket's representative (a collision of 128-bit hashes) is in a group of those with its bytes.
     """
     buckets = stored(prints.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")).where("size > 1"))
-    shared = stored(prints.where("doc_id is not null").join(broadcast_if_small(buckets, 60), "fingerprint").select("doc_id", "fingerprint", "rep"))
+    shared = stored(prints.where("doc_id is not null").join(broadcast_if_small(buckets), "fingerprint").select("doc_id", "fingerprint", "rep"))
     ids = shared.select("doc_id").distinct()
-    wanted = docs.select("doc_id", "text").join(broadcast_if_small(ids, 8), "doc_id", "left_semi")
+    wanted = docs.select("doc_id", "text").join(broadcast_if_small(ids), "doc_id", "left_semi")
 
     def canonical_rows(batches):
         import xxhash
@@ -63,7 +63,7 @@ def exact_groups(prints: DataFrame, docs: DataFrame) -> DataFrame:
                 texts = [canonical(r.decode()) for r in rows]
                 yield rows_to_batch(_CANON, {"doc_id": ids.slice(first, len(rows)), "fingerprint": [xxhash.xxh3_128_hexdigest(t.encode()) for t in texts], "canon": texts})
 
-    texts = wanted.mapInArrow(canonical_rows, "doc_id long, fingerprint string, canon string").join(broadcast_if_small(buckets, 60), "fingerprint")
+    texts = wanted.mapInArrow(canonical_rows, "doc_id long, fingerprint string, canon string").join(broadcast_if_small(buckets), "fingerprint")
     reps = texts.where("doc_id = rep").groupBy("fingerprint").agg(F.min("canon").alias("rep_canon"))
     checked = texts.join(reps, "fingerprint").select("doc_id", "fingerprint", F.when(F.col("canon") != F.col("rep_canon"), F.sha2("canon", 256)).alias("apart"))
     checked = stored(checked)
@@ -153,7 +153,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     columns = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, next_fingerprint string"
     prints = stored(near.mapInArrow(_edited, columns))
     groups = stored(exact_groups(prints.select("doc_id", "fingerprint"), docs))
-    return prints.join(broadcast_if_small(groups, 80), ["doc_id", "fingerprint"], "left").select(
+    return prints.join(broadcast_if_small(groups), ["doc_id", "fingerprint"], "left").select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),

@@ -5,6 +5,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,10 +25,26 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: A side of a join is sent to every executor only if its counted rows take less than this.
+#: A side of a join is sent to every executor only if its rows are measured and take less than this.
 BROADCAST_BYTES = 48 << 20
-
-
-def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """The rows, marked for broadcast if they are counted and found to be few; else as they are, to be joined by a shuffle."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+#: What a row takes beside its values.
+ROW_BYTES = 40
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """The bytes of the rows: fixed-width values by their type, strings and binaries by their lengths, nested values by their JSON."""
+    size = F.lit(ROW_BYTES)
+    for field in df.schema:
+        kind, column = field.dataType, F.col(f"`{field.name}`")
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            size = size + 8 + F.coalesce(F.octet_length(column), F.lit(0))
+        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0))
+        else:
+            size = size + 8
+    return df.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()[0]
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """The rows, marked for broadcast if they are measured and found small; else as they are, to be joined by a shuffle."""
+    return F.broadcast(df) if measured_bytes(df) <= BROADCAST_BYTES else df

@@ -137,7 +137,7 @@ def alike(a: str, b: str, percent: int = PERCENT, matches: int = MATCHES):
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets are linked. Texts of the pairs' documents alone are moved."""
     ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    texts = docs.select("doc_id", "text").join(broadcast_if_small(ids, 8), "doc_id", "left_semi")
+    texts = docs.select("doc_id", "text").join(broadcast_if_small(ids), "doc_id", "left_semi")
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
 
     def run(batches):
@@ -224,7 +224,7 @@ def keep_first(docs: DataFrame, percent: int = PERCENT, matches: int = MATCHES)
     """One document of each group of near duplicates, with all columns: the one with the smallest id."""
     found = near_duplicates(docs, percent, matches)
     dropped = found.where(~F.col("kept")).select("doc_id").distinct()
-    kept = docs.join(broadcast_if_small(stored(dropped), 8), "doc_id", "left_anti").select(docs.columns)
+    kept = docs.join(broadcast_if_small(stored(dropped)), "doc_id", "left_anti").select(docs.columns)
     repeated = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1 and doc_id is not null")
     if repeated.isEmpty():
         return kept

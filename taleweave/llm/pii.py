@@ -105,7 +105,7 @@ def disclosing_terms(docs: DataFrame, held: DataFrame) -> DataFrame:
 
     def frequencies(rows, terms, name):
         words = rows.select(F.explode(F.array_distinct(words_of(F.col("text")))).alias("term"))
-        return words.join(broadcast_if_small(terms, 40), "term", "left_semi").groupBy("term").agg(F.count("*").alias(name))
+        return words.join(broadcast_if_small(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias(name))
 
     # A term is in at least the documents with entities that hold it; those too frequent there already can't reach the threshold.
     likely = stored(pairs.join(frequencies(held, stored(pairs.select("term").distinct()), "df_held"), "term").where(share("df_held") >= GENERALISE))
@@ -116,7 +116,7 @@ def disclosing_terms(docs: DataFrame, held: DataFrame) -> DataFrame:
 def term_spans(held: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc_id, key, terms array) of the places where a revealing term stands in a document with its entity."""
     entity = F.transform("spans", lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"])))
-    pairs = held.select("doc_id", "key", F.explode(F.array_distinct(entity)).alias("entity")).join(broadcast_if_small(terms, 80), "entity")
+    pairs = held.select("doc_id", "key", F.explode(F.array_distinct(entity)).alias("entity")).join(broadcast_if_small(terms), "entity")
     shares = pairs.groupBy("doc_id", "key", "term").agg(F.max("share").alias("share")).groupBy("doc_id", "key").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares"))
     shares = shares.withColumnsRenamed({"doc_id": "__pii_id", "key": "__pii_key"})
     # Only documents with such a term are gone through word by word; positions add up, and places of terms alone are kept.
@@ -140,7 +140,7 @@ def spans_of(docs: DataFrame) -> DataFrame:
     held = found.where("size(spans) > 0")
     revealing = stored(disclosing_terms(docs, held))
     terms = stored(term_spans(held.dropDuplicates(["doc_id", "key"]), revealing))
-    joined = found.drop("text").join(broadcast_if_small(terms.withColumnsRenamed({"doc_id": "__pii_id", "key": "__pii_key"}), 200), F.col("doc_id").eqNullSafe(F.col("__pii_id")) & (F.col("key") == F.col("__pii_key")), "left")
+    joined = found.drop("text").join(broadcast_if_small(terms.withColumnsRenamed({"doc_id": "__pii_id", "key": "__pii_key"})), F.col("doc_id").eqNullSafe(F.col("__pii_id")) & (F.col("key") == F.col("__pii_key")), "left")
     return joined.select("doc_id", "key", "spans", F.coalesce("terms", F.array().cast(_SPANS)).alias("terms"))
 
 
@@ -174,7 +174,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     found = spans_of(docs).select("doc_id", "key", F.concat("spans", "terms").alias("__pii_spans")).where("size(__pii_spans) > 0").dropDuplicates(["doc_id", "key"])
     found = stored(found).withColumnsRenamed({"doc_id": "__pii_id", "key": "__pii_key"})
     key = text_key(F.coalesce("text", F.lit("")))
-    held = docs.withColumn("__pii_mine", key).join(broadcast_if_small(found, 200), F.col("doc_id").eqNullSafe(F.col("__pii_id")) & (F.col("__pii_mine") == F.col("__pii_key")), "left")
+    held = docs.withColumn("__pii_mine", key).join(broadcast_if_small(found), F.col("doc_id").eqNullSafe(F.col("__pii_id")) & (F.col("__pii_mine") == F.col("__pii_key")), "left")
     text = F.when(F.col("__pii_spans").isNotNull(), replaced(F.col("text"), F.col("__pii_spans"))).otherwise(F.col("text"))
     out = held.withColumn("text", text)
     if "n_chars" in docs.columns:

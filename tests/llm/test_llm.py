@@ -1,7 +1,6 @@
 """The ten operators on hand-written rows: odd rows, brute force, exact round trips, held-out accuracy."""
 
 import hashlib
-import html as entities
 import itertools
 import json
 import random
@@ -12,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from taleweave.llm import audio, bpe, chat, digest, langid, license_scan, neardup, packing, pii, wrapper
+from taleweave.llm import audio, bpe, chat, digest, langid, license_scan, neardup, packing, pii
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, n int, key string, component string, tokens string, _range int, sound string"
 
@@ -142,54 +141,6 @@ def test_no_letters_no_language(odd):
     assert langid.Classifier({"en": b"a", "de": b"b"}).predict("12 — 3".encode())[0] == "und"
 
 
-# 4
-PAGE = "<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body><header><a>Site</a></header><nav><ul><li>Home</ul></nav><div class='cookie-notice'>Accept</div><article><h1>T{i} &amp; x</h1><p>Common promise of ours</p><p>Body {i}  <b>bold<br>{i}<p>More&nbsp;{i}</p><form><input></form><div class='comments'><p>nice</div></article><aside>{i}</aside><footer>&copy; {i}</footer></body>"
-
-
-def test_main_text_and_template(spark):
-    rows = [(i, "https://a.example.org/p?x=1", PAGE.replace("{i}", str(i))) for i in range(8)] + [(20, "http://b.example.org/", PAGE.replace("{i}", "20")), (21, None, None), (22, "x", ""), (23, "x", "<p>plain <script>if (a<b) {}</script>text<!-- open")]
-    got = by_id(wrapper.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1))), "page_id")
-    for i in range(8):
-        assert got[i]["text"] == f"T{i} & x\nBody {i} bold {i}\nMore {i}"
-    assert got[20]["text"].split("\n") == ["T20 & x", "Common promise of ours", "Body 20 bold 20", "More 20"]  # alone on its host
-    assert (got[21]["text"], got[22]["text"], got[23]["text"]) == ("", "", "plain text") and got[20]["n_chars"] == len(got[20]["text"])
-
-
-def test_extraction_against_reference(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    got = by_id(wrapper.extract_text(pages), "page_id")
-    for r in pages.collect():
-        body = r["html"][r["html"].index("<article>") : r["html"].index("</article>")]
-        blocks = [" ".join(entities.unescape(re.sub(r"</?b>", "", b).replace("<br>", " ")).split()) for b in re.split(r"</?(?:p|h1|article)>", body)]
-        assert got[r["page_id"]]["text"] == "\n".join(b for b in blocks if b)
-
-
-def test_a_notice_among_many_paragraphs_is_template(spark):
-    page = lambda k: "<body><article>" + "".join(f"<p>{words(1000 * k + j, 9)}</p>" for j in range(12)) + "<p>Read our notice on every page.</p></article></body>"
-    got = by_id(wrapper.extract_text(spark.createDataFrame([(k, "http://long.example/", page(k)) for k in range(200)], "page_id long, url string, html string").coalesce(2)), "page_id")
-    assert all("notice" not in r["text"] and r["text"].count("\n") == 11 for r in got.values())
-
-
-def test_copies_of_a_page_are_no_template(spark):
-    copy = "<body><article><h1>Title</h1>" + "".join(f"<p>{words(j, 9)}</p>" for j in range(4)) + "</article></body>"
-    other = lambda k: f"<body><article><h1>Other {k}</h1><p>{words(50 + k, 9)}</p></article></body>"
-    rows = [(k, "http://a.example/", copy) for k in range(6)] + [(10 + k, "http://b.example/", copy if k < 5 else other(k)) for k in range(8)]
-    got = by_id(wrapper.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
-    assert all(got[k]["text"].split("\n") == ["Title", *(words(j, 9) for j in range(4))] for k in [*range(6), *range(10, 15)])
-    assert got[16]["text"].startswith("Other 6\n")
-
-
-def test_constants_empty_no_page(spark):
-    rows = [(k, "http://c.example/", f"<body><p>Same notice.</p>{f'<p>{words(k, 9)}</p>' if k else ''}</body>") for k in range(9)]
-    got = by_id(wrapper.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
-    assert got[0]["text"] == "Same notice." and got[1]["text"] == words(1, 9)
-
-
-def test_simple_matching():
-    a, b = wrapper.tree_of("(#(body(div)(p)(ul(li))))"), wrapper.tree_of("(#(body(p)(table)(ul(li))))")
-    assert wrapper.simple_match(a, b)[0] == 5 and wrapper.simple_match(a, wrapper.tree_of("(x)"))[0] == 0
-
-
 # 5
 def test_layouts_become_turns(spark):
     records = [
