@@ -2,20 +2,29 @@
 
 Base: e-mail addresses, IP addresses, payment cards and phone numbers, each found from the left without overlap.
 
-Method: a protected entity is a value found by a pattern. Terms are words near its mentions (NEAR words to either side).
-Over all documents, with N documents, df of term and of entity, and c of both together, the pointwise mutual information
-log(c N / (df_term df_entity)) as a share of the entity's information log(N / df_entity) says how much of the entity the
-term gives away. A term seen with an entity in SUPPORT different texts and whose share reaches GENERALISE is replaced by a
-general word where that entity stands in the document; from REMOVE on it is taken out.
+Method: terms are weighed by the share of a protected entity's information that they give away, log(N c / (df_term df_entity)) /
+log(N / df_entity), with N documents, df of term and of entity, and c of both together, all counted over the whole corpus.
 
-Scale: patterns are a map. Only documents with an entity give terms; terms and pairs are counted with partial sums before
+* The first entities are the subjects of the texts themselves. A code (a run of 16 and more letters and digits with a digit, a UUID,
+  a number of 16 digits in fours) gives away log(N / subjects) of log N. Subjects are counted by the min-entropy of the code's contexts,
+  the characters to either side of it: all its mentions over those in its most frequent context. A key or an account number has one
+  subject, however often its text is copied; a number that is printed everywhere has many and stays.
+* The others are the values found by patterns. Terms are words near their mentions (NEAR words to either side) that were seen with the
+  value in SUPPORT different texts.
+
+A term whose share reaches GENERALISE is replaced by a general word for what it is (`[code]`, `[number]`, `[name]`, `[word]`) where its
+entity stands in the document; from REMOVE on it is taken out.
+
+Scale: patterns are a map. Only documents with an entity or a code give terms; terms and pairs are counted with partial sums before
 each shuffle. Terms that are too frequent among those documents alone are out. The others' document frequencies come from all
-words of all documents, joined with these terms (sent to executors if counted and small, else joined by a shuffle) and
+words of all documents, joined with these terms (sent to executors if measured and small, else joined by a shuffle) and
 summed in each task first: a frequent word is one row a task.
 
 Defined cases: null text is the empty text, and stays null when sanitised. Rows that repeat count each as a document;
-texts that are equal support a pair once. Spans of different kinds may overlap; in sanitised text what they cover is
-replaced once, by the first kind. Null ids are kept. Other columns are kept as they are, n_chars is counted anew.
+texts that are equal support a pair once. Of terms with equal shares all are taken, and each of a term's places. Spans of different
+kinds may overlap, but for terms, which lie beside all others; in sanitised text what they cover is replaced once, by the first kind.
+Null ids are kept. Very long texts are read whole. Other columns are kept as they are, n_chars is counted anew. An empty table
+gives an empty one.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -31,12 +40,14 @@ PATTERNS = {
     "card": r"[0-9]++(?:[ -][0-9]++)++|[0-9]{2,}+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
+#: Codes: candidates for terms that name the subject of a text.
+CODE = r"(?<![A-Za-z0-9_])(?:[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|[0-9]{4}(?:[ -][0-9]{4}){3}|[A-Za-z0-9_]{16,}+)(?![A-Za-z0-9_])"
 #: What a text must contain for a kind to be looked for.
 HINTS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 
 NEAR, SUPPORT, GENERALISE, REMOVE = 5, 3, 0.8, 0.97
-#: Characters to either side of a mention in which the near words are looked for.
-REACH = 120
+#: Characters to either side of a mention in which the near words are looked for, and those that are a code's context.
+REACH, CONTEXT = 120, 16
 _MARK, _OTHER = "\x01", "\x02"  # neither is part of any pattern
 _SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
 
@@ -50,13 +61,16 @@ def valid(kind: str, value: Column) -> Column:
         return F.length(digits).between(16, 19) & F.call_function("luhn_check", digits)
     if kind == "phone":
         return F.length(digits).between(8, 15)
+    if kind == "code":  # words, and words with a short number behind, are none
+        return (F.length(digits) > 0) & ~value.rlike("^[a-z_]+[0-9]{1,4}$")
     return F.lit(True)
 
 
 def kind_spans(text: Column, kind: str) -> Column:
     """The spans of one kind, in code points: matches are marked, the text is split at the marks, and lengths are added up."""
+    pattern = CODE if kind == "code" else PATTERNS[kind]
     clean = F.when(F.contains(text, F.lit(_MARK)), F.translate(text, _MARK, _OTHER)).otherwise(text)
-    parts = F.split(F.regexp_replace(clean, PATTERNS[kind], f"{_MARK}$0{_MARK}"), _MARK)
+    parts = F.split(F.regexp_replace(clean, pattern, f"{_MARK}$0{_MARK}"), _MARK)
     start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast(_SPANS).alias("spans"))
 
     def step(acc, part):
@@ -65,8 +79,8 @@ def kind_spans(text: Column, kind: str) -> Column:
         return F.struct(end.alias("at"), (~acc["inside"]).alias("inside"), F.when(acc["inside"] & valid(kind, part), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
     found = F.aggregate(parts, start, step, lambda acc: acc["spans"])
-    hint = F.contains(text, F.lit(HINTS[kind])) if HINTS[kind] else F.lit(True)
-    return F.when(hint & text.rlike(PATTERNS[kind]), found).otherwise(F.array().cast(_SPANS))
+    hint = F.contains(text, F.lit(HINTS[kind])) if HINTS.get(kind) else F.lit(True)
+    return F.when(hint & text.rlike(pattern), found).otherwise(F.array().cast(_SPANS))
 
 
 def base_spans(text: Column) -> Column:
@@ -74,6 +88,10 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[kind_spans(text, k) for k in KINDS])
 
 
+def overlaps(spans: Column, start: Column, end: Column) -> Column:
+    return F.exists(spans, lambda s: (s["start"] < end) & (s["end"] > start))
+
+
 def text_key(text: Column) -> Column:
     return F.concat(F.xxhash64(text).cast("string"), F.lit(":"), F.length(text).cast("string"))
 
@@ -92,13 +110,22 @@ def _mentions(held: DataFrame) -> DataFrame:
     return span.select("doc_id", "key", entity.alias("entity"), F.explode(F.array_distinct(near)).alias("term"))
 
 
-def disclosing_terms(docs: DataFrame, held: DataFrame) -> DataFrame:
-    """(term, entity, share) of the terms that reveal an entity. held: doc_id, key, text, spans of the documents with entities."""
+def code_shares(held: DataFrame, n: float) -> DataFrame:
+    """(value, subjects, share) of each code in held (codes, text): how much of its subject's information it gives away."""
+    near = lambda c: F.xxhash64(F.expr(f"substring(text, greatest(1, {c}.start + 1 - {CONTEXT}), least({c}.start, {CONTEXT}))"), F.expr(f"substring(text, {c}.end + 1, {CONTEXT})"))
+    mentions = held.select(F.explode("codes").alias("c"), "text").select("c.value", near("c").alias("context"))
+    contexts = mentions.groupBy("value", "context").agg(F.count("*").alias("n"))
+    subjects = contexts.groupBy("value").agg((F.sum("n") / F.max("n")).alias("subjects"))
+    return subjects.withColumn("share", F.greatest(F.log(F.lit(n) / F.col("subjects")) / F.log(F.lit(n)), F.lit(0.0)))
+
+
+def disclosing_terms(docs: DataFrame, held: DataFrame, rows: float) -> DataFrame:
+    """(term, entity, share) of the terms that reveal an entity. held: doc_id, key, text, spans of the documents with entities; rows: of docs."""
     near = stored(_mentions(held).distinct())
     seen = near.groupBy("entity", "term", "key").agg(F.count("*").alias("rows")).groupBy("entity", "term").agg(F.sum("rows").alias("together"), F.count("*").alias("texts"))
     entities = held.select("doc_id", "key", F.explode(F.array_distinct(F.transform("spans", lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"]))))).alias("entity")).groupBy("entity").agg(F.count("*").alias("df_entity"))
     pairs = stored(seen.where(F.col("texts") >= SUPPORT).join(entities, "entity"))
-    n = F.lit(float(max(docs.count(), 2)))
+    n = F.lit(rows)
 
     def share(df_term):
         return F.log(F.col("together") * n / (F.col(df_term) * F.col("df_entity"))) / F.log(F.greatest(n / F.col("df_entity"), F.lit(1.0001)))
@@ -113,8 +140,8 @@ def disclosing_terms(docs: DataFrame, held: DataFrame) -> DataFrame:
     return known.select("term", "entity", F.least(share("df_term"), F.lit(1.0)).alias("share")).where(F.col("share") >= GENERALISE)
 
 
-def term_spans(held: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc_id, key, terms array) of the places where a revealing term stands in a document with its entity."""
+def word_spans(held: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, key, span) of the places where a revealing word stands in a document with its entity."""
     entity = F.transform("spans", lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"])))
     pairs = held.select("doc_id", "key", F.explode(F.array_distinct(entity)).alias("entity")).join(broadcast_if_small(terms), "entity")
     shares = pairs.groupBy("doc_id", "key", "term").agg(F.max("share").alias("share")).groupBy("doc_id", "key").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares"))
@@ -125,22 +152,36 @@ def term_spans(held: DataFrame, terms: DataFrame) -> DataFrame:
 
     def step(acc, part):
         end, share = acc["at"] + F.length(part), F.try_element_at("shares", F.lower(part))
-        free = ~F.exists("spans", lambda s: (s["start"] < end) & (s["end"] > acc["at"]))
-        span = F.struct(F.when(share >= REMOVE, "removed").otherwise("term").alias("kind"), acc["at"].alias("start"), end.alias("end"), part.alias("value"))
+        free = ~overlaps(F.concat("spans", "codes"), acc["at"], end)
+        span = F.struct(_done(share).alias("kind"), acc["at"].alias("start"), end.alias("end"), part.alias("value"))
         return F.struct(end.alias("at"), F.when(share.isNotNull() & free, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
-    return rows.select("doc_id", "key", F.aggregate(parts, start, step, lambda acc: acc["out"]).alias("terms")).where(F.size("terms") > 0)
+    return rows.select("doc_id", "key", F.explode(F.aggregate(parts, start, step, lambda acc: acc["out"])).alias("span"))
+
+
+def _done(share: Column) -> Column:
+    return F.when(share >= REMOVE, "removed").otherwise("term")
+
+
+def term_spans(held: DataFrame, words: DataFrame, codes: DataFrame) -> DataFrame:
+    """(doc_id, key, terms): the places of revealing words and codes in each document that has some, in order."""
+    each = held.select("doc_id", "key", F.explode("codes").alias("c")).join(broadcast_if_small(codes.where(F.col("share") >= GENERALISE)), F.col("c.value") == F.col("value"))
+    found = each.select("doc_id", "key", F.struct(_done(F.col("share")).alias("kind"), "c.start", "c.end", "c.value").alias("span"))
+    order = lambda a, b: a["start"] - b["start"]
+    return word_spans(held.where("size(spans) > 0"), words).unionByName(found).groupBy("doc_id", "key").agg(F.array_sort(F.collect_list("span"), order).alias("terms"))
 
 
 def spans_of(docs: DataFrame) -> DataFrame:
     """doc_id, key, spans (base) and terms (revealing) of each row."""
     text = F.coalesce("text", F.lit(""))
-    found = stored(docs.select("doc_id", text_key(text).alias("key"), base_spans(text).alias("spans"), text.alias("text")).withColumn("text", F.when(F.size("spans") > 0, F.col("text"))))
-    held = found.where("size(spans) > 0")
-    revealing = stored(disclosing_terms(docs, held))
-    terms = stored(term_spans(held.dropDuplicates(["doc_id", "key"]), revealing))
-    joined = found.drop("text").join(broadcast_if_small(terms.withColumnsRenamed({"doc_id": "__pii_id", "key": "__pii_key"})), F.col("doc_id").eqNullSafe(F.col("__pii_id")) & (F.col("key") == F.col("__pii_key")), "left")
+    codes = F.filter(kind_spans(text, "code"), lambda c: ~overlaps(F.col("spans"), c["start"], c["end"]))
+    found = docs.select("doc_id", text_key(text).alias("key"), base_spans(text).alias("spans"), text.alias("text")).withColumn("codes", codes)
+    found = stored(found.withColumn("text", F.when((F.size("spans") > 0) | (F.size("codes") > 0), F.col("text"))))
+    held, n = found.where("text is not null"), float(max(found.count(), 2))
+    words = stored(disclosing_terms(docs, held.where("size(spans) > 0"), n))
+    terms = stored(term_spans(held.dropDuplicates(["doc_id", "key"]), words, stored(code_shares(held, n))))
+    joined = found.select("doc_id", "key", "spans").join(broadcast_if_small(terms.withColumnsRenamed({"doc_id": "__pii_id", "key": "__pii_key"})), F.col("doc_id").eqNullSafe(F.col("__pii_id")) & (F.col("key") == F.col("__pii_key")), "left")
     return joined.select("doc_id", "key", "spans", F.coalesce("terms", F.array().cast(_SPANS)).alias("terms"))
 
 
@@ -155,13 +196,18 @@ def find_pii(docs: DataFrame) -> DataFrame:
     return spans_of(docs).select("doc_id", *map(count, KINDS), F.sha2(_listed(F.col("spans")).cast("binary"), 256).alias("base_sha256"), _listed(by_kind).alias("spans"))
 
 
+def general_word(value: Column) -> Column:
+    """What a term is, in general."""
+    return F.when(value.rlike("^[0-9 -]+$"), "number").when(value.rlike("[0-9]"), "code").when(value.rlike(r"^\p{Lu}"), "name").otherwise("word")
+
+
 def replaced(text: Column, spans: Column) -> Column:
-    """The text with what the spans cover replaced by its kind in brackets; `removed` is replaced by nothing."""
+    """The text with what the spans cover replaced by its kind or general word in brackets; `removed` is replaced by nothing."""
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc, s):
         before = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        put = F.when(s["kind"] == "removed", "").otherwise(F.concat(F.lit("["), s["kind"], F.lit("]")))
+        put = F.when(s["kind"] == "removed", "").otherwise(F.concat(F.lit("["), F.when(s["kind"] == "term", general_word(s["value"])).otherwise(s["kind"]), F.lit("]")))
         new = F.struct(s["end"].alias("at"), F.concat(acc["out"], before, put).alias("out"))
         return F.when(s["end"] <= acc["at"], acc).otherwise(new)
 
