@@ -2,13 +2,16 @@
 
 Method: a text is brought to NFKC, case-folded and normalised again, its white space folded to single spaces and trimmed;
 the 128-bit xxh3 of its UTF-8 is the fingerprint. Documents are grouped by fingerprint, and inside a bucket of equal
-fingerprints the canonical texts are compared byte by byte with that of the bucket's smallest document.
+fingerprints the canonical texts are compared byte by byte.
 
-Scale: the fingerprint is a map. Grouping aggregates (fingerprint, smallest id, count) before its shuffle and only
-buckets of two and more ship texts; those join their bucket's representative, a join Spark splits when a bucket is hot.
+Scale: the fingerprint is a map. Grouping counts before its shuffle, and only buckets of two and more compare texts: each task
+keeps the least and greatest of a bucket, so that a hot bucket moves two texts a task. Groups join the documents by their
+fingerprint: sent to executors if measured and small. The next document is found within ranges of ids, whose number follows the
+shuffle partitions.
 
 Defined cases: null text is the empty text; all texts of white space alone have the fingerprint of the empty text. Null ids
-order first and are in no group. Rows that share an id order by text. Other columns are not read. An empty table gives an empty one.
+order first and are in no group. Rows that share an id order by fingerprint, then compressed bytes, and equal rows have equal
+results but for the last of them. Very long texts are read whole. Other columns are not read. An empty table gives an empty one.
 """
 
 import hashlib
@@ -18,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from taleweave.llm.arrow_text import rows_to_batch, text_slices
-from taleweave.llm.lineage import broadcast_if_small, stored
+from taleweave.llm.arrow_text import row_slices, rows_to_batch, text_slices
+from taleweave.llm.lineage import broadcast_if_small, join_hot, stored
 
 
 def canonical(text: str | None) -> str:
@@ -43,33 +46,49 @@ def likeness(a, b):
     return F.when(a == b, 1.0).otherwise(0.0)
 
 
-def exact_groups(prints: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint, group_id, group_size) of documents in groups of two and more whose canonical texts are equal byte by byte.
+def exact_groups(prints: DataFrame, docs: DataFrame, digest=fingerprint) -> DataFrame:
+    """(fingerprint, canon_sha256, group_id, group_size) of the groups of two and more documents whose canonical texts are equal byte by byte.
 
-    prints: doc_id, fingerprint of docs. group_id is the smallest doc_id of the group, group_size its rows. A text that differs from
-    its bucket's representative (a collision of 128-bit hashes) is in a group of those with its bytes.
+    prints: doc_id, fingerprint of docs, by digest. group_id is the smallest doc_id of the group, group_size its rows. The bytes of a
+    bucket are compared with each other by its least and its greatest text, in each task before the shuffle, so that a hot bucket moves
+    one text a task. If they are equal, the bucket is one group and canon_sha256 is null; else (a collision) it is as many as it has texts.
     """
-    buckets = stored(prints.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")).where("size > 1"))
-    shared = stored(prints.where("doc_id is not null").join(broadcast_if_small(buckets), "fingerprint").select("doc_id", "fingerprint", "rep"))
-    ids = shared.select("doc_id").distinct()
-    wanted = docs.select("doc_id", "text").join(broadcast_if_small(ids), "doc_id", "left_semi")
-
-    def canonical_rows(batches):
-        import xxhash
-
+    buckets = stored(prints.where("doc_id is not null").groupBy("fingerprint").agg(F.count("*").alias("members")).where("members > 1"))
+    ids = stored(join_hot(prints.where("doc_id is not null"), buckets, "fingerprint", "members").select("doc_id").distinct())
+    texts = canonical_texts(docs.join(broadcast_if_small(ids), "doc_id", "left_semi"), digest)
+    ends = stored(texts.groupBy("fingerprint").agg(F.min("canon").alias("least"), F.max("canon").alias("most"), F.min("doc_id").alias("group_id"), F.count("*").alias("group_size")).withColumn("same", F.col("least") == F.col("most")))
+    groups = ends.where("same and group_size > 1").select("fingerprint", F.lit(None).cast("string").alias("canon_sha256"), "group_id", "group_size")
+    several = ends.where("not same").select("fingerprint")
+    if several.isEmpty():
+        return groups
+    apart = texts.join(broadcast_if_small(several), "fingerprint").groupBy("fingerprint", "canon").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("group_size"))
+    return groups.unionByName(apart.select("fingerprint", F.sha2("canon", 256).alias("canon_sha256"), "group_id", "group_size"))
+
+
+def canonical_texts(docs: DataFrame, digest=fingerprint) -> DataFrame:
+    """doc_id, fingerprint, canon of each document."""
+
+    def run(batches):
         for batch in batches:
             ids = batch.column("doc_id")
             for first, rows in text_slices(batch):
-                texts = [canonical(r.decode()) for r in rows]
-                yield rows_to_batch(_CANON, {"doc_id": ids.slice(first, len(rows)), "fingerprint": [xxhash.xxh3_128_hexdigest(t.encode()) for t in texts], "canon": texts})
+                texts = [r.decode() for r in rows]
+                yield rows_to_batch(_CANON, {"doc_id": ids.slice(first, len(rows)), "fingerprint": list(map(digest, texts)), "canon": list(map(canonical, texts))})
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint string, canon string")
 
-    texts = wanted.mapInArrow(canonical_rows, "doc_id long, fingerprint string, canon string").join(broadcast_if_small(buckets), "fingerprint")
-    reps = texts.where("doc_id = rep").groupBy("fingerprint").agg(F.min("canon").alias("rep_canon"))
-    checked = texts.join(reps, "fingerprint").select("doc_id", "fingerprint", F.when(F.col("canon") != F.col("rep_canon"), F.sha2("canon", 256)).alias("apart"))
-    checked = stored(checked)
-    sizes = checked.groupBy("fingerprint", "apart").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("group_size"))
-    same = checked.distinct().join(sizes.withColumnsRenamed({"fingerprint": "f", "apart": "g"}), (F.col("fingerprint") == F.col("f")) & F.col("apart").eqNullSafe(F.col("g")))
-    return same.select("doc_id", "fingerprint", "group_id", "group_size")
+
+def with_groups(prints: DataFrame, docs: DataFrame, digest=fingerprint) -> DataFrame:
+    """prints (doc_id, fingerprint, ...) with group_id and group_size."""
+    groups = stored(exact_groups(prints.select("doc_id", "fingerprint"), docs, digest))
+    whole, apart = groups.where("canon_sha256 is null").drop("canon_sha256"), groups.where("canon_sha256 is not null")
+    found = prints.join(broadcast_if_small(whole), "fingerprint", "left")
+    if not apart.isEmpty():  # documents of buckets in which hashes collide are told apart by their texts
+        texts = canonical_texts(docs.join(prints.join(apart.select("fingerprint").distinct(), "fingerprint", "left_semi").select("doc_id").distinct(), "doc_id", "left_semi"), digest)
+        own = texts.select("doc_id", "fingerprint", F.sha2("canon", 256).alias("canon_sha256")).join(apart, ["fingerprint", "canon_sha256"]).groupBy("doc_id", "fingerprint").agg(F.min("group_id").alias("g"), F.max("group_size").alias("s"))
+        found = found.join(own, ["doc_id", "fingerprint"], "left").withColumns({"group_id": F.coalesce("group_id", "g"), "group_size": F.coalesce("group_size", "s")}).drop("g", "s")
+    grouped = F.col("doc_id").isNotNull()
+    return found.withColumns({"group_id": F.when(grouped, F.coalesce("group_id", "doc_id")), "group_size": F.when(grouped, F.coalesce("group_size", F.lit(1))).otherwise(1)})
 
 
 def with_next(rows: DataFrame, order: str, prepare, payload: list[str]) -> DataFrame:
@@ -79,13 +98,13 @@ def with_next(rows: DataFrame, order: str, prepare, payload: list[str]) -> DataF
     range's first row also goes to the range before, as the row that its last one looks ahead to. prepare maps rows and keeps
     the columns _range and _ahead; rows that share an id order by the payload.
     """
-    buckets = min(2000, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = min(100_000, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # One row of at most `buckets` ids comes to the driver.
     head = rows.agg(
-        F.min(order).alias("first"), F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 20 * buckets).alias("cuts"), F.count_if(F.col(order).isNull()).alias("nulls")
+        F.min(order).alias("first"), F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 4 * buckets).alias("cuts"), F.count_if(F.col(order).isNull()).alias("nulls")
     ).first()
     cuts = sorted({head["first"], *(head["cuts"] or [])} - {None})
-    ranged = rows.withColumn("_range", _range_of(F.col(order), cuts, 0, len(cuts)) if cuts else F.lit(0))
+    ranged = rows.withColumn("_range", _range_of(F.col(order), cuts) if cuts else F.lit(0))
     heads = ranged.where(F.col(order).isin(cuts)) if cuts else ranged
     if head["nulls"]:  # ids that are null stand before all
         first = ranged.where(F.col(order).isNull())
@@ -99,12 +118,18 @@ def with_next(rows: DataFrame, order: str, prepare, payload: list[str]) -> DataF
     return both.withColumns({f"next_{c}": F.lead(c).over(window) for c in payload}).where(~F.col("_ahead")).drop("_ahead", "_range")
 
 
-def _range_of(value, cuts, low, high):
+def _range_of(value, cuts):
     """How many of the sorted cuts are <= value, by halving; 0 for null."""
-    if low == high:
-        return F.lit(low)
-    mid = (low + high) // 2
-    return F.when(value >= F.lit(cuts[mid]), _range_of(value, cuts, mid + 1, high)).otherwise(_range_of(value, cuts, low, mid))
+    held, steps = F.lit(cuts), len(cuts).bit_length()
+
+    def half(bounds, _):
+        mid = F.floor((bounds["low"] + bounds["high"]) / 2).cast("int")
+        up = F.get(held, mid) <= value
+        more = bounds["low"] < bounds["high"]
+        return F.struct(F.when(more & up, mid + 1).otherwise(bounds["low"]).alias("low"), F.when(more & ~up, mid).otherwise(bounds["high"]).alias("high"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high")), half, lambda b: b["low"])
+    return F.when(value.isNull(), 0).otherwise(found)
 
 
 _CANON = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.string()), ("canon", pa.string())])
@@ -132,15 +157,16 @@ def _edited(batches):
 
     press = zstandard.ZstdDecompressor()
     for batch in batches:
-        out = {f.name: [] for f in _EDITED}
-        for doc_id, mine, packed, theirs, after in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "fingerprint", "packed", "next_fingerprint", "next_packed"))):
-            text, following = press.decompress(packed).decode(), press.decompress(after).decode()
-            quarter = len(text) // 4
-            edited = text[: len(text) - quarter] + following[:quarter]
-            values = (doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), mine, fingerprint(edited), theirs)
-            for column, value in zip(out.values(), values):
-                column.append(value)
-        yield rows_to_batch(_EDITED, out)
+        for _, part in row_slices(batch, ["packed", "next_packed"]):
+            out = {f.name: [] for f in _EDITED}
+            for doc_id, mine, packed, theirs, after in zip(*(part.column(c).to_pylist() for c in ("doc_id", "fingerprint", "packed", "next_fingerprint", "next_packed"))):
+                text, following = press.decompress(packed).decode(), press.decompress(after).decode()
+                quarter = len(text) // 4
+                edited = text[: len(text) - quarter] + following[:quarter]
+                values = (doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), mine, fingerprint(edited), theirs)
+                for column, value in zip(out.values(), values):
+                    column.append(value)
+            yield rows_to_batch(_EDITED, out)
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
@@ -152,10 +178,8 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     near = with_next(docs.select("doc_id", "text"), "doc_id", prepare, ["fingerprint", "packed"])
     columns = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, next_fingerprint string"
     prints = stored(near.mapInArrow(_edited, columns))
-    groups = stored(exact_groups(prints.select("doc_id", "fingerprint"), docs))
-    return prints.join(broadcast_if_small(groups), ["doc_id", "fingerprint"], "left").select(
+    return with_groups(prints, docs).select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
-        F.coalesce("group_id", "doc_id").alias("group_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"),
+        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"), "group_id", "group_size",
     )

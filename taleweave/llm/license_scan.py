@@ -2,14 +2,16 @@
 
 Method: a notice of n characters that may differ by k edits is cut into k + 1 pieces; by the pigeonhole principle one
 piece stands unchanged in any text within k edits. All pieces of all notices are found in one pass of an Aho-Corasick
-automaton; around each hit the regex library's bounded-error matching (`{e<=k}`) confirms the notice and gives its span.
+automaton; the runs of whole words around each hit that could be the notice are confirmed by the regex library's bounded-error
+matching (`{e<=k}`) of the whole run, which counts the edits (a search within a window misses some matches at word ends).
 
 The scan is a map over rows: no shuffle, nothing shared but the notices, so a hot source is only more rows.
 
-Defined cases: null or empty text has no words, no places and score 0. Repeated rows give repeated results. Very long
-texts are read whole. Other columns of the input, whatever their names, are not read. An empty table gives an empty one.
+Defined cases: null or empty text has no words, no places and score 0. Repeated rows give repeated results. Of notices that
+overlap, the one with fewest edits stays, then the first, then the shorter. Very long texts are read whole, in time linear in them. Other columns of the input, whatever their names, are not read. An empty table gives an empty one.
 """
 
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -75,8 +77,7 @@ def _compiled(notices):
     for piece, where in seeds.items():
         automaton.add_word(piece, (len(piece), where))
     automaton.make_automaton()
-    # A notice in a text never begins or ends inside a word, so the edits are counted between word ends.
-    patterns = [regex.compile(rf"(?e)(?<![^ ])(?:{regex.escape(n, special_only=True)}){{e<={e}}}(?![^ ])") for n, _, e in notices]
+    patterns = [regex.compile(rf"(?b)(?:{regex.escape(n, special_only=True)}){{e<={e}}}") for n, _, e in notices]
     return automaton, patterns
 
 
@@ -90,11 +91,17 @@ def word_counts(rows: list[bytes]) -> np.ndarray:
     return total[starts[1:]] - total[starts[:-1]]
 
 
+def spaces_of(folded: str) -> np.ndarray:
+    """Where the spaces of the folded text are; it has one before each word, so their count before a place is a word's number."""
+    return np.flatnonzero(np.frombuffer(folded.encode("utf-32-le"), dtype=np.uint32) == 32)
+
+
 def places(folded: str, phrase: str) -> list[int]:
-    """Word numbers at which the phrase's words stand consecutively; folded has a space before and after each word."""
-    found, at, needle = [], folded.find(f" {phrase} "), f" {phrase} "
+    """The characters at which the phrase's words stand consecutively, each with a space before and after."""
+    needle, found = f" {phrase} ", []
+    at = folded.find(needle)
     while at >= 0:
-        found.append(folded.count(" ", 0, at))
+        found.append(at)
         at = folded.find(needle, at + 1)
     return found
 
@@ -102,31 +109,29 @@ def places(folded: str, phrase: str) -> list[int]:
 def fuzzy_spans(folded: str, notices=NOTICES) -> list[tuple[int, int, str, int]]:
     """(start, end, label, edits) of each notice found, in characters of the folded text; the best of those that overlap."""
     automaton, patterns = _compiled(notices)
-    windows: dict[int, list[tuple[int, int]]] = {}
+    runs: set[tuple[int, int, int]] = set()  # notice, start and end of whole words that may be it
+    spaces: list[int] = []
     for end, (size, where) in automaton.iter(folded):
+        spaces = spaces or spaces_of(folded).tolist()
         for k, offset in where:
             notice, _, edits = notices[k]
-            start = end + 1 - size - offset
-            spans = windows.setdefault(k, [])
-            a, b = max(0, start - edits - 1), start + len(notice) + edits + 1
-            if spans and a <= spans[-1][1]:
-                spans[-1] = (min(a, spans[-1][0]), max(b, spans[-1][1]))  # hits of one place share a window
-            else:
-                spans.append((a, b))
+            # With at most `edits` edits, the notice begins and ends this far from where its piece says.
+            first = end + 1 - size - offset
+            last = first + len(notice)
+            for i in range(bisect_left(spaces, first - edits - 1), bisect_right(spaces, first + edits - 1)):
+                for j in range(max(i + 1, bisect_left(spaces, last - edits)), bisect_right(spaces, last + edits)):
+                    if abs(spaces[j] - spaces[i] - 1 - len(notice)) <= edits:
+                        runs.add((k, spaces[i] + 1, spaces[j]))
     found = []
-    for k, spans in windows.items():
-        notice, label, edits = notices[k]
-        short = min(len(p) for _, p in pieces(notice, edits))
-        for a, b in spans:
-            if b - a < len(notice) - edits or short == 0:
-                continue
-            for m in patterns[k].finditer(folded, a, b, overlapped=False):
-                found.append((sum(m.fuzzy_counts), m.start(), m.end(), label))
-    best: list[tuple[int, int, str, int]] = []
+    for k, a, b in runs:
+        if m := patterns[k].fullmatch(folded, a, b):
+            found.append((sum(m.fuzzy_counts), a, b, notices[k][1]))
+    best: list[tuple[int, int, str, int]] = []  # apart from each other, in order
     for edits, a, b, label in sorted(found):
-        if all(b <= x or a >= y for x, y, _, _ in best):
-            best.append((a, b, label, edits))
-    return sorted(best)
+        i = bisect_left(best, (a,))
+        if (i == 0 or best[i - 1][1] <= a) and (i == len(best) or best[i][0] >= b):
+            best.insert(i, (a, b, label, edits))
+    return best
 
 
 def scan_text(raw: bytes, phrases=BASE_PHRASES, notices=NOTICES) -> dict:
@@ -134,22 +139,24 @@ def scan_text(raw: bytes, phrases=BASE_PHRASES, notices=NOTICES) -> dict:
     folded = " " + b" ".join(raw.translate(_FOLD).split(b" ")).decode("utf-8", "replace") + " "
     while "  " in folded:
         folded = folded.replace("  ", " ")
-    base, labels, at = [], set(), []
+    base, at = [], []
     for phrase, label in phrases:
         if phrase in folded and (hits := places(folded, phrase)):
             at += hits
             base.append(label)
     spans = fuzzy_spans(folded, notices)
+    if at or spans:  # word numbers, by running counts
+        spaces = spaces_of(folded)
+        at = np.searchsorted(spaces, at).tolist()
+        words = np.searchsorted(spaces, [s[:2] for s in spans]).tolist()
     labels = {*base, *(s[2] for s in spans)}
-    lengths = {label: 0 for label in labels}
     score = 1.0 if base else 0.0
-    for a, b, label, edits in spans:
+    for a, b, _, edits in spans:
         score = max(score, 1 - edits / max(1, b - a))
-        lengths[label] = max(lengths[label], b - a)
     return {
         "n_base": len(at), "first_word": min(at, default=None), "last_word": max(at, default=None),
         "base_labels": ",".join(sorted(set(base))), "labels": ",".join(sorted(labels)), "score": score,
-        "spans": ",".join(f"{label}:{folded.count(' ', 0, a)}:{folded.count(' ', 0, b)}:{edits}" for a, b, label, edits in spans),
+        "spans": ",".join(f"{label}:{words[i][0]}:{words[i][1]}:{edits}" for i, (_, _, label, edits) in enumerate(spans)),
     }
 
 

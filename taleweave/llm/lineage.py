@@ -1,4 +1,4 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables in the folder that driver and executors share, and joins that fit their sizes."""
 
 import tempfile
 import uuid
@@ -48,3 +48,21 @@ def measured_bytes(df: DataFrame) -> int:
 def broadcast_if_small(df: DataFrame) -> DataFrame:
     """The rows, marked for broadcast if they are measured and found small; else as they are, to be joined by a shuffle."""
     return F.broadcast(df) if measured_bytes(df) <= BROADCAST_BYTES else df
+
+
+#: A key is hot if it has more rows than HOT_ROWS and than a HOT_KEYS-th of all, so that there are at most HOT_KEYS hot keys.
+HOT_ROWS, HOT_KEYS = 1000, 50_000
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, members: str) -> DataFrame:
+    """rows joined with keyed, which has one row a key and says in the column members how many rows the key has in rows.
+
+    Hot keys, at most HOT_KEYS, are sent to where the rows are; rows of the other keys are shuffled. Both tables should be stored.
+    """
+    total = keyed.agg(F.coalesce(F.sum(members), F.lit(0))).first()[0]
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    hot = keyed.where(F.col(members) > limit)
+    if hot.isEmpty():
+        return rows.join(keyed, key)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(keyed.where(F.col(members) <= limit), key)
+    return cold.unionByName(rows.join(F.broadcast(hot), key))

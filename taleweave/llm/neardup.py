@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from taleweave.llm.arrow_text import joined, mixed, row_slices, rows_to_batch, span_hashes, text_slices
-from taleweave.llm.lineage import broadcast_if_small, stored
+from taleweave.llm.lineage import broadcast_if_small, join_hot, stored
 
 WORDS = 5
 #: Values of a signature, and how many must be equal. At likeness 0.85, 17 of 32 or fewer are equal once in 20,000 pairs.
@@ -114,10 +114,10 @@ def features(docs: DataFrame) -> DataFrame:
 def prefix_postings(sets: DataFrame, matches: int = MATCHES) -> DataFrame:
     """(token, id, held, prefix) under which a class can meet another that shares so many tokens with it; held: how many of its tokens others have."""
     posts = sets.select("id", F.explode("tokens").alias("token"))
-    shared = posts.groupBy("token").agg(F.count("*").alias("posted")).where("posted > 1")
+    shared = stored(posts.groupBy("token").agg(F.count("*").alias("posted")).where("posted > 1"))
     rare_first = Window.partitionBy("id").orderBy("posted", "token")
     every = Window.partitionBy("id")
-    held = posts.join(shared, "token").withColumn("nth", F.row_number().over(rare_first)).withColumn("held", F.count("*").over(every))
+    held = join_hot(posts, shared, "token", "posted").withColumn("nth", F.row_number().over(rare_first)).withColumn("held", F.count("*").over(every))
     # Tokens of its own come first in a document's order; then these, up to the matches - 1 most frequent.
     kept = held.where(F.col("nth") <= F.col("held") - (matches - 1))
     return kept.select("token", "id", "held", F.collect_list("token").over(every).alias("prefix"))  # at most COORDINATES rows a window
@@ -173,15 +173,12 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def _labelled(posts: DataFrame, labels: DataFrame) -> DataFrame:
-    return posts.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-
-
 def class_links(sets: DataFrame, docs: DataFrame, percent: int = PERCENT, matches: int = MATCHES) -> DataFrame:
     """(id, component) of classes (id, n, tokens, sketch) that are linked with others."""
     posts = stored(prefix_postings(sets, matches))
-    pivots = posts.groupBy("token").agg(F.min("id").alias("low"), F.max(F.struct("held", "id")).alias("top"), F.count("*").alias("members")).where("members > 1")
-    near = posts.select("token", "id").join(pivots.select("token", F.explode(F.array_distinct(F.array("low", "top.id"))).alias("pivot")), "token").where("id != pivot")
+    pivots = stored(posts.groupBy("token").agg(F.min("id").alias("low"), F.max(F.struct("held", "id")).alias("top"), F.count("*").alias("members")).where("members > 1"))
+    near = join_hot(posts.select("token", "id"), pivots.select("token", "members", F.array_distinct(F.array("low", "top.id")).alias("pivots")), "token", "members")
+    near = near.select("id", F.explode("pivots").alias("pivot")).where("id != pivot")
     pairs = near.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     sides = sets.select("id", "n", "tokens", "sketch")
     stars = pairs.join(sides.alias("y"), F.col("b") == F.col("y.id")).join(sides.alias("x"), F.col("a") == F.col("x.id")).where(alike("x", "y", percent, matches))
@@ -221,12 +218,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, matches: int = MATC
 
 
 def keep_first(docs: DataFrame, percent: int = PERCENT, matches: int = MATCHES) -> DataFrame:
-    """One document of each group of near duplicates, with all columns: the one with the smallest id."""
+    """One document of each group of near duplicates, with all columns: the one with the smallest id; of rows with that id, one with the smallest text."""
     found = near_duplicates(docs, percent, matches)
     dropped = found.where(~F.col("kept")).select("doc_id").distinct()
     kept = docs.join(broadcast_if_small(stored(dropped)), "doc_id", "left_anti").select(docs.columns)
     repeated = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1 and doc_id is not null")
     if repeated.isEmpty():
         return kept
-    again = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rows = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    again = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(rows, F.struct(F.col("text"), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))).alias("__row")).select("__row.*")
     return kept.join(repeated, "doc_id", "left_anti").unionByName(again).select(docs.columns)

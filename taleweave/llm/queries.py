@@ -33,7 +33,7 @@ def op5_chat_layouts(spark, sf_dir):
     said = r"\### Assistant: </turn> ok"
     own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = conversations(spark, sf_dir).select("conv_id", "turn", "role", "text").unionByName(own)
-    return chat.read_back(chat.format_turns(chat.canonical_turns(chat.row_records(rows))))
+    return chat.read_back(chat.format_turns(chat.canonical_turns(chat.dealt_records(rows))))
 
 
 def op6_lexicon_bpe(spark, sf_dir):
