@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Patterns that decide what is read. Java's classes are Unicode with (?U).
 PAGE_NUMBER = r"(?U)^\s*[-–—\[\(]*\s*\d{1,4}\s*[-–—\]\)]*\s*$"
 NOTE_MARK = r"(?U)\[\s*(?:note\s*)?\d{1,3}\s*\]"
-LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\u0085  ]"
+LINE_BREAKS = "\x0b\x0c\r\x1c\x1d\x1e\u0085\u2028\u2029"
 CITATION = (
     r"\s*(?:(?:see\s+|cf\.?\s*|ibid\.?|e\.g\.?|i\.e\.?|vol\.?|chap\.?|pp?\.|vv?\.)"
     r"|(?:\d+\s*[:.]\s*\d+)|(?:[1-3]?\s*[A-Z][a-z]{1,5}\.?\s*\d)|(?:AD|BC|c\.|ca\.)?\s*\d{1,4}(?:[–-]\d{1,4})?)"
@@ -26,15 +26,20 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+#: What a text with a page number's line matches; most texts don't.
+_MAY_HAVE_NUMBER = r"(?m)^[^\p{L}\p{Nd}\n]*+\p{Nd}{1,4}[^\p{L}\p{Nd}\n]*$"
+
+
 def drop_page_numbers(text: Column) -> Column:
     """Lines that are only a decorated number of one to four digits go; lines are joined by line feeds."""
-    lines = F.split(text, LINE_BREAK)
-    lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
-    return F.array_join(F.filter(lines, lambda x: ~x.rlike(PAGE_NUMBER)), "\n")
+    lines = F.translate(F.replace(text, F.lit("\r\n"), F.lit("\n")), LINE_BREAKS, "\n" * len(LINE_BREAKS))
+    kept = lambda t: F.array_join(F.filter(F.split(t, "\n"), lambda x: ~x.rlike(PAGE_NUMBER)), "\n")
+    whole = F.regexp_replace(lines, r"\n\z", "")
+    return F.when(whole.rlike(_MAY_HAVE_NUMBER), kept(whole)).otherwise(whole)
 
 
 def drop_note_marks(text: Column) -> Column:
-    return F.regexp_replace(text, NOTE_MARK, "")
+    return F.when(F.contains(text, F.lit("[")), F.regexp_replace(text, NOTE_MARK, "")).otherwise(text)
 
 
 def drop_soft_hyphens(text: Column) -> Column:
@@ -55,7 +60,7 @@ def soften_semicolons(text: Column) -> Column:
 
 def space_ellipses(text: Column) -> Column:
     """A space before an ellipsis that follows a word character."""
-    return F.regexp_replace(text, r"(?U)(?<=\w)…", " …")
+    return F.when(F.contains(text, F.lit("…")), F.regexp_replace(text, r"(?U)(?<=\w)…", " …")).otherwise(text)
 
 
 def normalise(text: Column) -> Column:
@@ -68,7 +73,7 @@ def is_citation(inner: Column) -> Column:
 
 
 def strip_citations(text: Column) -> Column:
-    gone = F.regexp_replace(text, CITED, "")
+    gone = F.when(F.contains(text, F.lit("(")), F.regexp_replace(text, CITED, "")).otherwise(text)
     return F.regexp_replace(F.regexp_replace(gone, r"[ \t]{2,}", " "), r"(?U)\s+([,.;:])", "$1")
 
 

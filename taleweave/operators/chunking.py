@@ -14,7 +14,8 @@ ABBREVIATIONS = (
 LIST_MARKER = r"^[\(\[]?(?:[0-9]{1,3}|[ivxlIVXL]{1,5})[\)\].]{1,2}$"
 
 MAX_CHARS = 300
-_CUT = "\x01"
+#: Set between pieces: a code point that is no character, so that no text has it.
+CUT = "\ufdd0"
 _TEXTS = "array<string>"
 
 
@@ -29,43 +30,53 @@ def bound(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def false_break(head: Column, following: Column) -> Column:
-    """Whether a period at the end of head ends no sentence: lower case follows, head is a list marker, an initial or an abbreviation."""
-    word = F.lower(F.regexp_replace(F.regexp_extract(F.right(head, F.lit(80)), r"([A-Za-z](?:[A-Za-z.]*[A-Za-z])?)\.$", 1), r"\.", ""))
+def sentence_pieces(paragraph: Column) -> Column:
+    """text, break, text, break, ..., text: a paragraph split at all places where a sentence may end."""
+    marked = F.regexp_replace(F.translate(paragraph, CUT, ""), r"""(?U)(?<=[.!?])(["'”’)]*\s+)""", f"{CUT}$1{CUT}")
+    return F.split(marked, CUT)
+
+
+#: What a possible break is: the end of a sentence, none, or none if what stands before it begins a sentence.
+_ENDS, _STAYS, _MARKS = 0, 1, 2
+
+
+def break_kind(head: Column, following: Column) -> Column:
+    """The kind of the break after a piece. A period ends no sentence before lower case, after an initial or an abbreviation, and after a list marker that begins one."""
+    word = F.lower(F.regexp_replace(F.regexp_extract(F.right(F.substring_index(head, " ", -1), F.lit(80)), r"([A-Za-z](?:[A-Za-z.]*[A-Za-z])?)\.$", 1), r"\.", ""))
     short = bound(word, lambda w: (F.length(w) == 1) | w.isin(*ABBREVIATIONS))
     marker = (F.length(head) < 40) & trimmed(head).rlike(LIST_MARKER)
-    return F.when(F.endswith(head, F.lit(".")), following.rlike(r"^\p{javaLowerCase}") | marker | short).otherwise(False)
+    kind = F.when(following.rlike(r"^\p{javaLowerCase}"), _STAYS).when(short, _STAYS).when(marker, _MARKS).otherwise(_ENDS)
+    return F.when(F.endswith(head, F.lit(".")), kind).otherwise(_ENDS)
 
 
-def sentence_pieces(paragraph: Column) -> Column:
-    """text, break, text, break, ..., text: a paragraph split at all places where a sentence may end."""
-    marked = F.regexp_replace(F.translate(paragraph, _CUT, ""), r"""(?U)(?<=[.!?])(["'”’)]*\s+)""", f"{_CUT}$1{_CUT}")
-    return F.split(marked, _CUT)
+def false_break(head: Column, following: Column) -> Column:
+    """Whether a piece, at the beginning of a sentence, ends none."""
+    return break_kind(head, following) != _ENDS
 
 
 def sentences(paragraph: Column) -> Column:
-    """Sentences after . ! ? and white space; closing quotes at a break are lost with it, at a false break they stay."""
-
-    def fold(pieces):
-        def step(acc, k):
-            def judged(head):
-                def placed(going):
-                    whole = trimmed(head)
-                    done = F.when(whole != "", F.concat(acc["done"], F.array(whole))).otherwise(acc["done"])
-                    return F.struct(F.when(going, F.concat(head, F.get(pieces, 2 * k + 1))).otherwise("").alias("open"), F.when(going, acc["done"]).otherwise(done).alias("done"))
+    """Sentences after . ! ? and white space; closing quotes at a break are lost with it, at a false break they stay.
 
-                return bound(false_break(head, F.get(pieces, 2 * k + 2)), placed)
+    Breaks are judged each by itself, then the pieces are joined with a mark at the true ones and split there: no array or text grows
+    step by step. Only list markers in a row, of which the first is one, are gone through in order.
+    """
 
-            return bound(F.concat(acc["open"], F.get(pieces, 2 * k)), judged)
+    def settled(kinds):
+        def step(acc, kind):
+            now = F.when(kind == _MARKS, F.when(acc["last"] == _STAYS, _ENDS).otherwise(_STAYS)).otherwise(kind)
+            return F.struct(now.alias("last"), F.concat(acc["all"], F.array(now)).alias("all"))
 
-        def finish(acc):
-            return bound(trimmed(F.concat(acc["open"], F.element_at(pieces, -1))), lambda last: F.when(last != "", F.concat(acc["done"], F.array(last))).otherwise(acc["done"]))
+        start = F.struct(F.lit(_ENDS).alias("last"), F.array().cast("array<int>").alias("all"))
+        return F.when(F.array_contains(kinds, _MARKS), F.aggregate(kinds, start, step, lambda acc: acc["all"])).otherwise(kinds)
 
-        start = F.struct(F.lit("").alias("open"), F.array().cast(_TEXTS).alias("done"))
-        breaks = F.when(F.size(pieces) > 1, F.sequence(F.lit(0), ((F.size(pieces) - 3) / 2).cast("int"))).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(breaks, start, step, finish)
+    def split(pieces):
+        places = F.sequence(F.lit(0), ((F.size(pieces) - 3) / 2).cast("int"))
+        kinds = F.transform(places, lambda k: break_kind(F.get(pieces, 2 * k), F.get(pieces, 2 * k + 2)))
+        shown = lambda kinds: F.transform(pieces, lambda piece, i: F.when((i % 2 == 1) & (F.get(kinds, ((i - 1) / 2).cast("int")) == _ENDS), CUT).otherwise(piece))
+        joined = bound(settled(kinds), lambda kinds: F.array_join(shown(kinds), ""))
+        return F.when(F.size(pieces) > 1, F.split(joined, CUT)).otherwise(pieces)
 
-    return bound(sentence_pieces(paragraph), fold)
+    return F.filter(F.transform(bound(sentence_pieces(paragraph), split), trimmed), lambda x: x != "")
 
 
 def fit(sentence: Column, most: int = MAX_CHARS) -> Column:
@@ -82,8 +93,8 @@ def fit(sentence: Column, most: int = MAX_CHARS) -> Column:
         place = bound(F.reverse(F.substring(rest, 1, most)), lambda head: F.when(last(head, ",") >= most // 2, last(head, ",")).when(last(head, " ") > 0, last(head, " ")).otherwise(most))
         return F.when(F.length(rest) > most, bound(place, cut_at)).otherwise(acc)
 
-    # Each cut uses up a comma, a space or `most` characters.
-    cuts = F.length(sentence) - F.length(F.translate(sentence, ", ", "")) + F.ceil(F.length(sentence) / most).cast("int") + 1
+    # Two cuts in a row use up at least `most` characters: behind a cut at the last space there is none up to where the window ended.
+    cuts = 2 * F.ceil(F.length(sentence) / most).cast("int") + 2
     start = F.struct(sentence.alias("rest"), F.array().cast(_TEXTS).alias("out"))
     folded = F.aggregate(F.sequence(F.lit(1), cuts), start, step, lambda a: F.when(a["rest"] != "", F.concat(a["out"], F.array(a["rest"]))).otherwise(a["out"]))
     return F.when(F.length(sentence) > most, folded).otherwise(F.array(sentence))

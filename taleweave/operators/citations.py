@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 from taleweave.functions.speech import CITED, pre_clean, words
 
 CONTEXT, EXAMPLES = 60, 300
-_MARK = "\x01"
+#: A code point that is no character, so that no text has it.
+_MARK = "\ufdd0"
 
 
 def find_citations(docs: DataFrame, keys: list[str], text: str = "text", context: int = CONTEXT) -> DataFrame:
     """keys, occurrence (from 1), citation, before, after: what dropping citations removes from the pre-cleaned text, with context."""
-    clean = docs.select(*keys, F.translate(pre_clean(F.col(text)), _MARK, "").alias("_t"))
+    clean = docs.where(F.contains(text, F.lit("("))).select(*keys, F.translate(pre_clean(F.col(text)), _MARK, "").alias("_t"))
     parts = clean.withColumn("_p", F.split(F.regexp_replace("_t", CITED, f"{_MARK}$0{_MARK}"), _MARK)).where(F.size("_p") > 1)
     ends = F.transform("_p", F.length)
     held = parts.select(*keys, "_t", F.posexplode("_p").alias("_n", "citation"), ends.alias("_e")).where(F.col("_n") % 2 == 1)

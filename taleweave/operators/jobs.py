@@ -99,9 +99,17 @@ def live_workers(workers: DataFrame, now: Column, stale: float = STALE_SECONDS)
     return workers.where(F.unix_micros(now) - F.unix_micros("last_seen") < int(stale * 1e6))
 
 
-def orphans(jobs: DataFrame, live: DataFrame, worker: str = "worker") -> DataFrame:
-    """Running jobs whose worker isn't live: cancelled if that was asked for, else queued again."""
-    lost = jobs.where(F.col("status").isin(*RUNNING)).join(live.select(F.col("id").alias(worker)), worker, "left_anti")
+def orphans(jobs: DataFrame, live: DataFrame, worker: str | None = "worker") -> DataFrame:
+    """Running jobs whose worker isn't live: cancelled if that was asked for, else queued again.
+
+    worker: the column that says whose a job is; None where one worker does all jobs: then all are orphans while none is live.
+    """
+    running = jobs.where(F.col("status").isin(*RUNNING))
+    if worker:
+        lost = running.join(live.select(F.col("id").alias(worker)), worker, "left_anti")
+    else:
+        anyone = F.broadcast(live.select(F.lit(1).alias("_one")).limit(1))
+        lost = running.withColumn("_one", F.lit(1)).join(anyone, "_one", "left_anti").drop("_one")
     return lost.withColumn("becomes", F.when(F.col("cancel_requested"), "cancelled").otherwise("queued"))
 
 

@@ -5,18 +5,21 @@ a paragraph lasts until it is closed or any block opens, which stands in for the
 nested blocks the outermost counts. Closing tags without an opening one are ignored. Windows are partitioned by page.
 """
 
-from functools import reduce
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The tags that are blocks, those kept inside them, and the references that are decoded.
+# The tags that are blocks, and those kept inside them.
 CONTAINERS = ("h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "li")
 INLINE = ("em", "i", "strong", "b", "u", "span", "sup", "sub", "code", "small", "br", "q", "cite", "abbr", "a")
 FORMATTING = r"(?i)<(?:em|i|strong|b|a|span|sup|sub|code|small)\b"
-REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
-_MARK = "\x01"
+_REFERENCE = r"&(#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,8}|[A-Za-z][A-Za-z0-9]*);?"
+#: Code points that HTML reads as Windows' characters.
+_WINDOWS = {n: c for n in range(0x80, 0xA0) if (c := bytes([n]).decode("cp1252", "ignore"))}
+#: A code point that is no character, so that no page has it.
+_MARK = "\ufdd0"
 
 
 def without_noise(html: Column) -> Column:
@@ -26,8 +29,28 @@ def without_noise(html: Column) -> Column:
     return F.regexp_replace(out, r"""(?is)<(\w+)\b[^>]*epub:type=["']pagebreak["'][^>]*>.*?</\1\s*>""", "")
 
 
+def _table(values: dict[str, str]) -> Column:
+    """A map of strings in two literals, which Spark folds into one."""
+    return F.map_from_arrays(F.split(F.lit("\x01".join(values)), "\x01"), F.split(F.lit("\x01".join(values.values())), "\x01"))
+
+
 def decoded(text: Column) -> Column:
-    return reduce(lambda t, r: F.replace(t, F.lit(r[0]), F.lit(r[1])), REFERENCES, text)
+    """Text with its character references read: all of HTML's names that end in a semicolon, the old ones without, and numbers."""
+
+    def named(reference):
+        return F.coalesce(F.try_element_at(_table({f"&{name}": value for name, value in html5.items()}), reference), reference)
+
+    def numbered(reference):
+        digits = F.regexp_replace(reference, "[&#xX;]", "")
+        code = F.when(reference.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("long")
+        fit = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        windows = _table({str(n): c for n, c in _WINDOWS.items()})
+        plain = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(~fit, "\ufffd").otherwise(F.coalesce(F.try_element_at(windows, code.cast("string")), plain))
+
+    parts = F.split(F.regexp_replace(F.translate(text, _MARK, ""), _REFERENCE, f"{_MARK}$0{_MARK}"), _MARK)
+    read = F.transform(parts, lambda part, i: F.when(i % 2 == 0, part).when(F.startswith(part, F.lit("&#")), numbered(part)).otherwise(named(part)))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(read, "")).otherwise(text)
 
 
 def collapsed(text: Column) -> Column:

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from taleweave.functions import speech as S
 from taleweave.operators import catalog, jobs, markup, refresh
 from taleweave.operators import timeline as T
-from taleweave.plans.registry import query
+from taleweave.plans.registry import BOOK, book_key, query
 
-_EXTRA = '<blockquote>Quoted <p>x <em>y</em>z</p></blockquote><p>n<sup>1</sup>ote <a href="javascript:go()" onclick="x()">here</a> <a href="https://e.org/a">there</a></p></article>'
+_EXTRA = '<blockquote>Quoted <p>x <em>y</em>z</p></blockquote><p>n<sup>1</sup>ote <a href="javascript:go()" onclick="x()">here</a> <a href="https://e.org/a">there</a> caf&eacute; &mdash; it&#8217;s &#x2018;so&#x2019; &hellip;</p></article>'
 
 
 def pages(t):
@@ -17,7 +17,7 @@ def pages(t):
 
 
 _BOX = "tag IN ('h1', 'h2', 'h3', 'h4', 'h5', 'h6', 'blockquote', 'li')"
-_DECODE = "replace(replace(replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', chr(160)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')".replace("chr(160)", "' '")
+_DECODE = "replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace({}, '&eacute;', 'é'), '&mdash;', '—'), '&#8217;', '’'), '&#x2018;', '‘'), '&#x2019;', '’'), '&hellip;', '…'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', chr(160)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')".replace("chr(160)", "' '")
 _INLINE = ", ".join(f"'{x}'" for x in markup.INLINE)
 BLOCKS = rf"""WITH d AS (SELECT page_id, url, replace(html, '</article>', '{_EXTRA}') AS html FROM pages),
   n AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<sup\b[^>]*>.*?</sup\s*>', '', 'g'), '(?is)<script\b[^>]*>.*?</script\s*>', '', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', '', 'g') AS html FROM d),
@@ -49,9 +49,19 @@ def h02(t):
     return markup.blocks(pages(t), "page_id").select("page_id", "block_no", "tag", "text")
 
 
-@query("h03_whole_body", "SELECT page_id, 'Only text ' || page_id || ' & more' AS text, 'p' AS tag FROM pages WHERE page_id % 4 = 0")
+_PLAIN = r"(?i)</?(p|h[1-6]|li|blockquote)\b[^>]*>"
+
+
+@query(
+    "h03_whole_body",
+    rf"""WITH d AS (SELECT page_id, regexp_replace(html, '{_PLAIN}', ' ', 'g') AS html FROM pages),
+      n AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<script\b[^>]*>.*?</script\s*>', '', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', '', 'g') AS html FROM d),
+      b AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)^.*<body\b[^>]*>', ''), '<[^>]*>', '', 'g') AS raw FROM n)
+    SELECT page_id, trim(regexp_replace({_DECODE.format("raw")}, '\s+', ' ', 'g')) AS text, 'p' AS tag FROM b""",
+)
 def h03(t):
-    bare = t("pages").where("page_id % 4 = 0").select("page_id", F.concat(F.lit("<body><div>Only  text "), F.col("page_id").cast("string"), F.lit(" &amp; more</div></body>")).alias("html"))
+    """Every page without its block elements: its whole text is one block."""
+    bare = t("pages").select("page_id", F.regexp_replace("html", _PLAIN, " ").alias("html"))
     return markup.blocks(bare, "page_id").select("page_id", "text", "tag")
 
 
@@ -131,7 +141,7 @@ def j03(t):
     return catalog.with_contents_titles(book_pages(t).select("book_id", "spine_no", "href"), toc(t)).select("book_id", "spine_no", "toc_title")
 
 
-_CHAPTERS = r"""d AS (SELECT source AS book_id, doc_id, text, CASE WHEN doc_id % 4 = 1 THEN 'Contents ' || doc_id WHEN doc_id % 4 = 2 THEN '' END AS toc_title, CASE WHEN doc_id % 3 = 0 THEN 'Heading ' || doc_id END AS heading FROM documents WHERE length(text) >= 200),
+_CHAPTERS = rf"""d AS (SELECT {BOOK} AS book_id, doc_id, text, CASE WHEN doc_id % 4 = 1 THEN 'Contents ' || doc_id WHEN doc_id % 4 = 2 THEN '' END AS toc_title, CASE WHEN doc_id % 3 = 0 THEN 'Heading ' || doc_id END AS heading FROM documents WHERE length(text) >= 200),
   s AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY doc_id) - 1 AS index, regexp_replace(regexp_extract(regexp_replace(text, '^\s+|\s+$', '', 'g'), '(?s)^(.*?(?:[.!?]\s|$))', 1), '\s+$', '') AS first FROM d),
   c AS (SELECT book_id, doc_id, index, CASE WHEN toc_title <> '' THEN toc_title WHEN heading <> '' THEN heading WHEN first <> '' THEN regexp_replace(CASE WHEN length(first) > 60 THEN (CASE WHEN contains(first[1:60], ' ') THEN regexp_replace(first[1:60], '(?s) [^ ]*$', '') ELSE first[1:60] END) || '…' ELSE first END, '\.+$', '') ELSE 'Section ' || (index + 1) END AS title,
     CASE WHEN toc_title <> '' THEN 'toc' WHEN heading <> '' THEN 'heading' WHEN first <> '' THEN 'derived' ELSE 'generic' END AS source FROM s)"""
@@ -139,20 +149,29 @@ _CHAPTERS = r"""d AS (SELECT source AS book_id, doc_id, text, CASE WHEN doc_id %
 
 def chapters(t):
     i = F.col("doc_id")
-    held = t("documents").select(F.col("source").alias("book_id"), "doc_id", "text", F.when(i % 4 == 1, F.concat(F.lit("Contents "), i.cast("string"))).when(i % 4 == 2, "").alias("toc_title"), F.when(i % 3 == 0, F.concat(F.lit("Heading "), i.cast("string"))).alias("heading"))
+    held = t("documents").select(book_key("book_id"), "doc_id", "text", F.when(i % 4 == 1, F.concat(F.lit("Contents "), i.cast("string"))).when(i % 4 == 2, "").alias("toc_title"), F.when(i % 3 == 0, F.concat(F.lit("Heading "), i.cast("string"))).alias("heading"))
     return catalog.resolve_titles(held, "doc_id")
 
 
-@query("j04_resolved_titles", f"WITH {_CHAPTERS} SELECT book_id, doc_id, index, title, source, starts_with(title, 'Contents') AS front_matter FROM c WHERE NOT regexp_matches(title, '(?i)^(cover|index|dedication|copyright)')")
+_FRONT = f"regexp_matches(title, '{S.FRONT_MATTER}')"
+
+
+@query("j04_resolved_titles", f"WITH {_CHAPTERS} SELECT book_id, doc_id, index, title, source, {_FRONT} AS front_matter FROM c")
 def j04(t):
-    return chapters(t).where(~F.col("title").rlike("(?i)^(cover|index|dedication|copyright)")).select("book_id", "doc_id", "index", "title", "source", "front_matter")
+    return chapters(t).select("book_id", "doc_id", "index", "title", "source", "front_matter")
+
+
+_BARE = "(SELECT * REPLACE (CASE WHEN doc_id % 4 = 0 THEN repeat(' ', length(text)) ELSE text END AS text) FROM documents)"
+_GENERIC = _CHAPTERS.replace("FROM documents", f"FROM {_BARE}").replace("doc_id % 4 = 1", "false").replace("doc_id % 4 = 2", "false").replace("doc_id % 3 = 0", "false")
 
 
-@query("w11_generic_titles", "SELECT source AS book_id, doc_id, 'Section ' || row_number() OVER (PARTITION BY source ORDER BY doc_id) AS title FROM documents WHERE length(text) >= 200")
+@query("w11_generic_titles", f"WITH {_GENERIC} SELECT book_id, doc_id, title, source FROM c")
 def w11(t):
+    """A quarter of the chapters have no word: they are titled by their numbers among all."""
     none = F.lit(None).cast("string")
-    held = t("documents").select(F.col("source").alias("book_id"), "doc_id", F.col("text"), none.alias("toc_title"), none.alias("heading"))
-    return catalog.resolve_titles(held.withColumn("text", F.rpad(F.lit(""), F.length("text"), " ")), "doc_id").select("book_id", "doc_id", "title")
+    text = F.when(F.col("doc_id") % 4 == 0, F.repeat(F.lit(" "), F.length("text"))).otherwise(F.col("text"))
+    held = t("documents").select(book_key("book_id"), "doc_id", text.alias("text"), none.alias("toc_title"), none.alias("heading"))
+    return catalog.resolve_titles(held, "doc_id").select("book_id", "doc_id", "title", "source")
 
 
 _PLAN = "p AS (SELECT doc_id, quality = 1 AS include, CASE WHEN toxic = 1 THEN 'Renamed ' || doc_id ELSE ' ' END AS title FROM labels)"
@@ -162,17 +181,17 @@ def plan(t):
     return t("labels").select("doc_id", (F.col("quality") == 1).alias("include"), F.when(F.col("toxic") == 1, F.concat(F.lit("Renamed "), F.col("doc_id").cast("string"))).otherwise(" ").alias("title"))
 
 
-@query("j05_applied_plan", f"WITH {_PLAN}, k AS (SELECT d.source, d.doc_id, CASE WHEN trim(p.title) <> '' THEN p.title ELSE 'T' || d.doc_id END AS title FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id WHERE coalesce(p.include, true)) SELECT source, doc_id, title, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS position FROM k")
+@query("j05_applied_plan", f"WITH {_PLAN}, k AS (SELECT {BOOK} AS book, d.doc_id, CASE WHEN trim(p.title) <> '' THEN p.title ELSE 'T' || d.doc_id END AS title FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id WHERE coalesce(p.include, true)) SELECT book, doc_id, title, row_number() OVER (PARTITION BY book ORDER BY doc_id) - 1 AS position FROM k".replace("(doc_id // 1000)", "(d.doc_id // 1000)"))
 def j05(t):
-    held = t("documents").select("source", "doc_id", F.concat(F.lit("T"), F.col("doc_id").cast("string")).alias("title"))
-    entries = plan(t).join(held.select("source", "doc_id"), "doc_id")
-    return catalog.apply_plan(held, entries, ["source", "doc_id"]).select("source", "doc_id", "title", "position")
+    held = t("documents").select(book_key(), "doc_id", F.concat(F.lit("T"), F.col("doc_id").cast("string")).alias("title"))
+    entries = plan(t).join(held.select("book", "doc_id"), "doc_id")
+    return catalog.apply_plan(held, entries, ["book", "doc_id"]).select("book", "doc_id", "title", "position")
 
 
-@query("w01_positions", f"WITH {_PLAN} SELECT d.source, d.doc_id, row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id) - 1 AS position FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id WHERE coalesce(p.include, true)")
+@query("w01_positions", f"WITH {_PLAN}, k AS (SELECT d.doc_id, {BOOK} AS book, p.include FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id) SELECT book, doc_id, row_number() OVER (PARTITION BY book ORDER BY doc_id) - 1 AS position FROM k WHERE coalesce(include, true)".replace("(doc_id // 1000)", "(d.doc_id // 1000)"))
 def w01(t):
-    held = t("documents").join(plan(t).select("doc_id", "include"), "doc_id", "left")
-    return T.positions(held, "source", "doc_id", "include").select("source", "doc_id", "position")
+    held = t("documents").select(book_key(), "doc_id").join(plan(t).select("doc_id", "include"), "doc_id", "left")
+    return T.positions(held, "book", "doc_id", "include").select("book", "doc_id", "position")
 
 
 _RECORDED = "r AS (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0), i AS (SELECT doc_id FROM p WHERE include)"

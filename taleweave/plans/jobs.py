@@ -5,12 +5,13 @@ from pyspark.sql import functions as F
 
 from taleweave.functions import speech as S
 from taleweave.operators import catalog, jobs
-from taleweave.plans.registry import query
+from taleweave.plans.registry import BOOK, book_key, query
 from taleweave.streaming import twins
+from taleweave.streaming.lifecycle import RUNNING, TRANSITIONS
 
 JOBS = """j AS (SELECT o_orderkey AS id, o_custkey AS parent_id, CASE WHEN o_orderkey % 4 = 0 THEN 'sample' ELSE 'full' END AS mode, CASE o_orderstatus WHEN 'O' THEN 'queued' WHEN 'F' THEN 'done' ELSE 'synthesizing' END AS status,
   o_orderdate AS created_at, o_totalprice AS audio_seconds, o_orderkey % 6 = 0 AS cancel_requested, o_custkey % 150 AS worker FROM orders)"""
-NOW = "TIMESTAMP '2024-01-20 00:00:00'"
+NOW = "TIMESTAMP '2024-01-31 00:00:00'"
 SEEN = "h AS (SELECT user_id AS id, max(ts) AS last_seen FROM events GROUP BY user_id)"
 _STALE = 6 * 3600
 
@@ -24,7 +25,7 @@ def job_rows(t):
 
 
 def now(t):
-    return F.lit("2024-01-20 00:00:00").cast("timestamp")
+    return F.lit("2024-01-31 00:00:00").cast("timestamp")
 
 
 def seen(t):
@@ -74,9 +75,9 @@ def a09(t):
     return jobs.library_summary(job_rows(t), F.lit(False)).join(F.broadcast(live)).select("active", "waiting", (~F.col("online") & (F.col("waiting") > 0)).alias("stalled"))
 
 
-@query("a10_representative_chapters", "SELECT source, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS nth, count(*) OVER (PARTITION BY source) AS n FROM documents) WHERE nth = n // 2 + 1")
+@query("a10_representative_chapters", f"SELECT book, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY book ORDER BY n_chars, doc_id) AS nth, count(*) OVER (PARTITION BY book) AS n FROM (SELECT *, {BOOK} AS book FROM documents)) WHERE nth = n // 2 + 1")
 def a10(t):
-    return jobs.representative(t("documents").select("source", "doc_id", "n_chars"), "source", "n_chars", "doc_id")
+    return jobs.representative(t("documents").select(book_key(), "doc_id", "n_chars"), "book", "n_chars", "doc_id")
 
 
 @query("a11_projection", "SELECT doc_id, round(12.5 / nullif(n_chars, 0) * 1000000, 6) AS seconds, 12.5 / nullif(n_chars, 0) * 1000000 <= 86400 AS within_a_day FROM documents")
@@ -143,7 +144,16 @@ def j12(t):
     return jobs.orphans(job_rows(t), jobs.live_workers(seen(t), now(t), _STALE)).select("id", "becomes")
 
 
-@query("st04_rescued_jobs", f"WITH {JOBS}, {SEEN} SELECT worker, count_if(NOT cancel_requested) AS queued, count_if(cancel_requested) AS cancelled FROM j WHERE status = 'synthesizing' AND worker NOT IN (SELECT id FROM h WHERE epoch_us({NOW}) - epoch_us(last_seen) < {_STALE} * 1000000::BIGINT) GROUP BY worker")
+_LATER = "TIMESTAMP '2024-02-01 00:00:00'"
+
+
+@query("j12_orphans_of_one_worker", f"WITH {JOBS}, {SEEN} SELECT id, CASE WHEN cancel_requested THEN 'cancelled' ELSE 'queued' END AS becomes FROM j WHERE status = 'synthesizing' AND NOT EXISTS (SELECT 1 FROM h WHERE epoch_us({_LATER}) - epoch_us(last_seen) < {_STALE} * 1000000::BIGINT)")
+def j12b(t):
+    later = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    return jobs.orphans(job_rows(t), jobs.live_workers(seen(t), later, _STALE), None).select("id", "becomes")
+
+
+@query("st04_rescued_jobs", f"WITH {JOBS}, {SEEN} SELECT worker, count_if(NOT cancel_requested)::BIGINT AS queued, count_if(cancel_requested)::BIGINT AS cancelled FROM j WHERE status = 'synthesizing' AND worker NOT IN (SELECT id FROM h WHERE epoch_us({NOW}) - epoch_us(last_seen) < {_STALE} * 1000000::BIGINT) GROUP BY worker")
 def st04(t):
     lost = jobs.orphans(job_rows(t), jobs.live_workers(seen(t), now(t), _STALE))
     return lost.groupBy("worker").agg(F.count_if(F.col("becomes") == "queued").alias("queued"), F.count_if(F.col("becomes") == "cancelled").alias("cancelled"))
@@ -212,7 +222,34 @@ def st07(t):
     return twins.back_off(t("events"), "user_id", F.col("event_type") == "error", F.col("event_type") == "purchase", forget=108_000, free=2).select("user_id", "event_id", F.col("failures").cast("long"), "wait_seconds")
 
 
-@query("st03_job_states", None)
+# The life-cycle as a recursion over each job's commands; '' stands for a job that isn't there.
+_MOVES = ", ".join(f"('{c}', '{was or ''}', '{to or ''}')" for c, (allowed, to) in TRANSITIONS.items() for was in sorted(allowed, key=str))
+_COMMAND = "[" + ", ".join(f"'{c}'" for c in twins.COMMANDS) + f"][event_id % {len(twins.COMMANDS)} + 1]"
+_RUNNING = ", ".join(f"'{x}'" for x in sorted(RUNNING))
+FOLD = f"""WITH RECURSIVE c AS (SELECT user_id AS job, event_id, {_COMMAND} AS command, event_id % 4 <> 0 AS online, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+  moves(command, was, becomes) AS (VALUES {_MOVES}),
+  r AS (
+    SELECT DISTINCT job, 0::BIGINT AS n, 0::BIGINT AS event_id, '' AS command, true AS accepted, '' AS status, false AS cancel_requested, 0::BIGINT AS claims, 0::BIGINT AS rejected FROM c
+    UNION ALL
+    SELECT c.job, c.n, c.event_id, c.command,
+      CASE WHEN c.command = 'cancel' THEN r.status = 'queued' OR r.status IN ({_RUNNING}) ELSE m.becomes IS NOT NULL END,
+      CASE WHEN c.command = 'cancel' THEN (CASE WHEN r.status = 'queued' OR (r.status IN ({_RUNNING}) AND NOT c.online) THEN 'cancelled' ELSE r.status END) ELSE coalesce(m.becomes, r.status) END,
+      CASE WHEN c.command = 'cancel' THEN (CASE WHEN r.status = 'queued' THEN false WHEN r.status IN ({_RUNNING}) THEN c.online ELSE r.cancel_requested END)
+        WHEN m.becomes IS NOT NULL AND c.command IN ('claim', 'start', 'resume', 'flag_seen', 'rescue', 'delete') THEN false ELSE r.cancel_requested END,
+      CASE WHEN m.becomes IS NOT NULL AND c.command = 'delete' THEN 0 ELSE r.claims + (CASE WHEN m.becomes IS NOT NULL AND c.command = 'claim' THEN 1 ELSE 0 END) END,
+      CASE WHEN m.becomes IS NOT NULL AND c.command = 'delete' THEN 0
+        WHEN c.command = 'cancel' THEN r.rejected + (CASE WHEN r.status = 'queued' OR r.status IN ({_RUNNING}) THEN 0 ELSE 1 END) ELSE r.rejected + (CASE WHEN m.becomes IS NULL THEN 1 ELSE 0 END) END
+    FROM r JOIN c ON c.job = r.job AND c.n = r.n + 1 LEFT JOIN moves m ON m.command = c.command AND m.was = r.status)"""
+STATES = FOLD + " SELECT job, nullif(arg_max(status, n), '') AS status, arg_max(cancel_requested, n) AS cancel_requested, arg_max(claims, n) AS claims, arg_max(rejected, n) AS rejected FROM r WHERE n > 0 GROUP BY job"
+REJECTED = FOLD + " SELECT event_id, job, command, nullif(status, '') AS status FROM r WHERE n > 0 AND NOT accepted"
+
+
+@query("st03_job_states", STATES)
 def st03(t):
     """Each job's state after its commands, folded in time order."""
-    return twins.fold_jobs(twins.commands_of(t("events")))
+    return twins.last_states(twins.fold_commands(twins.commands_of(t("events"))), twins.commands_of(t("events")))
+
+
+@query("st03_rejected_commands", REJECTED)
+def st03_rejected(t):
+    return twins.rejected_commands(twins.fold_commands(twins.commands_of(t("events"))))

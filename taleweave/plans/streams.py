@@ -1,28 +1,30 @@
 """Queries that run a stream over a table to its end, and of archives, presets and sidecars built from tables."""
 
 import io
-import tempfile
+import uuid
 import zipfile
 
 import pandas as pd
 from pyspark.sql import functions as F
 
+from taleweave.plans import books as B
 from taleweave.plans import jobs as J
-from taleweave.plans.registry import QUERIES, SQL, query
+from taleweave.plans.registry import QUERIES, SQL, query, reader
 from taleweave.sources import archives, files
 from taleweave.streaming import streams, twins
+from taleweave.streaming.folders import shared_folder
 
 
 def _shared(spark):
-    """The folder that driver and executors share; a temporary one only where none is set."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-streams-")
+    """The folder that driver and executors share: spark.checkpoint.dir."""
+    return shared_folder(spark)
 
 
 def stream_query(name, sql=None):
     """Registers a function of (events stream, events table, folder)."""
 
     def put(f):
-        QUERIES[name] = lambda spark, sf_dir: f(streams.table_stream(spark, f"{sf_dir}/events.parquet"), _shared(spark), lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+        QUERIES[name] = lambda spark, sf_dir: f(streams.table_stream(spark, f"{sf_dir}/events.parquet"), _shared(spark), reader(spark, sf_dir))
         if sql:
             SQL[name] = sql
         return f
@@ -45,9 +47,14 @@ def st02(events, folder, t):
     return held.groupBy("worker").agg(F.count_if("online").alias("came"), F.count_if(~F.col("online") & (F.col("at") <= F.col("last"))).alias("went"))
 
 
-@stream_query("st03_job_state_stream")
+@stream_query("st03_job_state_stream", J.STATES)
 def st03(events, folder, t):
-    return streams.drain(streams.job_states(twins.commands_of(events)), folder, "update")
+    return twins.last_states(streams.drain(streams.job_states(twins.commands_of(events)), folder), twins.commands_of(t("events")))
+
+
+@stream_query("st03_rejected_stream", J.REJECTED)
+def st03_rejected(events, folder, t):
+    return twins.rejected_commands(streams.drain(streams.job_states(twins.commands_of(events)), folder))
 
 
 @stream_query("st04_rescue_stream", SQL["st04_rescued_jobs"])
@@ -92,6 +99,62 @@ def book_archives(t):
     return whole.withColumn("content", F.when(F.col("book_id").cast("int") % 9 == 8, F.lit(b"no archive")).otherwise(F.col("content")))
 
 
+_PACKAGE = "<package xmlns:dc='d'><metadata>{title}{author}</metadata><manifest>{items}</manifest><spine>{spine}</spine></package>"
+
+
+def bound_books(t):
+    """Books of ten pages with a package file and a contents document; every second has a title, every third an author, every ninth is broken."""
+
+    def zipped(frame):
+        packed, book = io.BytesIO(), frame["book_id"].iloc[0]
+        rows, n = list(frame.sort_values("page_id").itertuples(index=False)), int(book)
+        with zipfile.ZipFile(packed, "w") as z:
+            for row in rows:
+                z.writestr(f"text/p{row.page_id}.xhtml", row.html)
+            items = "".join(f"<item id='i{r.page_id}' href='text/p{r.page_id}.xhtml' media-type='application/xhtml+xml'/>" for r in rows)
+            z.writestr("content.opf", _PACKAGE.format(
+                title=f"<dc:title>Book {n}</dc:title>" if n % 2 == 0 else "", author=f"<dc:creator>Author {n}</dc:creator>" if n % 3 == 0 else "", items=items,
+                spine="".join(f"<itemref idref='i{r.page_id}'/>" for r in rows),
+            ))
+            z.writestr("nav.xhtml", "<nav>" + "".join(f"<a href='text/p{r.page_id}.xhtml#top'>Entry {r.page_id}</a>" for r in rows if r.page_id % 3 == 0) + "</nav>")
+        return pd.DataFrame({"book_id": [book], "content": [packed.getvalue() if n % 9 < 8 else b"no archive"]})
+
+    held = B.pages(t).select(F.floor(F.col("page_id") / 10).cast("string").alias("book_id"), "page_id", "html")
+    return held.groupBy("book_id").applyInPandas(zipped, "book_id string, content binary")
+
+
+_BOUND = rf"""{B.BLOCKS}, whole AS (SELECT page_id, string_agg(text, chr(10) || chr(10) ORDER BY block_no) AS text, arg_min(text, block_no) FILTER (regexp_matches(tag, '^h[1-6]$')) AS heading FROM blocks GROUP BY page_id),
+  kept AS (SELECT page_id // 10 AS n, page_id, text, CASE WHEN page_id % 3 = 0 THEN 'Entry ' || page_id ELSE heading END AS title, CASE WHEN page_id % 3 = 0 THEN 'toc' ELSE 'heading' END AS source FROM whole WHERE length(text) >= 200 AND (page_id // 10) % 9 < 8)
+SELECT n::VARCHAR AS book_id, CASE WHEN n % 2 = 0 THEN 'Book ' || n ELSE n::VARCHAR END AS book_title, CASE WHEN n % 3 = 0 THEN 'Author ' || n ELSE 'Unknown' END AS author, row_number() OVER (PARTITION BY n ORDER BY page_id) - 1 AS index, title, source,
+  NOT {B._FRONT} AS include, length(text) AS chars FROM kept"""
+
+
+def landed(t):
+    """The folder in which the books lie, each written once, and their schema."""
+    books = bound_books(t)
+    folder = f"{shared_folder(books.sparkSession).rstrip('/')}/landing-{uuid.uuid4().hex}"
+    books.write.parquet(folder)
+    return folder, books.schema
+
+
+@query("s12_draft_plans", _BOUND)
+def s12(t):
+    folder, schema = landed(t)
+    return archives.drafts(t("pages").sparkSession.read.schema(schema).parquet(folder))
+
+
+@stream_query("st08_new_book_stream", _BOUND)
+def st08(events, folder, t):
+    """Archives land as files of a folder; each is guarded, read and planned once."""
+    landing, schema = landed(t)
+    return streams.new_books(events.sparkSession.readStream.schema(schema).parquet(landing), folder)
+
+
+@query("s01_book_metadata", "SELECT DISTINCT (page_id // 10)::VARCHAR AS book_id, CASE WHEN (page_id // 10) % 2 = 0 THEN 'Book ' || (page_id // 10) ELSE (page_id // 10)::VARCHAR END AS title, CASE WHEN (page_id // 10) % 3 = 0 THEN 'Author ' || (page_id // 10) ELSE 'Unknown' END AS author FROM pages WHERE (page_id // 10) % 9 < 8")
+def s01_metadata(t):
+    return archives.packages(archives.members(bound_books(t))).select("book_id", "title", "author")
+
+
 _MEMBERS = "m AS (SELECT (page_id // 10)::VARCHAR AS book_id, 'p' || page_id || '.xhtml' AS member, octet_length(encode(html)) AS file_size, (page_id // 10) % 9 = 8 AS bad FROM pages), v AS (SELECT book_id, CASE WHEN bool_or(bad) THEN 0 ELSE sum(file_size)::BIGINT END AS unpacked, CASE WHEN bool_or(bad) THEN 'not an archive' WHEN sum(file_size) > 32000 THEN 'too large' ELSE 'accepted' END AS verdict FROM m GROUP BY book_id)"
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from taleweave.functions import speech as S
 from taleweave.operators import chunking, citations
-from taleweave.plans.registry import query
+from taleweave.plans.registry import BOOK, book_key, query
 
 
 def decorated(t):
@@ -35,6 +35,7 @@ DECORATED = """d AS (SELECT doc_id, source, text || CASE doc_id % 8
   ELSE chr(10) || '- ' || (doc_id % 900 + 1) || ' -' || chr(10) || 'so' || chr(173) || 'ft' END AS text FROM documents)"""
 
 _PAGES = r"""array_to_string(list_filter(string_split(rtrim(replace(text, chr(13) || chr(10), chr(10)), ''), chr(10)), lambda x: NOT regexp_matches(x, '^\s*[-–—\[\(]*\s*[0-9]{1,4}\s*[-–—\]\)]*\s*$')), chr(10))"""
+# What begins a citation, as in functions/speech.py.
 _CITED = (
     r"\(\s*(?:(?:see\s+|cf\.?\s*|ibid\.?|e\.g\.?|i\.e\.?|vol\.?|chap\.?|pp?\.|vv?\.)|(?:[0-9]+\s*[:.]\s*[0-9]+)|(?:[1-3]?\s*[A-Z][a-z]{1,5}\.?\s*[0-9])"
     r"|(?:AD|BC|c\.|ca\.)?\s*[0-9]{1,4}(?:[–-][0-9]{1,4})?)[^()]*\)"
@@ -117,9 +118,9 @@ def a02(t):
     return citations.counts(citations.find_citations(decorated(t), ["source", "doc_id"]), "source", "doc_id")
 
 
-@query("w09_first_citations", _FOUND + " SELECT source, doc_id, occurrence, citation FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, occurrence) AS nth FROM e) WHERE nth <= 3")
+@query("w09_first_citations", _FOUND + " SELECT source, doc_id, occurrence, citation FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, occurrence) AS nth FROM e) WHERE nth <= 300")
 def w09(t):
-    return citations.first_examples(citations.find_citations(decorated(t), ["source", "doc_id"]), "source", "doc_id", 3).select("source", "doc_id", "occurrence", "citation")
+    return citations.first_examples(citations.find_citations(decorated(t), ["source", "doc_id"]), "source", "doc_id").select("source", "doc_id", "occurrence", "citation")
 
 
 @query("j13_selected_citations", _FOUND + " SELECT e.source, count(*) AS citations FROM e SEMI JOIN (SELECT doc_id FROM labels WHERE quality = 1) USING (doc_id) GROUP BY e.source")
@@ -286,9 +287,10 @@ def t31(t):
     return held.select("doc_id", F.left("text", F.lit(700)).alias("excerpt"), F.length("text").cast("long").alias("chars"), (F.length("text") > 700).alias("truncated"))
 
 
-@query("t35_long_enough", "SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS index FROM documents WHERE length(text) >= 200")
+@query("t35_long_enough", f"SELECT doc_id, row_number() OVER (PARTITION BY {BOOK} ORDER BY doc_id) - 1 AS index FROM documents WHERE length(text) >= 200")
 def t35(t):
-    return t("documents").where(F.length("text") >= 200).select("doc_id", (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).cast("long").alias("index"))
+    place = Window.partitionBy(book_key()).orderBy("doc_id")
+    return t("documents").where(F.length("text") >= 200).select("doc_id", (F.row_number().over(place) - 1).cast("long").alias("index"))
 
 
 @query("t25_word_estimate", "SELECT source, floor(sum(n_chars) / 5.5 / 1000 + 0.5)::BIGINT AS thousand_words FROM documents GROUP BY source")

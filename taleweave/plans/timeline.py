@@ -109,7 +109,12 @@ def s07(t):
     return T.metadata_lines(books, ms, "book")
 
 
-@query("s08_timeline_documents", None)
+@query(
+    "s08_timeline_documents",
+    f"""WITH {OFFSETS}, ch AS (SELECT book, list({{'chapter': chapter, 'start': start, 'end': "end"}} ORDER BY chapter) AS chapters FROM m GROUP BY book),
+      ck AS (SELECT book, list({{'chapter': chapter, 'part': part, 'start': start, 'end': "end"}} ORDER BY chapter, part) AS chunks FROM e GROUP BY book)
+    SELECT book, to_json({{'chapters': chapters, 'chunks': chunks}})::VARCHAR AS timeline FROM ch JOIN ck USING (book)""",
+)
 def s08(t):
     """One nested document per book, as JSON; the tables stay the primary output."""
     chapters = marks(t).groupBy("book").agg(F.sort_array(F.collect_list(F.struct("chapter", "start", "end"))).alias("chapters"))

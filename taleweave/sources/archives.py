@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from taleweave.operators import catalog, markup
+
 #: Unpacked bytes that a book may have.
 LARGEST = 400 << 20
 
@@ -122,3 +124,21 @@ def contents(parts: DataFrame) -> DataFrame:
 
     nav = parts.where(F.col("member").rlike(r"(?i)(^|/)(nav|toc)\.x?html$"))
     return nav.select("book_id", "member", "content").mapInPandas(run, "book_id string, ord int, href string, title string")
+
+
+DRAFTS = "book_id string, book_title string, author string, index long, title string, source string, include boolean, chars long"
+
+
+def drafts(archives: DataFrame, largest: int = LARGEST) -> DataFrame:
+    """The plan to review of each accepted book: its chapters with titles, where these come from, and whether to narrate them."""
+    parts = members(archives, largest)
+    books = packages(parts)
+    spine = books.select("book_id", F.explode("spine").alias("s")).select("book_id", "s.spine_no", "s.idref")
+    manifest = books.select("book_id", F.explode("manifest").alias("m")).select("book_id", "m.idref", "m.href")
+    pages = parts.where(F.col("member").rlike(r"(?i)\.x?html?$")).select("book_id", F.col("member").alias("href"), F.decode("content", "UTF-8").alias("html"))
+    documents = catalog.with_contents_titles(catalog.spine_documents(spine, manifest, pages), contents(parts))
+    held = documents.withColumn("page", F.concat_ws("/", "book_id", F.col("spine_no").cast("string")))
+    texts, headings = markup.chapter_text(markup.blocks(held, "page"), "page"), markup.headings(held, "page")
+    chapters = catalog.resolve_titles(held.drop("html").join(texts, "page").join(headings, "page"), "spine_no")
+    named = chapters.join(books.select("book_id", F.col("title").alias("book_title"), "author"), "book_id")
+    return named.select("book_id", "book_title", "author", "index", "title", "source", (~F.col("front_matter")).alias("include"), F.length("text").cast("long").alias("chars"))

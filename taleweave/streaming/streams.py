@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from taleweave.operators import jobs
-from taleweave.sources.archives import judge, listing
-from taleweave.streaming.lifecycle import JOB_STATES, begin, fold
+from taleweave.sources.archives import DRAFTS, LARGEST, drafts
+from taleweave.streaming.lifecycle import FOLDED, fold_rows
 
 LATE = "1 hour"
 
@@ -67,26 +67,45 @@ def liveness_changes(heartbeats: DataFrame, key: str, time: str, stale_seconds:
     return held.groupBy("worker").applyInPandasWithState(run, "worker long, at timestamp, online boolean", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def job_states(commands: DataFrame) -> DataFrame:
-    """Each job's state after the commands so far (commands: event_id, ts, job, command); a micro-batch's commands are folded in time order. Update mode."""
-    fields = ("status", "cancel", "claims", "rejected")
+def job_states(commands: DataFrame, keep: str = "90 days") -> DataFrame:
+    """A row of FOLDED for each command (commands: event_id, ts, job, command, online), accepted or not; append mode.
+
+    A micro-batch's commands are folded in time order; one that comes in a later batch than its successor is folded when it comes.
+    A job's state goes when it is deleted, or when no command has come for `keep` of event time: then it counts as gone.
+    """
+    fields, names = ("status", "cancel", "claims", "rejected"), [c.split()[0] for c in FOLDED.split(", ")]
+    idle = int(pd.Timedelta(keep).total_seconds() * 1000)
 
     def run(key, frames, state):
-        held = dict(zip(fields, state.get)) if state.exists else begin()
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        for command in rows["command"]:
-            held = fold(held, command)
-        state.update(tuple(held[f] for f in fields))
-        yield pd.DataFrame([(key[0], *(held[f] for f in fields))], columns=["job", "status", "cancel_requested", "claims", "rejected"])
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=names)
+            return
+        held = dict(zip(fields, state.get)) if state.exists else None
+        ordered = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        held, rows = fold_rows(held, key[0], zip(ordered["event_id"], ordered["command"], ordered["online"]))
+        if held["status"] is None and not held["rejected"]:
+            if state.exists:
+                state.remove()
+        else:
+            state.update(tuple(held[f] for f in fields))
+            state.setTimeoutTimestamp(max(int(ordered["ts"].iloc[-1].timestamp() * 1000) + idle, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(rows, columns=names)
 
-    return commands.groupBy("job").applyInPandasWithState(run, JOB_STATES, "status string, cancel boolean, claims long, rejected long", "update", GroupStateTimeout.NoTimeout)
+    timed = commands.withWatermark("ts", LATE)
+    return timed.groupBy("job").applyInPandasWithState(run, FOLDED, "status string, cancel boolean, claims long, rejected long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def back_off(outcomes: DataFrame, forget: float = 900, free: int = 5, longest: float = 30) -> DataFrame:
     """(key, event_id, failures, wait_seconds) of each failure (outcomes: key, event_id, ts, failed). A key's state is its failures since
-    the last success and the last one's time; a pause of more than `forget` seconds begins anew. Append mode."""
+    the last success and the last one's time; a pause of more than `forget` seconds begins anew, so the state goes then. Append mode."""
 
     def run(key, frames, state):
+        names = ["key", "event_id", "failures", "wait_seconds"]
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=names)
+            return
         failures, last = state.get if state.exists else (0, 0)
         rows = []
         held = pd.concat(list(frames)).sort_values(["ts", "event_id"])
@@ -97,10 +116,15 @@ def back_off(outcomes: DataFrame, forget: float = 900, free: int = 5, longest: f
             failures = 1 if failures and at - last > forget * 1e6 else failures + 1
             last = int(at)
             rows.append((key[0], event, failures, float(min(longest, 2.0 ** (failures - free))) if failures > free else 0.0))
-        state.update((failures, last))
-        yield pd.DataFrame(rows, columns=["key", "event_id", "failures", "wait_seconds"]).astype({"key": "int64", "event_id": "int64", "failures": "int64", "wait_seconds": "float64"})
+        if failures:
+            state.update((failures, last))
+            state.setTimeoutTimestamp(max(last // 1000 + int(forget * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(rows, columns=names).astype({"key": "int64", "event_id": "int64", "failures": "int64", "wait_seconds": "float64"})
 
-    return outcomes.groupBy("key").applyInPandasWithState(run, "key long, event_id long, failures long, wait_seconds double", "failures long, last long", "append", GroupStateTimeout.NoTimeout)
+    timed = outcomes.withWatermark("ts", LATE)
+    return timed.groupBy("key").applyInPandasWithState(run, "key long, event_id long, failures long, wait_seconds double", "failures long, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def rescue(running: DataFrame, heartbeats: DataFrame, now, stale_seconds: float) -> DataFrame:
@@ -109,25 +133,32 @@ def rescue(running: DataFrame, heartbeats: DataFrame, now, stale_seconds: float)
     return jobs.orphans(running, live)
 
 
-def new_books(archives: DataFrame, largest: int) -> DataFrame:
-    """Verdicts on the archives of a micro-batch."""
-    return judge(listing(archives), largest)
+def archive_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """(book_id, content) of the .epub files that land in a folder, each once."""
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.epub").option("recursiveFileLookup", "true").load(folder)
+    return files.select(F.regexp_extract("path", r"([^/]+)\.[^./]*$", 1).alias("book_id"), "content")
+
+
+def new_books(archives: DataFrame, folder: str, largest: int = LARGEST) -> DataFrame:
+    """The draft plans of all books of a stream of archives: guarded, read, titled, and written once a micro-batch under the folder."""
+    return drain(archives, folder, each=lambda batch: drafts(batch, largest), schema=DRAFTS)
 
 
-def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+def drain(stream: DataFrame, folder: str, mode: str = "append", each=lambda rows: rows, schema: str | None = None) -> DataFrame:
     """Runs a stream over all that is there now and returns what it put out, by way of the folder.
 
-    In complete mode each micro-batch replaces the last one's rows; otherwise they are appended, once each: a batch that runs
+    each: what is made of a micro-batch before it is written, with rows of the schema. In complete mode each micro-batch replaces the last one's rows; otherwise they are appended, once each: a batch that runs
     again after a failure replaces its own rows.
     """
     run = uuid.uuid4().hex
     out, spark = f"{folder.rstrip('/')}/stream-{run}", stream.sparkSession
 
     def put(rows, number):
-        rows.write.mode("overwrite").parquet(f"{out}/rows/batch={0 if mode == 'complete' else number}")
+        each(rows).write.mode("overwrite").parquet(f"{out}/rows/batch={0 if mode == 'complete' else number}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(put).start()
     query.awaitTermination()
     if query.exception():
         raise query.exception()
-    return spark.read.schema(stream.schema).parquet(f"{out}/rows").select(stream.columns)
+    made = spark.read.schema(schema or stream.schema).parquet(f"{out}/rows")
+    return made.drop("batch")

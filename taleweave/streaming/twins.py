@@ -4,7 +4,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from taleweave.streaming.lifecycle import JOB_STATES, fold
+from taleweave.streaming.lifecycle import FOLDED, fold_rows
 
 
 def runs(events: DataFrame, key: str, claim: str) -> DataFrame:
@@ -34,19 +34,33 @@ def back_off(events: DataFrame, key: str, failed: Column, succeeded: Column, for
     return held.withColumn("wait_seconds", wait).drop("_wins", "_us", "_forgot", "_fresh")
 
 
+#: Commands that events stand for, by event_id modulo their number; an event's worker is online unless its id divides by four.
+COMMANDS = ("analyze", "start", "claim", "planned", "rendered", "uploaded", "error", "cancel", "flag_seen", "resume", "analyze", "start", "claim", "planned", "reassemble", "rescue", "cancel", "start", "claim", "delete", "rendered", "planned", "nonsense")
+
+
 def commands_of(events: DataFrame) -> DataFrame:
-    """Job commands read from the events table: event_id, ts, job, command."""
-    command = F.create_map(*[F.lit(x) for x in ("signup", "claim", "view", "rendered", "purchase", "uploaded", "click", "cancel", "error", "error")])
-    return events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("job"), command[F.col("event_type")].alias("command")).where("command is not null")
+    """Job commands read from the events table: event_id, ts, job, command, online."""
+    command = F.element_at(F.array(*map(F.lit, COMMANDS)), (F.col("event_id") % len(COMMANDS) + 1).cast("int"))
+    return events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("job"), command.alias("command"), (F.col("event_id") % 4 != 0).alias("online"))
 
 
-def fold_jobs(commands: DataFrame) -> DataFrame:
-    """The state of each job after all its commands in time order; a job's commands are few."""
+def fold_commands(commands: DataFrame) -> DataFrame:
+    """A row of FOLDED for each command, a job's in time order; a job's commands are few."""
 
     def run(frame):
-        state = None
-        for row in frame.sort_values(["ts", "event_id"]).itertuples(index=False):
-            state = fold(state, row.command)
-        return pd.DataFrame([(int(frame["job"].iloc[0]), state["status"], state["cancel"], state["claims"], state["rejected"])], columns=["job", "status", "cancel_requested", "claims", "rejected"])
+        ordered = frame.sort_values(["ts", "event_id"])
+        _, rows = fold_rows(None, int(frame["job"].iloc[0]), zip(ordered["event_id"], ordered["command"], ordered["online"]))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in FOLDED.split(", ")])
+
+    return commands.groupBy("job").applyInPandas(run, FOLDED)
+
+
+def last_states(folded: DataFrame, order: DataFrame) -> DataFrame:
+    """The state of each job after its last command (order: event_id, ts); a job that is gone has status null."""
+    state = F.struct("status", "cancel_requested", "claims", "rejected")
+    return folded.join(order.select("event_id", "ts"), "event_id").groupBy("job").agg(F.max_by(state, F.struct("ts", "event_id")).alias("s")).select("job", "s.*")
+
 
-    return commands.groupBy("job").applyInPandas(run, JOB_STATES)
+def rejected_commands(folded: DataFrame) -> DataFrame:
+    """The commands that weren't allowed, with the status in which they came."""
+    return folded.where(~F.col("accepted")).select("event_id", "job", "command", "status")

@@ -2,6 +2,7 @@
 
 import io
 import itertools
+import random
 import zipfile
 
 import pytest
@@ -60,7 +61,7 @@ def test_staleness(spark, have, stale):
 
 
 def test_life_cycle_rules():
-    statuses = ["draft", "queued", *sorted(RUNNING), "done", "failed", "cancelled"]
+    statuses = [None, "draft", "queued", *sorted(RUNNING), "done", "failed", "cancelled"]
     for status, command, online in itertools.product(statuses, [*TRANSITIONS, "cancel", "nonsense"], (True, False)):
         state = fold(begin() | {"status": status}, command, online)
         if command == "cancel":
@@ -73,6 +74,48 @@ def test_life_cycle_rules():
             assert state["status"] == status and state["rejected"] == 1
 
 
+def test_a_job_begins_with_nothing():
+    state = fold(None, "claim")
+    assert state["status"] is None and state["rejected"] == 1
+    for command, status in (("analyze", "draft"), ("start", "queued"), ("claim", "parsing"), ("planned", "synthesizing"), ("rendered", "assembling"), ("uploaded", "done"), ("delete", None), ("analyze", "draft")):
+        state = fold(state, command)
+        assert state["status"] == status
+    flagged = fold(fold(fold(fold(fold(None, "analyze"), "start"), "claim"), "cancel"), "rescue")
+    assert flagged["status"] == "queued" and flagged["cancel"] is False
+
+
+def test_archives_arrive_once(spark, tmp_path):
+    """Files land in a folder in two rounds; a stream reads each once, and refuses what is no archive or too large."""
+    def book(name, pages, title=None):
+        with zipfile.ZipFile(tmp_path / "in" / f"{name}.epub", "w") as z:
+            items = "".join(f"<item id='i{k}' href='t/{k}.xhtml' media-type='application/xhtml+xml'/>" for k in range(len(pages)))
+            z.writestr("a/content.opf", f"<package xmlns:dc='d'><metadata>{title or ''}</metadata><manifest>{items}</manifest><spine>{''.join(f'<itemref idref={chr(39)}i{k}{chr(39)}/>' for k in range(len(pages)))}<itemref idref='none'/></spine></package>")
+            for k, page in enumerate(pages):
+                z.writestr(f"a/t/{k}.xhtml", page)
+
+    (tmp_path / "in").mkdir()
+    page = lambda head, n: f"<html><body><h1>{head}</h1><p>{'word ' * n}</p></body></html>"
+    book("one", [page("Contents", 60), page("First", 60), page("Short", 3), page("Second", 60)], "<dc:title>A Title</dc:title>")
+    (tmp_path / "in" / "bad.epub").write_bytes(b"no archive")
+    (tmp_path / "in" / "other.txt").write_bytes(b"not looked at")
+    book("large", [page("Big", 9000)])
+    got = streams.new_books(streams.archive_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), 40_000).orderBy("index").collect()
+    assert [(r["book_id"], r["book_title"], r["author"], r["index"], r["title"], r["source"], r["include"]) for r in got] == [
+        ("one", "A Title", "Unknown", 0, "Contents", "heading", False), ("one", "A Title", "Unknown", 1, "First", "heading", True), ("one", "A Title", "Unknown", 2, "Second", "heading", True),
+    ]
+    # The same stream goes on from its checkpoint: what was read is not read again.
+    state, found = str(tmp_path / "state"), []
+
+    def run():
+        stream = streams.archive_stream(spark, str(tmp_path / "in")).select("book_id")
+        stream.writeStream.foreachBatch(lambda rows, _: found.extend(r["book_id"] for r in rows.collect())).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    book("two", [page("Later", 60)])
+    run()
+    assert sorted(found) == ["bad", "large", "one", "two"]
+
+
 def test_streams_equal_their_twins(spark, sf_dir, tmp_path):
     from taleweave.plans import QUERIES
 
@@ -95,6 +138,98 @@ def test_blocks(spark):
     assert {r["page"]: r["heading"] for r in markup.headings(pages, "page").collect()}[1] == "T"
 
 
+def test_references_are_those_of_a_parser(spark):
+    """Named and numbered character references as Python's HTML parser reads them."""
+    from html import unescape
+
+    texts = ["caf&eacute; &mdash; it&#8217;s &#x2018;so&#X2019; &hellip;", "&amp;lt; &lt;b&gt; AT&T &nosuch; &copy 2024 &#0; &#xD800; &#x110000; &#150; &#x1F600;", "no reference", "&", "&&amp;&", "&NotEqualTilde; &notin; &frac12;&nbsp;x", "a\x01b &amp; c", None, ""]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(markup.decoded(F.col("t"))).collect()]
+    assert got == [t if t is None else unescape(t) for t in texts]
+
+
+def parsed_blocks(source):
+    """Blocks of a page by a tree parser's events: the outermost of headings, quotations and list items, else paragraphs."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.depth, self.made, self.text, self.tag, self.quiet = 0, [], [], None, 0
+
+        def end(self):
+            text = " ".join("".join(self.text).split())
+            self.made += [(self.tag, text)] if self.tag and text else []
+            self.text, self.tag = [], None
+
+        def handle_starttag(self, tag, attrs):
+            self.quiet += tag in ("sup", "script", "style")
+            if tag in markup.CONTAINERS:
+                if not self.depth:
+                    self.end()
+                    self.tag = tag
+                self.depth += 1
+            elif tag == "p" and not self.depth:
+                self.end()
+                self.tag = "p"
+
+        def handle_endtag(self, tag):
+            self.quiet -= tag in ("sup", "script", "style")
+            if tag in markup.CONTAINERS and self.depth:
+                self.depth -= 1
+                if not self.depth:
+                    self.end()
+            elif tag == "p" and not self.depth:
+                self.end()
+
+        def handle_data(self, data):
+            if self.tag and not self.quiet:
+                self.text.append(data)
+
+    reader = Reader()
+    reader.feed(source)
+    reader.close()
+    reader.end()
+    return reader.made
+
+
+def test_blocks_against_a_parser(spark):
+    rng = random.Random(4)
+    inline = lambda: rng.choice(["plain", "<i>it</i>", "caf&eacute;", "a &amp; b", "&#8212;", "<sup>9</sup>", "x<br>y", "<a href='h'>l</a>", "<!-- no -->"])
+    run = lambda: " ".join(inline() for _ in range(rng.randint(0, 4)))
+    pages = []
+    for k in range(80):
+        parts = [rng.choice([f"<p>{run()}</p>", f"<p>{run()}", f"<h{rng.randint(1, 6)}>{run()}</h1>".replace("</h1>", ""), f"<blockquote>{run()}<p>{run()}</p></blockquote>", f"<ul><li>{run()}</li><li>{run()}<p>{run()}</p></li></ul>", f"<div>{run()}</div>", f"<table><tr><td>{run()}</td></tr></table>"]) for _ in range(6)]
+        parts = [p + p[:3].replace("<", "</") + ">" if p.startswith("<h") else p for p in parts]  # headings are closed
+        pages.append((k, "<body>" + "".join(parts) + "</body>"))
+    got = {}
+    for r in markup.blocks(spark.createDataFrame(pages, "page int, html string"), "page").orderBy("page", "block_no").collect():
+        got.setdefault(r["page"], []).append((r["tag"], r["text"]))
+    for k, source in pages:
+        wanted = parsed_blocks(source)
+        if wanted:
+            assert got.get(k) == wanted, source
+
+
+def test_wrapped_words_against_brute_force(spark):
+    rng = random.Random(6)
+    vocabulary = ["One", "two,", "it's", "Four.", "<i>five</i>", "six"]
+    printed = [(k, " ".join(rng.choices(vocabulary, k=rng.randint(1, 8)))) for k in range(60)]
+    spoken = [(k, n, w) for k, html in printed for n, w in enumerate(w for w in html.replace("<i>", "").replace("</i>", "").split() if rng.random() < 0.9)]
+    got = {r["b"]: r for r in markup.wrap_words(spark.createDataFrame(printed, "b int, html string"), spark.createDataFrame(spoken, "b int, word_no int, word string"), ["b"]).collect()}
+    plain = lambda w: "".join(c for c in w.lower() if c.isascii() and (c.isalnum() or c == "'"))
+    for k, html in printed:
+        heard, at, shown = [plain(w) for b, _, w in spoken if b == k], 0, []
+        for word in html.split(" "):
+            bare = word.replace("<i>", "").replace("</i>", "")
+            if at < len(heard) and plain(bare) == heard[at]:
+                shown.append(word.replace(bare, f'<span data-w="{at}">{bare}</span>'))
+                at += 1
+            else:
+                shown.append(word)
+        assert (got[k]["matched"], got[k]["spoken"]) == (at, len(heard))
+        assert got[k]["html"] == (" ".join(shown) if heard and at >= 0.6 * len(heard) else html)
+
+
 def test_wrapped_words_stall_and_gate(spark):
     printed = spark.createDataFrame([(1, "One <i>two</i> three"), (2, "One two three")], "b int, html string")
     spoken = spark.createDataFrame([(1, 0, "one"), (1, 1, "two"), (1, 2, "three"), (2, 0, "zero"), (2, 1, "one")], "b int, word_no int, word string")
