@@ -10,7 +10,8 @@ Prediction is a map over all rows: no shuffle, memory for a few blocks and one d
 
 Defined cases: null text and text without a letter are `und`, score 0, rejected. With no labelled text at all every text is
 `und`. One learned language is always chosen, score 1. Ties go to the language first in the alphabet. Texts are read whole.
-Null lang rows are never learned from. Other columns of the input are not read.
+Null lang rows are never learned from. Repeated rows are learned from and predicted each. An empty table gives no dictionary and an
+empty result. Other columns of the input are not read.
 """
 
 import re

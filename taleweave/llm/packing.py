@@ -12,7 +12,7 @@ slice of texts. sequence_id is the partition's number times 2^40 and a count, th
 
 Defined cases: null text is empty: its only id is the end id. An id that is null stays null; rows that repeat an id are
 packed apart, each with its own pieces. Texts are whole, however long. Other columns are not read. Ties between pieces of
-one length go to the piece read first.
+one length go to the piece read first. An empty table gives an empty one.
 """
 
 import zlib

@@ -165,6 +165,24 @@ def test_languages_are_held_out(spark, sf_dir):
     assert {r["doc_id"]: r["lang_pred"] for r in langid.predict_language(hidden, langid.train(hidden)).collect() if r["doc_id"] in {x["doc_id"] for x in rows}} == {r["doc_id"]: r["lang_pred"] for r in rows}
 
 
+def test_languages_against_brute_force(spark, sf_dir):
+    """Each text against each dictionary with the library itself, block by block."""
+    import zstandard
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    raw = langid.train(docs)
+    got = by_id(langid.predict_language(docs.repartition(3), raw))
+    how = zstandard.ZstdCompressionParameters.from_level(langid.LEVEL, min_match=langid.MIN_MATCH, write_checksum=False, write_content_size=False, write_dict_id=False)
+    presses = {lang: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how) for lang, d in raw.items()}
+    for row in docs.collect():
+        text = " ".join(re.sub(r"[^\w]+|[\d_]+", " ", (row["text"] or "").lower()).split()).encode()
+        sizes = {lang: sum(len(p.compress(text[i : i + langid.BLOCK])) for i in range(0, len(text), langid.BLOCK)) for lang, p in presses.items()}
+        first, second = sorted(sizes, key=lambda lang: (sizes[lang], lang))[:2]
+        r = got[row["doc_id"]]
+        assert r["lang_pred"] == first and abs(r["margin"] - (sizes[second] / sizes[first] - 1)) < 1e-12 and r["rejected"] == (r["margin"] < langid.MARGIN)
+    assert 0 < sum(r["rejected"] for r in got.values()) < len(got) or all(not r["rejected"] for r in got.values())
+
+
 def test_no_letters_no_language(odd):
     got = by_id(langid.predict_language(odd, {"en": b"the and of to in", "de": b"der die und das"}))
     assert [got[i]["lang_pred"] for i in (0, 1, 2)] == ["und"] * 3 and got[8]["lang_pred"] in ("en", "de")
@@ -434,7 +452,7 @@ def test_a_window_that_fills_nothing_is_cut():
 
 
 # 9
-def brute_components(texts):
+def brute_components(texts, percent=85):
     def shingles(t):
         w = [x for x in re.split(r"[ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
         return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
@@ -449,7 +467,7 @@ def brute_components(texts):
 
     for a, b in itertools.combinations(texts, 2):
         both = len(sets[a] & sets[b])
-        if both and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+        if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), find(i)) for i in texts}
@@ -572,6 +590,48 @@ def test_fuzzy_notices():
 
 
 # pipeline
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """run() by plain Python: compressed sizes, sets of shingles, patterns, and the tokenizers library."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    rng, rows = random.Random(31), []
+    languages = {"en": "the and of to in that is for with as on it was be by at this are from", "de": "der die und das ist nicht ein auf mit sich von den zu im dem des für als"}
+    for i in range(60):
+        lang = "en" if i % 2 else "de"
+        text = " ".join(rng.choices(languages[lang].split(), k=rng.randint(20, 60)) + words(i, 6).split())
+        if i % 7 == 0:
+            text += f" zed{i}@mail.example.org and +1 (555) 010-77{i % 10}8, 10.0.0.{i}"
+        rows.append((i, text, lang, "s", len(text)))
+    for i in range(12):  # near and just not near copies
+        w = rows[3 * i][1].split()
+        for _ in range(i // 3):
+            w[rng.randrange(len(w))] = "changed"
+        rows.append((100 + i, " ".join(w), rows[3 * i][2], "s", 1))
+    rows += [(200, None, "en", "s", 0), (201, "12 34 !?", "en", "s", 8), (202, "xq zv", None, "s", 5), (203, rows[0][1], None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    model = langid.Classifier(langid.train(docs))
+    known = {i: t for i, t, *_ in rows if not model.predict((t or "").encode())[3]}
+    near = brute_components(known, corpus_pipeline.NEAR_PERCENT)
+    kept = {i: t for i, t in known.items() if near[i][1] == i}
+
+    def sanitised(text):
+        out, at = "", 0
+        for kind, a, b in sorted(reference_spans(text), key=lambda s: (s[1], -s[2])):
+            if a >= at:
+                out, at = out + text[at:a] + f"[{kind}]", b
+        return out + text[at:]
+
+    library = Tokenizer.from_file(bpe.vocabulary_path())
+    wanted = {i: [*library.encode(sanitised(t), add_special_tokens=False).ids, packing.END_ID] for i, t in kept.items()}
+    got = {}
+    for r in sorted(corpus_pipeline.run(spark, str(tmp_path)).collect(), key=lambda r: r["start"]):
+        got.setdefault(r["doc_id"], []).extend(r["ids"])
+    assert 20 < len(kept) < len(known) < len(rows) and got == wanted
+
+
 def test_pipeline(spark, odd, tmp_path):
     import corpus_pipeline
 
