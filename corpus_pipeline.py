@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's rows as Parquet and reads them as the
 next one's documents. All but the last return the columns of `documents`. The result is one row per packed piece.
+
+Defined cases: a null or empty text, or one without a letter, has no language and goes in the first stage, as do null texts. Null ids
+stay: they are no near duplicates of others, are sanitised like others, and are packed with a null id. Repeated rows are one
+document for the second stage, which keeps one of them; ties there go to the smallest id, then the smallest text. Very long texts are read whole. Columns
+beside text and n_chars pass as they are, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from taleweave.llm import langid, neardup, packing, pii
-from taleweave.llm.lineage import shared_folder
+from taleweave.streaming.folders import shared_folder
 
 
 #: The near-duplicate stage links documents of a likeness of 0.80; 14 of 32 values or fewer are then equal once in 150,900 pairs.
@@ -45,7 +50,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Compression sizes, signatures and tokens can't be written in SQL; the tests hold run() against brute force.
+#: Compression sizes, signatures and tokens can't be written in SQL; tests/llm holds run() against brute force, stage by stage and id by id.
 ORACLE_SQL = None
 
 
