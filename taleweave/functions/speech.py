@@ -32,9 +32,10 @@ _MAY_HAVE_NUMBER = r"(?m)^[^\p{L}\p{Nd}\n]*+\p{Nd}{1,4}[^\p{L}\p{Nd}\n]*$"
 
 def drop_page_numbers(text: Column) -> Column:
     """Lines that are only a decorated number of one to four digits go; lines are joined by line feeds."""
-    lines = F.translate(F.replace(text, F.lit("\r\n"), F.lit("\n")), LINE_BREAKS, "\n" * len(LINE_BREAKS))
+    broken = F.translate(F.replace(text, F.lit("\r\n"), F.lit("\n")), LINE_BREAKS, "\n" * len(LINE_BREAKS))
+    lines = F.when(text.rlike(f"[{LINE_BREAKS}]"), broken).otherwise(text)
     kept = lambda t: F.array_join(F.filter(F.split(t, "\n"), lambda x: ~x.rlike(PAGE_NUMBER)), "\n")
-    whole = F.regexp_replace(lines, r"\n\z", "")
+    whole = F.when(F.endswith(lines, F.lit("\n")), F.regexp_replace(lines, r"\n\z", "")).otherwise(lines)
     return F.when(whole.rlike(_MAY_HAVE_NUMBER), kept(whole)).otherwise(whole)
 
 
@@ -43,7 +44,7 @@ def drop_note_marks(text: Column) -> Column:
 
 
 def drop_soft_hyphens(text: Column) -> Column:
-    return F.translate(text, "­", "")
+    return F.replace(text, F.lit("\u00ad"), F.lit(""))
 
 
 def pre_clean(text: Column) -> Column:
@@ -55,7 +56,7 @@ def collapse_ellipses(text: Column) -> Column:
 
 
 def soften_semicolons(text: Column) -> Column:
-    return F.translate(text, ";", ",")
+    return F.replace(text, F.lit(";"), F.lit(","))
 
 
 def space_ellipses(text: Column) -> Column:

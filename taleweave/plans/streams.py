@@ -85,6 +85,29 @@ def st09(events, folder, t):
     return streams.drain(streams.once_each(twice).select("event_id", "event_type"), folder).groupBy("event_type").agg(F.count("*").alias("events"))
 
 
+_LATE = """WITH e AS (SELECT user_id, event_id, epoch_us(ts) - CASE WHEN event_id % 10 = 0 THEN 172800000000 ELSE 0 END AS told FROM events),
+  m AS (SELECT *, max(told) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM e)
+SELECT user_id AS key, count_if(coalesce(latest - told > 3600000000, false))::BIGINT AS late, count(*) AS events FROM m GROUP BY user_id"""
+
+
+def shifted(events):
+    """Events of which every tenth is told two days late."""
+    at = F.col("ts").cast("timestamp")
+    return events.select(F.col("user_id").alias("key"), "event_id", F.when(F.col("event_id") % 10 == 0, at - F.expr("INTERVAL 2 DAYS")).otherwise(at).alias("ts"))
+
+
+@query("st09_late_events", _LATE)
+def st09_late(t):
+    return twins.late_counts(shifted(t("events")), 3600)
+
+
+@stream_query("st09_late_stream", _LATE)
+def st09_late_stream(events, folder, t):
+    """A row a key and micro-batch; their sums are the counts."""
+    told = streams.drain(streams.late_counts(shifted(events), 3600), folder)
+    return told.groupBy("key").agg(F.sum("late").alias("late"), F.sum("events").alias("events"))
+
+
 # Archives: ten pages of a book at a time, zipped by Spark from the pages table.
 def book_archives(t):
     def zipped(frame):
@@ -187,6 +210,27 @@ def s06(t):
     return timed.select("id", F.col("timing.duration").alias("duration"), F.coalesce(F.size("timing.chunks"), F.lit(0)).alias("chunks").cast("int").alias("chunks")).withColumn("chunks", F.greatest("chunks", F.lit(0)))
 
 
+@query(
+    "s06_rewritten_sidecars",
+    """SELECT o_orderkey AS id, o_custkey % 20 AS book_id, o_orderkey % 5 AS chapter_index, CASE WHEN o_custkey % 20 = 3 THEN o_totalprice + 1 ELSE o_totalprice END AS duration, o_orderpriority AS text,
+      len(string_split(o_orderpriority, ' ')) AS words, (CASE WHEN o_custkey % 20 = 3 THEN o_totalprice + 1 ELSE o_totalprice END) / len(string_split(o_orderpriority, ' ')) AS first_end
+    FROM orders WHERE o_orderkey % 4 > 0""",
+)
+def s06_rewritten(t):
+    """Sidecars are read, get their words, and are written by book and chapter; one book's are written again, the others stay."""
+    k, chunk = F.col("o_orderkey"), F.struct(F.col("o_orderpriority").alias("text"), F.lit(0.0).alias("start"), F.col("o_totalprice").alias("end"))
+    good = F.to_json(F.struct(F.col("o_totalprice").alias("duration"), F.array(chunk).alias("chunks")))
+    texts = t("orders").select(k.alias("id"), (F.col("o_custkey") % 20).alias("book_id"), (k % 5).alias("chapter_index"), F.when(k % 4 > 0, good).when(k % 8 == 0, F.lit("{ not json")).alias("value"))
+    timed = files.sidecars(texts, ["id", "book_id", "chapter_index"]).where("timing is not null")
+    folder = f"{shared_folder(timed.sparkSession).rstrip('/')}/sidecars-{uuid.uuid4().hex}"
+    files.write_sidecars(files.with_words(timed), folder)
+    louder = timed.where("book_id = 3").withColumn("timing", F.col("timing").withField("duration", F.col("timing.duration") + 1))
+    files.write_sidecars(files.with_words(louder), folder)
+    back = timed.sparkSession.read.schema(f"id long, timing struct<{files.SIDECAR_FIELDS}>, book_id long, chapter_index long").json(folder)
+    first = F.col("timing.chunks")[0]
+    return back.select("id", "book_id", "chapter_index", F.col("timing.duration").alias("duration"), first["text"].alias("text"), F.size(first["words"]).cast("long").alias("words"), first["words"][0]["end"].alias("first_end"))
+
+
 @query("s09_storage_totals", "SELECT job, kind, sum(length)::BIGINT AS bytes FROM (SELECT (l_orderkey % 50)::VARCHAR AS job, CASE WHEN l_linenumber % 2 = 0 THEN 'output' ELSE 'upload' END AS kind, l_partkey AS length FROM lineitem) GROUP BY ROLLUP (job, kind)")
 def s09(t):
     path = F.concat(F.lit("data/"), F.when(F.col("l_linenumber") % 2 == 0, "output").otherwise("upload"), F.lit("s/"), (F.col("l_orderkey") % 50).cast("string"), F.lit("/f.wav"))

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from taleweave.operators import refresh
 from taleweave.operators import timeline as T
+from taleweave.operators import chunking
 from taleweave.plans.registry import query
+from taleweave.plans.text import CHUNKS, DECORATED
 
 SEGMENTS = """s AS (SELECT l_orderkey AS book, l_linenumber AS chapter, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS part, l_quantity AS duration FROM lineitem)"""
 OFFSETS = SEGMENTS + """, o AS (SELECT *, coalesce(sum(duration) OVER (PARTITION BY book ORDER BY chapter, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM s),
@@ -230,17 +232,26 @@ def w06b(t):
     return T.accepted_runs(runs(t), t("embeddings").select("vec_id", (F.col("label") + 1).alias("chunks")), "vec_id", "chunks").select("vec_id", "run", "first", "last")
 
 
+_SPOKEN_CHUNKS = CHUNKS.replace(DECORATED, "d AS (SELECT conv_id * 1000 + turn AS doc_id, conv_id AS source, coalesce(text, '') AS text FROM conversations)")
+
+
 @query(
     "j08_read_along",
-    """WITH p AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ordinal, length(text)::DOUBLE AS n FROM conversations),
-    s AS (SELECT conv_id, ordinal, coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, n FROM p QUALIFY NOT (conv_id % 7 = 0 AND ordinal = max(ordinal) OVER (PARTITION BY conv_id))),
-    k AS (SELECT conv_id, count(*) AS heard FROM s GROUP BY conv_id), c AS (SELECT p.*, count(*) OVER (PARTITION BY p.conv_id) = coalesce(k.heard, 0) AS aligned FROM p LEFT JOIN k ON k.conv_id = p.conv_id)
-    SELECT c.conv_id, c.turn, c.ordinal, c.aligned, CASE WHEN c.aligned THEN s.start END AS start, CASE WHEN c.aligned THEN s.start + s.n END AS "end" FROM c LEFT JOIN s ON s.conv_id = c.conv_id AND s.ordinal = c.ordinal""",
+    _SPOKEN_CHUNKS + """, pr AS (SELECT source AS conv_id, doc_id % 1000 AS turn, chunk, row_number() OVER (PARTITION BY source ORDER BY doc_id, chunk_no) - 1 AS ordinal FROM chunks),
+      sp AS (SELECT conv_id, ordinal, length(chunk)::DOUBLE AS n, coalesce(sum(length(chunk)) OVER (PARTITION BY conv_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS start
+        FROM pr QUALIFY NOT (conv_id % 7 = 0 AND ordinal = max(ordinal) OVER (PARTITION BY conv_id))),
+      hd AS (SELECT conv_id, count(*) AS heard FROM sp GROUP BY conv_id), al AS (SELECT pr.*, count(*) OVER (PARTITION BY pr.conv_id) = coalesce(hd.heard, 0) AS aligned FROM pr LEFT JOIN hd ON hd.conv_id = pr.conv_id)
+    SELECT al.conv_id, al.turn, al.ordinal, al.chunk, al.aligned, CASE WHEN al.aligned THEN sp.start END AS start, CASE WHEN al.aligned THEN sp.start + sp.n END AS "end"
+    FROM al LEFT JOIN sp ON sp.conv_id = al.conv_id AND sp.ordinal = al.ordinal""",
 )
 def j08(t):
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    printed = t("conversations").select("conv_id", "turn", (F.row_number().over(order) - 1).cast("long").alias("ordinal"), F.length("text").cast("double").alias("n"))
+    """Blocks are chunked again and numbered in their chapter, then met with the timed chunks, of which every seventh chapter lacks the last."""
+    blocks = t("conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    chunks = chunking.flat_chunks(chunking.chunk_paragraphs(chunking.paragraphs(blocks, break_at="\n")), ["conv_id", "turn"])
+    number = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "chunk_no")) - 1
+    printed = chunks.select("conv_id", "turn", "chunk", number.cast("long").alias("ordinal"))
     before = Window.partitionBy("conv_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    spoken = printed.select("conv_id", "ordinal", F.coalesce(F.sum("n").over(before), F.lit(0.0)).alias("start"), "n", F.max("ordinal").over(Window.partitionBy("conv_id")).alias("top"))
+    n = F.length("chunk").cast("double")
+    spoken = printed.select("conv_id", "ordinal", F.coalesce(F.sum(n).over(before), F.lit(0.0)).alias("start"), n.alias("n"), F.max("ordinal").over(Window.partitionBy("conv_id")).alias("top"))
     heard = spoken.where(~((F.col("conv_id") % 7 == 0) & (F.col("ordinal") == F.col("top")))).withColumn("end", F.col("start") + F.col("n"))
-    return T.read_along(heard.select("conv_id", "ordinal", "start", "end"), printed.drop("n"), "conv_id").select("conv_id", "turn", "ordinal", "aligned", "start", "end")
+    return T.read_along(heard.select("conv_id", "ordinal", "start", "end"), printed, "conv_id").select("conv_id", "turn", "ordinal", "chunk", "aligned", "start", "end")

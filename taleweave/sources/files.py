@@ -3,8 +3,11 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from taleweave.functions.speech import words
+
 PRESETS = "narrators array<struct<id:string,name:string,description:string,ref:string,params:map<string,double>>>"
 SIDECAR = "duration double, chunks array<struct<text:string,start:double,end:double,words:array<struct<text:string,start:double,end:double>>>>"
+SIDECAR_FIELDS = "duration:double,chunks:array<struct<text:string,start:double,end:double,words:array<struct<text:string,start:double,end:double>>>>"
 
 
 def presets(catalogues: DataFrame, files: DataFrame, column: str = "value") -> DataFrame:
@@ -32,6 +35,17 @@ def sidecar_chunks(timed: DataFrame, keys: list[str]) -> DataFrame:
     return held.select(*keys, "chunk_no", "c.*")
 
 
+def with_words(timed: DataFrame) -> DataFrame:
+    """Timing rows whose chunks without words get them, at equal shares of the duration."""
+    def spread(c):
+        texts = words(c["text"])
+        share = F.col("timing.duration") / F.size(texts)
+        made = F.transform(texts, lambda w, i: F.struct(w.alias("text"), (c["start"] + i * share).alias("start"), (c["start"] + (i + 1) * share).alias("end")))
+        return c.withField("words", F.coalesce(c["words"], made))
+
+    return timed.withColumn("timing", F.col("timing").withField("chunks", F.transform("timing.chunks", spread)))
+
+
 def write_sidecars(rows: DataFrame, folder: str) -> None:
     """Timing rows by book and chapter; only the partitions written are replaced."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("book_id", "chapter_index").json(folder)

@@ -127,6 +127,33 @@ def back_off(outcomes: DataFrame, forget: float = 900, free: int = 5, longest: f
     return timed.groupBy("key").applyInPandasWithState(run, "key long, event_id long, failures long, wait_seconds double", "failures long, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def late_counts(events: DataFrame, late: float, keep: str = "90 days") -> DataFrame:
+    """(key, late, events) of each micro-batch: events (key, event_id, ts) that came more than `late` seconds behind the latest of their key.
+
+    Spark drops what is behind its watermark, which is of all keys; so that late events are counted instead, the watermark only ends
+    the state of keys that were silent for `keep`. Append mode.
+    """
+    idle = int(pd.Timedelta(keep).total_seconds() * 1000)
+
+    def run(key, frames, state):
+        names = ["key", "late", "events"]
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=names)
+            return
+        latest, behind, n = (state.get[0] if state.exists else None), 0, 0
+        for at in pd.concat(list(frames)).sort_values("event_id")["ts"].astype("datetime64[us]").astype("int64").tolist():
+            n += 1
+            behind += latest is not None and latest - at > late * 1e6
+            latest = at if latest is None else max(latest, at)
+        state.update((latest,))
+        state.setTimeoutTimestamp(max(latest // 1000 + idle, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(key[0], behind, n)], columns=names)
+
+    timed = events.withWatermark("ts", keep)
+    return timed.groupBy("key").applyInPandasWithState(run, "key long, late long, events long", "latest long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def rescue(running: DataFrame, heartbeats: DataFrame, now, stale_seconds: float) -> DataFrame:
     """The orphans among running jobs, given the heartbeats of a micro-batch's table; call it inside foreachBatch."""
     live = jobs.live_workers(heartbeats, now, stale_seconds)

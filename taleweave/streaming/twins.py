@@ -64,3 +64,11 @@ def last_states(folded: DataFrame, order: DataFrame) -> DataFrame:
 def rejected_commands(folded: DataFrame) -> DataFrame:
     """The commands that weren't allowed, with the status in which they came."""
     return folded.where(~F.col("accepted")).select("event_id", "job", "command", "status")
+
+
+def late_counts(events: DataFrame, late: float) -> DataFrame:
+    """(key, late, events): how many of a key's events (key, event_id in the order they came, ts) came more than `late` seconds behind its latest."""
+    before = Window.partitionBy("key").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
+    held = events.withColumn("_at", F.unix_micros("ts"))
+    behind = F.coalesce(F.max("_at").over(before) - F.col("_at") > int(late * 1e6), F.lit(False))
+    return held.withColumn("_late", behind).groupBy("key").agg(F.count_if("_late").alias("late"), F.count("*").alias("events"))
