@@ -75,7 +75,12 @@ def h05(t):
     return markup.blocks(pages(t), "page_id").select("page_id", "block_no", "html")
 
 
-@query("h05_removed_markup", f"{BLOCKS} SELECT page_id, count_if(tag NOT IN ({_INLINE})) AS tags_removed, sum(CASE WHEN tag IN ({_INLINE}) THEN len(regexp_extract_all(token, '\\s[A-Za-z:-]+\\s*=\\s*(?:\"[^\"]*\"|''[^'']*''|[^\\s>]+)')) - len(regexp_extract_all(shown, '=\"')) ELSE 0 END)::BIGINT AS attributes_removed FROM t WHERE tag IS NOT NULL AND NOT closing GROUP BY page_id")
+@query(
+    "h05_removed_markup",
+    f"""{BLOCKS} SELECT page_id, count_if(tag NOT IN ({_INLINE})) AS tags_removed, sum(CASE
+      WHEN tag IN ({_INLINE}) THEN len(regexp_extract_all(token, '\\s[A-Za-z:-]+\\s*=\\s*(?:\"[^\"]*\"|''[^'']*''|[^\\s>]+)')) - len(regexp_extract_all(shown, '=\"'))
+      ELSE 0 END)::BIGINT AS attributes_removed FROM t WHERE tag IS NOT NULL AND NOT closing GROUP BY page_id""",
+)
 def h05b(t):
     return markup.removed_markup(pages(t), "page_id")
 
@@ -136,7 +141,11 @@ def j02(t):
     return catalog.contents_titles(toc(t)).select("book_id", "href", "title")
 
 
-@query("j03_titles_by_name", f"WITH {_BOOKS} SELECT d.book_id, d.spine_no, coalesce(trim(e.title), trim(b.title)) AS toc_title FROM d LEFT JOIN exact e ON e.book_id = d.book_id AND e.href = d.href LEFT JOIN byname b ON b.book_id = d.book_id AND b.base = regexp_extract(d.href, '([^/]*)$', 1)")
+@query(
+    "j03_titles_by_name",
+    f"""WITH {_BOOKS} SELECT d.book_id, d.spine_no, coalesce(trim(e.title), trim(b.title)) AS toc_title FROM d LEFT JOIN exact e ON e.book_id = d.book_id
+      AND e.href = d.href LEFT JOIN byname b ON b.book_id = d.book_id AND b.base = regexp_extract(d.href, '([^/]*)$', 1)""",
+)
 def j03(t):
     return catalog.with_contents_titles(book_pages(t).select("book_id", "spine_no", "href"), toc(t)).select("book_id", "spine_no", "toc_title")
 
@@ -197,12 +206,20 @@ def w01(t):
 _RECORDED = "r AS (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0), i AS (SELECT doc_id FROM p WHERE include)"
 
 
-@query("j06_plan_changes", f"WITH {_PLAN}, {_RECORDED} SELECT doc_id, 'narrate' AS change FROM i WHERE doc_id NOT IN (SELECT doc_id FROM r) UNION ALL SELECT doc_id, 'dropped' FROM r WHERE doc_id NOT IN (SELECT doc_id FROM i)")
+@query(
+    "j06_plan_changes",
+    f"""WITH {_PLAN}, {_RECORDED} SELECT doc_id, 'narrate' AS change FROM i WHERE doc_id NOT IN (SELECT doc_id FROM r) UNION ALL SELECT doc_id, 'dropped'
+      FROM r WHERE doc_id NOT IN (SELECT doc_id FROM i)""",
+)
 def j06(t):
     return catalog.plan_changes(t("documents").where("doc_id % 3 <> 0").select("doc_id"), plan(t), ["doc_id"])
 
 
-@query("u02_recorded_sets", f"WITH {_PLAN}, {_RECORDED} SELECT doc_id, 'new' AS side FROM (SELECT doc_id FROM i EXCEPT SELECT doc_id FROM r) UNION ALL SELECT doc_id, 'kept' FROM (SELECT doc_id FROM r INTERSECT SELECT doc_id FROM i)")
+@query(
+    "u02_recorded_sets",
+    f"""WITH {_PLAN}, {_RECORDED} SELECT doc_id, 'new' AS side FROM (SELECT doc_id FROM i EXCEPT SELECT doc_id FROM r) UNION ALL SELECT doc_id, 'kept'
+      FROM (SELECT doc_id FROM r INTERSECT SELECT doc_id FROM i)""",
+)
 def u02(t):
     recorded, included = t("documents").where("doc_id % 3 <> 0").select("doc_id"), plan(t).where("include").select("doc_id")
     return included.subtract(recorded).withColumn("side", F.lit("new")).unionByName(recorded.intersect(included).withColumn("side", F.lit("kept")))
@@ -231,7 +248,11 @@ def presets(t):
     return t("supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name"))
 
 
-@query("j15_job_presets", f"WITH {_PRESETS}, j AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 9 = 0 THEN 'custom' ELSE (o_orderkey % 200)::VARCHAR END AS narrator FROM orders) SELECT j.id, narrator, p.name, p.name IS NOT NULL OR narrator = 'custom' AS found FROM j LEFT JOIN p ON p.id = narrator")
+@query(
+    "j15_job_presets",
+    f"""WITH {_PRESETS}, j AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 9 = 0 THEN 'custom' ELSE (o_orderkey % 200)::VARCHAR END AS narrator
+      FROM orders) SELECT j.id, narrator, p.name, p.name IS NOT NULL OR narrator = 'custom' AS found FROM j LEFT JOIN p ON p.id = narrator""",
+)
 def j15(t):
     k = F.col("o_orderkey")
     held = t("orders").select(k.alias("id"), F.when(k % 9 == 0, "custom").otherwise((k % 200).cast("string")).alias("narrator"))
@@ -244,7 +265,11 @@ def j18(t):
     return catalog.preview_coverage(held, held.where("cast(id as long) % 3 = 0").select("id"))
 
 
-@query("s15_preset_upsert", f"WITH {_PRESETS} SELECT id, CASE WHEN id::BIGINT % 4 = 0 THEN 'New ' || id ELSE name END AS name FROM p UNION ALL SELECT 'x' || id, 'New x' FROM p WHERE id::BIGINT % 10 = 0")
+@query(
+    "s15_preset_upsert",
+    f"""WITH {_PRESETS} SELECT id, CASE WHEN id::BIGINT % 4 = 0 THEN 'New ' || id ELSE name END AS name FROM p UNION ALL SELECT 'x' || id, 'New x' FROM p
+      WHERE id::BIGINT % 10 = 0""",
+)
 def s15(t):
     held = presets(t)
     new = held.where("cast(id as long) % 4 = 0").select("id", F.concat(F.lit("New "), "id").alias("name")).unionByName(held.where("cast(id as long) % 10 = 0").select(F.concat(F.lit("x"), "id").alias("id"), F.lit("New x").alias("name")))

@@ -32,7 +32,12 @@ def seen(t):
     return t("events").groupBy(F.col("user_id").alias("id")).agg(F.max(F.col("ts").cast("timestamp")).alias("last_seen"))
 
 
-@query("a03_section_summary", "SELECT source AS book, count_if(coalesce(l.quality = 1, true)) AS included, count(*) AS total, count_if(coalesce(l.quality = 1, true) AND d.doc_id % 4 <> 0) AS flagged, count_if(d.doc_id % 10 = 0) AS untitled, bool_or(coalesce(l.quality = 1, true)) AS startable FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY source")
+@query(
+    "a03_section_summary",
+    """SELECT source AS book, count_if(coalesce(l.quality = 1, true)) AS included, count(*) AS total, count_if(coalesce(l.quality = 1, true)
+      AND d.doc_id % 4 <> 0) AS flagged, count_if(d.doc_id % 10 = 0) AS untitled, bool_or(coalesce(l.quality = 1, true)) AS startable FROM documents d LEFT
+      JOIN labels l ON l.doc_id = d.doc_id GROUP BY source""",
+)
 def a03(t):
     plan = t("documents").join(t("labels"), "doc_id", "left").select(F.col("source").alias("book"), (F.col("quality") == 1).alias("include"), F.when(F.col("doc_id") % 10 == 0, " ").otherwise("A title").alias("title"), F.when(F.col("doc_id") % 4 == 0, "toc").otherwise("heading").alias("source"))
     return jobs.section_summary(plan, "book")
@@ -52,30 +57,53 @@ def st06(t):
     return twins.runs(t("events"), "user_id", "signup").select(F.col("user_id").alias("job"), "run", "seconds")
 
 
-@query("a07_work_seconds", f"WITH {_RUNS}, s AS (SELECT job, run, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS seconds FROM r WHERE run > 0 GROUP BY job, run) SELECT job, round(sum(seconds), 3) AS work_seconds, count(*) AS runs FROM s GROUP BY job")
+@query(
+    "a07_work_seconds",
+    f"""WITH {_RUNS}, s AS (SELECT job, run, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS seconds FROM r WHERE run > 0 GROUP BY job, run)
+      SELECT job, round(sum(seconds), 3) AS work_seconds, count(*) AS runs FROM s GROUP BY job""",
+)
 def a07(t):
     held = twins.runs(t("events"), "user_id", "signup")
     return held.groupBy(F.col("user_id").alias("job")).agg(F.round(F.sum("seconds"), 3).alias("work_seconds"), F.count("*").alias("runs"))
 
 
-@query("st05_live_progress", "SELECT user_id AS job, round(coalesce(sum(CASE WHEN event_type = 'view' THEN value END), 0), 3) AS done_seconds, count_if(event_type = 'view') AS segments FROM events GROUP BY user_id")
+@query(
+    "st05_live_progress",
+    """SELECT user_id AS job, round(coalesce(sum(CASE WHEN event_type = 'view' THEN value END), 0),
+      3) AS done_seconds, count_if(event_type = 'view') AS segments FROM events GROUP BY user_id""",
+)
 def st05(t):
     return twins.progress_sums(t("events"), "user_id").select(F.col("user_id").alias("job"), F.round("done_seconds", 3).alias("done_seconds"), "segments")
 
 
-@query("a08_time_left", f"WITH {JOBS}, e AS (SELECT id, CASE WHEN id % 5 > 0 THEN 600 / (id % 5) * (audio_seconds / 100) END AS estimate FROM j) SELECT id, round(estimate, 6) AS estimate, CASE WHEN estimate IS NULL THEN 'calculating' WHEN estimate - 600 <= 5 THEN 'almost done' WHEN estimate - 600 < 60 THEN floor(estimate - 600 + 0.5)::BIGINT || 's left' WHEN floor((estimate - 600) / 60 + 0.5)::BIGINT >= 60 THEN (floor((estimate - 600) / 60 + 0.5)::BIGINT // 60) || 'h ' || (floor((estimate - 600) / 60 + 0.5)::BIGINT % 60) || 'm left' ELSE floor((estimate - 600) / 60 + 0.5)::BIGINT || 'm left' END AS label FROM e")
+@query(
+    "a08_time_left",
+    f"""WITH {JOBS}, e AS (SELECT id, CASE WHEN id % 5 > 0 THEN 600 / (id % 5) * (audio_seconds / 100) END AS estimate FROM j)
+      SELECT id, round(estimate, 6) AS estimate, CASE WHEN estimate IS NULL THEN 'calculating' WHEN estimate - 600 <= 5 THEN 'almost done'
+      WHEN estimate - 600 < 60 THEN floor(estimate - 600 + 0.5)::BIGINT || 's left'
+      WHEN floor((estimate - 600) / 60 + 0.5)::BIGINT >= 60 THEN (floor((estimate - 600) / 60 + 0.5)::BIGINT // 60) || 'h ' || (floor((estimate - 600) / 60 + 0.5)::BIGINT % 60) || 'm left'
+      ELSE floor((estimate - 600) / 60 + 0.5)::BIGINT || 'm left' END AS label FROM e""",
+)
 def a08(t):
     left = jobs.estimate(F.lit(600.0), F.col("id") % 5, F.col("audio_seconds") / 100)
     return job_rows(t).select("id", F.round(left, 6).alias("estimate"), S.time_left_label(left - 600).alias("label"))
 
 
-@query("a09_library_summary", f"WITH {JOBS}, {SEEN} SELECT count_if(status = 'synthesizing') AS active, count_if(status = 'queued') AS waiting, count_if(status = 'queued') > 0 AND NOT EXISTS (SELECT 1 FROM h WHERE epoch_us({NOW}) - epoch_us(last_seen) < {_STALE} * 1000000::BIGINT) AS stalled FROM j")
+@query(
+    "a09_library_summary",
+    f"""WITH {JOBS}, {SEEN} SELECT count_if(status = 'synthesizing') AS active, count_if(status = 'queued') AS waiting, count_if(status = 'queued') > 0
+      AND NOT EXISTS (SELECT 1 FROM h WHERE epoch_us({NOW}) - epoch_us(last_seen) < {_STALE} * 1000000::BIGINT) AS stalled FROM j""",
+)
 def a09(t):
     live = jobs.live_workers(seen(t), now(t), _STALE).agg((F.count("*") > 0).alias("online"))
     return jobs.library_summary(job_rows(t), F.lit(False)).join(F.broadcast(live)).select("active", "waiting", (~F.col("online") & (F.col("waiting") > 0)).alias("stalled"))
 
 
-@query("a10_representative_chapters", f"SELECT book, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY book ORDER BY n_chars, doc_id) AS nth, count(*) OVER (PARTITION BY book) AS n FROM (SELECT *, {BOOK} AS book FROM documents)) WHERE nth = n // 2 + 1")
+@query(
+    "a10_representative_chapters",
+    f"""SELECT book, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY book ORDER BY n_chars, doc_id) AS nth, count(*)
+      OVER (PARTITION BY book) AS n FROM (SELECT *, {BOOK} AS book FROM documents)) WHERE nth = n // 2 + 1""",
+)
 def a10(t):
     return jobs.representative(t("documents").select(book_key(), "doc_id", "n_chars"), "book", "n_chars", "doc_id")
 
@@ -86,13 +114,21 @@ def a11(t):
     return t("documents").select("doc_id", F.round(whole, 6).alias("seconds"), (whole <= 86400).alias("within_a_day"))
 
 
-@query("a12_match_coverage", "SELECT user_id AS block, count_if(event_type = 'view') AS matched, count(*) AS spoken, count_if(event_type = 'view') >= 0.6 * count(*) AS accepted FROM events GROUP BY user_id")
+@query(
+    "a12_match_coverage",
+    """SELECT user_id AS block, count_if(event_type = 'view') AS matched, count(*) AS spoken, count_if(event_type = 'view') >= 0.6 * count(*) AS accepted
+      FROM events GROUP BY user_id""",
+)
 def a12(t):
     matched, spoken = F.count_if(F.col("event_type") == "view"), F.count("*")
     return t("events").groupBy(F.col("user_id").alias("block")).agg(matched.alias("matched"), spoken.alias("spoken"), (matched >= 0.6 * spoken).alias("accepted"))
 
 
-@query("a13_mixed_formats", "SELECT l_orderkey AS book, count(DISTINCT l_returnflag) AS formats, count(DISTINCT l_returnflag) > 1 AS mixed, count_if(l_returnflag <> 'N') AS to_convert FROM lineitem GROUP BY l_orderkey")
+@query(
+    "a13_mixed_formats",
+    """SELECT l_orderkey AS book, count(DISTINCT l_returnflag) AS formats, count(DISTINCT l_returnflag) > 1 AS mixed, count_if(l_returnflag <> 'N') AS to_convert
+      FROM lineitem GROUP BY l_orderkey""",
+)
 def a13(t):
     return jobs.mixed_formats(t("lineitem").select(F.col("l_orderkey").alias("book"), "l_returnflag"), "book", "l_returnflag", "N")
 
@@ -124,7 +160,11 @@ def l03(t):
     return top.select(F.col("l.user_id").alias("id"), F.col("l.ts").alias("ts"), F.col("l.event_type").alias("event_type"))
 
 
-@query("st01_latest_heartbeats", "SELECT user_id AS id, ts AS last_seen, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type DESC, value DESC) AS n FROM events) WHERE n = 1")
+@query(
+    "st01_latest_heartbeats",
+    """SELECT user_id AS id, ts AS last_seen, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id
+      ORDER BY ts DESC, event_type DESC, value DESC) AS n FROM events) WHERE n = 1""",
+)
 def st01(t):
     return jobs.latest_per(t("events"), "user_id", "ts", ["event_type", "value"]).select(F.col("user_id").alias("id"), F.col("ts").alias("last_seen"), "event_type", "value")
 
@@ -139,7 +179,11 @@ def l04(t):
     return t("conversations").withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).where("n < 2").select("conv_id", "turn")
 
 
-@query("j12_orphans", f"WITH {JOBS}, {SEEN} SELECT id, CASE WHEN cancel_requested THEN 'cancelled' ELSE 'queued' END AS becomes FROM j WHERE status = 'synthesizing' AND worker NOT IN (SELECT id FROM h WHERE epoch_us({NOW}) - epoch_us(last_seen) < {_STALE} * 1000000::BIGINT)")
+@query(
+    "j12_orphans",
+    f"""WITH {JOBS}, {SEEN} SELECT id, CASE WHEN cancel_requested THEN 'cancelled' ELSE 'queued' END AS becomes FROM j WHERE status = 'synthesizing'
+      AND worker NOT IN (SELECT id FROM h WHERE epoch_us({NOW}) - epoch_us(last_seen) < {_STALE} * 1000000::BIGINT)""",
+)
 def j12(t):
     return jobs.orphans(job_rows(t), jobs.live_workers(seen(t), now(t), _STALE)).select("id", "becomes")
 
@@ -147,19 +191,32 @@ def j12(t):
 _LATER = "TIMESTAMP '2024-02-01 00:00:00'"
 
 
-@query("j12_orphans_of_one_worker", f"WITH {JOBS}, {SEEN} SELECT id, CASE WHEN cancel_requested THEN 'cancelled' ELSE 'queued' END AS becomes FROM j WHERE status = 'synthesizing' AND NOT EXISTS (SELECT 1 FROM h WHERE epoch_us({_LATER}) - epoch_us(last_seen) < {_STALE} * 1000000::BIGINT)")
+@query(
+    "j12_orphans_of_one_worker",
+    f"""WITH {JOBS}, {SEEN} SELECT id, CASE WHEN cancel_requested THEN 'cancelled' ELSE 'queued' END AS becomes FROM j WHERE status = 'synthesizing'
+      AND NOT EXISTS (SELECT 1 FROM h WHERE epoch_us({_LATER}) - epoch_us(last_seen) < {_STALE} * 1000000::BIGINT)""",
+)
 def j12b(t):
     later = F.lit("2024-02-01 00:00:00").cast("timestamp")
     return jobs.orphans(job_rows(t), jobs.live_workers(seen(t), later, _STALE), None).select("id", "becomes")
 
 
-@query("st04_rescued_jobs", f"WITH {JOBS}, {SEEN} SELECT worker, count_if(NOT cancel_requested)::BIGINT AS queued, count_if(cancel_requested)::BIGINT AS cancelled FROM j WHERE status = 'synthesizing' AND worker NOT IN (SELECT id FROM h WHERE epoch_us({NOW}) - epoch_us(last_seen) < {_STALE} * 1000000::BIGINT) GROUP BY worker")
+@query(
+    "st04_rescued_jobs",
+    f"""WITH {JOBS}, {SEEN} SELECT worker, count_if(NOT cancel_requested)::BIGINT AS queued, count_if(cancel_requested)::BIGINT AS cancelled FROM j
+      WHERE status = 'synthesizing' AND worker NOT IN (SELECT id FROM h WHERE epoch_us({NOW}) - epoch_us(last_seen) < {_STALE} * 1000000::BIGINT)
+      GROUP BY worker""",
+)
 def st04(t):
     lost = jobs.orphans(job_rows(t), jobs.live_workers(seen(t), now(t), _STALE))
     return lost.groupBy("worker").agg(F.count_if(F.col("becomes") == "queued").alias("queued"), F.count_if(F.col("becomes") == "cancelled").alias("cancelled"))
 
 
-@query("w08_newest_samples", f"WITH {JOBS} SELECT parent_id, id FROM (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY created_at DESC, id DESC) AS n FROM j WHERE mode = 'sample') WHERE n = 1")
+@query(
+    "w08_newest_samples",
+    f"""WITH {JOBS} SELECT parent_id, id FROM (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY created_at DESC, id DESC) AS n FROM j
+      WHERE mode = 'sample') WHERE n = 1""",
+)
 def w08(t):
     return jobs.newest_sample(job_rows(t), "parent_id").select("parent_id", "id")
 
@@ -170,7 +227,11 @@ def j16(t):
     return jobs.without_children(held, held.where("id % 5 = 0")).select("id")
 
 
-@query("j17_outdated_workers", "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 > 0 THEN s_suppkey % 4 END AS revision FROM supplier WHERE coalesce(CASE WHEN s_suppkey % 4 > 0 THEN s_suppkey % 4 END, 1) < 3")
+@query(
+    "j17_outdated_workers",
+    """SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 > 0 THEN s_suppkey % 4 END AS revision FROM supplier WHERE coalesce(CASE
+      WHEN s_suppkey % 4 > 0 THEN s_suppkey % 4 END, 1) < 3""",
+)
 def j17(t):
     k = F.col("s_suppkey")
     return jobs.outdated(t("supplier").select(k.alias("id"), F.when(k % 4 > 0, k % 4).alias("revision")))

@@ -38,7 +38,13 @@ def st01(events, folder, t):
     return held.select(F.col("user_id").alias("id"), F.col("ts").alias("last_seen"), "event_type", "value")
 
 
-@stream_query("st02_liveness_stream", "WITH g AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS after FROM (SELECT DISTINCT user_id, ts FROM events)) SELECT user_id AS worker, count_if(before IS NULL OR epoch_us(ts) - epoch_us(before) >= 21600000000) AS came, count_if(after IS NOT NULL AND epoch_us(after) - epoch_us(ts) >= 21600000000) AS went FROM g GROUP BY user_id")
+@stream_query(
+    "st02_liveness_stream",
+    """WITH g AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS after
+      FROM (SELECT DISTINCT user_id, ts FROM events))
+      SELECT user_id AS worker, count_if(before IS NULL OR epoch_us(ts) - epoch_us(before) >= 21600000000) AS came, count_if(after IS NOT NULL
+      AND epoch_us(after) - epoch_us(ts) >= 21600000000) AS went FROM g GROUP BY user_id""",
+)
 def st02(events, folder, t):
     """How often each worker came online, and went offline before its last heartbeat."""
     rows = streams.drain(streams.liveness_changes(events, "user_id", "ts", 6 * 3600), folder)
@@ -173,7 +179,12 @@ def st08(events, folder, t):
     return streams.new_books(events.sparkSession.readStream.schema(schema).parquet(landing), folder)
 
 
-@query("s01_book_metadata", "SELECT DISTINCT (page_id // 10)::VARCHAR AS book_id, CASE WHEN (page_id // 10) % 2 = 0 THEN 'Book ' || (page_id // 10) ELSE (page_id // 10)::VARCHAR END AS title, CASE WHEN (page_id // 10) % 3 = 0 THEN 'Author ' || (page_id // 10) ELSE 'Unknown' END AS author FROM pages WHERE (page_id // 10) % 9 < 8")
+@query(
+    "s01_book_metadata",
+    """SELECT DISTINCT (page_id // 10)::VARCHAR AS book_id, CASE WHEN (page_id // 10) % 2 = 0 THEN 'Book ' || (page_id // 10)
+      ELSE (page_id // 10)::VARCHAR END AS title, CASE WHEN (page_id // 10) % 3 = 0 THEN 'Author ' || (page_id // 10) ELSE 'Unknown' END AS author
+      FROM pages WHERE (page_id // 10) % 9 < 8""",
+)
 def s01_metadata(t):
     return archives.packages(archives.members(bound_books(t))).select("book_id", "title", "author")
 
@@ -191,7 +202,12 @@ def s02(t):
     return archives.judge(archives.listing(book_archives(t)), 32_000)
 
 
-@query("s04_preset_catalogue", "SELECT s_suppkey::VARCHAR AS id, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'd' ELSE '' END AS description FROM supplier WHERE s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0 UNION ALL SELECT s_suppkey::VARCHAR, s_name, CASE WHEN s_suppkey % 2 = 0 THEN 'd' ELSE '' END FROM supplier WHERE s_suppkey % 5 <> 0 AND s_suppkey % 7 = 0 AND s_suppkey % 3 = 0")
+@query(
+    "s04_preset_catalogue",
+    """SELECT s_suppkey::VARCHAR AS id, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'd' ELSE '' END AS description FROM supplier
+      WHERE s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0 UNION ALL SELECT s_suppkey::VARCHAR, s_name, CASE WHEN s_suppkey % 2 = 0 THEN 'd' ELSE '' END
+      FROM supplier WHERE s_suppkey % 5 <> 0 AND s_suppkey % 7 = 0 AND s_suppkey % 3 = 0""",
+)
 def s04(t):
     k = F.col("s_suppkey")
     entry = F.struct(F.when(k % 5 != 0, k.cast("string")).alias("id"), F.col("s_name").alias("name"), F.when(k % 2 == 0, "d").alias("description"), F.when(k % 7 == 0, F.concat(F.lit("c"), k.cast("string"))).alias("ref"))
@@ -231,13 +247,21 @@ def s06_rewritten(t):
     return back.select("id", "book_id", "chapter_index", F.col("timing.duration").alias("duration"), first["text"].alias("text"), F.size(first["words"]).cast("long").alias("words"), first["words"][0]["end"].alias("first_end"))
 
 
-@query("s09_storage_totals", "SELECT job, kind, sum(length)::BIGINT AS bytes FROM (SELECT (l_orderkey % 50)::VARCHAR AS job, CASE WHEN l_linenumber % 2 = 0 THEN 'output' ELSE 'upload' END AS kind, l_partkey AS length FROM lineitem) GROUP BY ROLLUP (job, kind)")
+@query(
+    "s09_storage_totals",
+    """SELECT job, kind, sum(length)::BIGINT AS bytes FROM (SELECT (l_orderkey % 50)::VARCHAR AS job, CASE WHEN l_linenumber % 2 = 0 THEN 'output'
+      ELSE 'upload' END AS kind, l_partkey AS length FROM lineitem) GROUP BY ROLLUP (job, kind)""",
+)
 def s09(t):
     path = F.concat(F.lit("data/"), F.when(F.col("l_linenumber") % 2 == 0, "output").otherwise("upload"), F.lit("s/"), (F.col("l_orderkey") % 50).cast("string"), F.lit("/f.wav"))
     return files.storage_totals(t("lineitem").select(path.alias("path"), F.col("l_partkey").alias("length")))
 
 
-@query("a15_storage_by_job", "SELECT (l_orderkey % 50)::VARCHAR AS job, sum(CASE WHEN l_linenumber % 2 = 0 THEN l_partkey ELSE 0 END)::BIGINT AS output, sum(l_partkey)::BIGINT AS total FROM lineitem GROUP BY 1")
+@query(
+    "a15_storage_by_job",
+    """SELECT (l_orderkey % 50)::VARCHAR AS job, sum(CASE WHEN l_linenumber % 2 = 0 THEN l_partkey
+      ELSE 0 END)::BIGINT AS output, sum(l_partkey)::BIGINT AS total FROM lineitem GROUP BY 1""",
+)
 def a15(t):
     held = s09(t).where("job is not null and kind is not null")
     return held.groupBy("job").agg(F.sum(F.when(F.col("kind") == "output", F.col("bytes")).otherwise(0)).alias("output"), F.sum("bytes").alias("total"))

@@ -334,14 +334,23 @@ def t24(t):
     return t("events").select("event_id", S.age_label(F.greatest(F.lit(0), F.floor(1000 - F.col("value") * 50)) * (1 + F.col("event_id") % 9)).alias("label"))
 
 
-@query("t28_output_names", "SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 > 0 THEN 'Book ' || o_orderkey END, regexp_extract('up/' || o_orderkey || '.epub', '([^/]+)\\.[^.]*$', 1)) || '.m4b' AS name, CASE WHEN o_orderkey % 4 = 0 THEN 'sample.wav' ELSE 'book.m4b' END AS stored FROM orders")
+@query(
+    "t28_output_names",
+    """SELECT o_orderkey, coalesce(CASE
+      WHEN o_orderkey % 3 > 0 THEN 'Book ' || o_orderkey END, regexp_extract('up/' || o_orderkey || '.epub', '([^/]+)\\.[^.]*$', 1)) || '.m4b' AS name, CASE
+      WHEN o_orderkey % 4 = 0 THEN 'sample.wav' ELSE 'book.m4b' END AS stored FROM orders""",
+)
 def t28(t):
     k = F.col("o_orderkey").cast("string")
     stem = F.regexp_extract(F.concat(F.lit("up/"), k, F.lit(".epub")), r"([^/]+)\.[^.]*$", 1)
     return t("orders").select("o_orderkey", F.concat(F.coalesce(F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.lit("Book "), k)), stem), F.lit(".m4b")).alias("name"), F.when(F.col("o_orderkey") % 4 == 0, "sample.wav").otherwise("book.m4b").alias("stored"))
 
 
-@query("t30_clean_samples", "SELECT vec_id, list_transform(embedding, lambda x, i: CASE WHEN i % 17 = 1 THEN 0.0::DOUBLE ELSE greatest(-1.0::DOUBLE, least(1.0::DOUBLE, x::DOUBLE * 20)) END) AS samples FROM embeddings")
+@query(
+    "t30_clean_samples",
+    """SELECT vec_id, list_transform(embedding, lambda x, i: CASE WHEN i % 17 = 1 THEN 0.0::DOUBLE
+      ELSE greatest(-1.0::DOUBLE, least(1.0::DOUBLE, x::DOUBLE * 20)) END) AS samples FROM embeddings""",
+)
 def t30(t):
     odd = F.transform("embedding", lambda x, i: F.when(i % 34 == 0, float("nan")).when(i % 17 == 0, float("inf")).otherwise(x.cast("double") * 20))
     return t("embeddings").select("vec_id", S.clean_samples(odd).alias("samples"))
@@ -356,13 +365,22 @@ def t32(t):
 _NAME = "'cover' || p_partkey || CASE p_partkey % 5 WHEN 0 THEN '.PNG' WHEN 1 THEN '.jpeg' WHEN 2 THEN '.tiff' WHEN 3 THEN '' ELSE '.webp' END"
 
 
-@query("t33_picture_types", f"SELECT p_partkey, e AS extension, CASE e WHEN '.png' THEN 'image/png' WHEN '.jpeg' THEN 'image/jpeg' WHEN '.jpg' THEN 'image/jpeg' ELSE 'image/webp' END AS media_type FROM (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '.png' WHEN 1 THEN '.jpeg' WHEN 4 THEN '.webp' ELSE '.jpg' END AS e FROM part)")
+@query(
+    "t33_picture_types",
+    f"""SELECT p_partkey, e AS extension, CASE e WHEN '.png' THEN 'image/png' WHEN '.jpeg' THEN 'image/jpeg' WHEN '.jpg' THEN 'image/jpeg'
+      ELSE 'image/webp' END AS media_type FROM (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '.png' WHEN 1 THEN '.jpeg' WHEN 4 THEN '.webp'
+      ELSE '.jpg' END AS e FROM part)""",
+)
 def t33(t):
     e = S.extension(F.expr(_NAME.replace("|| p_partkey ||", "|| cast(p_partkey as string) ||")))
     return t("part").select("p_partkey", e.alias("extension"), S.looked_up(e, S.PICTURE_TYPES).alias("media_type"))
 
 
-@query("t34_allowed_parameters", "SELECT p_partkey, list_sort(map_keys(m)) AS names, m['temperature'] AS temperature FROM (SELECT p_partkey, MAP {'cfg_weight': p_size / 50.0, 'temperature': p_retailprice} AS m FROM part)")
+@query(
+    "t34_allowed_parameters",
+    """SELECT p_partkey, list_sort(map_keys(m)) AS names, m['temperature'] AS temperature
+      FROM (SELECT p_partkey, MAP {'cfg_weight': p_size / 50.0, 'temperature': p_retailprice} AS m FROM part)""",
+)
 def t34(t):
     given = F.create_map(F.lit("temperature"), F.col("p_retailprice"), F.lit("seed"), F.lit(1.0), F.lit("cfg_weight"), F.col("p_size") / 50.0, F.lit("exaggeration"), F.lit(None).cast("double"))
     kept = S.allowed_parameters(given)

@@ -37,7 +37,12 @@ def w03(t):
     return marks(t).select("book", "chapter", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
 
 
-@query("w04_segment_parts", f"WITH {SEGMENTS}, p AS (SELECT book, chapter, part AS chunk, (row_number() OVER (PARTITION BY book ORDER BY chapter, part) - 1) // 3 AS part, ceil(count(*) OVER (PARTITION BY book) / 3.0)::BIGINT AS parts FROM s) SELECT *, part < parts - 1 AS pause_after FROM p")
+@query(
+    "w04_segment_parts",
+    f"""WITH {SEGMENTS}, p AS (SELECT book, chapter, part AS chunk, (row_number() OVER (PARTITION BY book
+      ORDER BY chapter, part) - 1) // 3 AS part, ceil(count(*) OVER (PARTITION BY book) / 3.0)::BIGINT AS parts FROM s)
+      SELECT *, part < parts - 1 AS pause_after FROM p""",
+)
 def w04(t):
     chunks = segments(t).select("book", "chapter", F.col("part").cast("long").alias("chunk"))
     return T.parts(chunks, ["book"], ["chapter", "chunk"], 3)
@@ -83,7 +88,11 @@ def s16(t):
     return refresh.usable(held.select("book", "chapter", "part", "length"), held.select("book", "chapter", "part", F.when(F.col("duration") > 5, F.col("duration")).otherwise(0).alias("frames")), ["book", "chapter", "part"])
 
 
-@query("w10_audition", f"WITH {SEGMENTS}, f AS (SELECT *, dense_rank() OVER (PARTITION BY book ORDER BY chapter) - 1 AS position, row_number() OVER (PARTITION BY book, chapter ORDER BY part) - 1 AS chunk_no FROM s WHERE (book + chapter) % 4 <> 0) SELECT book, chapter, chunk_no FROM f WHERE position = 0 AND chunk_no < 3")
+@query(
+    "w10_audition",
+    f"""WITH {SEGMENTS}, f AS (SELECT *, dense_rank() OVER (PARTITION BY book ORDER BY chapter) - 1 AS position, row_number() OVER (PARTITION BY book, chapter
+      ORDER BY part) - 1 AS chunk_no FROM s WHERE (book + chapter) % 4 <> 0) SELECT book, chapter, chunk_no FROM f WHERE position = 0 AND chunk_no < 3""",
+)
 def w10(t):
     held = segments(t).where((F.col("book") + F.col("chapter")) % 4 != 0)
     first = held.groupBy("book").agg(F.min("chapter").alias("chapter"))
@@ -91,7 +100,12 @@ def w10(t):
     return numbered.join(first, ["book", "chapter"], "left_semi").where("chunk_no < 3").select("book", "chapter", "chunk_no")
 
 
-@query("w12_millisecond_marks", f"WITH {SEGMENTS}, c AS (SELECT book, chapter, trunc(sum(duration) / 7 * 1000)::BIGINT AS ms FROM s GROUP BY book, chapter) SELECT book, chapter, coalesce(sum(ms) OVER w, 0)::BIGINT AS start_ms, (coalesce(sum(ms) OVER w, 0) + ms)::BIGINT AS end_ms FROM c WINDOW w AS (PARTITION BY book ORDER BY chapter ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+@query(
+    "w12_millisecond_marks",
+    f"""WITH {SEGMENTS}, c AS (SELECT book, chapter, trunc(sum(duration) / 7 * 1000)::BIGINT AS ms FROM s GROUP BY book, chapter)
+      SELECT book, chapter, coalesce(sum(ms) OVER w, 0)::BIGINT AS start_ms, (coalesce(sum(ms) OVER w, 0) + ms)::BIGINT AS end_ms
+      FROM c WINDOW w AS (PARTITION BY book ORDER BY chapter ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+)
 def w12(t):
     chapters = segments(t).groupBy("book", "chapter").agg((F.sum("duration") / 7).alias("seconds"))
     return T.millisecond_marks(chapters, "book", "chapter", "seconds").select("book", "chapter", "start_ms", "end_ms")
@@ -124,7 +138,13 @@ def s08(t):
     return chapters.join(chunks, "book").select("book", F.to_json(F.struct("chapters", "chunks")).alias("timeline"))
 
 
-@query("c02_timeline_faults", f"WITH {OFFSETS}, b AS (SELECT book, chapter, part, CASE WHEN (book + part) % 13 = 0 THEN start - 20 ELSE start END AS start, CASE WHEN book % 17 = 0 THEN start - 30 ELSE \"end\" END AS \"end\" FROM e), p AS (SELECT *, lag(start) OVER (PARTITION BY book ORDER BY chapter, part) AS before FROM b) SELECT book, chapter, part, 'starts before the last' AS fault FROM p WHERE start < before UNION ALL SELECT book, chapter, part, 'ends before its start' FROM p WHERE \"end\" < start")
+@query(
+    "c02_timeline_faults",
+    f"""WITH {OFFSETS}, b AS (SELECT book, chapter, part, CASE WHEN (book + part) % 13 = 0 THEN start - 20 ELSE start END AS start, CASE
+      WHEN book % 17 = 0 THEN start - 30 ELSE \"end\" END AS \"end\" FROM e), p AS (SELECT *, lag(start) OVER (PARTITION BY book
+      ORDER BY chapter, part) AS before FROM b) SELECT book, chapter, part, 'starts before the last' AS fault FROM p WHERE start < before UNION ALL
+      SELECT book, chapter, part, 'ends before its start' FROM p WHERE \"end\" < start""",
+)
 def c02(t):
     bent = offsets(t).select("book", "chapter", F.col("part").cast("long").alias("part"), F.when((F.col("book") + F.col("part")) % 13 == 0, F.col("start") - 20).otherwise(F.col("start")).alias("start"), F.when(F.col("book") % 17 == 0, F.col("start") - 30).otherwise(F.col("end")).alias("end"))
     return T.timeline_faults(bent, "book", ["chapter", "part"])
@@ -137,7 +157,11 @@ def lookups(t):
     return t("orders").select(F.col("o_orderkey").alias("book"), (F.col("o_orderkey") * 37 % 120).cast("double").alias("t"))
 
 
-@query("j10_chapter_as_of", f"WITH {OFFSETS}, {_LOOKUPS} SELECT q.book, q.t, coalesce(m.chapter, (SELECT min(chapter) FROM m AS f WHERE f.book = q.book)) AS chapter FROM (SELECT book, t - 40 AS t FROM q) AS q ASOF LEFT JOIN m ON q.book = m.book AND q.t >= m.start")
+@query(
+    "j10_chapter_as_of",
+    f"""WITH {OFFSETS}, {_LOOKUPS} SELECT q.book, q.t, coalesce(m.chapter, (SELECT min(chapter) FROM m AS f WHERE f.book = q.book)) AS chapter
+      FROM (SELECT book, t - 40 AS t FROM q) AS q ASOF LEFT JOIN m ON q.book = m.book AND q.t >= m.start""",
+)
 def j10(t):
     return T.as_of(lookups(t).withColumn("t", F.col("t") - 40), marks(t), "book", "t", ["chapter"], first_if_before=True)
 
@@ -205,7 +229,13 @@ def w14(t):
     return T.rebase_words(words, chunks, held, ["book", "chapter", "part"], "chunk").select("book", "chapter", "part", "word_no", "start", "end")
 
 
-@query("w07_chunk_samples", f"WITH {SEGMENTS}, c AS (SELECT book, chapter, part, (duration * 24000)::BIGINT AS n, count(*) OVER (PARTITION BY book, chapter) AS k FROM s), p AS (SELECT book, chapter, part, n, coalesce(sum(n) OVER (PARTITION BY book, chapter ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + part * 9600 AS start FROM c) SELECT book, chapter, part, start, start + n AS \"end\", max(start + n) OVER (PARTITION BY book, chapter) + CASE WHEN chapter % 2 = 0 THEN 9600 ELSE 0 END AS total FROM p")
+@query(
+    "w07_chunk_samples",
+    f"""WITH {SEGMENTS}, c AS (SELECT book, chapter, part, (duration * 24000)::BIGINT AS n, count(*) OVER (PARTITION BY book, chapter) AS k FROM s),
+      p AS (SELECT book, chapter, part, n, coalesce(sum(n) OVER (PARTITION BY book, chapter ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+      0)::BIGINT + part * 9600 AS start FROM c) SELECT book, chapter, part, start, start + n AS \"end\", max(start + n)
+      OVER (PARTITION BY book, chapter) + CASE WHEN chapter % 2 = 0 THEN 9600 ELSE 0 END AS total FROM p""",
+)
 def w07(t):
     held = segments(t).select(F.struct("book", "chapter").alias("segment"), "book", "chapter", F.col("part").cast("long").alias("part"), (F.col("duration") * 24000).cast("long").alias("n"))
     return T.chunk_samples(held, "segment", "part", "n", 24000, F.col("chapter") % 2 == 0).select("book", "chapter", "part", "start", "end", "total")
@@ -227,7 +257,11 @@ def w06(t):
     return runs(t)
 
 
-@query("w06_accepted_runs", f"WITH {_RUNS}, c AS (SELECT *, count(*) OVER (PARTITION BY vec_id) AS k FROM runs) SELECT c.vec_id, run, first, last FROM c JOIN embeddings e ON e.vec_id = c.vec_id WHERE k = e.label + 1")
+@query(
+    "w06_accepted_runs",
+    f"""WITH {_RUNS}, c AS (SELECT *, count(*) OVER (PARTITION BY vec_id) AS k FROM runs) SELECT c.vec_id, run, first, last FROM c
+      JOIN embeddings e ON e.vec_id = c.vec_id WHERE k = e.label + 1""",
+)
 def w06b(t):
     return T.accepted_runs(runs(t), t("embeddings").select("vec_id", (F.col("label") + 1).alias("chunks")), "vec_id", "chunks").select("vec_id", "run", "first", "last")
 
