@@ -7,10 +7,13 @@ from taleweave.functions.speech import fingerprint, trimmed
 
 # Words whose period ends no sentence.
 ABBREVIATIONS = (
-    "dr mr mrs ms prof rev fr sr jr st hon vs etc eg ie cf no vol vols ch chap chaps pp fig figs approx est dept univ co inc ltd ed eds trans ibid al am pm ad bc ca circa "
-    "gen ex exod lev num deut josh judg sam kgs kings chron ezra neh esth ps pss prov eccl song isa jer lam ezek dan hos obad mic nah hab zeph hag zech mal matt mk lk jn rom "
-    "cor gal eph phil col thess tim titus phlm heb jas pet jude"
-).split()
+    "dr", "mr", "mrs", "ms", "prof", "rev", "fr", "sr", "jr", "st", "hon", "vs", "etc", "eg", "ie", "cf", "no", "vol",
+    "vols", "ch", "chap", "chaps", "pp", "fig", "figs", "approx", "est", "dept", "univ", "co", "inc", "ltd", "ed", "eds",
+    "trans", "ibid", "al", "am", "pm", "ad", "bc", "ca", "circa", "gen", "ex", "exod", "lev", "num", "deut", "josh", "judg",
+    "sam", "kgs", "kings", "chron", "ezra", "neh", "esth", "ps", "pss", "prov", "eccl", "song", "isa", "jer", "lam", "ezek",
+    "dan", "hos", "obad", "mic", "nah", "hab", "zeph", "hag", "zech", "mal", "matt", "mk", "lk", "jn", "rom", "cor", "gal",
+    "eph", "phil", "col", "thess", "tim", "titus", "phlm", "heb", "jas", "pet", "jude",
+)
 LIST_MARKER = r"^[\(\[]?(?:[0-9]{1,3}|[ivxlIVXL]{1,5})[\)\].]{1,2}$"
 
 MAX_CHARS = 300
