@@ -7,6 +7,19 @@ import pyarrow as pa
 SLICE_BYTES = 1 << 20
 
 
+#: Rows of an Arrow batch, where the session has Spark's default of 10,000: with texts that takes many times the memory, in Spark and in Python.
+BATCH_ROWS = 2000
+_SETTING, _DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def small_batches(rows):
+    """The rows (a DataFrame), after the session's Arrow batches are made small unless it says otherwise."""
+    conf = rows.sparkSession.conf
+    if conf.get(_SETTING, _DEFAULT) == _DEFAULT:
+        conf.set(_SETTING, str(BATCH_ROWS))
+    return rows
+
+
 def _sizes(column) -> np.ndarray:
     """The bytes of each value of a string or binary array, from its offsets; what is under a null counts too."""
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)

@@ -32,7 +32,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taleweave.llm.arrow_text import rows_to_batch, span_hashes, text_slices
+from taleweave.llm.arrow_text import rows_to_batch, small_batches, span_hashes, text_slices
 from taleweave.llm.lineage import stored
 
 #: Words compiled into the lexicon; the file takes about 200 bytes a word.
@@ -338,7 +338,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     counts = {}
         yield out(counts)
 
-    return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return small_batches(docs).select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(docs: DataFrame, words: int) -> list[bytes]:
@@ -391,7 +391,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, lexicon: str | None = Non
             for first, rows in text_slices(batch):
                 yield rows_to_batch(schema, {"doc_id": ids.slice(first, len(rows)), "ids": [x.astype(np.int32) for x in encoder.encode(rows)]})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def encoding_digests(docs: DataFrame, vocabulary: str, lexicon: str | None = None) -> DataFrame:
@@ -410,4 +410,4 @@ def encoding_digests(docs: DataFrame, vocabulary: str, lexicon: str | None = Non
                     "decoded_sha256": [hashlib.sha256(encoder.decode(x).encode()).hexdigest() for x in encoded],
                 })
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from taleweave.llm.arrow_text import row_slices, rows_to_batch, text_slices
+from taleweave.llm.arrow_text import row_slices, rows_to_batch, small_batches, text_slices
 from taleweave.llm.lineage import broadcast_if_small, join_hot, stored
 
 
@@ -75,7 +75,7 @@ def canonical_texts(docs: DataFrame, digest=fingerprint) -> DataFrame:
                 texts = [r.decode() for r in rows]
                 yield rows_to_batch(_CANON, {"doc_id": ids.slice(first, len(rows)), "fingerprint": list(map(digest, texts)), "canon": list(map(canonical, texts))})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint string, canon string")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint string, canon string")
 
 
 def with_groups(prints: DataFrame, docs: DataFrame, digest=fingerprint) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from taleweave.llm.arrow_text import rows_to_batch, text_slices
+from taleweave.llm.arrow_text import rows_to_batch, small_batches, text_slices
 
 UND = "und"
 #: Bytes of text per language in its dictionary, and documents per language that the sample may hold.
@@ -116,7 +116,7 @@ def predict_language(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFra
                 lang, score, margin, rejected = zip(*map(model.predict, rows))
                 yield rows_to_batch(SCHEMA, {"doc_id": ids.slice(first, len(rows)), "lang_pred": lang, "score": score, "margin": margin, "rejected": rejected})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, margin double, rejected boolean")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, margin double, rejected boolean")
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
@@ -130,4 +130,4 @@ def keep_known(docs: DataFrame) -> DataFrame:
             for first, rows in text_slices(batch):
                 yield batch.slice(first, len(rows)).filter(pa.array([not model.predict(r)[3] for r in rows], type=pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from taleweave.llm.arrow_text import joined, mixed, row_slices, rows_to_batch, span_hashes, text_slices
+from taleweave.llm.arrow_text import joined, mixed, row_slices, rows_to_batch, small_batches, span_hashes, text_slices
 from taleweave.llm.lineage import broadcast_if_small, join_hot, stored
 
 WORDS = 5
@@ -108,7 +108,7 @@ def features(docs: DataFrame) -> DataFrame:
                     "tokens": [signature(s).view(np.int64) if len(s) else None for s in sets], "sketch": [odd_sketch(s) if len(s) else None for s in sets],
                 })
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_id string, tokens array<long>, sketch array<long>")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_id string, tokens array<long>, sketch array<long>")
 
 
 def prefix_postings(sets: DataFrame, matches: int = MATCHES) -> DataFrame:
@@ -151,7 +151,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> Data
                     kept.append(linked(held[1], shingle_sets([b.encode()])[0], percent))
                 yield part.select(["a", "b"]).filter(pa.array(kept, type=pa.bool_()))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return small_batches(both).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from taleweave.llm.arrow_text import rows_to_batch, text_slices
+from taleweave.llm.arrow_text import rows_to_batch, small_batches, text_slices
 from taleweave.llm.bpe import task_encoder, vocabulary_path
 
 CAPACITY = 2048
@@ -160,4 +160,4 @@ def pack(docs: DataFrame, vocabulary: str | None = None, with_ids: bool = False)
         out(packer.finish())
         yield batch_of_rows()
 
-    return docs.select("doc_id", "text").mapInArrow(run, COLUMNS + (", ids array<int>" if with_ids else ""))
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, COLUMNS + (", ids array<int>" if with_ids else ""))
