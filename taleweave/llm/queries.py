@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name, and the SQL that must give the same rows."""
 
-from taleweave.llm import audio, bpe, chat, digest, langid, license_scan, neardup, packing, pii, wrapper
+from taleweave.llm import audio, bpe, chat, digest, divergence, langid, license_scan, neardup, packing, periodic, pii, simhash, wrapper
 
 
 def _table(name):
@@ -57,7 +57,19 @@ def op10_license_scan(spark, sf_dir):
     return license_scan.scan_licenses(documents(spark, sf_dir))
 
 
-_ALL = (op1_chroma_alignment, op2_canonical_digest, op3_compression_langid, op4_wrapper_induction, op5_chat_layouts, op6_lexicon_bpe, op7_information_pii, op8_min_slack_packing, op9_coordinate_neardup, op10_license_scan)
+def op11_periodic_runs(spark, sf_dir):
+    return periodic.run_digests(periodic.find_runs(documents(spark, sf_dir), periodic.periodic_tail))
+
+
+def op12_source_divergence(spark, sf_dir):
+    return divergence.audit(documents(spark, sf_dir))
+
+
+def op13_simhash_neardup(spark, sf_dir):
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+_ALL = (op1_chroma_alignment, op2_canonical_digest, op3_compression_langid, op4_wrapper_induction, op5_chat_layouts, op6_lexicon_bpe, op7_information_pii, op8_min_slack_packing, op9_coordinate_neardup, op10_license_scan, op11_periodic_runs, op12_source_divergence, op13_simhash_neardup)
 QUERIES = {f.__name__: f for f in _ALL}
 
 #: Exact sets and components by SQL alone, from all pairs that share a shingle.
@@ -79,4 +91,18 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sum(length('### ' || role || ': ' || replace(replace(replace(text, '\', '\\'), '###', '\h\h\h'), '</turn>', '\l/turn>') || '</turn>' || chr(10)))::BIGINT AS formatted_chars
 FROM c GROUP BY conv_id"""
 
-ORACLE_SQL: dict[str, str] = {"op5_chat_layouts": CHAT, "op9_coordinate_neardup": NEAR_DUPLICATES}
+#: All terms of all groups, dense.
+DIVERGENCE = r"""WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS k, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+  t AS (SELECT lang, source, term, k, count(*) AS n FROM (SELECT lang, source, k, unnest(ws) AS term FROM d) GROUP BY ALL),
+  kept AS (SELECT lang, term, sum(n) AS total FROM t GROUP BY lang, term HAVING count(DISTINCT k) >= 3),
+  v AS (SELECT lang, count(*) AS v, sum(total) AS total FROM kept GROUP BY lang),
+  c AS (SELECT lang, source, term, sum(n) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+  g AS (SELECT lang, source FROM d GROUP BY ALL), s AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL),
+  p AS (SELECT lang, source, term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (coalesce(s.n, 0) + v.v) AS p, 1 + (1000000000::HUGEINT * (k.total + 1)) // (v.total + v.v) AS q
+    FROM g JOIN kept k USING (lang) JOIN v USING (lang) LEFT JOIN s USING (lang, source) LEFT JOIN c USING (lang, source, term)),
+  sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+  u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sums.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source
+    UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM u) WHERE part = 'pair' OR rank <= 200"""
+
+ORACLE_SQL: dict[str, str] = {"op5_chat_layouts": CHAT, "op9_coordinate_neardup": NEAR_DUPLICATES, "op12_source_divergence": DIVERGENCE}
