@@ -7,7 +7,6 @@ from taleweave.functions import speech as S
 from taleweave.operators import catalog, jobs
 from taleweave.plans.registry import BOOK, book_key, query
 from taleweave.streaming import twins
-from taleweave.streaming.lifecycle import RUNNING, TRANSITIONS
 
 JOBS = """j AS (SELECT o_orderkey AS id, o_custkey AS parent_id, CASE WHEN o_orderkey % 4 = 0 THEN 'sample' ELSE 'full' END AS mode, CASE o_orderstatus WHEN 'O' THEN 'queued' WHEN 'F' THEN 'done' ELSE 'synthesizing' END AS status,
   o_orderdate AS created_at, o_totalprice AS audio_seconds, o_orderkey % 6 = 0 AS cancel_requested, o_custkey % 150 AS worker FROM orders)"""
@@ -284,9 +283,13 @@ def st07(t):
 
 
 # The life-cycle as a recursion over each job's commands; '' stands for a job that isn't there.
-_MOVES = ", ".join(f"('{c}', '{was or ''}', '{to or ''}')" for c, (allowed, to) in TRANSITIONS.items() for was in sorted(allowed, key=str))
+_MOVES = """('analyze', '', 'draft'), ('start', 'draft', 'queued'), ('claim', 'queued', 'parsing'), ('planned', 'parsing', 'synthesizing'), ('rendered', 'synthesizing', 'assembling'), ('uploaded', 'assembling', 'done'),
+  ('error', 'parsing', 'failed'), ('error', 'synthesizing', 'failed'), ('error', 'assembling', 'failed'), ('flag_seen', 'parsing', 'cancelled'), ('flag_seen', 'synthesizing', 'cancelled'), ('flag_seen', 'assembling', 'cancelled'),
+  ('resume', 'cancelled', 'queued'), ('resume', 'failed', 'queued'), ('reassemble', 'draft', 'queued'), ('reassemble', 'queued', 'queued'), ('reassemble', 'done', 'queued'), ('reassemble', 'failed', 'queued'), ('reassemble', 'cancelled', 'queued'),
+  ('rescue', 'parsing', 'queued'), ('rescue', 'synthesizing', 'queued'), ('rescue', 'assembling', 'queued'),
+  ('delete', 'draft', ''), ('delete', 'queued', ''), ('delete', 'done', ''), ('delete', 'failed', ''), ('delete', 'cancelled', '')"""
 _COMMAND = "[" + ", ".join(f"'{c}'" for c in twins.COMMANDS) + f"][event_id % {len(twins.COMMANDS)} + 1]"
-_RUNNING = ", ".join(f"'{x}'" for x in sorted(RUNNING))
+_RUNNING = "'parsing', 'synthesizing', 'assembling'"
 FOLD = f"""WITH RECURSIVE c AS (SELECT user_id AS job, event_id, {_COMMAND} AS command, event_id % 4 <> 0 AS online, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
   moves(command, was, becomes) AS (VALUES {_MOVES}),
   r AS (
@@ -301,8 +304,14 @@ FOLD = f"""WITH RECURSIVE c AS (SELECT user_id AS job, event_id, {_COMMAND} AS c
       CASE WHEN m.becomes IS NOT NULL AND c.command = 'delete' THEN 0
         WHEN c.command = 'cancel' THEN r.rejected + (CASE WHEN r.status = 'queued' OR r.status IN ({_RUNNING}) THEN 0 ELSE 1 END) ELSE r.rejected + (CASE WHEN m.becomes IS NULL THEN 1 ELSE 0 END) END
     FROM r JOIN c ON c.job = r.job AND c.n = r.n + 1 LEFT JOIN moves m ON m.command = c.command AND m.was = r.status)"""
-STATES = FOLD + " SELECT job, nullif(arg_max(status, n), '') AS status, arg_max(cancel_requested, n) AS cancel_requested, arg_max(claims, n) AS claims, arg_max(rejected, n) AS rejected FROM r WHERE n > 0 GROUP BY job"
-REJECTED = FOLD + " SELECT event_id, job, command, nullif(status, '') AS status FROM r WHERE n > 0 AND NOT accepted"
+_LAST = " SELECT job, nullif(arg_max(status, n), '') AS status, arg_max(cancel_requested, n) AS cancel_requested, arg_max(claims, n) AS claims, arg_max(rejected, n) AS rejected FROM r WHERE n > 0 GROUP BY job"
+#: A stream has folded what its watermark has passed; two hours before its end is surely behind that.
+FOLDED_SQL = FOLD.replace("FROM events)", "FROM events WHERE ts <= (SELECT max(ts) - INTERVAL 2 HOURS FROM events))", 1)
+_REFUSED = " SELECT event_id, job, command, nullif(status, '') AS status FROM r WHERE n > 0 AND NOT accepted"
+
+
+STATES, REJECTED = FOLD + _LAST, FOLD + _REFUSED
+STATES_THEN, REJECTED_THEN = FOLDED_SQL + _LAST, FOLDED_SQL + _REFUSED
 
 
 @query("st03_job_states", STATES)

@@ -26,6 +26,7 @@ def reader(spark, sf_dir):
         held = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         return spread(held, TEXTS[name]) if name in TEXTS else held
 
+    table.path = lambda name: f"{sf_dir}/{name}.parquet"  # for streams, which read files
     return table
 
 

@@ -53,22 +53,50 @@ def st02(events, folder, t):
     return held.groupBy("worker").agg(F.count_if("online").alias("came"), F.count_if(~F.col("online") & (F.col("at") <= F.col("last"))).alias("went"))
 
 
-@stream_query("st03_job_state_stream", J.STATES)
+def _passed(t):
+    """The events that a stream's watermark has surely passed when it has read them all."""
+    ends = t("events").agg((F.max("ts") - F.expr("INTERVAL 2 HOURS")).alias("_end"))
+    return t("events").join(ends, F.col("ts") <= F.col("_end")).drop("_end")
+
+
+@stream_query("st03_job_state_stream", J.STATES_THEN)
 def st03(events, folder, t):
-    return twins.last_states(streams.drain(streams.job_states(twins.commands_of(events)), folder), twins.commands_of(t("events")))
+    """Each job's state after its commands, all but those of the last two hours, which may still wait for earlier ones."""
+    return twins.last_states(streams.drain(streams.job_states(twins.commands_of(events)), folder), twins.commands_of(_passed(t)))
 
 
-@stream_query("st03_rejected_stream", J.REJECTED)
+@stream_query("st03_rejected_stream", J.REJECTED_THEN)
 def st03_rejected(events, folder, t):
-    return twins.rejected_commands(streams.drain(streams.job_states(twins.commands_of(events)), folder))
+    folded = streams.drain(streams.job_states(twins.commands_of(events)), folder)
+    return twins.rejected_commands(folded.join(_passed(t).select("event_id"), "event_id", "left_semi"))
+
+
+_SIGNS = """jobs AS (SELECT o_orderkey AS job, o_custkey % 150 AS worker, TIMESTAMP '2024-01-02 00:00:00' + INTERVAL 1 HOUR * (o_orderkey * 37 % 600) AS claimed FROM orders WHERE o_orderstatus = 'P'),
+  ends AS (SELECT job, worker, claimed + INTERVAL 10 HOURS AS ended FROM jobs WHERE job % 7 = 0),
+  life AS (SELECT user_id AS worker, ts FROM events UNION SELECT worker, claimed FROM jobs UNION SELECT worker, ended FROM ends),
+  gaps AS (SELECT worker, ts, ts + INTERVAL 6 HOURS AS went FROM (SELECT *, lead(ts) OVER (PARTITION BY worker ORDER BY ts) AS after FROM life) WHERE after IS NULL OR after - ts >= INTERVAL 6 HOURS)"""
 
 
-@stream_query("st04_rescue_stream", SQL["st04_rescued_jobs"])
+@stream_query(
+    "st04_rescue_stream",
+    f"""WITH {_SIGNS}, first AS (SELECT j.job, j.worker, min(g.went) AS at FROM jobs j JOIN gaps g ON g.worker = j.worker AND g.ts >= j.claimed GROUP BY ALL)
+    SELECT f.job, f.worker, f.at, CASE WHEN f.job % 6 = 0 THEN 'cancelled' ELSE 'queued' END AS becomes FROM first f LEFT JOIN ends e ON e.job = f.job
+    WHERE (e.ended IS NULL OR e.ended > f.at - INTERVAL 6 HOURS) AND f.at <= (SELECT max(ts) - INTERVAL 2 HOURS FROM events)""",
+)
 def st04(events, folder, t):
-    """The stream keeps the heartbeat table; running jobs meet it as a static table."""
-    beats = streams.drain(streams.latest_heartbeats(events, "user_id", "ts", []), folder, "complete")
-    lost = streams.rescue(J.job_rows(t), beats.select(F.col("user_id").alias("id"), F.col("ts").cast("timestamp").alias("last_seen")), J.now(t), 6 * 3600)
-    return lost.groupBy("worker").agg(F.count_if(F.col("becomes") == "queued").alias("queued"), F.count_if(F.col("becomes") == "cancelled").alias("cancelled"))
+    """Heartbeats, claims, ends and wishes to cancel in one stream; a row for each job given back, up to where the watermark has surely come."""
+    orders = streams.table_stream(events.sparkSession, t.path("orders")).where("o_orderstatus = 'P'")
+    claimed = F.expr("TIMESTAMP '2024-01-02 00:00:00' + make_interval(0, 0, 0, 0, o_orderkey * 37 % 600)").cast("timestamp")
+    held = orders.select(F.col("o_orderkey").alias("job"), (F.col("o_custkey") % 150).alias("worker"), claimed.alias("claimed"))
+    told = F.array(
+        F.struct(F.col("claimed").alias("ts"), F.lit("claim").alias("sign")), F.struct((F.col("claimed") + F.expr("INTERVAL 1 HOUR")).alias("ts"), F.when(F.col("job") % 6 == 0, "cancel").alias("sign")),
+        F.struct((F.col("claimed") + F.expr("INTERVAL 10 HOURS")).alias("ts"), F.when(F.col("job") % 7 == 0, "end").alias("sign")),
+    )
+    of_jobs = held.select("worker", "job", F.explode(told).alias("s")).where("s.sign is not null").select("worker", "s.ts", "s.sign", "job")
+    beats = events.select(F.col("user_id").alias("worker"), F.col("ts").cast("timestamp").alias("ts"), F.lit("beat").alias("sign"), F.lit(None).cast("long").alias("job"))
+    given = streams.drain(streams.rescues(beats.unionByName(of_jobs), 6 * 3600), folder)
+    ends = t("events").agg((F.max("ts").cast("timestamp") - F.expr("INTERVAL 2 HOURS")).alias("_end"))
+    return given.join(ends, F.col("at") <= F.col("_end")).drop("_end")
 
 
 @stream_query("st05_progress_stream", SQL["st05_live_progress"])
@@ -128,24 +156,38 @@ def book_archives(t):
     return whole.withColumn("content", F.when(F.col("book_id").cast("int") % 9 == 8, F.lit(b"no archive")).otherwise(F.col("content")))
 
 
-_PACKAGE = "<package xmlns:dc='d'><metadata>{title}{author}</metadata><manifest>{items}</manifest><spine>{spine}</spine></package>"
+_PACKAGE = "<package xmlns:dc='d'><metadata>{title}{author}</metadata><manifest>{items}<item id='n' href='../{nav}' properties='scripted nav' media-type='application/xhtml+xml'/></manifest><spine>{spine}</spine></package>"
+_CONTAINER = "<container xmlns='urn:oasis:names:tc:opendocument:xmlns:container'><rootfiles><rootfile full-path='ops/book.opf' media-type='application/oebps-package+xml'/></rootfiles></container>"
+_NAV = (
+    "<html xmlns='http://www.w3.org/1999/xhtml' xmlns:epub='http://www.idpf.org/2007/ops'><body><nav epub:type='landmarks'><ol>{marks}</ol></nav>"
+    "<nav epub:type='toc'><ol><li><span>Part&nbsp;one</span><ol>{entries}</ol></li></ol></nav></body></html>"
+)
 
 
 def bound_books(t):
-    """Books of ten pages with a package file and a contents document; every second has a title, every third an author, every ninth is broken."""
+    """Books of ten pages with a container, a package and a contents document of any name; every second has a title, every third an author, every ninth is broken.
+
+    Beside its contents a book has landmarks that call every page a start, and a second package and a nav.xhtml that nothing refers to.
+    """
 
     def zipped(frame):
         packed, book = io.BytesIO(), frame["book_id"].iloc[0]
         rows, n = list(frame.sort_values("page_id").itertuples(index=False)), int(book)
+        nav = ("toc.xhtml", "front/inhalt.xhtml", "c.html")[n % 3]
+        up = "../" * nav.count("/")
+        link = lambda r, name: f"<li><a href='{up}text/p{r.page_id}.xhtml#top'>{name}</a></li>"
         with zipfile.ZipFile(packed, "w") as z:
             for row in rows:
                 z.writestr(f"text/p{row.page_id}.xhtml", row.html)
-            items = "".join(f"<item id='i{r.page_id}' href='text/p{r.page_id}.xhtml' media-type='application/xhtml+xml'/>" for r in rows)
-            z.writestr("content.opf", _PACKAGE.format(
-                title=f"<dc:title>Book {n}</dc:title>" if n % 2 == 0 else "", author=f"<dc:creator>Author {n}</dc:creator>" if n % 3 == 0 else "", items=items,
+            items = "".join(f"<item id='i{r.page_id}' href='../text/p{r.page_id}.xhtml' media-type='application/xhtml+xml'/>" for r in rows)
+            z.writestr("META-INF/container.xml", _CONTAINER)
+            z.writestr("a.opf", "<package><metadata/><manifest/><spine/></package>")
+            z.writestr("nav.xhtml", "<nav><ol>" + "".join(link(r, "no entry") for r in rows) + "</ol></nav>")
+            z.writestr("ops/book.opf", _PACKAGE.format(
+                title=f"<dc:title>Book {n}</dc:title>" if n % 2 == 0 else "", author=f"<dc:creator>Author {n}</dc:creator>" if n % 3 == 0 else "", items=items, nav=nav,
                 spine="".join(f"<itemref idref='i{r.page_id}'/>" for r in rows),
             ))
-            z.writestr("nav.xhtml", "<nav>" + "".join(f"<a href='text/p{r.page_id}.xhtml#top'>Entry {r.page_id}</a>" for r in rows if r.page_id % 3 == 0) + "</nav>")
+            z.writestr(nav, _NAV.format(marks="".join(link(r, "Start") for r in rows), entries="".join(link(r, f"Entry {r.page_id}") for r in rows if r.page_id % 3 == 0)))
         return pd.DataFrame({"book_id": [book], "content": [packed.getvalue() if n % 9 < 8 else b"no archive"]})
 
     held = B.pages(t).select(F.floor(F.col("page_id") / 10).cast("string").alias("book_id"), "page_id", "html")
@@ -159,24 +201,44 @@ SELECT n::VARCHAR AS book_id, CASE WHEN n % 2 = 0 THEN 'Book ' || n ELSE n::VARC
 
 
 def landed(t):
-    """The folder in which the books lie, each written once, and their schema."""
+    """A folder in which the books lie as .epub files, each written once by the task that bound it."""
     books = bound_books(t)
     folder = f"{shared_folder(books.sparkSession).rstrip('/')}/landing-{uuid.uuid4().hex}"
-    books.write.parquet(folder)
-    return folder, books.schema
+    archives.write_archives(books, folder).write.format("noop").mode("overwrite").save()
+    return folder
 
 
 @query("s12_draft_plans", _BOUND)
 def s12(t):
-    folder, schema = landed(t)
-    return archives.drafts(t("pages").sparkSession.read.schema(schema).parquet(folder))
+    return archives.drafts(archives.read_archives(t("pages").sparkSession, landed(t)))
+
+
+def _arrived(folder, t):
+    spark = t("pages").sparkSession
+    return streams.new_books(streams.archive_stream(spark, landed(t)), f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}", 20_000_000)
 
 
 @stream_query("st08_new_book_stream", _BOUND)
 def st08(events, folder, t):
-    """Archives land as files of a folder; each is guarded, read and planned once."""
-    landing, schema = landed(t)
-    return streams.new_books(events.sparkSession.readStream.schema(schema).parquet(landing), folder)
+    """.epub files land in a folder; each is guarded, read and planned once."""
+    return _arrived(folder, t)[0]
+
+
+@stream_query("st08_rejected_books", "SELECT DISTINCT (page_id // 10)::VARCHAR AS book_id, 0::BIGINT AS unpacked, 'not an archive' AS verdict FROM pages WHERE (page_id // 10) % 9 = 8")
+def st08_rejected(events, folder, t):
+    """What the same stream put aside, and why."""
+    return _arrived(folder, t)[1]
+
+
+@query(
+    "s01_contents",
+    """SELECT (page_id // 10)::VARCHAR AS book_id, row_number() OVER (PARTITION BY page_id // 10 ORDER BY page_id) AS ord, 'text/p' || page_id || '.xhtml#top' AS href, 'Entry ' || page_id AS title FROM pages WHERE page_id % 3 = 0 AND (page_id // 10) % 9 < 8
+      UNION ALL SELECT DISTINCT (page_id // 10)::VARCHAR, 0, NULL, 'Part one' FROM pages WHERE (page_id // 10) % 9 < 8""",
+)
+def s01_contents(t):
+    """The contents of all books: by container, package and manifest, whatever the file's name."""
+    found = archives.contents(archives.members(bound_books(t)))
+    return found.select("book_id", F.col("ord").cast("long").alias("ord"), "href", "title")
 
 
 @query(

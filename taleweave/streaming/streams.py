@@ -4,6 +4,7 @@ All time is event time. State is keyed by worker or job and bounded by watermark
 watermark are dropped by Spark and counted in the query's progress.
 """
 
+import json
 import uuid
 
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from taleweave.operators import jobs
-from taleweave.sources.archives import DRAFTS, LARGEST, drafts
+from taleweave.sources.archives import DRAFTS, LARGEST, drafts, judge, listing
 from taleweave.streaming.lifecycle import FOLDED, fold_rows
 
 LATE = "1 hour"
@@ -67,33 +68,41 @@ def liveness_changes(heartbeats: DataFrame, key: str, time: str, stale_seconds:
     return held.groupBy("worker").applyInPandasWithState(run, "worker long, at timestamp, online boolean", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def job_states(commands: DataFrame, keep: str = "90 days") -> DataFrame:
+def job_states(commands: DataFrame, keep: str = "90 days", late: str = LATE) -> DataFrame:
     """A row of FOLDED for each command (commands: event_id, ts, job, command, online), accepted or not; append mode.
 
-    A micro-batch's commands are folded in time order; one that comes in a later batch than its successor is folded when it comes.
-    A job's state goes when it is deleted, or when no command has come for `keep` of event time: then it counts as gone.
+    Commands wait in the job's state until the watermark, `late` behind the latest of all, has passed them, and are folded in the order of
+    (ts, event_id) then: those that arrive in a later micro-batch than their successors still come in their place. Commands older than the watermark are
+    dropped by Spark, which counts them in the query's progress. A job's state goes when it is deleted, or when no command has come for
+    `keep` of event time: then it counts as gone.
     """
-    fields, names = ("status", "cancel", "claims", "rejected"), [c.split()[0] for c in FOLDED.split(", ")]
+    names = [c.split()[0] for c in FOLDED.split(", ")]
     idle = int(pd.Timedelta(keep).total_seconds() * 1000)
 
     def run(key, frames, state):
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([], columns=names)
-            return
-        held = dict(zip(fields, state.get)) if state.exists else None
-        ordered = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        held, rows = fold_rows(held, key[0], zip(ordered["event_id"], ordered["command"], ordered["online"]))
-        if held["status"] is None and not held["rejected"]:
+        status, cancel, claims, rejected, last, waiting = state.get if state.exists else (None, False, 0, 0, 0, "[]")
+        held, buffer = {"status": status, "cancel": cancel, "claims": claims, "rejected": rejected}, json.loads(waiting)
+        for frame in () if state.hasTimedOut else frames:
+            buffer += zip(frame["ts"].astype("datetime64[us]").astype("int64").tolist(), frame["event_id"].tolist(), frame["command"].tolist(), frame["online"].tolist())
+        passed = state.getCurrentWatermarkMs() * 1000
+        buffer = sorted(map(tuple, buffer), key=lambda c: c[:2])
+        ready = [c for c in buffer if c[0] <= passed]
+        buffer = buffer[len(ready) :]
+        held, rows = fold_rows(held, key[0], [c[1:] for c in ready])
+        last = max([last, *(c[0] for c in ready)])
+        gone = held["status"] is None and not held["rejected"]
+        if not buffer and (gone or passed >= last + idle * 1000):
             if state.exists:
                 state.remove()
         else:
-            state.update(tuple(held[f] for f in fields))
-            state.setTimeoutTimestamp(max(int(ordered["ts"].iloc[-1].timestamp() * 1000) + idle, state.getCurrentWatermarkMs() + 1))
+            state.update((held["status"], held["cancel"], held["claims"], held["rejected"], last, json.dumps(buffer)))
+            next_at = buffer[0][0] // 1000 + 1 if buffer else last // 1000 + idle
+            state.setTimeoutTimestamp(max(next_at, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(rows, columns=names)
 
-    timed = commands.withWatermark("ts", LATE)
-    return timed.groupBy("job").applyInPandasWithState(run, FOLDED, "status string, cancel boolean, claims long, rejected long", "append", GroupStateTimeout.EventTimeTimeout)
+    timed = commands.withWatermark("ts", late)
+    kept = "status string, cancel boolean, claims long, rejected long, last long, waiting string"
+    return timed.groupBy("job").applyInPandasWithState(run, FOLDED, kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def back_off(outcomes: DataFrame, forget: float = 900, free: int = 5, longest: float = 30) -> DataFrame:
@@ -154,10 +163,55 @@ def late_counts(events: DataFrame, late: float, keep: str = "90 days") -> DataFr
     return timed.groupBy("key").applyInPandasWithState(run, "key long, late long, events long", "latest long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def rescue(running: DataFrame, heartbeats: DataFrame, now, stale_seconds: float) -> DataFrame:
-    """The orphans among running jobs, given the heartbeats of a micro-batch's table; call it inside foreachBatch."""
-    live = jobs.live_workers(heartbeats, now, stale_seconds)
-    return jobs.orphans(running, live)
+#: What a rescue stream reads: a worker's heartbeat, its claim and its end of a job, and a wish to cancel one.
+SIGNS = "worker long, ts timestamp, sign string, job long"
+RESCUED = "job long, worker long, at timestamp, becomes string"
+
+
+def rescues(signs: DataFrame, stale_seconds: float, late: str = LATE) -> DataFrame:
+    """A row of RESCUED for each running job whose worker fell silent: queued again, or cancelled if that was wished; append mode.
+
+    signs (SIGNS: beat, claim, end, cancel) are joined in the state of their worker: when it was last seen, and what it is running. All but a
+    wish to cancel are signs of life. A timer ends stale_seconds after the last one; then, or when a later sign shows the gap, the worker's jobs are
+    given back, each once, with the moment the worker went. A job that has ended, or was given back, isn't given back again unless it is claimed anew.
+    Within a micro-batch signs are taken in time order; one that comes later than its successors counts when it comes.
+    """
+    stale = int(stale_seconds * 1_000_000)
+    rank = {"beat": 0, "claim": 1, "cancel": 2, "end": 3}
+
+    def run(key, frames, state):
+        last, running = state.get if state.exists else (None, "{}")
+        running, rows = json.loads(running), []  # job -> whether a wish to cancel it has come
+
+        def give_back():
+            rows.extend((int(job), key[0], pd.Timestamp(last + stale, unit="us"), "cancelled" if wished else "queued") for job, wished in running.items())
+            running.clear()
+
+        if state.hasTimedOut:
+            give_back()
+            state.remove()
+        else:
+            told = [x for f in frames for x in zip(f["ts"].astype("datetime64[us]").astype("int64").tolist(), f["sign"].tolist(), f["job"].tolist())]
+            for at, sign, job in sorted(told, key=lambda x: (x[0], rank.get(x[1], 9), str(x[2]))):
+                if last is not None and at - last >= stale:
+                    give_back()
+                name = None if job is None or job != job else str(int(job))
+                if sign == "cancel":
+                    if name in running:
+                        running[name] = True
+                    continue
+                if sign == "claim":
+                    running[name] = False
+                elif sign == "end":
+                    running.pop(name, None)
+                last = at if last is None else max(last, at)
+            if last is not None:
+                state.update((last, json.dumps(running)))
+                state.setTimeoutTimestamp(max((last + stale) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(rows, columns=["job", "worker", "at", "becomes"]).astype({"job": "int64", "worker": "int64", "at": "datetime64[ns]"})
+
+    timed = signs.where("worker is not null").withWatermark("ts", late)
+    return timed.groupBy("worker").applyInPandasWithState(run, RESCUED, "last long, running string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def archive_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -166,26 +220,46 @@ def archive_stream(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.regexp_extract("path", r"([^/]+)\.[^./]*$", 1).alias("book_id"), "content")
 
 
-def new_books(archives: DataFrame, folder: str, largest: int = LARGEST) -> DataFrame:
-    """The draft plans of all books of a stream of archives: guarded, read, titled, and written once a micro-batch under the folder."""
-    return drain(archives, folder, each=lambda batch: drafts(batch, largest), schema=DRAFTS)
+def new_books(archives: DataFrame, out: str, largest: int = LARGEST) -> tuple[DataFrame, DataFrame]:
+    """(drafts, rejected) of all archives of a stream (book_id, content) that are there now, written under the folder `out`, where its progress is kept too.
+
+    Each micro-batch writes both of its outputs: the draft plans of the books that were accepted, and the verdicts (book_id, unpacked, verdict)
+    on those that weren't. A batch that runs again after a failure replaces its own rows; called again, the stream goes on with what has landed
+    since. A book that lands again, changed, is read again: its rows of the latest batch count.
+    """
+    spark, verdict = archives.sparkSession, f"book_id {archives.schema['book_id'].dataType.simpleString()}, unpacked long, verdict string"
+
+    def put(rows, number):
+        drafts(rows, largest).write.mode("overwrite").parquet(f"{out}/drafts/batch={number}")
+        judged = judge(listing(rows), largest)
+        judged.where("verdict <> 'accepted'").write.mode("overwrite").parquet(f"{out}/rejected/batch={number}")
+        judged.select("book_id").write.mode("overwrite").parquet(f"{out}/read/batch={number}")
+
+    query = archives.writeStream.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(put).start()
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
+    latest = spark.read.schema(f"{verdict.split(',')[0]}, batch long").parquet(f"{out}/read").groupBy("book_id").agg(F.max("batch").alias("batch"))
+    put_out = (spark.read.schema(f"{schema}, batch long").parquet(f"{out}/{name}") for name, schema in (("drafts", DRAFTS), ("rejected", verdict)))
+    made, refused = (rows.join(latest, ["book_id", "batch"], "left_semi").drop("batch") for rows in put_out)
+    return made, refused
 
 
-def drain(stream: DataFrame, folder: str, mode: str = "append", each=lambda rows: rows, schema: str | None = None) -> DataFrame:
+def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there now and returns what it put out, by way of the folder.
 
-    each: what is made of a micro-batch before it is written, with rows of the schema. In complete mode each micro-batch replaces the last one's rows; otherwise they are appended, once each: a batch that runs
+    In complete mode each micro-batch replaces the last one's rows; otherwise they are appended, once each: a batch that runs
     again after a failure replaces its own rows.
     """
     run = uuid.uuid4().hex
     out, spark = f"{folder.rstrip('/')}/stream-{run}", stream.sparkSession
 
     def put(rows, number):
-        each(rows).write.mode("overwrite").parquet(f"{out}/rows/batch={0 if mode == 'complete' else number}")
+        rows.write.mode("overwrite").parquet(f"{out}/rows/batch={0 if mode == 'complete' else number}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(put).start()
     query.awaitTermination()
     if query.exception():
         raise query.exception()
-    made = spark.read.schema(schema or stream.schema).parquet(f"{out}/rows")
+    made = spark.read.schema(stream.schema).parquet(f"{out}/rows")
     return made.drop("batch")

@@ -1,7 +1,9 @@
 """Timelines, refresh, life-cycle and markup on hand-written rows."""
 
+import datetime
 import io
 import itertools
+import os
 import random
 import zipfile
 
@@ -99,10 +101,12 @@ def test_archives_arrive_once(spark, tmp_path):
     (tmp_path / "in" / "bad.epub").write_bytes(b"no archive")
     (tmp_path / "in" / "other.txt").write_bytes(b"not looked at")
     book("large", [page("Big", 9000)])
-    got = streams.new_books(streams.archive_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), 40_000).orderBy("index").collect()
+    made, refused = streams.new_books(streams.archive_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), 40_000)
+    got = made.orderBy("index").collect()
     assert [(r["book_id"], r["book_title"], r["author"], r["index"], r["title"], r["source"], r["include"]) for r in got] == [
         ("one", "A Title", "Unknown", 0, "Contents", "heading", False), ("one", "A Title", "Unknown", 1, "First", "heading", True), ("one", "A Title", "Unknown", 2, "Second", "heading", True),
     ]
+    assert {(r["book_id"], r["verdict"]) for r in refused.collect()} == {("bad", "not an archive"), ("large", "too large")}
     # The same stream goes on from its checkpoint: what was read is not read again.
     state, found = str(tmp_path / "state"), []
 
@@ -116,10 +120,106 @@ def test_archives_arrive_once(spark, tmp_path):
     assert sorted(found) == ["bad", "large", "one", "two"]
 
 
+def test_a_failed_batch_of_books_gives_no_repeats(spark, tmp_path, monkeypatch):
+    """The second output fails after the first was written; run again, both hold each book once. A book that lands again replaces itself."""
+    page = f"<html><body><h1>One</h1><p>{'word ' * 60}</p></body></html>"
+
+    def land(name, title):
+        with zipfile.ZipFile(tmp_path / "in" / f"{name}.epub", "w") as z:
+            z.writestr("p.opf", f"<package xmlns:dc='d'><metadata><dc:title>{title}</dc:title></metadata><manifest><item id='a' href='a.xhtml'/></manifest><spine><itemref idref='a'/></spine></package>")
+            z.writestr("a.xhtml", page)
+
+    (tmp_path / "in").mkdir()
+    land("x", "First")
+    (tmp_path / "in" / "bad.epub").write_bytes(b"nothing")
+    run = lambda: [sorted(r[0] + "/" + str(r[1]) for r in d.collect()) for d in streams.new_books(streams.archive_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"))]
+    right = streams.judge
+    monkeypatch.setattr(streams, "judge", lambda *a: 1 / 0)
+    with pytest.raises(Exception):
+        run()
+    assert len(spark.read.parquet(str(tmp_path / "out" / "drafts")).collect()) == 1
+    monkeypatch.setattr(streams, "judge", right)
+    assert run() == [["x/First"], ["bad/0"]] == run()
+    land("y", "Other")
+    os.utime(tmp_path / "in" / "x.epub", (4e9, 4e9))
+    assert run() == [["x/First", "y/Other"], ["bad/0"]]
+
+
+def test_contents_come_from_the_package(spark, tmp_path):
+    """Container, package, manifest, toc: other packages, other navigation files, landmarks and page lists don't count."""
+    def book(name, files_):
+        with zipfile.ZipFile(tmp_path / f"{name}.epub", "w") as z:
+            for path, text in files_.items():
+                z.writestr(path, text)
+
+    container = "<container><rootfiles><rootfile full-path='{}'/></rootfiles></container>"
+    package = "<package xmlns:dc='d'><metadata><dc:title>{}</dc:title></metadata><manifest><item id='n' href='{}' properties='nav'/><item id='a' href='a%20b.xhtml'/></manifest><spine/></package>"
+    epub = "xmlns:epub='http://www.idpf.org/2007/ops'"
+    nested = (
+        f"<html {epub}><nav epub:type='page-list'><a href='p1'>1</a></nav><nav epub:type='lot toc'><ol><li><a href='../a%20b.xhtml#s'>One &amp; <b>a half</b></a><ol><li><a href='../a%20b.xhtml#t'>Inner</a></li></ol></li>"
+        f"<li><span>Part&nbsp;two</span><ol><li><a href='c.xhtml'>Three</a></li></ol></li></ol></nav><nav epub:type='landmarks'><a href='x'>Start</a></nav></html>"
+    )
+    book("deep", {"META-INF/container.xml": container.format("z/real.opf"), "a.opf": package.format("Decoy", "nav.xhtml"), "nav.xhtml": "<nav><a href='d'>Decoy</a></nav>", "z/real.opf": package.format("Real", "sub/any.name"), "z/sub/any.name": nested})
+    book("plain", {"b/x.opf": package.format("Plain", "nav.xhtml"), "b/nav.xhtml": "<html><nav><ol><li><a href='q.xhtml'>Only</a></li></ol></nav><nav epub:type='landmarks' xmlns:epub='e'><a href='x'>Start</a></nav></html>"})
+    book("astray", {"META-INF/container.xml": container.format("gone.opf"), "b/x.opf": package.format("Astray", "none.xhtml")})
+    book("torn", {"META-INF/container.xml": "<container", "x.opf": package.format("Torn", "nav.xhtml"), "nav.xhtml": "<nav><a href='q'>broken"})
+    book("unread", {"x.opf": "<package"})
+    parts = archives.members(archives.read_archives(spark, str(tmp_path)))
+    assert {r["book_id"]: r["title"] for r in archives.packages(parts).collect()} == {"deep": "Real", "plain": "Plain", "astray": "Astray", "torn": "Torn"}
+    got = sorted((r["book_id"], r["ord"], r["href"], r["title"]) for r in archives.contents(parts).collect())
+    assert got == [
+        ("deep", 0, "z/a b.xhtml#s", "One & a half"), ("deep", 1, "z/a b.xhtml#t", "Inner"), ("deep", 2, None, "Part two"), ("deep", 3, "z/sub/c.xhtml", "Three"), ("plain", 0, "b/q.xhtml", "Only"),
+    ]
+
+
+def _files_of_rows(spark, rows, schema, folder, n):
+    """The rows dealt over n files, which a stream reads one by one."""
+    for k in range(n):
+        spark.createDataFrame(rows[k::n], schema).coalesce(1).write.parquet(f"{folder}/{k:02d}")
+    held = spark.read.parquet(f"{folder}/*")
+    return spark.readStream.schema(held.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*"), held
+
+
+def test_late_commands_take_their_place(spark, tmp_path):
+    """Commands shuffled over files, and so over micro-batches, fold to the states of the batch twin once the watermark has passed them."""
+    rng, at = random.Random(7), datetime.datetime(2024, 3, 1)
+    rows = [(i, at + datetime.timedelta(minutes=i), i % 5, rng.choice(twins.COMMANDS), bool(i % 3)) for i in range(300)]
+    shuffled = rng.sample(rows, len(rows)) + [(1000 + k, at + datetime.timedelta(days=40 + k), 99, "analyze", True) for k in range(2)]
+    schema = "event_id long, ts timestamp, job long, command string, online boolean"
+    stream, held = _files_of_rows(spark, shuffled[:-2], schema, f"{tmp_path}/in", 6)
+    for k in (0, 1):
+        spark.createDataFrame(shuffled[-2 + k :][:1], schema).coalesce(1).write.parquet(f"{tmp_path}/in/9{k}")
+    got = streams.drain(streams.job_states(stream, late="20 days"), str(tmp_path / "out")).where("job <> 99")
+    want = twins.fold_commands(held)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_rescues_come_once(spark, tmp_path):
+    """Workers that fall silent, come back, end, are asked to cancel, or never sent a heartbeat; signs in one batch and in several."""
+    at = datetime.datetime(2024, 3, 1)
+    signs = [
+        (1, 0, "beat", None), (1, 10, "claim", 11), (1, 40, "beat", None), (1, 300, "beat", None), (1, 900, "beat", None),  # silent twice, job 11 given back once
+        (2, 0, "claim", 21), (2, 20, "end", 21), (2, 30, "claim", 22), (2, 50, "cancel", 22),  # 21 ended, 22 cancelled
+        (3, 5, "claim", 31), (3, 200, "claim", 31), (3, 210, "claim", 32),  # claimed anew after it was given back
+        (4, 0, "beat", None), (4, 50, "beat", None), (9, 5000, "beat", None), (9, 5001, "beat", None), (9, 9000, "beat", None),
+    ]
+    rows = [(w, at + datetime.timedelta(seconds=t), s, j) for w, t, s, j in signs]
+    want = {(11, 1, 100, "queued"), (22, 2, 90, "cancelled"), (31, 3, 65, "queued"), (31, 3, 270, "queued"), (32, 3, 270, "queued")}
+    for n in (1, 6):
+        ordered = sorted(rows, key=lambda r: r[1])
+        dealt = [r for k in range(n) for r in ordered[k * len(rows) // n : (k + 1) * len(rows) // n]]
+        for k in range(n):
+            spark.createDataFrame(dealt[k * len(rows) // n : (k + 1) * len(rows) // n], streams.SIGNS).coalesce(1).write.parquet(f"{tmp_path}/in{n}/{k}")
+        stream = spark.readStream.schema(streams.SIGNS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in{n}/*")
+        got = streams.drain(streams.rescues(stream, 60, late="10 seconds"), f"{tmp_path}/out{n}").collect()
+        assert len(got) == len(want)
+        assert {(r["job"], r["worker"], int((r["at"] - at).total_seconds()), r["becomes"]) for r in got} == want
+
+
 def test_streams_equal_their_twins(spark, sf_dir, tmp_path):
     from taleweave.plans import QUERIES
 
-    for stream, twin in (("st03_job_state_stream", "st03_job_states"), ("st05_progress_stream", "st05_live_progress")):
+    for stream, twin in (("st05_progress_stream", "st05_live_progress"),):
         rows = [sorted(map(str, QUERIES[n](spark, sf_dir).collect())) for n in (stream, twin)]
         assert rows[0] == rows[1]
 
@@ -241,7 +341,7 @@ def test_wrapped_words_stall_and_gate(spark):
 def _book(title=True):
     packed = io.BytesIO()
     with zipfile.ZipFile(packed, "w") as z:
-        z.writestr("OEBPS/c.opf", f'<package xmlns:dc="d"><metadata>{"<dc:title>A Book</dc:title>" if title else ""}<meta name="cover" content="i"/></metadata><manifest><item id="a" href="a.xhtml" media-type="t"/><item id="i" href="img/c.png" properties="cover-image"/></manifest><spine><itemref idref="a"/></spine></package>')
+        z.writestr("OEBPS/c.opf", f'<package xmlns:dc="d"><metadata>{"<dc:title>A Book</dc:title>" if title else ""}<meta name="cover" content="i"/></metadata><manifest><item id="a" href="a.xhtml" media-type="t"/><item id="i" href="img/c.png" properties="cover-image"/><item id="n" href="nav.xhtml" properties="nav"/></manifest><spine><itemref idref="a"/></spine></package>')
         z.writestr("OEBPS/nav.xhtml", "<html><nav><a href='a.xhtml#x'>Chapter <b>One</b></a></nav></html>")
         z.writestr("OEBPS/a.xhtml", "<p>text</p>")
     return packed.getvalue()
