@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taleweave.functions.speech import fingerprint, trimmed
+from taleweave.operators.folding import bound, fold
 
 # Words whose period ends no sentence.
 ABBREVIATIONS = (
@@ -14,12 +15,14 @@ ABBREVIATIONS = (
     "dan", "hos", "obad", "mic", "nah", "hab", "zeph", "hag", "zech", "mal", "matt", "mk", "lk", "jn", "rom", "cor", "gal",
     "eph", "phil", "col", "thess", "tim", "titus", "phlm", "heb", "jas", "pet", "jude",
 )
+# What a list marker at the start of a sentence looks like.
 LIST_MARKER = r"^[\(\[]?(?:[0-9]{1,3}|[ivxlIVXL]{1,5})[\)\].]{1,2}$"
 
 MAX_CHARS = 300
 #: Set between pieces: a code point that is no character, so that no text has it.
 CUT = "\ufdd0"
-_TEXTS = "array<string>"
+#: What stands for that code point while a text is split, if it has it.
+_ELSE = "\ufdd1"
 
 
 def paragraphs(docs: DataFrame, text: str = "text", break_at: str = "\n\n") -> DataFrame:
@@ -28,14 +31,9 @@ def paragraphs(docs: DataFrame, text: str = "text", break_at: str = "\n\n") -> D
     return docs.select("*", F.posexplode(F.split(text, break_at)).alias("para_no", "paragraph")).drop(text).withColumn("paragraph", inner)
 
 
-def bound(value: Column, use) -> Column:
-    """use(value), with value evaluated once: lambda bodies are interpreted, and an expression in them is evaluated each time."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def sentence_pieces(paragraph: Column) -> Column:
     """text, break, text, break, ..., text: a paragraph split at all places where a sentence may end."""
-    marked = F.regexp_replace(F.translate(paragraph, CUT, ""), r"""(?U)(?<=[.!?])(["'”’)]*\s+)""", f"{CUT}$1{CUT}")
+    marked = F.regexp_replace(F.translate(paragraph, CUT, _ELSE), r"""(?U)(?<=[.!?])(["'”’)]*\s+)""", f"{CUT}$1{CUT}")
     return F.split(marked, CUT)
 
 
@@ -61,16 +59,15 @@ def sentences(paragraph: Column) -> Column:
     """Sentences after . ! ? and white space; closing quotes at a break are lost with it, at a false break they stay.
 
     Breaks are judged each by itself, then the pieces are joined with a mark at the true ones and split there: no array or text grows
-    step by step. Only list markers in a row, of which the first is one, are gone through in order.
+    step by step. Only list markers in a row, of which the first is one, are gone through in order. A U+FDD0 in the text comes back as it was.
     """
 
     def settled(kinds):
-        def step(acc, kind):
-            now = F.when(kind == _MARKS, F.when(acc["last"] == _STAYS, _ENDS).otherwise(_STAYS)).otherwise(kind)
-            return F.struct(now.alias("last"), F.concat(acc["all"], F.array(now)).alias("all"))
+        def step(last, kind):
+            now = F.when(kind == _MARKS, F.when(last == _STAYS, _ENDS).otherwise(_STAYS)).otherwise(kind)
+            return now, F.lit(True), now
 
-        start = F.struct(F.lit(_ENDS).alias("last"), F.array().cast("array<int>").alias("all"))
-        return F.when(F.array_contains(kinds, _MARKS), F.aggregate(kinds, start, step, lambda acc: acc["all"])).otherwise(kinds)
+        return F.when(F.array_contains(kinds, _MARKS), fold(kinds, F.lit(_ENDS), step, "int")["out"]).otherwise(kinds)
 
     def split(pieces):
         places = F.sequence(F.lit(0), ((F.size(pieces) - 3) / 2).cast("int"))
@@ -79,41 +76,59 @@ def sentences(paragraph: Column) -> Column:
         joined = bound(settled(kinds), lambda kinds: F.array_join(shown(kinds), ""))
         return F.when(F.size(pieces) > 1, F.split(joined, CUT)).otherwise(pieces)
 
-    return F.filter(F.transform(bound(sentence_pieces(paragraph), split), trimmed), lambda x: x != "")
+    found = F.filter(F.transform(bound(sentence_pieces(paragraph), split), trimmed), lambda x: x != "")
+    return F.when(F.contains(paragraph, F.lit(CUT)), F.transform(found, lambda x: F.translate(x, _ELSE, CUT))).otherwise(found)
+
+
+#: An over-long sentence is read in windows of this many times the longest piece.
+_WINDOW = 32
 
 
 def fit(sentence: Column, most: int = MAX_CHARS) -> Column:
-    """An over-long sentence in pieces: cut after the last comma (unless it is in the first half), else the last space, else hard."""
+    """An over-long sentence in pieces: cut after the last comma (unless it is in the first half), else the last space, else hard.
 
-    def step(acc, _):
-        rest = acc["rest"]
-        last = lambda head, c: F.when(F.instr(head, c) > 0, most - F.instr(head, c)).otherwise(-1)  # noqa: E731  counted from 0
+    The sentence is read window by window; what is left of one, at most a piece, goes before the next. So the time is linear in its length.
+    """
+    last = lambda head, c: F.when(F.instr(head, c) > 0, most - F.instr(head, c)).otherwise(-1)  # noqa: E731  counted from 0
+    left_trimmed = lambda x: F.regexp_replace(x, r"(?U)^\s+", "")
 
-        def cut_at(cut):
-            piece, after = trimmed(F.substring(rest, F.lit(1), cut + 1)), trimmed(F.substring(rest, cut + 2, F.length(rest)))
-            return F.struct(after.alias("rest"), F.concat(acc["out"], F.array(piece)).alias("out"))
+    def cut(rest, _):
+        def cut_at(place):
+            return F.struct(left_trimmed(F.substring(rest, place + 2, F.length(rest))).alias("rest"), trimmed(F.substring(rest, F.lit(1), place + 1)).alias("piece"))
 
         place = bound(F.reverse(F.substring(rest, 1, most)), lambda head: F.when(last(head, ",") >= most // 2, last(head, ",")).when(last(head, " ") > 0, last(head, " ")).otherwise(most))
-        return F.when(F.length(rest) > most, bound(place, cut_at)).otherwise(acc)
+        return bound(place, cut_at)
+
+    def pieces_of(text):
+        def step(acc, _):
+            done = bound(cut(acc["rest"], _), lambda c: F.struct(c["rest"].alias("rest"), F.concat(acc["out"], F.array(c["piece"])).alias("out")))
+            return F.when(F.length(acc["rest"]) > most, done).otherwise(acc)
+
+        # Two cuts in a row use up at least `most` characters: behind a cut at the last space there is none up to where the window ended.
+        cuts = 2 * F.ceil(F.length(text) / most).cast("int") + 2
+        return F.aggregate(F.sequence(F.lit(1), cuts), F.struct(text.alias("rest"), F.array().cast("array<string>").alias("out")), step)
+
+    def window(rest, part):
+        text = F.when(rest == "", left_trimmed(part)).otherwise(F.concat(rest, part))
+        made = bound(text, pieces_of)
+        return made["rest"], F.lit(True), made["out"]
+
+    def long_one(text):
+        windows = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_WINDOW * most}}}"), 0)
+        whole = fold(windows, F.lit(""), window, "array<string>")
+        return bound(whole, lambda w: F.flatten(F.when(w["state"] != "", F.concat(w["out"], F.array(F.array(w["state"])))).otherwise(w["out"])))
 
-    # Two cuts in a row use up at least `most` characters: behind a cut at the last space there is none up to where the window ended.
-    cuts = 2 * F.ceil(F.length(sentence) / most).cast("int") + 2
-    start = F.struct(sentence.alias("rest"), F.array().cast(_TEXTS).alias("out"))
-    folded = F.aggregate(F.sequence(F.lit(1), cuts), start, step, lambda a: F.when(a["rest"] != "", F.concat(a["out"], F.array(a["rest"]))).otherwise(a["out"]))
-    return F.when(F.length(sentence) > most, folded).otherwise(F.array(sentence))
+    return F.when(F.length(sentence) > most, long_one(F.regexp_replace(sentence, r"(?U)\s+$", ""))).otherwise(F.array(sentence))
 
 
 def pack(pieces: Column, most: int = MAX_CHARS) -> Column:
     """Pieces joined by spaces into chunks of at most `most` characters."""
 
-    def step(acc, piece):
-        over = (acc["open"] != "") & (F.length(acc["open"]) + F.length(piece) + 1 > most)
-        return F.struct(
-            F.when(over, piece).when(acc["open"] == "", piece).otherwise(F.concat(acc["open"], F.lit(" "), piece)).alias("open"), F.when(over, F.concat(acc["out"], F.array(acc["open"]))).otherwise(acc["out"]).alias("out")
-        )
+    def step(open_, piece):
+        over = (open_ != "") & (F.length(open_) + F.length(piece) + 1 > most)
+        return F.when(over | (open_ == ""), piece).otherwise(F.concat(open_, F.lit(" "), piece)), over, open_
 
-    start = F.struct(F.lit("").alias("open"), F.array().cast(_TEXTS).alias("out"))
-    return F.aggregate(pieces, start, step, lambda a: F.when(a["open"] != "", F.concat(a["out"], F.array(a["open"]))).otherwise(a["out"]))
+    return bound(fold(pieces, F.lit(""), step, "string"), lambda f: F.when(f["state"] != "", F.concat(f["out"], F.array(f["state"]))).otherwise(f["out"]))
 
 
 def chunk_paragraphs(paras: DataFrame, most: int = MAX_CHARS) -> DataFrame:

@@ -18,8 +18,8 @@ FORMATTING = r"(?i)<(?:em|i|strong|b|a|span|sup|sub|code|small)\b"
 _REFERENCE = r"&(#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,8}|[A-Za-z][A-Za-z0-9]*);?"
 #: Code points that HTML reads as Windows' characters.
 _WINDOWS = {n: c for n in range(0x80, 0xA0) if (c := bytes([n]).decode("cp1252", "ignore"))}
-#: A code point that is no character, so that no page has it.
-_MARK = "\ufdd0"
+#: A code point that is no character, set between parts; and what stands for it meanwhile in a page that has it.
+_MARK, _ELSE = "\ufdd0", "\ufdd1"
 
 
 def without_noise(html: Column) -> Column:
@@ -48,9 +48,10 @@ def decoded(text: Column) -> Column:
         plain = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
         return F.when(~fit, "\ufffd").otherwise(F.coalesce(F.try_element_at(windows, code.cast("string")), plain))
 
-    parts = F.split(F.regexp_replace(F.translate(text, _MARK, ""), _REFERENCE, f"{_MARK}$0{_MARK}"), _MARK)
+    parts = F.split(F.regexp_replace(F.translate(text, _MARK, _ELSE), _REFERENCE, f"{_MARK}$0{_MARK}"), _MARK)
     read = F.transform(parts, lambda part, i: F.when(i % 2 == 0, part).when(F.startswith(part, F.lit("&#")), numbered(part)).otherwise(named(part)))
-    return F.when(F.contains(text, F.lit("&")), F.array_join(read, "")).otherwise(text)
+    whole = F.array_join(read, "")
+    return F.when(~F.contains(text, F.lit("&")), text).when(F.contains(text, F.lit(_MARK)), F.translate(whole, _ELSE, _MARK)).otherwise(whole)
 
 
 def collapsed(text: Column) -> Column:
@@ -60,8 +61,9 @@ def collapsed(text: Column) -> Column:
 def tokens(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """(key, pos, token, tag, closing) of the body; tag is null for text."""
     body = F.regexp_replace(without_noise(F.col(html)), r"(?is)^.*<body\b[^>]*>", "")
-    parts = F.split(F.regexp_replace(F.translate(body, _MARK, ""), r"(<[^>]*>)", f"{_MARK}$1{_MARK}"), _MARK)
-    held = pages.select(key, F.posexplode(parts).alias("pos", "token")).where("token <> ''")
+    parts = F.split(F.regexp_replace(F.translate(body, _MARK, _ELSE), r"(<[^>]*>)", f"{_MARK}$1{_MARK}"), _MARK)
+    held = pages.select(key, F.contains(html, F.lit(_MARK)).alias("_marked"), F.posexplode(parts).alias("pos", "token")).where("token <> ''")
+    held = held.withColumn("token", F.when(F.col("_marked"), F.translate("token", _ELSE, _MARK)).otherwise(F.col("token"))).drop("_marked")
     tag = F.lower(F.regexp_extract("token", r"^</?([A-Za-z][A-Za-z0-9]*)", 1))
     return held.withColumn("tag", F.when(F.startswith("token", F.lit("<")) & (tag != ""), tag)).withColumn("closing", F.startswith("token", F.lit("</")))
 

@@ -1,12 +1,13 @@
 """Text preparation, sentences and chunks on hand-written rows."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from taleweave.functions import speech as S
-from taleweave.operators import chunking, citations
+from taleweave.operators import chunking, citations, folding, markup
 
 
 def values(spark, texts, f, kind="string"):
@@ -101,3 +102,54 @@ def test_text_path_has_no_python(spark, sf_dir):
 
     plan = QUERIES["flagship_chunked_documents"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_long_sentences_and_paragraphs(spark):
+    """Cutting and packing over many windows and blocks, against plain Python; and texts of megabytes in time that grows with their length."""
+    rng = random.Random(1)
+
+    def fitted(s, most):
+        out = []
+        while len(s) > most:
+            comma, space = s[:most].rfind(","), s[:most].rfind(" ")
+            cut = comma if comma >= most // 2 else space if space > 0 else most
+            out.append(s[: cut + 1].strip())
+            s = s[cut + 1 :].strip()
+        return out + [s] if s else out
+
+    def packed(pieces, most):
+        out = []
+        for p in pieces:
+            if out and len(out[-1]) + 1 + len(p) <= most:
+                out[-1] += " " + p
+            else:
+                out.append(p)
+        return out
+
+    texts = ["".join(rng.choice(["a", "bb", "ccc", ", ", " ", "  ", "é", "x" * rng.randint(1, 40)]) for _ in range(rng.choice([5, 40, 300, 3000]))).strip() for _ in range(120)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
+    for most in (10, 30):
+        got = rows.select("i", chunking.fit(F.col("s"), most).alias("f")).withColumn("p", chunking.pack(F.col("f"), most)).collect()
+        assert all(r["f"] == fitted(texts[r["i"]], most) and r["p"] == packed(r["f"], most) for r in got)
+    seconds = []
+    for n in (30_000, 300_000):
+        held = spark.createDataFrame([(0, 0, "A short one stands, here. " * (n // 2) + "no end, of it " * n)], "i int, para_no int, paragraph string").select("i", "para_no", "paragraph")
+        began = time.time()
+        chunks = chunking.chunk_paragraphs(held).select("chunks").first()[0]
+        seconds.append(time.time() - began)
+        assert max(map(len, chunks)) <= 301 and len(" ".join(chunks)) == 26 * (n // 2) + 14 * n - 1
+    assert seconds[1] < 10 * seconds[0] + 20
+
+
+def test_noncharacters_stay(spark):
+    got = values(spark, ["One \ufdd0 here. Two."], chunking.sentences)
+    assert got == [["One \ufdd0 here.", "Two."]]
+    assert [r["text"] for r in markup.blocks(spark.createDataFrame([(1, "<p>a \ufdd0 &amp; b</p>")], "k int, html string"), "k").collect()] == ["a \ufdd0 & b"]
+
+
+def test_passages_of_pages(spark):
+    rng, text = random.Random(3), "".join(random.Random(4).choice("aé😀\n") for _ in range(3 * folding.PAGE + 17))
+    spans = [(0, 0), (0, 1), (folding.PAGE - 1, folding.PAGE + 1), (0, len(text)), (5, 4), (-3, 2), (len(text) - 1, len(text) + 9)] + [tuple(sorted(rng.choices(range(len(text)), k=2))) for _ in range(40)]
+    held = spark.createDataFrame([(text, a, b) for a, b in spans], "t string, a int, b int").withColumn("p", folding.pages(F.col("t")))
+    got = [r["x"] for r in held.select(folding.passage(F.col("p"), F.col("a"), F.col("b")).alias("x")).collect()]
+    assert got == [text[max(a, 0) : max(b, 0)] for a, b in spans]
