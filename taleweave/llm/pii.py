@@ -5,20 +5,24 @@ Base: e-mail addresses, IP addresses, payment cards and phone numbers, each foun
 Method: terms are weighed by the share of a protected entity's information that they give away, log(N c / (df_term df_entity)) /
 log(N / df_entity), with N documents, df of term and of entity, and c of both together, all counted over the whole corpus.
 
-* The first entities are the subjects of the texts themselves. A code (a run of 16 and more letters and digits with a digit, a UUID,
-  a number of 16 digits in fours) gives away log(N / subjects) of log N. Subjects are counted by the min-entropy of the code's contexts,
-  the characters to either side of it: all its mentions over those in its most frequent context. A key or an account number has one
-  subject, however often its text is copied; a number that is printed everywhere has many and stays.
+* The first entities are the subjects of the texts themselves, and the terms that name them are codes: runs of 16 and more letters and digits with a digit,
+  UUIDs, numbers of 16 digits. Most codes of a corpus are names of functions, hashes, parts of addresses and keys of tables, which protect nobody, however
+  rare they are. So a code counts only for what it stands by or has the form of: the name of a secret right before it (SECRET), a known
+  form of access key (KEY), or a number of a payment card's length among words (PLAIN, not in tables, paths or code). Such a code gives away log(N /
+  subjects) of log N. Subjects are counted by the min-entropy of the code's contexts, the characters to either side of it: all its mentions over those
+  in its most frequent context. A key or an account number has one subject, however often its text is copied; a number that is printed
+  everywhere has many and stays.
 * The others are the values found by patterns. Terms are words near their mentions (NEAR words to either side) that were seen with the
   value in SUPPORT different texts.
 
 A term whose share reaches GENERALISE is replaced by a general word for what it is (`[code]`, `[number]`, `[name]`, `[word]`) where its
-entity stands in the document; from REMOVE on it is taken out.
+entity stands in the document; a word from REMOVE on is taken out. Codes are never taken out without a word in their place.
 
 Scale: patterns are a map. Only documents with an entity or a code give terms; terms and pairs are counted with partial sums before
 each shuffle. Terms that are too frequent among those documents alone are out. The others' document frequencies come from all
 words of all documents, joined with these terms (sent to executors if measured and small, else joined by a shuffle) and
-summed in each task first: a frequent word is one row a task.
+summed in each task first: a frequent word is one row a task. Within a text all steps are linear in its length and its spans: folds grow
+in blocks, places are read from pages of the text, and spans are kept apart in one pass over their order.
 
 Defined cases: null text is the empty text, and stays null when sanitised. Rows that repeat count each as a document;
 texts that are equal support a pair once. Of terms with equal shares all are taken, and each of a term's places. Spans of different
@@ -31,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taleweave.llm.lineage import broadcast_if_small, stored
+from taleweave.operators.folding import PAGE, bound, fold, pages, passage
 
 # Kinds in their order, with what matches. Each is written so that no start within a run is tried twice.
 KINDS = ("email", "ip", "card", "phone")
@@ -42,6 +47,15 @@ PATTERNS = {
 }
 #: Codes: candidates for terms that name the subject of a text.
 CODE = r"(?<![A-Za-z0-9_])(?:[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|[0-9]{4}(?:[ -][0-9]{4}){3}|[A-Za-z0-9_]{16,}+)(?![A-Za-z0-9_])"
+# Names of secrets, as they stand right before one; forms of access keys; and what stands beside a number in tables, paths and code.
+SECRET = (
+    r"(?i)(?<![a-z])(?:token|secret|password|passwd|passphrase|passcode|pwd|api[ _-]?key|access[ _-]?key|private[ _-]?key|secret[ _-]?key|auth|authorization|authentication|bearer|credentials?|account|account number|iban|card|card number|ssn)"
+    r"""["'”]?\s{0,3}(?:=>|->|[:=]|\bis\b)?\s{0,3}["'“]?$"""
+)
+KEY = r"^(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_(?:live|test)_[A-Za-z0-9]{16,})$"
+PLAIN, BESIDE_BEFORE, BESIDE_AFTER = r"^[0-9]{4}(?:[ -]?[0-9]{4}){3}$", r"[|/\\=#&?_{}\[\]<>:;,-]\s*$", r"^\s*[|/\\=#&_{}\[\]<>]"
+#: Characters before a code in which the name of a secret is looked for.
+NAMED = 40
 #: What a text must contain for a kind to be looked for.
 HINTS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 
@@ -49,7 +63,8 @@ NEAR, SUPPORT, GENERALISE, REMOVE = 5, 3, 0.8, 0.97
 #: Characters to either side of a mention in which the near words are looked for, and those that are a code's context.
 REACH, CONTEXT = 120, 16
 _MARK, _OTHER = "\x01", "\x02"  # neither is part of any pattern
-_SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
+_SPAN = "struct<kind:string,start:int,end:int,value:string>"
+_SPANS = f"array<{_SPAN}>"
 
 
 def valid(kind: str, value: Column) -> Column:
@@ -61,8 +76,8 @@ def valid(kind: str, value: Column) -> Column:
         return F.length(digits).between(16, 19) & F.call_function("luhn_check", digits)
     if kind == "phone":
         return F.length(digits).between(8, 15)
-    if kind == "code":  # words, and words with a short number behind, are none
-        return (F.length(digits) > 0) & ~value.rlike("^[a-z_]+[0-9]{1,4}$")
+    if kind == "code":
+        return F.length(digits) > 0
     return F.lit(True)
 
 
@@ -71,14 +86,13 @@ def kind_spans(text: Column, kind: str) -> Column:
     pattern = CODE if kind == "code" else PATTERNS[kind]
     clean = F.when(F.contains(text, F.lit(_MARK)), F.translate(text, _MARK, _OTHER)).otherwise(text)
     parts = F.split(F.regexp_replace(clean, pattern, f"{_MARK}$0{_MARK}"), _MARK)
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast(_SPANS).alias("spans"))
 
-    def step(acc, part):
-        end = acc["at"] + F.length(part)
-        span = F.struct(F.lit(kind).alias("kind"), acc["at"].alias("start"), end.alias("end"), part.alias("value"))
-        return F.struct(end.alias("at"), (~acc["inside"]).alias("inside"), F.when(acc["inside"] & valid(kind, part), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+    def step(state, part):
+        end = state["at"] + F.length(part)
+        span = F.struct(F.lit(kind).alias("kind"), state["at"].alias("start"), end.alias("end"), part.alias("value"))
+        return F.struct(end.alias("at"), (~state["inside"]).alias("inside")), state["inside"] & valid(kind, part), span
 
-    found = F.aggregate(parts, start, step, lambda acc: acc["spans"])
+    found = fold(parts, F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside")), step, _SPAN)["out"]
     hint = F.contains(text, F.lit(HINTS[kind])) if HINTS.get(kind) else F.lit(True)
     return F.when(hint & text.rlike(pattern), found).otherwise(F.array().cast(_SPANS))
 
@@ -88,8 +102,27 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[kind_spans(text, k) for k in KINDS])
 
 
-def overlaps(spans: Column, start: Column, end: Column) -> Column:
-    return F.exists(spans, lambda s: (s["start"] < end) & (s["end"] > start))
+def apart(items: Column, spans: Column) -> Column:
+    """The items (spans that don't overlap each other) that overlap none of the spans, in order of their start; one pass over all in that order."""
+    both = F.sort_array(F.concat(
+        F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(False).alias("own"), s.alias("s"))), F.transform(items, lambda s: F.struct(s["start"].alias("start"), F.lit(True).alias("own"), s.alias("s"))),
+    ))
+
+    def step(state, x):
+        held, own, s = state["held"], x["own"], x["s"]  # an item is held until it is known that what begins next doesn't reach into it
+        free = held.isNotNull() & (own | (held["end"] <= s["start"]))
+        reach = F.when(own, state["reach"]).otherwise(F.greatest(state["reach"], s["end"]))
+        return F.struct(reach.alias("reach"), F.when(own & (s["start"] >= state["reach"]), s).alias("held")), free, held
+
+    start = F.struct(F.lit(0).alias("reach"), F.lit(None).cast(_SPAN).alias("held"))
+    whole = bound(fold(both, start, step, _SPAN), lambda f: F.when(f["state"]["held"].isNotNull(), F.concat(f["out"], F.array(f["state"]["held"]))).otherwise(f["out"]))
+    return F.when(F.size(items) == 0, items).when(F.size(spans) == 0, items).otherwise(whole)
+
+
+def protected(paged: Column, code: Column) -> Column:
+    """Whether a code stands for a subject: by the name of a secret before it, its form, or as a number among words."""
+    before, after = passage(paged, code["start"] - NAMED, code["start"]), passage(paged, code["end"], code["end"] + 4)
+    return code["value"].rlike(KEY) | before.rlike(SECRET) | (code["value"].rlike(PLAIN) & ~before.rlike(BESIDE_BEFORE) & ~after.rlike(BESIDE_AFTER))
 
 
 def text_key(text: Column) -> Column:
@@ -102,18 +135,25 @@ def words_of(text: Column) -> Column:
 
 def _mentions(held: DataFrame) -> DataFrame:
     """(doc_id, key, entity, term) of the words near each mention."""
-    span = held.select("doc_id", "key", "text", F.explode("spans").alias("s"))
-    before = words_of(F.expr(f"substring(text, greatest(1, s.start + 1 - {REACH}), least(s.start, {REACH}))"))
-    after = words_of(F.expr(f"substring(text, s.end + 1, {REACH})"))
-    near = F.concat(F.reverse(F.slice(F.reverse(before), 1, NEAR)), F.slice(after, 1, NEAR))
-    entity = F.concat("s.kind", F.lit(":"), F.lower("s.value"))
-    return span.select("doc_id", "key", entity.alias("entity"), F.explode(F.array_distinct(near)).alias("term"))
+    paged = held.select("doc_id", "key", pages(F.col("text")).alias("pages"), "spans")
+
+    def near(s):
+        before, after = words_of(passage(F.col("pages"), s["start"] - REACH, s["start"])), words_of(passage(F.col("pages"), s["end"], s["end"] + REACH))
+        return F.concat(F.reverse(F.slice(F.reverse(before), 1, NEAR)), F.slice(after, 1, NEAR))
+
+    each = paged.select("doc_id", "key", F.explode(F.transform("spans", lambda s: F.struct(_entity(s).alias("entity"), F.array_distinct(near(s)).alias("terms")))).alias("m"))
+    return each.select("doc_id", "key", "m.entity", F.explode("m.terms").alias("term"))
+
+
+def _entity(span: Column) -> Column:
+    return F.concat(span["kind"], F.lit(":"), F.lower(span["value"]))
 
 
 def code_shares(held: DataFrame, n: float) -> DataFrame:
     """(value, subjects, share) of each code in held (codes, text): how much of its subject's information it gives away."""
-    near = lambda c: F.xxhash64(F.expr(f"substring(text, greatest(1, {c}.start + 1 - {CONTEXT}), least({c}.start, {CONTEXT}))"), F.expr(f"substring(text, {c}.end + 1, {CONTEXT})"))
-    mentions = held.select(F.explode("codes").alias("c"), "text").select("c.value", near("c").alias("context"))
+    paged = held.select("codes", pages(F.col("text")).alias("pages"))
+    near = lambda c: F.xxhash64(passage(F.col("pages"), c["start"] - CONTEXT, c["start"]), passage(F.col("pages"), c["end"], c["end"] + CONTEXT))
+    mentions = paged.select(F.explode(F.transform("codes", lambda c: F.struct(c["value"].alias("value"), near(c).alias("context")))).alias("m")).select("m.*")
     contexts = mentions.groupBy("value", "context").agg(F.count("*").alias("n"))
     subjects = contexts.groupBy("value").agg((F.sum("n") / F.max("n")).alias("subjects"))
     return subjects.withColumn("share", F.greatest(F.log(F.lit(n) / F.col("subjects")) / F.log(F.lit(n)), F.lit(0.0)))
@@ -123,7 +163,7 @@ def disclosing_terms(docs: DataFrame, held: DataFrame, rows: float) -> DataFrame
     """(term, entity, share) of the terms that reveal an entity. held: doc_id, key, text, spans of the documents with entities; rows: of docs."""
     near = stored(_mentions(held).distinct())
     seen = near.groupBy("entity", "term", "key").agg(F.count("*").alias("rows")).groupBy("entity", "term").agg(F.sum("rows").alias("together"), F.count("*").alias("texts"))
-    entities = held.select("doc_id", "key", F.explode(F.array_distinct(F.transform("spans", lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"]))))).alias("entity")).groupBy("entity").agg(F.count("*").alias("df_entity"))
+    entities = held.select("doc_id", "key", F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity")).groupBy("entity").agg(F.count("*").alias("df_entity"))
     pairs = stored(seen.where(F.col("texts") >= SUPPORT).join(entities, "entity"))
     n = F.lit(rows)
 
@@ -142,7 +182,7 @@ def disclosing_terms(docs: DataFrame, held: DataFrame, rows: float) -> DataFrame
 
 def word_spans(held: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc_id, key, span) of the places where a revealing word stands in a document with its entity."""
-    entity = F.transform("spans", lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"])))
+    entity = F.transform("spans", _entity)
     pairs = held.select("doc_id", "key", F.explode(F.array_distinct(entity)).alias("entity")).join(broadcast_if_small(terms), "entity")
     shares = pairs.groupBy("doc_id", "key", "term").agg(F.max("share").alias("share")).groupBy("doc_id", "key").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares"))
     shares = shares.withColumnsRenamed({"doc_id": "__pii_id", "key": "__pii_key"})
@@ -150,14 +190,12 @@ def word_spans(held: DataFrame, terms: DataFrame) -> DataFrame:
     rows = held.join(shares, F.col("doc_id").eqNullSafe(F.col("__pii_id")) & (F.col("key") == F.col("__pii_key")))
     parts = F.split(F.regexp_replace(F.translate("text", _MARK, _OTHER), r"\p{L}{3,}+", f"{_MARK}$0{_MARK}"), _MARK)
 
-    def step(acc, part):
-        end, share = acc["at"] + F.length(part), F.try_element_at("shares", F.lower(part))
-        free = ~overlaps(F.concat("spans", "codes"), acc["at"], end)
-        span = F.struct(_done(share).alias("kind"), acc["at"].alias("start"), end.alias("end"), part.alias("value"))
-        return F.struct(end.alias("at"), F.when(share.isNotNull() & free, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def step(at, part):
+        end, share = at + F.length(part), F.try_element_at("shares", F.lower(part))
+        return end, share.isNotNull(), F.struct(_done(share).alias("kind"), at.alias("start"), end.alias("end"), part.alias("value"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
-    return rows.select("doc_id", "key", F.explode(F.aggregate(parts, start, step, lambda acc: acc["out"])).alias("span"))
+    places = fold(parts, F.lit(0), step, _SPAN)["out"]
+    return rows.select("doc_id", "key", F.explode(apart(places, F.concat("spans", "codes"))).alias("span"))
 
 
 def _done(share: Column) -> Column:
@@ -165,9 +203,9 @@ def _done(share: Column) -> Column:
 
 
 def term_spans(held: DataFrame, words: DataFrame, codes: DataFrame) -> DataFrame:
-    """(doc_id, key, terms): the places of revealing words and codes in each document that has some, in order."""
+    """(doc_id, key, terms): the places of revealing words and codes in each document that has some, in order. Codes are generalised, never removed."""
     each = held.select("doc_id", "key", F.explode("codes").alias("c")).join(broadcast_if_small(codes.where(F.col("share") >= GENERALISE)), F.col("c.value") == F.col("value"))
-    found = each.select("doc_id", "key", F.struct(_done(F.col("share")).alias("kind"), "c.start", "c.end", "c.value").alias("span"))
+    found = each.select("doc_id", "key", F.struct(F.lit("term").alias("kind"), "c.start", "c.end", "c.value").alias("span"))
     order = lambda a, b: a["start"] - b["start"]
     return word_spans(held.where("size(spans) > 0"), words).unionByName(found).groupBy("doc_id", "key").agg(F.array_sort(F.collect_list("span"), order).alias("terms"))
 
@@ -175,8 +213,9 @@ def term_spans(held: DataFrame, words: DataFrame, codes: DataFrame) -> DataFrame
 def spans_of(docs: DataFrame) -> DataFrame:
     """doc_id, key, spans (base) and terms (revealing) of each row."""
     text = F.coalesce("text", F.lit(""))
-    codes = F.filter(kind_spans(text, "code"), lambda c: ~overlaps(F.col("spans"), c["start"], c["end"]))
-    found = docs.select("doc_id", text_key(text).alias("key"), base_spans(text).alias("spans"), text.alias("text")).withColumn("codes", codes)
+    codes = F.filter(kind_spans(text, "code"), lambda c: protected(F.col("pages"), c))
+    found = docs.select("doc_id", text_key(text).alias("key"), base_spans(text).alias("spans"), text.alias("text"), pages(text).alias("pages"))
+    found = found.withColumn("codes", codes).withColumn("codes", apart(F.col("codes"), F.col("spans"))).drop("pages")
     found = stored(found.withColumn("text", F.when((F.size("spans") > 0) | (F.size("codes") > 0), F.col("text"))))
     held, n = found.where("text is not null"), float(max(found.count(), 2))
     words = stored(disclosing_terms(docs, held.where("size(spans) > 0"), n))
@@ -202,17 +241,19 @@ def general_word(value: Column) -> Column:
 
 
 def replaced(text: Column, spans: Column) -> Column:
-    """The text with what the spans cover replaced by its kind or general word in brackets; `removed` is replaced by nothing."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with what the spans cover replaced by their kind or general word in brackets; `removed` is replaced by nothing."""
+
+    def whole(paged):
+        def step(at, s):
+            before = passage(paged, at, F.greatest(s["start"], at))
+            put = F.when(s["kind"] == "removed", "").otherwise(F.concat(F.lit("["), F.when(s["kind"] == "term", general_word(s["value"])).otherwise(s["kind"]), F.lit("]")))
+            more = s["end"] > at
+            return F.when(more, s["end"]).otherwise(at), more, F.concat(before, put)
 
-    def step(acc, s):
-        before = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        put = F.when(s["kind"] == "removed", "").otherwise(F.concat(F.lit("["), F.when(s["kind"] == "term", general_word(s["value"])).otherwise(s["kind"]), F.lit("]")))
-        new = F.struct(s["end"].alias("at"), F.concat(acc["out"], before, put).alias("out"))
-        return F.when(s["end"] <= acc["at"], acc).otherwise(new)
+        ordered = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
+        return bound(fold(ordered, F.lit(0), step, "string"), lambda f: F.concat(F.array_join(f["out"], ""), passage(paged, f["state"], F.size(paged) * F.lit(PAGE))))
 
-    ordered = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
-    return F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return bound(pages(text), whole)
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
