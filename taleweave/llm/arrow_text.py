@@ -1,5 +1,8 @@
 """Small helpers for operators that read text from Arrow batches inside a task."""
 
+import ctypes
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 
@@ -20,6 +23,22 @@ def small_batches(rows):
     return rows
 
 
+@lru_cache(1)
+def _trim():
+    """The C library's function that gives freed memory back to the system, where it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+def give_back() -> None:
+    """What the last slices took goes back to the system: a worker is kept for later tasks of other operators, beside which it would lie idle."""
+    pa.default_memory_pool().release_unused()
+    if _trim() is not None:
+        _trim()(0)
+
+
 def _sizes(column) -> np.ndarray:
     """The bytes of each value of a string or binary array, from its offsets; what is under a null counts too."""
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
@@ -36,6 +55,7 @@ def row_slices(batch, columns, limit=SLICE_BYTES):
         last = max(first + 1, int(np.searchsorted(ends, before + limit, side="right")))
         yield first, batch.slice(first, last - first)
         first = last
+    give_back()
 
 
 def text_slices(batch, column="text", limit=SLICE_BYTES):

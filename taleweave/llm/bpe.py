@@ -51,6 +51,10 @@ _WHITE_SPACE = (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
 _SHORT, _LONG = ("s", "t", "m", "d"), ("re", "ve", "ll")
 
 
+#: Texts are encoded in slices of about this many bytes, each of which takes a few hundred bytes of arrays meanwhile.
+ENCODED_BYTES = 1 << 18
+
+
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -324,7 +328,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def run(batches):
         counts: dict[bytes, int] = {}
         for batch in batches:
-            for _, rows in text_slices(batch):
+            for _, rows in text_slices(batch, limit=ENCODED_BYTES):
                 data, first, last, _ = cut_words([t for r in rows if plain(t := r.decode("utf-8", "replace"), "")])
                 short = last - first <= LONGEST
                 first, last = first[short], last[short]
@@ -388,7 +392,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, lexicon: str | None = Non
         encoder = task_encoder(vocabulary, lexicon)
         for batch in batches:
             ids = batch.column("doc_id")
-            for first, rows in text_slices(batch):
+            for first, rows in text_slices(batch, limit=ENCODED_BYTES):
                 yield rows_to_batch(schema, {"doc_id": ids.slice(first, len(rows)), "ids": [x.astype(np.int32) for x in encoder.encode(rows)]})
 
     return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
@@ -402,7 +406,7 @@ def encoding_digests(docs: DataFrame, vocabulary: str, lexicon: str | None = Non
         decimal = [str(i) for i in range(len(encoder.pieces))]
         for batch in batches:
             doc_ids = batch.column("doc_id")
-            for first, rows in text_slices(batch):
+            for first, rows in text_slices(batch, limit=ENCODED_BYTES):
                 encoded = [x.tolist() for x in encoder.encode(rows)]
                 yield rows_to_batch(ENCODED, {
                     "doc_id": doc_ids.slice(first, len(rows)), "n_tokens": [len(x) for x in encoded],

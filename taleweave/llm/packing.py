@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from taleweave.llm.arrow_text import rows_to_batch, small_batches, text_slices
-from taleweave.llm.bpe import task_encoder, vocabulary_path
+from taleweave.llm.bpe import ENCODED_BYTES, task_encoder, vocabulary_path
 
 CAPACITY = 2048
 #: Pieces that are packed together.
@@ -153,7 +153,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, with_ids: bool = False)
 
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            for first, texts in text_slices(batch):
+            for first, texts in text_slices(batch, limit=ENCODED_BYTES):
                 for doc_id, tokens in zip(ids[first : first + len(texts)], encoder.encode(texts)):
                     out(packer.add(doc_id, np.append(tokens, END_ID).astype(np.uint32)))
                 yield batch_of_rows()
