@@ -404,9 +404,9 @@ def test_plain_identifiers_stay(spark):
 
 
 def test_spans_of_long_lists_take_linear_time(spark):
-    """16,000 addresses in one text in about twice the time of 8,000, found and replaced; codes and words between them."""
+    """16,000 addresses in one text in about four times the time of 4,000, found and replaced; codes and words between them."""
     seconds = []
-    for n in (4000, 8000, 16_000):
+    for n in (4000, 16_000):
         text = " ".join(f"ann{k} a{k}@b{k}.example.org token = 04dbebab91ab85687d33eeaaf9ac69{k:06d}" for k in range(n))
         docs = spark.createDataFrame([(1, text), (2, "token of a plain text")], "doc_id long, text string")
         began = time.time()
@@ -415,7 +415,7 @@ def test_spans_of_long_lists_take_linear_time(spark):
         seconds.append(time.time() - began)
         assert found[1]["n_email"] == n and found[1]["spans"].count("term:") >= n
         assert clean[1]["text"].count("[email]") == n and "@" not in clean[1]["text"] and "04dbebab" not in clean[1]["text"]
-    assert seconds[2] < 2.6 * seconds[1] + 5, seconds
+    assert seconds[1] < 5 * seconds[0] + 5, seconds
 
 
 def test_apart_against_brute_force(spark):
