@@ -124,6 +124,28 @@ def test_recall_among_many_quoting_recordings(spark):
     assert all(got[i]["class_id"] == i for i in texts if i < 10_000)
 
 
+@pytest.mark.parametrize("between", [20, 100, 400])
+def test_recall_with_quoting_recordings_between(spark, between):
+    """Near copies with recordings between their ids (and sixty before them) that each quote a part of one: links against brute force."""
+    rng, texts, pairs = random.Random(9), {}, []
+    for g in range(4):
+        base = words(2000 + g, 300).split()
+        for q in range(60 + between):  # those with smaller ids quote each place, so no list begins with a copy
+            at = q * 272 // 59 if q < 60 else rng.randrange(273)
+            texts[(q if q < 60 else 1000 + q) + 10_000 * g] = " ".join([words(20_000 + 500 * g + q, 40), *base[at : at + 28], words(40_000 + 500 * g + q, 40)])
+        low, high, edited = 10_000 * g + 500, 10_000 * g + 5000, list(base)
+        for at in rng.sample(range(300), 1 + g // 2):
+            edited[at] = "other"
+        texts[low], texts[high] = " ".join(base), " ".join(edited)
+        pairs.append((low, high))
+    items = {i: audio.fingerprint(audio.rendered([t.encode()])[0]) for i, t in texts.items()}
+    true = [(a, b) for a, b in pairs if audio.bit_errors(items[a], items[b], 0)[0] <= audio.BIT_ERRORS]
+    got = by_id(audio.aligned(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4), "doc_id", "text", "text"))
+    assert len(true) == 4 and sum(got[a]["class_id"] == got[b]["class_id"] and got[b]["n_links"] > 0 for a, b in true) >= 0.9 * len(true)
+    linked = [r for r in got.values() if r["n_links"]]
+    assert all(audio.bit_errors(items[r["match_id"]], items[r["doc_id"]], r["offset"])[0] == pytest.approx(r["bit_error"]) and r["bit_error"] <= audio.BIT_ERRORS for r in linked)
+
+
 def test_digest_edits_and_groups(spark, odd):
     docs = [(i, words(i % 40, 5 + i % 17)) for i in range(300)] + [(1000, None), (1001, "Ａ  b\tC"), (1002, "a B c"), (-5, "first of all")]
     got = by_id(digest.fingerprint_edits(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)))
