@@ -1,12 +1,14 @@
 """Durations accumulated into book-wide times, gaps filled, silence found, moments looked up.
 
-Times keep full precision in tables and are rounded to milliseconds at the output. All windows are partitioned by book, segment
-or list; a book's segments are thousands of rows at most.
+Times keep full precision in tables and are rounded to milliseconds at the output. Offsets, marks, numbers and lookups over a
+book are scans of two levels (scans.py), so a book may be of any size; other windows are partitioned by segment or list.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from taleweave.operators import scans
+
 PAUSE, SILENCE, PER_SEGMENT = 0.4, 0.30, 20
 
 
@@ -17,13 +19,12 @@ def _before(*keys, order):
 def positions(chapters: DataFrame, book: str, index: str, include: str) -> DataFrame:
     """The included chapters (null: included) with their position among them; the original index stays."""
     kept = chapters.where(F.coalesce(F.col(include), F.lit(True)))
-    return kept.withColumn("position", (F.row_number().over(Window.partitionBy(book).orderBy(index)) - 1).cast("long"))
+    return scans.numbered(kept, [book], [index], "position")
 
 
 def segment_offsets(segments: DataFrame, book: str, order: list[str], duration: str) -> DataFrame:
     """start and end of each segment in its book."""
-    start = F.coalesce(F.sum(duration).over(_before(book, order=order)), F.lit(0.0))
-    return segments.withColumn("start", start).withColumn("end", F.col("start") + F.col(duration))
+    return scans.sum_before(segments, [book], order, F.col(duration).cast("double"), "start").withColumn("end", F.col("start") + F.col(duration))
 
 
 def chapter_marks(offsets: DataFrame, keys: list[str]) -> DataFrame:
@@ -81,8 +82,7 @@ def chunk_samples(chunks: DataFrame, segment: str, order: str, length: str, rate
 def millisecond_marks(chapters: DataFrame, book: str, order: str, duration: str) -> DataFrame:
     """Whole milliseconds, each chapter's cut off before it is added."""
     ms = (F.col(duration) * 1000).cast("long")
-    start = F.coalesce(F.sum("_ms").over(_before(book, order=[order])), F.lit(0))
-    return chapters.withColumn("_ms", ms).withColumn("start_ms", start).withColumn("end_ms", F.col("start_ms") + F.col("_ms")).drop("_ms")
+    return scans.sum_before(chapters.withColumn("_ms", ms), [book], [order], F.col("_ms"), "start_ms").withColumn("end_ms", F.col("start_ms") + F.col("_ms")).drop("_ms")
 
 
 def word_leads(words: DataFrame, list_: str, order: list[str], t: Column) -> DataFrame:
@@ -101,11 +101,11 @@ def rebase_words(words: DataFrame, chunks: DataFrame, segments: DataFrame, segme
 
 
 def flat_numbers(words: DataFrame, chapter: list[str], order: list[str]) -> DataFrame:
-    return words.withColumn("flat_no", (F.row_number().over(Window.partitionBy(*chapter).orderBy(*order)) - 1).cast("long"))
+    return scans.numbered(words, chapter, order, "flat_no")
 
 
 def as_of(lookups: DataFrame, spans: DataFrame, key: str, t: str, payload: list[str], first_if_before: bool = False) -> DataFrame:
-    """Each lookup with the payload of the last span of its key that starts at or before t, by one sort of both together.
+    """Each lookup with the payload of the last span of its key that starts at or before t, by one scan of both together.
 
     spans: key, start, payload. With first_if_before a moment before all spans has the first one.
     """
@@ -113,19 +113,16 @@ def as_of(lookups: DataFrame, spans: DataFrame, key: str, t: str, payload: list[
     both = lookups.select("*", F.col(t).alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast(spans.select(item.alias("s")).schema["s"].dataType).alias("_s")).unionByName(
         spans.select(key, F.col("start").alias("_t"), F.lit(0).alias("_kind"), item.alias("_s")), allowMissingColumns=True
     )
-    order = Window.partitionBy(key).orderBy("_t", "_kind")
-    found = F.last("_s", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    if first_if_before:
-        found = F.coalesce(found, F.first("_s", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)))
-    return both.withColumn("_f", found).where("_kind = 1").select(*lookups.columns, *[F.col(f"_f.{c}").alias(c) for c in payload])
+    both = scans.last_before(both, key, "_t", "_kind", "_s", "_f", first_if_before=first_if_before)
+    return both.where("_kind = 1").select(*lookups.columns, *[F.col(f"_f.{c}").alias(c) for c in payload])
 
 
 def span_at(lookups: DataFrame, spans: DataFrame, key: str, t: str, payload: list[str]) -> DataFrame:
     """The span with start <= t <= end, the earlier one where two meet; none in a pause."""
-    held = spans.withColumn("_end", F.col("end"))
+    held = spans.withColumn("_end", F.col("end")).withColumn("_meets", F.struct(key, "start"))
     # Spans don't overlap, so the span that ends at t is the one before the span that starts there.
-    previous = Window.partitionBy(key).orderBy("start")
-    held = held.withColumn("_prior", F.when(F.lag("end").over(previous) == F.col("start"), F.lag(F.struct(*payload)).over(previous)))
+    ended = spans.where("start < end").groupBy(F.struct(F.col(key), F.col("end").alias("start")).alias("_meets")).agg(F.min_by(F.struct(*payload), "start").alias("_prior"))
+    held = held.join(ended, "_meets", "left").drop("_meets")
     found = as_of(lookups, held.withColumn("_start", F.col("start")), key, t, ["_start", "_end", "_prior", *payload])
     at_start = (F.col(t) == F.col("_start")) & F.col("_prior").isNotNull()
     return found.select(*lookups.columns, *[F.when(at_start, F.col(f"_prior.{c}")).when(F.col(t) <= F.col("_end"), F.col(c)).alias(c) for c in payload])

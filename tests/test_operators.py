@@ -10,7 +10,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from taleweave.operators import catalog, markup, refresh
+from taleweave.operators import catalog, markup, refresh, scans
 from taleweave.operators import timeline as T
 from taleweave.sources import archives, files
 from taleweave.streaming import streams, twins
@@ -388,3 +388,35 @@ def test_covers_and_titles(spark):
     got = catalog.resolve_titles(catalog.with_contents_titles(docs, toc.where("ord < 3")), "n").orderBy("n").collect()
     assert [(r["title"], r["source"], r["index"]) for r in got] == [("One", "toc", 0), ("First words here", "derived", 1)]
     assert [r["toc_title"] for r in catalog.with_contents_titles(docs, toc).orderBy("n").collect()] == ["One", "Two", None]
+
+
+def test_scans_of_a_hot_book(spark):
+    """A book with most rows, a null book and a small one: as one window a book, in ranges of a bounded size."""
+    rng = random.Random(4)
+    rows = [("hot", c, p, float(rng.randint(1, 9))) for c in range(3) for p in range(400)] + [(b, c, 0, 2.0) for b in (None, "small") for c in range(5)]
+    rng.shuffle(rows)
+    held = spark.createDataFrame(rows, "book string, chapter int, part int, seconds double")
+    wanted, total, count = {}, {}, {}
+    for b, c, p, s in sorted(rows, key=lambda r: (r[0] or "", r[1], r[2])):
+        wanted[b, c, p] = (total.get(b, 0.0), count.get(b, 0))
+        total[b], count[b] = total.get(b, 0.0) + s, count.get(b, 0) + 1
+    got = scans.numbered(scans.sum_before(held, ["book"], ["chapter", "part"], F.col("seconds"), "start", 64), ["book"], ["chapter", "part"], "no", 64).collect()
+    assert len(got) == len(rows) and {(r.book, r.chapter, r.part): (r.start, r.no) for r in got} == wanted
+    assert scans._ranged(held, ["book"], ["chapter", "part"], 64).groupBy("_key", "_range").count().agg(F.max("count")).first()[0] <= 64
+    # Lookups: each moment with the last span up to it, however many ranges lie between.
+    starts = sorted(rng.sample(range(50_000), 300))
+    points = [("hot", float(s), 0, s) for s in starts] + [("hot", float(t), 1, None) for t in rng.sample(range(-50, 60_000), 300)] + [("none", 5.0, 1, None)]
+    for first in (False, True):
+        found = scans.last_before(spark.createDataFrame(points, "book string, t double, kind int, item int"), "book", "t", "kind", "item", "f", 100, first).where("kind = 1").collect()
+        assert len(found) == 301
+        for r in found:
+            assert r.f == (None if r.book == "none" else max((s for s in starts if s <= r.t), default=starts[0] if first else None))
+
+
+def test_lookups_where_spans_meet(spark):
+    """The earlier of two that meet; spans without length and pauses; empty tables."""
+    spans = spark.createDataFrame([(1, 0.0, 5.0, "a"), (1, 5.0, 5.0, "z"), (1, 9000.0, 9010.0, "b"), (1, 9010.0, 9020.0, "c")], "book int, start double, end double, name string")
+    moments = spark.createDataFrame([(1, x) for x in (5.0, 7.0, 9010.0, 9015.0, 9021.0)] + [(2, 1.0)], "book int, t double")
+    got = {(r.book, r.t): r.name for r in T.span_at(moments, spans, "book", "t", ["name"]).collect()}
+    assert got == {(1, 5.0): "a", (1, 7.0): None, (1, 9010.0): "b", (1, 9015.0): "c", (1, 9021.0): None, (2, 1.0): None}
+    assert T.as_of(moments.limit(0), spans, "book", "t", ["name"]).count() == 0 and T.as_of(moments, spans.limit(0), "book", "t", ["name"]).count() == 6
