@@ -65,9 +65,22 @@ def h03(t):
     return markup.blocks(bare, "page_id").select("page_id", "text", "tag")
 
 
-@query("h04_headings", f"{BLOCKS} SELECT page_id, (SELECT arg_min(text, block_no) FROM blocks b WHERE b.page_id = d.page_id AND regexp_matches(tag, '^h[1-6]$')) AS heading FROM d")
+# Every third page has elements with a telling class in place of its headings.
+_STYLED = BLOCKS.replace("AS html FROM pages)", "AS html FROM (SELECT page_id, url, CASE WHEN page_id % 3 = 0 THEN regexp_replace(regexp_replace(html, '(?i)<h[1-6]\\b[^>]*>', '<div class=\"page-title\">', 'g'), '(?i)</h[1-6]\\s*>', '</div>', 'g') ELSE html END AS html FROM pages) AS pages)", 1)
+
+
+@query(
+    "h04_headings",
+    rf"""{_STYLED}, c AS (SELECT page_id, regexp_extract_all(html, '(?is)<\w+\b[^>]*\bclass\s*=\s*["''][^"'']*(?:head|title|chapter)[^"'']*["''][^>]*>([^<]*)', 1) AS found FROM n),
+      r AS (SELECT page_id, i, found[i] AS raw FROM c, unnest(generate_series(1, len(found))) AS g(i)),
+      o AS (SELECT page_id, i, trim(regexp_replace({_DECODE.format("raw")}, '\s+', ' ', 'g')) AS text FROM r),
+      f AS (SELECT page_id, arg_min(text, i) AS text FROM o WHERE text <> '' AND length(text) <= 100 GROUP BY page_id)
+    SELECT page_id, coalesce((SELECT arg_min(text, block_no) FROM blocks b WHERE b.page_id = d.page_id AND regexp_matches(tag, '^h[1-6]$')), (SELECT text FROM f WHERE f.page_id = d.page_id)) AS heading FROM d""",
+)
 def h04(t):
-    return markup.headings(pages(t), "page_id")
+    held = pages(t)
+    styled = F.regexp_replace(F.regexp_replace("html", r"(?i)<h[1-6]\b[^>]*>", '<div class="page-title">'), r"(?i)</h[1-6]\s*>", "</div>")
+    return markup.headings(held.withColumn("html", F.when(F.col("page_id") % 3 == 0, styled).otherwise(F.col("html"))), "page_id")
 
 
 @query("h05_sanitised_blocks", f"{BLOCKS} SELECT page_id, block_no, html FROM blocks")
