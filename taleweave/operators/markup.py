@@ -7,10 +7,12 @@ nested blocks the outermost counts. Closing tags without an opening one are igno
 
 from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from taleweave.functions.speech import matched_word
+from taleweave.operators.folding import bound, fold
+
 # The tags that are blocks, and those kept inside them.
 CONTAINERS = ("h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "li")
 INLINE = ("em", "i", "strong", "b", "u", "span", "sup", "sub", "code", "small", "br", "q", "cite", "abbr", "a")
@@ -21,6 +23,9 @@ _WINDOWS = {n: c for n in range(0x80, 0xA0) if (c := bytes([n]).decode("cp1252",
 #: A code point that is no character, set between parts; and what stands for it meanwhile in a page that has it.
 _MARK, _ELSE = "\ufdd0", "\ufdd1"
 
+#: What stands between words: tags, white space and references to it.
+_BETWEEN_WORDS = r"(?U)(<[^>]*>|(?:\s|&nbsp;|&#160;|&#[xX][aA]0;)+)"
+
 
 def without_noise(html: Column) -> Column:
     """Without comments, note numbers, scripts, styles and page-break elements."""
@@ -137,28 +142,33 @@ def chapter_text(made: DataFrame, key: str) -> DataFrame:
 def wrap_words(printed: DataFrame, spoken: DataFrame, keys: list[str], gate: float = 0.6) -> DataFrame:
     """keys, html, matched, spoken: words of a block's text between tags wrapped in numbered spans where they are spoken.
 
-    printed: keys, html of blocks; spoken: keys, word_no, word. The first key is the page, whose blocks a task takes together. A pointer goes over the spoken words and moves on a match only;
-    a block of which less than `gate` of the spoken words is matched stays as it is.
+    printed: keys, html of blocks; spoken: keys, word_no, word. A pointer goes over a block's spoken words and moves on a match only; words are compared
+    with references read and without marks, so a dash matches a dash. A block of which less than `gate` of the spoken words is matched stays as it is.
+    A null word is as one of marks alone; a null html stays null and matches nothing; blocks of a null key have no spoken words. Work is per block, however many a page has.
     """
-    import re
-
-    same = lambda w: re.sub(r"[^0-9a-z']", "", w.replace("’", "'").lower())
-
-    def run(blocks_, words):  # of one page: its blocks and what is spoken in them
-        said = {k: [same(w) for w in g["word"]] for k, g in words.sort_values("word_no").groupby(keys)} if len(words) else {}
-        out = []
-        for row in blocks_.itertuples(index=False):
-            key = tuple(getattr(row, k) for k in keys)
-            heard, at, parts = said.get(key if len(keys) > 1 else (key[0],), []), 0, []
-            for piece in re.split(r"(<[^>]*>|\s+)", row.html):
-                if piece and not piece.startswith("<") and not piece.isspace() and at < len(heard) and same(piece) and same(piece) == heard[at]:
-                    piece, at = f'<span data-w="{at}">{piece}</span>', at + 1
-                parts.append(piece)
-            kept = heard and at >= gate * len(heard)
-            out.append((*key, "".join(parts) if kept else row.html, at, len(heard)))
-        return pd.DataFrame(out, columns=[*keys, "html", "matched", "spoken"])
-
-    types = ", ".join(f"{k} {printed.schema[k].dataType.simpleString()}" for k in keys)
-    left = printed.select(*[F.col(c).alias(c) for c in (*keys, "html")])
-    right = spoken.select(*[F.col(c).alias(c) for c in (*keys, "word_no", "word")])
-    return left.groupBy(keys[0]).cogroup(right.groupBy(keys[0])).applyInPandas(run, f"{types}, html string, matched long, spoken long")
+    said = spoken.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("word_no", F.coalesce(matched_word(F.col("word")), F.lit("")).alias("w")))).alias("_said"))
+    html = F.col("html")
+    # Words stand at even places, tags and white space between them.
+    pieces = F.split(F.regexp_replace(F.translate(html, _MARK, _ELSE), _BETWEEN_WORDS, f"{_MARK}$1{_MARK}"), _MARK)
+
+    def wrapped(held):
+        pieces, heard = held["pieces"], held["heard"]
+        words = F.filter(pieces, lambda _, i: i % 2 == 0)
+        plain = F.transform(words, lambda w: F.when(w != "", matched_word(decoded(w))))
+
+        def step(at, word):
+            hit = F.coalesce(word == F.get(heard, at), F.lit(False))
+            return F.when(hit, at + 1).otherwise(at), F.lit(True), F.when(hit, at)
+
+        def shown(told):
+            one = lambda piece, i: F.when((i % 2 == 0) & F.get(told["out"], (i / 2).cast("int")).isNotNull(), F.concat(F.lit('<span data-w="'), F.get(told["out"], (i / 2).cast("int")), F.lit('">'), piece, F.lit("</span>"))).otherwise(piece)
+            whole = F.array_join(F.transform(pieces, one), "")
+            return F.struct(F.when((told["state"] > 0) & (told["state"] >= gate * F.size(heard)), whole).alias("html"), told["state"].alias("matched"))
+
+        return bound(fold(plain, F.lit(0), step, "int"), shown)
+
+    both = printed.select(*keys, "html").join(said, keys, "left")
+    heard = F.transform(F.coalesce("_said", F.array()), lambda x: x["w"])
+    held = both.withColumn("_w", F.when(html.isNotNull(), bound(F.struct(pieces.alias("pieces"), heard.alias("heard")), wrapped)))
+    back = F.when(F.contains(html, F.lit(_MARK)), F.translate("_w.html", _ELSE, _MARK)).otherwise(F.col("_w.html"))
+    return held.select(*keys, F.coalesce(back, html).alias("html"), F.coalesce("_w.matched", F.lit(0)).cast("long").alias("matched"), F.greatest(F.size(F.coalesce("_said", F.array())), F.lit(0)).cast("long").alias("spoken"))

@@ -103,7 +103,28 @@ def h06(t):
     return markup.blocks(pages(t), "page_id").groupBy("page_id").agg(F.count_if("inline").alias("inline"), F.count("*").alias("blocks"))
 
 
-@query("h07_wrapped_words", None)
+_PIECES = r"string_split(regexp_replace(html, '(<[^>]*>|(?:\s|&nbsp;)+)', chr(1) || '\1' || chr(1), 'g'), chr(1))"
+_MATCHED = "regexp_replace(lower(replace({}, '’', '''')), '[^0-9a-z'']', '', 'g')"
+
+
+@query(
+    "h07_wrapped_words",
+    rf"""{BLOCKS.replace("WITH d AS", "WITH RECURSIVE d AS", 1)},
+      pieces AS MATERIALIZED (SELECT page_id, block_no, i - 1 AS i, parts[i] AS piece FROM (SELECT page_id, block_no, {_PIECES} AS parts FROM blocks), unnest(generate_series(1, len(parts))) AS g(i)),
+      printed AS MATERIALIZED (SELECT page_id, block_no, i, row_number() OVER (PARTITION BY page_id, block_no ORDER BY i) AS n, {_MATCHED.format(_DECODE.format("piece"))} AS word FROM pieces WHERE i % 2 = 0 AND piece <> ''),
+      told AS (SELECT page_id, block_no, i - 1 AS word_no, w[i] AS word FROM (SELECT page_id, block_no, string_split(text, ' ') AS w FROM blocks), unnest(generate_series(1, len(w))) AS g(i)),
+      heard AS MATERIALIZED (SELECT page_id, block_no, row_number() OVER (PARTITION BY page_id, block_no ORDER BY word_no) - 1 AS nth, {_MATCHED.format("word")} AS word FROM told WHERE NOT (block_no % 5 = 4 AND word_no = 0)),
+      walk AS (SELECT page_id, block_no, 0::BIGINT AS n, 0::BIGINT AS nth, false AS hit FROM blocks
+        UNION ALL SELECT p.page_id, p.block_no, p.n, walk.nth + CASE WHEN p.word = h.word THEN 1 ELSE 0 END, coalesce(p.word = h.word, false)
+        FROM walk JOIN printed p ON p.page_id = walk.page_id AND p.block_no = walk.block_no AND p.n = walk.n + 1
+          LEFT JOIN heard h ON h.page_id = walk.page_id AND h.block_no = walk.block_no AND h.nth = walk.nth),
+      marked AS (SELECT p.page_id, p.block_no, p.i, walk.nth - 1 AS nth FROM walk JOIN printed p USING (page_id, block_no, n) WHERE hit),
+      shown AS (SELECT page_id, block_no, string_agg(CASE WHEN nth IS NULL THEN piece ELSE '<span data-w="' || nth || '">' || piece || '</span>' END, '' ORDER BY i) AS html, count(nth) AS matched
+        FROM pieces LEFT JOIN marked USING (page_id, block_no, i) GROUP BY page_id, block_no),
+      lengths AS (SELECT page_id, block_no, count(*) AS spoken FROM heard GROUP BY page_id, block_no)
+    SELECT page_id, block_no, CASE WHEN matched > 0 AND matched >= 0.6 * spoken THEN s.html ELSE b.html END AS html, matched, coalesce(spoken, 0) AS spoken
+    FROM blocks b JOIN shown s USING (page_id, block_no) LEFT JOIN lengths USING (page_id, block_no)""",
+)
 def h07(t):
     """Words of each block wrapped where they are spoken; every fifth block's speech lacks its first word, which stalls the pointer."""
     made = markup.blocks(pages(t), "page_id")

@@ -330,6 +330,20 @@ def test_wrapped_words_against_brute_force(spark):
         assert got[k]["html"] == (" ".join(shown) if heard and at >= 0.6 * len(heard) else html)
 
 
+def test_wrapped_words_read_references_and_marks(spark):
+    """References are read and marks match marks; null and unspoken blocks stay; no Python runs; a very long block is read whole."""
+    long = " ".join(f"w{k}" for k in range(20000))
+    printed = spark.createDataFrame([(1, "caf&eacute; &mdash;&nbsp;so"), (2, None), (3, "not spoken"), (4, long), (5, "x ﷐ y"), (None, "no key")], "b int, html string")
+    said = [(1, 0, "café"), (1, 1, "—"), (1, 2, "so"), (2, 0, "two"), (5, 0, "x"), (5, 1, "﷐"), (5, 2, None)] + [(4, k, f"W{k}") for k in range(20000)]
+    made = markup.wrap_words(printed, spark.createDataFrame(said, "b int, word_no int, word string"), ["b"])
+    got = {r["b"]: (r["html"], r["matched"], r["spoken"]) for r in made.collect()}
+    assert got[1] == ('<span data-w="0">caf&eacute;</span> <span data-w="1">&mdash;</span>&nbsp;<span data-w="2">so</span>', 3, 3)
+    assert got[2] == (None, 0, 1) and got[3] == ("not spoken", 0, 0) and got[None] == ("no key", 0, 0)
+    assert got[4] == (" ".join(f'<span data-w="{k}">w{k}</span>' for k in range(20000)), 20000, 20000)
+    assert got[5] == ('<span data-w="0">x</span> <span data-w="1">﷐</span> y', 2, 3)
+    assert "Python" not in made._jdf.queryExecution().toString()
+
+
 def test_wrapped_words_stall_and_gate(spark):
     printed = spark.createDataFrame([(1, "One <i>two</i> three"), (2, "One two three")], "b int, html string")
     spoken = spark.createDataFrame([(1, 0, "one"), (1, 1, "two"), (1, 2, "three"), (2, 0, "zero"), (2, 1, "one")], "b int, word_no int, word string")
