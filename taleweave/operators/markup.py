@@ -1,20 +1,20 @@
-"""Blocks of HTML pages as rows, by tag tokens and windows.
+"""Blocks of HTML pages as rows.
 
-A page's body is split at its tags; each token is a row. Container blocks (headings, quotations, list items) nest by a running sum;
-a paragraph lasts until it is closed or any block opens, which stands in for the repair that a tree parser would do. Of
-nested blocks the outermost counts. Closing tags without an opening one are ignored. Windows are partitioned by page.
+A page's body is split at its tags; the tags' names alone go over a stack of open elements (htmltree), which says where the outermost blocks
+begin and end. Their texts and markup are slices of the page's parts, so a page is read within its row and nothing is shuffled.
+A null page has no rows.
 """
 
 from html.entities import html5
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taleweave.functions.speech import matched_word
 from taleweave.operators.folding import bound, fold
+from taleweave.operators.htmltree import outermost_blocks
 
-# The tags that are blocks, and those kept inside them.
-CONTAINERS = ("h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "li")
+# The tags kept inside blocks.
 INLINE = ("em", "i", "strong", "b", "u", "span", "sup", "sub", "code", "small", "br", "q", "cite", "abbr", "a")
 FORMATTING = r"(?i)<(?:em|i|strong|b|a|span|sup|sub|code|small)\b"
 _REFERENCE = r"&(#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,8}|[A-Za-z][A-Za-z0-9]*);?"
@@ -55,75 +55,83 @@ def decoded(text: Column) -> Column:
 
     parts = F.split(F.regexp_replace(F.translate(text, _MARK, _ELSE), _REFERENCE, f"{_MARK}$0{_MARK}"), _MARK)
     read = F.transform(parts, lambda part, i: F.when(i % 2 == 0, part).when(F.startswith(part, F.lit("&#")), numbered(part)).otherwise(named(part)))
-    whole = F.array_join(read, "")
-    return F.when(~F.contains(text, F.lit("&")), text).when(F.contains(text, F.lit(_MARK)), F.translate(whole, _ELSE, _MARK)).otherwise(whole)
+    whole = bound(F.array_join(read, ""), lambda whole: F.when(F.contains(text, F.lit(_MARK)), F.translate(whole, _ELSE, _MARK)).otherwise(whole))
+    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
 
 
 def collapsed(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), "^ | $", "")
 
 
-def tokens(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """(key, pos, token, tag, closing) of the body; tag is null for text."""
-    body = F.regexp_replace(without_noise(F.col(html)), r"(?is)^.*<body\b[^>]*>", "")
+def _parts(html: Column) -> Column:
+    """The body's tags and what stands between them, in order; at odd places are tags."""
+    body = F.regexp_replace(without_noise(html), r"(?is)^.*<body\b[^>]*>", "")
     parts = F.split(F.regexp_replace(F.translate(body, _MARK, _ELSE), r"(<[^>]*>)", f"{_MARK}$1{_MARK}"), _MARK)
-    held = pages.select(key, F.contains(html, F.lit(_MARK)).alias("_marked"), F.posexplode(parts).alias("pos", "token")).where("token <> ''")
-    held = held.withColumn("token", F.when(F.col("_marked"), F.translate("token", _ELSE, _MARK)).otherwise(F.col("token"))).drop("_marked")
-    tag = F.lower(F.regexp_extract("token", r"^</?([A-Za-z][A-Za-z0-9]*)", 1))
-    return held.withColumn("tag", F.when(F.startswith("token", F.lit("<")) & (tag != ""), tag)).withColumn("closing", F.startswith("token", F.lit("</")))
-
-
-def block_tokens(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """The tokens inside blocks: key, block (number in the page), block_tag, pos, token, tag, closing."""
-    order = Window.partitionBy(key).orderBy("pos")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    held = tokens(pages, key, html)
-    box = F.coalesce(F.col("tag").isin(*CONTAINERS), F.lit(False))
-    held = held.withColumn("_step", F.when(box & F.col("closing"), -1).when(box, 1).otherwise(0)).withColumn("_sum", F.sum("_step").over(upto))
-    held = held.withColumn("_depth", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(upto)))
-    held = held.withColumn("_was", F.coalesce(F.lag("_depth").over(order), F.lit(0)))
-    outside = F.col("_was") == 0
-    paragraph = F.coalesce(F.col("tag") == "p", F.lit(False)) & outside
-    event = F.when(paragraph, F.when(F.col("closing"), 0).otherwise(1)).when(box, 0)
-    held = held.withColumn("_open", (outside & ((paragraph & ~F.col("closing")) | (box & ~F.col("closing")))).cast("int"))
-    held = held.withColumn("block", F.sum("_open").over(upto)).withColumn("_p", F.coalesce(F.last(event, ignorenulls=True).over(upto), F.lit(0)))
-    held = held.withColumn("block_tag", F.first("tag").over(Window.partitionBy(key, "block").orderBy("pos")))
-    edge = (F.col("_open") == 1) | (box & F.col("closing") & (F.col("_depth") == 0))
-    return held.where(((F.col("_depth") > 0) | (F.col("_p") == 1)) & ~edge & (F.col("block") > 0)).select(key, "block", "block_tag", "pos", "token", "tag", "closing")
-
-
-def sanitised_token() -> Column:
-    """A tag as it may be shown: unknown ones go, of attributes only web links and abbreviations' titles stay."""
-    href = F.regexp_extract("token", r"""(?i)\bhref\s*=\s*["']((?:https?://|#)[^"']*)["']""", 1)
-    title = F.regexp_extract("token", r"""(?i)\btitle\s*=\s*["']([^"']*)["']""", 1)
-    kept = F.when(F.col("closing"), F.concat(F.lit("</"), "tag", F.lit(">")))
-    kept = kept.when((F.col("tag") == "a") & (href != ""), F.concat(F.lit('<a href="'), href, F.lit('">')))
-    kept = kept.when((F.col("tag") == "abbr") & (title != ""), F.concat(F.lit('<abbr title="'), title, F.lit('">')))
-    kept = kept.otherwise(F.concat(F.lit("<"), "tag", F.lit(">")))
-    return F.when(F.col("tag").isNull(), F.when(F.startswith("token", F.lit("<")), "").otherwise(F.col("token"))).when(F.col("tag").isin(*INLINE), kept).otherwise("")
+    return F.when(F.contains(html, F.lit(_MARK)), F.transform(parts, lambda x: F.translate(x, _ELSE, _MARK))).otherwise(parts)
+
+
+def _code(part: Column) -> Column:
+    """What the tree takes of a part: a name, `/name`, `name/` or nothing."""
+    name = F.lower(F.regexp_extract(part, r"^<(/?[A-Za-z][^\s/>]*)", 1))
+    return F.when(F.endswith(part, F.lit("/>")) & (name != ""), F.concat(name, F.lit("/"))).otherwise(name)
+
+
+def _tag(part: Column) -> Column:
+    return F.lower(F.regexp_extract(part, r"^</?([A-Za-z][^\s/>]*)", 1))
+
+
+def _is_text(part: Column) -> Column:
+    return ~F.startswith(part, F.lit("<"))
+
+
+def block_parts(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """key, parts (a page's tags and texts) and found: tag, first and end of its outermost blocks among the parts. Nothing is shuffled."""
+    held = pages.select(key, _parts(F.col(html)).alias("parts"))
+    return held.withColumn("found", outermost_blocks(F.transform("parts", _code)))
+
+
+def _within(block: Column) -> Column:
+    return F.slice(F.col("parts"), block["first"] + 1, block["end"] - block["first"])
+
+
+def sanitised_part(part: Column) -> Column:
+    """A text as it is; a tag as it may be shown: unknown ones go, of attributes only web links and abbreviations' titles stay."""
+    href = F.regexp_extract(part, r"""(?i)\bhref\s*=\s*["']((?:https?://|#)[^"']*)["']""", 1)
+    title = F.regexp_extract(part, r"""(?i)\btitle\s*=\s*["']([^"']*)["']""", 1)
+
+    def shown(tag):
+        kept = F.when(F.startswith(part, F.lit("</")), F.concat(F.lit("</"), tag, F.lit(">")))
+        kept = kept.when((tag == "a") & (href != ""), F.concat(F.lit('<a href="'), href, F.lit('">')))
+        kept = kept.when((tag == "abbr") & (title != ""), F.concat(F.lit('<abbr title="'), title, F.lit('">')))
+        return F.when(tag.isin(*INLINE), kept.otherwise(F.concat(F.lit("<"), tag, F.lit(">")))).otherwise("")
+
+    return F.when(_is_text(part), part).otherwise(bound(_tag(part), shown))
 
 
 def blocks(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """(key, block_no, tag, html, text, inline) of every block with text; a page without any is one p block of its whole text."""
-    held = block_tokens(pages, key, html).withColumn("_s", sanitised_token())
-    text = F.when(F.col("tag").isNull() & ~F.startswith("token", F.lit("<")), F.col("token")).otherwise("")
-    in_order = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", c))), lambda x: x["v"]), "")
-    made = held.groupBy(key, "block", "block_tag").agg(in_order(text.alias("v")).alias("text"), in_order(F.col("_s").alias("v")).alias("html"))
-    made = made.withColumn("text", collapsed(decoded(F.col("text")))).where("text <> ''")
-    bare = pages.join(made.select(key).distinct(), key, "left_anti")
-    whole = tokens(bare, key, html).where(~F.startswith("token", F.lit("<"))).groupBy(key).agg(in_order(F.col("token").alias("v")).alias("text")).withColumn("text", collapsed(decoded(F.col("text")))).where("text <> ''")
-    both = made.unionByName(whole.select(key, F.lit(1).alias("block"), F.lit("p").alias("block_tag"), "text", F.col("text").alias("html")))
-    number = F.row_number().over(Window.partitionBy(key).orderBy("block")) - 1
-    return both.select(key, number.cast("long").alias("block_no"), F.col("block_tag").alias("tag"), "html", "text", F.col("html").rlike(FORMATTING).alias("inline"))
+    plain = lambda parts: bound(F.array_join(F.filter(parts, _is_text), ""), lambda text: collapsed(decoded(text)))
+
+    def block(found):
+        return bound(_within(found), lambda own: F.struct(found["tag"].alias("tag"), F.array_join(F.transform(own, sanitised_part), "").alias("html"), plain(own).alias("text")))
+
+    whole = F.transform(F.array(plain(F.col("parts"))), lambda text: F.struct(F.lit("p").alias("tag"), text.alias("html"), text.alias("text")))
+    some = lambda made: F.filter(made, lambda b: b["text"] != "")
+    held = block_parts(pages, key, html).select(key, bound(some(F.transform("found", block)), lambda made: F.when(F.size(made) > 0, made).otherwise(some(whole))).alias("made"))
+    # The outer form, since the other one filters on the array's size first, and so would read each page twice.
+    made = held.select(key, F.posexplode_outer("made").alias("block_no", "b")).where("block_no is not null")
+    return made.select(key, F.col("block_no").cast("long").alias("block_no"), "b.tag", "b.html", "b.text", F.col("b.html").rlike(FORMATTING).alias("inline"))
 
 
 def removed_markup(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """Tags of each page's blocks that are not kept, and attributes that go with those that are."""
-    held = block_tokens(pages, key, html).where("tag is not null and not closing")
-    known = F.col("tag").isin(*INLINE)
-    given = F.size(F.regexp_extract_all("token", F.lit(r"""\s[A-Za-z:-]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+)"""), 0))
-    stay = F.size(F.regexp_extract_all(sanitised_token(), F.lit('="'), 0))
-    return held.groupBy(key).agg(F.count_if(~known).alias("tags_removed"), F.sum(F.when(known, given - stay).otherwise(0)).alias("attributes_removed"))
+    """Tags of each page's blocks that are not kept, and attributes that go with those that are; no row of a page whose blocks have no tags."""
+    known = lambda part: _tag(part).isin(*INLINE)
+    given = lambda part: F.size(F.regexp_extract_all(part, F.lit(r"""\s[A-Za-z:-]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+)"""), 0))
+    stay = lambda part: F.size(F.regexp_extract_all(sanitised_part(part), F.lit('="'), 0))
+    opening = lambda part: (_tag(part) != "") & ~F.startswith(part, F.lit("</"))
+    held = block_parts(pages, key, html).select(key, F.filter(F.flatten(F.transform("found", _within)), opening).alias("tags")).where("size(tags) > 0")
+    gone = F.aggregate("tags", F.lit(0).cast("long"), lambda n, part: n + F.when(known(part), given(part) - stay(part)).otherwise(0))
+    return held.select(key, F.size(F.filter("tags", lambda part: ~known(part))).cast("long").alias("tags_removed"), gone.alias("attributes_removed"))
 
 
 def headings(pages: DataFrame, key: str, html: str = "html", longest: int = 100) -> DataFrame:

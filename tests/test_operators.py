@@ -5,6 +5,7 @@ import io
 import itertools
 import os
 import random
+import time
 import zipfile
 
 import pytest
@@ -248,68 +249,131 @@ def test_references_are_those_of_a_parser(spark):
 
 
 def parsed_blocks(source):
-    """Blocks of a page by a tree parser's events: the outermost of headings, quotations and list items, else paragraphs."""
+    """Blocks of a page by a tree: nodes with parents, built from a parser's events with HTML's implied ends by walking up; the outermost blocks' texts."""
     from html.parser import HTMLParser
 
-    class Reader(HTMLParser):
+    heads = {"h1", "h2", "h3", "h4", "h5", "h6"}
+    scope = {"applet", "caption", "html", "table", "td", "th", "marquee", "object", "template"}
+    ends_p = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form header hgroup listing main menu nav ol p pre search section summary table ul hr li dd dt".split()) | heads
+    void = set("area base br col embed hr img input link meta source track wbr".split())
+    special = ends_p | scope | {"tr", "tbody", "thead", "tfoot", "colgroup", "button", "body"}
+
+    class Node:
+        def __init__(self, tag, parent):
+            self.tag, self.parent, self.inner = tag, parent, []
+
+        def text(self):
+            return "".join(x if isinstance(x, str) else "" if x.tag in ("sup", "script", "style") else x.text() for x in self.inner)
+
+        def outermost(self):
+            if self.tag in heads | {"p", "blockquote", "li"}:
+                return [(self.tag, " ".join(self.text().split()))]
+            return [b for x in self.inner if not isinstance(x, str) for b in x.outermost()]
+
+    class Builder(HTMLParser):
         def __init__(self):
             super().__init__(convert_charrefs=True)
-            self.depth, self.made, self.text, self.tag, self.quiet = 0, [], [], None, 0
+            self.root = self.at = Node("body", None)
+
+        def above(self, names, until):
+            node = self.at
+            while node.parent and node.tag not in names:
+                if node.tag in until:
+                    return None
+                node = node.parent
+            return node if node.tag in names else None
 
-        def end(self):
-            text = " ".join("".join(self.text).split())
-            self.made += [(self.tag, text)] if self.tag and text else []
-            self.text, self.tag = [], None
+        def leave(self, node):
+            if node:
+                self.at = node.parent
 
         def handle_starttag(self, tag, attrs):
-            self.quiet += tag in ("sup", "script", "style")
-            if tag in markup.CONTAINERS:
-                if not self.depth:
-                    self.end()
-                    self.tag = tag
-                self.depth += 1
-            elif tag == "p" and not self.depth:
-                self.end()
-                self.tag = "p"
+            if tag in ("html", "body"):
+                return
+            if tag in ("li", "dd", "dt"):
+                own = {"li"} if tag == "li" else {"dd", "dt"}
+                self.leave(self.above(own, special - own - {"address", "div", "p"}))
+            if tag in ("tr", "td", "th", "tbody", "thead", "tfoot", "caption", "colgroup"):
+                if not self.above({"table"}, ()):
+                    return
+                while self.at.tag not in {"tr": ("table", "tbody", "thead", "tfoot"), "td": ("table", "tbody", "thead", "tfoot", "tr"), "th": ("table", "tbody", "thead", "tfoot", "tr")}.get(tag, ("table",)):
+                    self.leave(self.at)
+            if tag == "button":
+                self.leave(self.above({"button"}, scope))
+            if tag in ends_p:
+                self.leave(self.above({"p"}, scope | {"button"}))
+            phrase = self.at
+            while phrase.tag not in special:
+                phrase = phrase.parent
+            if tag in heads and phrase.tag in heads:
+                self.leave(phrase)
+            node = Node(tag, self.at)
+            self.at.inner.append(node)
+            self.at = self.at if tag in void else node
+
+        def handle_startendtag(self, tag, attrs):
+            self.handle_starttag(tag, attrs)
+            if tag not in void and self.at.tag == tag:
+                self.leave(self.at)
 
         def handle_endtag(self, tag):
-            self.quiet -= tag in ("sup", "script", "style")
-            if tag in markup.CONTAINERS and self.depth:
-                self.depth -= 1
-                if not self.depth:
-                    self.end()
-            elif tag == "p" and not self.depth:
-                self.end()
+            if tag in ("html", "body"):
+                return
+            if tag in heads:
+                self.leave(self.above(heads, scope))
+            elif tag == "p":
+                self.leave(self.above({"p"}, scope | {"button"}))
+            elif tag == "li":
+                self.leave(self.above({"li"}, scope | {"ol", "ul"}))
+            elif tag in ("table", "tr", "td", "th", "tbody", "thead", "tfoot", "caption", "colgroup"):
+                self.leave(self.above({tag}, {"table", "html", "template"} - {tag}))
+            elif tag in special:
+                self.leave(self.above({tag}, scope - {tag}))
+            else:
+                self.leave(self.above({tag}, special))
 
         def handle_data(self, data):
-            if self.tag and not self.quiet:
-                self.text.append(data)
+            self.at.inner.append(data)
 
-    reader = Reader()
-    reader.feed(source)
-    reader.close()
-    reader.end()
-    return reader.made
+    builder = Builder()
+    builder.feed(source)
+    builder.close()
+    return [(tag, text) for tag, text in builder.root.outermost() if text]
 
 
-def test_blocks_against_a_parser(spark):
+def test_blocks_against_a_tree(spark):
+    """Well nested pages, pages of misnested tags of all kinds, and pages whose tags stand in any order."""
     rng = random.Random(4)
     inline = lambda: rng.choice(["plain", "<i>it</i>", "caf&eacute;", "a &amp; b", "&#8212;", "<sup>9</sup>", "x<br>y", "<a href='h'>l</a>", "<!-- no -->"])
     run = lambda: " ".join(inline() for _ in range(rng.randint(0, 4)))
+    names = "p p p h1 h2 li li ul ol div div blockquote section dl dd dt table tr td th tbody caption b em span a hr br button object article center pre".split()
     pages = []
-    for k in range(80):
-        parts = [rng.choice([f"<p>{run()}</p>", f"<p>{run()}", f"<h{rng.randint(1, 6)}>{run()}</h1>".replace("</h1>", ""), f"<blockquote>{run()}<p>{run()}</p></blockquote>", f"<ul><li>{run()}</li><li>{run()}<p>{run()}</p></li></ul>", f"<div>{run()}</div>", f"<table><tr><td>{run()}</td></tr></table>"]) for _ in range(6)]
-        parts = [p + p[:3].replace("<", "</") + ">" if p.startswith("<h") else p for p in parts]  # headings are closed
+    for k in range(400):
+        if k < 80:
+            parts = [rng.choice([f"<p>{run()}</p>", f"<p>{run()}", f"<h2>{run()}</h2>", f"<h2>{run()}</h3>", f"<blockquote>{run()}<p>{run()}</p></blockquote>", f"<ul><li>{run()}<li>{run()}<p>{run()}</ul>", f"<div>{run()}</div>", f"<table><tr><td>{run()}<p>{run()}<td>{run()}</table>", f"<p/>{run()}", f"<div><blockquote>{run()}</div>{run()}"]) for _ in range(6)]
+        else:
+            parts = [rng.choice(["<{}>", "<{}>", "</{}>"]).format(rng.choice(names)) + f"w{n} " for n in range(rng.randint(3, 25))]
         pages.append((k, "<body>" + "".join(parts) + "</body>"))
     got = {}
     for r in markup.blocks(spark.createDataFrame(pages, "page int, html string"), "page").orderBy("page", "block_no").collect():
         got.setdefault(r["page"], []).append((r["tag"], r["text"]))
+    assert sum(bool(parsed_blocks(source)) for _, source in pages) > 300
     for k, source in pages:
         wanted = parsed_blocks(source)
         if wanted:
             assert got.get(k) == wanted, source
 
 
+def test_blocks_of_deep_and_long_pages(spark):
+    """Time is linear in the tags: deep nests, many open items and stray ends take seconds, and every block is there."""
+    n = 30000
+    pages = [(1, "<div>" * n + "<p>in" + "<li>x</li>" * n), (2, "<p>a</div></li></h1>" * n), (3, "<ul><li>" * n + "deep"), (4, "<blockquote>all " + "<p>b" * n)]
+    began = time.time()
+    got = {r["page"]: (r["n"], r["chars"]) for r in markup.blocks(spark.createDataFrame(pages, "page int, html string"), "page").groupBy("page").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).collect()}
+    assert got == {1: (n + 1, n + 2), 2: (n, n), 3: (1, 4), 4: (1, n + 4)}
+    assert time.time() - began < 60
+
+
 def test_wrapped_words_against_brute_force(spark):
     rng = random.Random(6)
     vocabulary = ["One", "two,", "it's", "Four.", "<i>five</i>", "six"]
