@@ -248,6 +248,17 @@ def test_references_are_those_of_a_parser(spark):
     assert got == [t if t is None else unescape(t) for t in texts]
 
 
+def test_cut_off_references_stay(spark):
+    """A reference without its semicolon, as a title cut to a length ends in, is text in blocks, headings and wrapped words."""
+    html = "<body><h1>one &amp; two&amp</h1><p>it&#39;s &lt so&#3</p></body>"
+    page = spark.createDataFrame([(1, html), (2, "<body><b class='title'>x &amp; y&amp</b></body>")], "k int, html string")
+    made = markup.blocks(page, "k")
+    assert sorted((r["k"], r["text"]) for r in made.collect()) == [(1, "it's &lt so&#3"), (1, "one & two&amp"), (2, "x & y&amp")]
+    assert sorted(map(tuple, markup.headings(page, "k").collect())) == [(1, "one & two&amp"), (2, "x & y&amp")]
+    spoken = spark.createDataFrame([(1, 0, 0, "one"), (1, 0, 1, "two&amp")], "k int, block_no long, word_no int, word string")
+    assert markup.wrap_words(made.where("k = 1 and block_no = 0"), spoken, ["k", "block_no"]).first()["matched"] == 2
+
+
 def parsed_blocks(source):
     """Blocks of a page by a tree: nodes with parents, built from a parser's events with HTML's implied ends by walking up; the outermost blocks' texts."""
     from html.parser import HTMLParser
