@@ -146,6 +146,27 @@ def test_recall_with_quoting_recordings_between(spark, between):
     assert all(audio.bit_errors(items[r["match_id"]], items[r["doc_id"]], r["offset"])[0] == pytest.approx(r["bit_error"]) and r["bit_error"] <= audio.BIT_ERRORS for r in linked)
 
 
+def test_all_pairs_apart_are_looked_at(spark):
+    """Twelve recordings in the same three lists, two of one component: all pairs but that one, however many stand between; two places of one list in both give two votes."""
+    rows = [(i, 9, item, item + 1, 10 * item + i) for i in range(12) for item in (1, 2, 3)] + [(20, 2, 7, 7, 0), (20, 2, 7, 7, 5), (21, 2, 7, None, 3), (21, 2, 7, 7, 8), (22, 2, 7, 7, 1)]
+    posts = spark.createDataFrame(rows, "id long, held int, item int, next int, place int")
+    labels = spark.createDataFrame([(3, 3), (4, 3)], "id long, component long")
+    got = sorted((r["a"], r["b"]) for r in audio.pairs_apart(posts, labels).collect())
+    assert got == sorted([p for p in itertools.combinations(range(12), 2) if p != (3, 4)] + [(20, 21)])
+    assert len({(r["a"], r["b"]) for r in audio.near_pairs(posts).collect()} & set(got)) < len(got)  # the capped lists alone hold fewer
+
+
+def test_best_offset_of_a_repeated_sound(monkeypatch):
+    """Long lists of places are correlated: the same votes as by pairs of places."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate((rng.integers(0, 9, 300), np.full(400, 5))).astype(np.uint32)
+    y = np.concatenate((x[37:], np.full(50, 5))).astype(np.uint32)
+    plain = audio.best_offset(x, y)
+    monkeypatch.setattr(audio, "_FEW", 0)
+    assert audio.best_offset(x, y) == plain and plain[1] >= audio.VOTES
+    assert audio.best_offset(x[:3], np.arange(50, 60, dtype=np.uint32)) is None
+
+
 def test_digest_edits_and_groups(spark, odd):
     docs = [(i, words(i % 40, 5 + i % 17)) for i in range(300)] + [(1000, None), (1001, "Ａ  b\tC"), (1002, "a B c"), (-5, "first of all")]
     got = by_id(digest.fingerprint_edits(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)))
