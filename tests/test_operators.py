@@ -259,6 +259,27 @@ def test_cut_off_references_stay(spark):
     assert markup.wrap_words(made.where("k = 1 and block_no = 0"), spoken, ["k", "block_no"]).first()["matched"] == 2
 
 
+def test_removed_markup_reads_a_page_once(spark):
+    page = spark.createDataFrame([(1, "<body><p>one <font x=1>two</font> <a href='h' id=k>l</a></p></body>"), (2, "<body>none</body>")], "k int, html string")
+    made = markup.removed_markup(page, "k")
+    assert made._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [tuple(r) for r in made.collect()] == [(1, 1, 2)]
+
+
+def test_word_forms_stay_in_their_rows(spark, sf_dir):
+    from taleweave.plans import QUERIES
+
+    assert "Generate" not in QUERIES["t19_word_forms"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_archives_come_in_batches_of_bounded_bytes(spark):
+    from taleweave.sources import archives
+
+    books = spark.range(48).repartition(1).select(F.col("id").alias("book_id"), F.repeat(F.lit("x"), 1 << 20).cast("binary").alias("content"))
+    most = archives.bounded_batches(books).mapInPandas(lambda frames: (f[["book_id"]].assign(n=len(f)) for f in frames), "book_id long, n long").agg(F.max("n")).first()[0]
+    assert most <= 9
+
+
 def parsed_blocks(source):
     """Blocks of a page by a tree: nodes with parents, built from a parser's events with HTML's implied ends by walking up; the outermost blocks' texts."""
     from html.parser import HTMLParser
