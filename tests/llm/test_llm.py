@@ -156,6 +156,44 @@ def test_all_pairs_apart_are_looked_at(spark):
     assert len({(r["a"], r["b"]) for r in audio.near_pairs(posts).collect()} & set(got)) < len(got)  # the capped lists alone hold fewer
 
 
+def test_a_common_sound_makes_no_pairs(spark):
+    """Three hundred recordings share one list, two pairs of them another one too: only those meet, and both postings count. Same pairs as by brute force on random lists."""
+    rows = [(i, 3, 1, 2, i % 7) for i in range(300)] + [(i, 3, 10 + i // 2, 5, 40) for i in (4, 5, 8, 9)]
+    shape = "id long, held int, item int, next int, place int"
+    none = spark.createDataFrame([], "id long, component long")
+    assert audio.meetings(spark.createDataFrame(rows, shape), none).count() == 2
+    assert sorted(tuple(r) for r in audio.pairs_apart(spark.createDataFrame(rows, shape), none).collect()) == [(4, 5), (8, 9)]
+    rng = random.Random(5)
+    rows = [(i, 4, min(rng.randrange(12), rng.randrange(12)), 0, p) for i in range(60) for p in range(4)]
+    held = {i: Counter(r[2] for r in rows if r[0] == i) for i in range(60)}
+    labels = {i: i - i % 3 for i in range(0, 30)}
+    wanted = [(a, b) for a, b in itertools.combinations(range(60), 2) if labels.get(a, a) != labels.get(b, b) and (held[a] & held[b]).total() >= audio.VOTES]
+    got = audio.pairs_apart(spark.createDataFrame(rows, shape), spark.createDataFrame(list(labels.items()), "id long, component long"))
+    assert sorted(tuple(r) for r in got.collect()) == wanted
+
+
+def test_places_are_found_from_postings(spark):
+    """Offset and votes as from the whole sounds; a pair that overlaps by less than half there isn't moved to be confirmed."""
+    base, sounds = words(33, 300).split(), {}
+    for i, text in enumerate((base, base[20:], [*words(34, 250).split(), *base[:60]], [*base[240:], *words(35, 250).split()], [*(["la"] * 80), *base[:200]])):
+        sounds[i] = " ".join(text)
+    items = {i: audio.fingerprint(audio.rendered([t.encode()])[0]) for i, t in sounds.items()}
+    frame = spark.createDataFrame(list(sounds.items()), "doc_id long, text string")
+    pairs = list(itertools.combinations(sounds, 2))
+    wanted = {(a, b, *at) for a, b in pairs if (at := audio.best_offset(items[a], items[b])) and audio.bit_errors(items[a], items[b], at[0])[1] >= audio.OVERLAP * min(len(items[a]), len(items[b]))}
+    got = audio.placed(spark.createDataFrame(pairs, "a long, b long"), audio.posted(frame, "doc_id", "text", "text"))
+    assert {tuple(r) for r in got.collect()} == wanted and {w[:3] for w in wanted} >= {(0, 1, 20), (0, 4, -80)} and len(wanted) < len(pairs)
+
+
+def test_fingerprints_together(monkeypatch):
+    """Recordings of all lengths beside each other have the items that each has alone."""
+    sounds = [np.random.default_rng(k).standard_normal(k).astype(np.float32) for k in (0, 5, 63, 64, 119, 120, 121, 700, 0, 3000, 64)]
+    alone = [audio.fingerprint(x).tolist() for x in sounds]
+    assert [x.tolist() for x in audio.fingerprints_of(sounds)] == alone
+    monkeypatch.setattr(audio, "_TOGETHER", 30)
+    assert [x.tolist() for x in audio.fingerprints_of(sounds)] == alone and audio.fingerprints_of([]) == []
+
+
 def test_best_offset_of_a_repeated_sound(monkeypatch):
     """Long lists of places are correlated: the same votes as by pairs of places."""
     rng = np.random.default_rng(4)
