@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taleweave.operators import scans
+from taleweave.operators.partitioning import dealt
 
 PAUSE, SILENCE, PER_SEGMENT = 0.4, 0.30, 20
 
@@ -16,19 +17,19 @@ def _before(*keys, order):
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def positions(chapters: DataFrame, book: str, index: str, include: str) -> DataFrame:
+def positions(chapters: DataFrame, book: str, index: str, include: str, tasks: int | None = None) -> DataFrame:
     """The included chapters (null: included) with their position among them; the original index stays."""
     kept = chapters.where(F.coalesce(F.col(include), F.lit(True)))
-    return scans.numbered(kept, [book], [index], "position")
+    return scans.numbered(kept, [book], [index], "position", tasks=tasks)
 
 
-def segment_offsets(segments: DataFrame, book: str, order: list[str], duration: str) -> DataFrame:
+def segment_offsets(segments: DataFrame, book: str, order: list[str], duration: str, tasks: int | None = None) -> DataFrame:
     """start and end of each segment in its book."""
-    return scans.sum_before(segments, [book], order, F.col(duration).cast("double"), "start").withColumn("end", F.col("start") + F.col(duration))
+    return scans.sum_before(segments, [book], order, F.col(duration).cast("double"), "start", tasks=tasks).withColumn("end", F.col("start") + F.col(duration))
 
 
-def chapter_marks(offsets: DataFrame, keys: list[str]) -> DataFrame:
-    return offsets.groupBy(*keys).agg(F.min("start").alias("start"), F.max("end").alias("end"))
+def chapter_marks(offsets: DataFrame, keys: list[str], tasks: int | None = None) -> DataFrame:
+    return dealt(offsets, tasks, *keys).groupBy(*keys).agg(F.min("start").alias("start"), F.max("end").alias("end"))
 
 
 def parts(chunks: DataFrame, keys: list[str], order: list[str], per: int = PER_SEGMENT) -> DataFrame:
@@ -104,7 +105,7 @@ def flat_numbers(words: DataFrame, chapter: list[str], order: list[str]) -> Data
     return scans.numbered(words, chapter, order, "flat_no")
 
 
-def as_of(lookups: DataFrame, spans: DataFrame, key: str, t: str, payload: list[str], first_if_before: bool = False) -> DataFrame:
+def as_of(lookups: DataFrame, spans: DataFrame, key: str, t: str, payload: list[str], first_if_before: bool = False, tasks: int | None = None) -> DataFrame:
     """Each lookup with the payload of the last span of its key that starts at or before t, by one scan of both together.
 
     spans: key, start, payload. With first_if_before a moment before all spans has the first one.
@@ -113,17 +114,18 @@ def as_of(lookups: DataFrame, spans: DataFrame, key: str, t: str, payload: list[
     both = lookups.select("*", F.col(t).alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast(spans.select(item.alias("s")).schema["s"].dataType).alias("_s")).unionByName(
         spans.select(key, F.col("start").alias("_t"), F.lit(0).alias("_kind"), item.alias("_s")), allowMissingColumns=True
     )
-    both = scans.last_before(both, key, "_t", "_kind", "_s", "_f", first_if_before=first_if_before)
+    both = scans.last_before(both, key, "_t", "_kind", "_s", "_f", first_if_before=first_if_before, tasks=tasks)
     return both.where("_kind = 1").select(*lookups.columns, *[F.col(f"_f.{c}").alias(c) for c in payload])
 
 
-def span_at(lookups: DataFrame, spans: DataFrame, key: str, t: str, payload: list[str]) -> DataFrame:
+def span_at(lookups: DataFrame, spans: DataFrame, key: str, t: str, payload: list[str], tasks: int | None = None) -> DataFrame:
     """The span with start <= t <= end, the earlier one where two meet; none in a pause."""
     held = spans.withColumn("_end", F.col("end")).withColumn("_meets", F.struct(key, "start"))
     # Spans don't overlap, so the span that ends at t is the one before the span that starts there.
-    ended = spans.where("start < end").groupBy(F.struct(F.col(key), F.col("end").alias("start")).alias("_meets")).agg(F.min_by(F.struct(*payload), "start").alias("_prior"))
-    held = held.join(ended, "_meets", "left").drop("_meets")
-    found = as_of(lookups, held.withColumn("_start", F.col("start")), key, t, ["_start", "_end", "_prior", *payload])
+    ended = spans.where("start < end").select(F.struct(F.col(key), F.col("end").alias("start")).alias("_meets"), "start", *payload)
+    ended = dealt(ended, tasks, "_meets").groupBy("_meets").agg(F.min_by(F.struct(*payload), "start").alias("_prior"))
+    held = dealt(held, tasks, "_meets").join(ended, "_meets", "left").drop("_meets")
+    found = as_of(lookups, held.withColumn("_start", F.col("start")), key, t, ["_start", "_end", "_prior", *payload], tasks=tasks)
     at_start = (F.col(t) == F.col("_start")) & F.col("_prior").isNotNull()
     return found.select(*lookups.columns, *[F.when(at_start, F.col(f"_prior.{c}")).when(F.col(t) <= F.col("_end"), F.col(c)).alias(c) for c in payload])
 
@@ -151,9 +153,9 @@ def metadata_lines(books: DataFrame, marks: DataFrame, book: str) -> DataFrame:
     return books.join(listed, book).select(book, F.concat(head, "body").alias("metadata"))
 
 
-def timeline_faults(spans: DataFrame, key: str, order: list[str]) -> DataFrame:
+def timeline_faults(spans: DataFrame, key: str, order: list[str], tasks: int | None = None) -> DataFrame:
     """Spans that start before the one before them, or end before they start."""
     before = F.lag("start").over(Window.partitionBy(key).orderBy(*order))
-    spans = spans.withColumn("_before", before)
+    spans = dealt(spans, tasks, key).withColumn("_before", before)
     faults = F.array_compact(F.array(F.when(F.col("start") < F.col("_before"), "starts before the last"), F.when(F.col("end") < F.col("start"), "ends before its start")))
     return spans.select(key, *order, F.explode(faults).alias("fault"))

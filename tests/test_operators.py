@@ -530,3 +530,18 @@ def test_lookups_where_spans_meet(spark):
     got = {(r.book, r.t): r.name for r in T.span_at(moments, spans, "book", "t", ["name"]).collect()}
     assert got == {(1, 5.0): "a", (1, 7.0): None, (1, 9010.0): "b", (1, 9015.0): "c", (1, 9021.0): None, (2, 1.0): None}
     assert T.as_of(moments.limit(0), spans, "book", "t", ["name"]).count() == 0 and T.as_of(moments, spans.limit(0), "book", "t", ["name"]).count() == 6
+
+
+@pytest.mark.parametrize("name", ["w02_segment_offsets", "w03_chapter_marks", "s08_timeline_documents", "c02_timeline_faults", "j09_marked_chapters", "j11_segment_at"])
+def test_tasks_follow_the_input(spark, sf_dir, monkeypatch, name):
+    """However few the session's shuffle partitions, what is made of segments is sorted by as many tasks as its rows need."""
+    import re
+
+    from taleweave.operators import partitioning
+    from taleweave.plans import QUERIES
+
+    n = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    monkeypatch.setattr(partitioning, "ROWS_PER_TASK", -(-n // 37))
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"Exchange hashpartitioning\(.*, (\d+)\), (?:REPARTITION|ENSURE)", plan)
+    assert dealt and set(dealt) == {str(-(-n // partitioning.ROWS_PER_TASK))}
