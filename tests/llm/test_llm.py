@@ -172,6 +172,31 @@ def test_a_common_sound_makes_no_pairs(spark):
     assert sorted(tuple(r) for r in got.collect()) == wanted
 
 
+def test_a_passage_that_very_many_quote(spark, monkeypatch):
+    """A hundred and fifty recordings quote one passage with several postings: none are paired by a join, in parts all that match are found, as by brute force."""
+    passage, texts = words(90, 60).split(), {}
+    for i in range(150):
+        like = {147: 50, 148: 50, 149: 3}.get(i, i)  # a few have what stands before the passage from another one
+        texts[i] = " ".join([*words(30_000 + like, 80).split(), *passage, *words(60_000 + i, 80).split()])
+    texts[70] += " ".join(["", *passage, words(99, 120)])
+    items = {i: audio.fingerprint(audio.rendered([t.encode()])[0]) for i, t in texts.items()}
+    place = {p: (int(items[0].view(np.int32)[p]), int(items[0].view(np.int32)[p + 1])) for p in audio.postings(items[0]).tolist() if p + 1 < len(items[0])}
+    common = [k for k in place.values() if sum(bool(((x[:-1].view(np.int32) == k[0]) & (x[1:].view(np.int32) == k[1])).any()) for x in items.values()) == 150]
+    assert len(common) >= 2
+    true = [(a, b) for a, b in itertools.combinations(texts, 2) if (at := audio.best_offset(items[a], items[b])) and (e := audio.bit_errors(items[a], items[b], at[0]))[0] <= audio.BIT_ERRORS and e[1] >= audio.OVERLAP * min(len(items[a]), len(items[b]))]
+    assert len(true) >= 3 and set(true) <= {(3, 149), (50, 147), (50, 148), (147, 148)}
+    monkeypatch.setattr(audio, "PART", 20)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    posts = audio.posted(frame, "doc_id", "text", "text").select("id", F.size("posted").alias("held"), F.explode("posted").alias("p")).select("id", "held", "p.*")
+    none = spark.createDataFrame([], "id long, component long")
+    assert audio.meetings(posts, none).count() < 1000  # one list of 150 in a join makes 11,175
+    lists = audio.lists_apart(audio.shared(posts), none)
+    got = {tuple(r) for r in audio.pairs_of_long_lists(lists, frame, "doc_id", "text", "text").collect()}
+    assert got == set(true)
+    label = {i: min([i, *(a for a, b in true if b == i), *(b for a, b in true if a == i)]) for i in texts}
+    assert {i: r["class_id"] for i, r in by_id(audio.aligned(frame, "doc_id", "text", "text"), "doc_id").items()} == label
+
+
 def test_places_are_found_from_postings(spark):
     """Offset and votes as from the whole sounds; a pair that overlaps by less than half there isn't moved to be confirmed."""
     base, sounds = words(33, 300).split(), {}
