@@ -22,8 +22,9 @@ FRONT_MATTER = (
 
 
 def trimmed(text: Column) -> Column:
-    """Without white space of any kind at either end."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without white space of any kind at either end. The ends are looked at first: the rule reads all of a text."""
+    at_end = F.left(text, F.lit(1)).rlike(r"(?U)\s") | F.right(text, F.lit(1)).rlike(r"(?U)\s")
+    return F.when(at_end, F.regexp_replace(text, r"(?U)^\s+|\s+$", "")).otherwise(text)
 
 
 #: What a text with a page number's line matches; most texts don't.
@@ -83,7 +84,8 @@ def clean_text(text: Column, drop_citations: bool = False) -> Column:
     out = normalise(pre_clean(text))
     if drop_citations:
         out = strip_citations(out)
-    return trimmed(F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
+    squeezed = F.regexp_replace(out, r"[ \t]{2,}|\t", " ")  # a single space is as it shall be
+    return trimmed(F.regexp_replace(squeezed, r"\n{3,}", "\n\n"))
 
 
 def derive_title(text: Column, longest: int = 60) -> Column:

@@ -27,13 +27,14 @@ _ELSE = "\ufdd1"
 
 def paragraphs(docs: DataFrame, text: str = "text", break_at: str = "\n\n") -> DataFrame:
     """The rows with para_no and paragraph, one per paragraph; line feeds inside become spaces, empty paragraphs keep their number."""
-    inner = trimmed(F.regexp_replace("paragraph", "\n", " "))
+    inner = trimmed(F.replace("paragraph", F.lit("\n"), F.lit(" ")))
     return docs.select("*", F.posexplode(F.split(text, break_at)).alias("para_no", "paragraph")).drop(text).withColumn("paragraph", inner)
 
 
 def sentence_pieces(paragraph: Column) -> Column:
     """text, break, text, break, ..., text: a paragraph split at all places where a sentence may end."""
-    marked = F.regexp_replace(F.translate(paragraph, CUT, _ELSE), r"""(?U)(?<=[.!?])(["'”’)]*\s+)""", f"{CUT}$1{CUT}")
+    free = F.when(F.contains(paragraph, F.lit(CUT)), F.translate(paragraph, CUT, _ELSE)).otherwise(paragraph)
+    marked = F.regexp_replace(free, r"""(?U)([.!?])(["'”’)]*\s+)""", f"$1{CUT}$2{CUT}")
     return F.split(marked, CUT)
 
 

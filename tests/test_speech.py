@@ -97,6 +97,16 @@ def test_citations_found_are_those_removed(spark):
     assert citations.counts(citations.find_citations(docs, ["book", "doc_id"]), "book", "doc_id").first()["citations"] == 3
 
 
+def test_trimming_looks_at_the_ends_first(spark):
+    """Texts without white space at an end aren't read by the rule; all come out as by the rule alone."""
+    import re
+
+    texts = ["", " ", "a", "a b", " a", "a ", "\na\n", "a \n", "\u2003a\u2028", "a\u0085", "\u00a0a b", "𝄞 𝄞", " 𝄞", "a\tb  c\t d \n\n\n\n e"]
+    got = [tuple(r) for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", S.trimmed(F.col("t")), S.clean_text(F.col("t"))).collect()]
+    assert [g[:2] for g in got] == [(t, re.sub(r"^\s+|\s+$", "", t)) for t in texts] and got[-1][2] == "a b c d \n\n e"
+    assert "CASE WHEN" in str(S.trimmed(F.col("t"))) and r"[ \t]+" not in str(S.clean_text(F.col("t")))
+
+
 def test_text_path_has_no_python(spark, sf_dir):
     from taleweave.plans import QUERIES
 
