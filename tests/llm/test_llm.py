@@ -197,6 +197,44 @@ def test_a_passage_that_very_many_quote(spark, monkeypatch):
     assert {i: r["class_id"] for i, r in by_id(audio.aligned(frame, "doc_id", "text", "text"), "doc_id").items()} == label
 
 
+@pytest.mark.parametrize("few", [1 << 20, 0])
+def test_links_of_long_lists_are_counted_where_they_are_found(spark, monkeypatch, few):
+    """Near copies and repeated sounds that all lie apart: numbers of links, classes and best alignments as by brute force, but few pairs of recordings are made for it."""
+    texts, base = {}, words(91, 120).split()
+    for i in range(45):
+        rng, copy = random.Random(i), base[i % 7 :]
+        for _ in range(i % 4):
+            copy[rng.randrange(len(copy))] = "edited%d" % i
+        texts[i * 3 % 45 * 10 + i % 7] = " ".join([*copy, *words(80_000 + i, 4).split()])
+    for i in range(25):
+        texts[1000 + i] = " ".join([*words(40_000 + i, 10 + i).split(), *["la"] * (12 + 3 * i), *words(50_000 + i % 9, 15).split()])
+    for i in range(12):  # lists that are paired by a join
+        texts[2000 + i] = " ".join([*words(60_000 + i // 4, 90).split(), *words(70_000 + i, 10).split()])
+    items = {i: audio.fingerprint(audio.rendered([t.encode()])[0]) for i, t in texts.items()}
+    assert len({x.tobytes() for x in items.values()}) == len(texts)
+    n_links, best, reach = Counter(), {}, {i: {i} for i in texts}
+    for a, b in itertools.combinations(sorted(texts), 2):
+        if at := audio.best_offset(items[a], items[b]):
+            error, n = audio.bit_errors(items[a], items[b], at[0])
+            if error <= audio.BIT_ERRORS and n >= audio.OVERLAP * min(len(items[a]), len(items[b])):
+                for i, other, offset in ((a, b, -at[0]), (b, a, at[0])):
+                    n_links[i] += 1
+                    best[i] = max(best.get(i, (0,)), (at[1], -other, offset, error))
+                for i in (whole := reach[a] | reach[b]):
+                    reach[i] = whole
+    monkeypatch.setattr(audio, "_FEW", few)
+    monkeypatch.setattr(audio, "LONG", 8)
+    monkeypatch.setattr(audio, "PART", 20)
+    near, placed, handed = audio.near_pairs, audio.placed, []
+    monkeypatch.setattr(audio, "near_pairs", lambda posts: near(posts).limit(0))
+    monkeypatch.setattr(audio, "placed", lambda pairs, *rest: handed.append(pairs.count()) or placed(pairs, *rest))
+    got = by_id(audio.aligned(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3), "doc_id", "text", "text"))
+    assert len(reach[0]) >= 40 and n_links.total() // 2 > 900
+    assert {i: (r["n_links"], r["class_id"]) for i, r in got.items()} == {i: (n_links[i], min(reach[i])) for i in texts}
+    assert {i: (r["votes"], -r["match_id"], r["offset"], pytest.approx(r["bit_error"])) for i, r in got.items() if r["n_links"]} == best
+    assert sum(handed) < 300
+
+
 def test_places_are_found_from_postings(spark):
     """Offset and votes as from the whole sounds; a pair that overlaps by less than half there isn't moved to be confirmed."""
     base, sounds = words(33, 300).split(), {}
