@@ -56,11 +56,12 @@ def false_break(head: Column, following: Column) -> Column:
     return break_kind(head, following) != _ENDS
 
 
-def sentences(paragraph: Column) -> Column:
+def sentences(paragraph: Column, each_marker: bool = False) -> Column:
     """Sentences after . ! ? and white space; closing quotes at a break are lost with it, at a false break they stay.
 
     Breaks are judged each by itself, then the pieces are joined with a mark at the true ones and split there: no array or text grows
     step by step. Only list markers in a row, of which the first is one, are gone through in order. A U+FDD0 in the text comes back as it was.
+    each_marker: a list marker ends no sentence wherever it stands between two possible breaks (as in the queries' SQL), not only where it begins one (as in the reference).
     """
 
     def settled(kinds):
@@ -74,7 +75,7 @@ def sentences(paragraph: Column) -> Column:
         places = F.sequence(F.lit(0), ((F.size(pieces) - 3) / 2).cast("int"))
         kinds = F.transform(places, lambda k: break_kind(F.get(pieces, 2 * k), F.get(pieces, 2 * k + 2)))
         shown = lambda kinds: F.transform(pieces, lambda piece, i: F.when((i % 2 == 1) & (F.get(kinds, ((i - 1) / 2).cast("int")) == _ENDS), CUT).otherwise(piece))
-        joined = bound(settled(kinds), lambda kinds: F.array_join(shown(kinds), ""))
+        joined = bound(kinds if each_marker else settled(kinds), lambda kinds: F.array_join(shown(kinds), ""))
         return F.when(F.size(pieces) > 1, F.split(joined, CUT)).otherwise(pieces)
 
     found = F.filter(F.transform(bound(sentence_pieces(paragraph), split), trimmed), lambda x: x != "")
@@ -132,9 +133,9 @@ def pack(pieces: Column, most: int = MAX_CHARS) -> Column:
     return bound(fold(pieces, F.lit(""), step, "string"), lambda f: F.when(f["state"] != "", F.concat(f["out"], F.array(f["state"]))).otherwise(f["out"]))
 
 
-def chunk_paragraphs(paras: DataFrame, most: int = MAX_CHARS) -> DataFrame:
+def chunk_paragraphs(paras: DataFrame, most: int = MAX_CHARS, each_marker: bool = False) -> DataFrame:
     """paragraph replaced by sentences and chunks (arrays)."""
-    held = paras.withColumn("sentences", sentences(F.col("paragraph")))
+    held = paras.withColumn("sentences", sentences(F.col("paragraph"), each_marker))
     return held.withColumn("chunks", pack(F.flatten(F.transform("sentences", lambda s: fit(s, most))), most)).drop("paragraph")
 
 
