@@ -235,6 +235,36 @@ def test_links_of_long_lists_are_counted_where_they_are_found(spark, monkeypatch
     assert sum(handed) < 300
 
 
+@pytest.mark.parametrize("part_bytes", [4 << 20, 4000])
+def test_all_links_within_a_block_are_found(spark, monkeypatch, part_bytes):
+    """Sixty near copies in the same lists, some with a row that repeats them, and small groups: each link of each recording, as by brute force, in one task or in many."""
+    texts, base = {}, words(92, 120).split()
+    for i in range(60):
+        rng, copy = random.Random(900 + i), base[i % 7 :]
+        for _ in range(i % 9):
+            copy[rng.randrange(len(copy))] = "edited%d" % i
+        texts[i] = " ".join([*copy, *words(81_000 + i, 4).split()])
+    for i in range(21):
+        texts[1000 + i] = " ".join([*words(61_000 + i // 3, 70).split(), *words(71_000 + i, 10).split()])
+    items = {i: audio.fingerprint(audio.rendered([t.encode()])[0]) for i, t in texts.items()}
+    n_links, best, reach = Counter(), {}, {i: {i} for i in texts}
+    for a, b in itertools.combinations(sorted(texts), 2):
+        if at := audio.best_offset(items[a], items[b]):
+            error, n = audio.bit_errors(items[a], items[b], at[0])
+            if error <= audio.BIT_ERRORS and n >= audio.OVERLAP * min(len(items[a]), len(items[b])):
+                for i, other, offset in ((a, b, -at[0]), (b, a, at[0])):
+                    n_links[i] += 1
+                    best[i] = max(best.get(i, (0,)), (at[1], -other, offset, error))
+                for i in (whole := reach[a] | reach[b]):
+                    reach[i] = whole
+    monkeypatch.setattr(audio, "PART_BYTES", part_bytes)
+    rows = [*texts.items(), *((i, texts[i]) for i in (0, 7, 30, 59, 1001))]
+    got = by_id(audio.aligned(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "doc_id", "text", "text"))
+    assert max(n_links.values()) > 30 and n_links.total() // 2 > 700
+    assert {i: (r["n_links"], r["class_id"]) for i, r in got.items()} == {i: (n_links[i], min(reach[i])) for i in texts}
+    assert {i: (r["votes"], -r["match_id"], r["offset"], pytest.approx(r["bit_error"])) for i, r in got.items() if r["n_links"]} == best
+
+
 def test_places_are_found_from_postings(spark):
     """Offset and votes as from the whole sounds; a pair that overlaps by less than half there isn't moved to be confirmed."""
     base, sounds = words(33, 300).split(), {}
