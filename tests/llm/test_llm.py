@@ -257,7 +257,7 @@ def test_all_links_within_a_block_are_found(spark, monkeypatch, part_bytes):
                     best[i] = max(best.get(i, (0,)), (at[1], -other, offset, error))
                 for i in (whole := reach[a] | reach[b]):
                     reach[i] = whole
-    monkeypatch.setattr(audio, "PART_BYTES", part_bytes)
+    monkeypatch.setattr(audio, "BLOCK_BYTES", part_bytes)
     rows = [*texts.items(), *((i, texts[i]) for i in (0, 7, 30, 59, 1001))]
     got = by_id(audio.aligned(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "doc_id", "text", "text"))
     assert max(n_links.values()) > 30 and n_links.total() // 2 > 700
